@@ -1,0 +1,32 @@
+"""Intermediate tables that outlive the loss of an executor."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; without one (tests), a folder is made and set."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_dir:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            set_dir = known.get()
+        else:
+            set_dir = tempfile.mkdtemp(prefix="glossmill-")
+            spark.sparkContext.setCheckpointDir(set_dir)
+    return set_dir
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back.
+
+    Cuts the lineage: what follows never computes ``df`` again, even when executors go.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/glossmill-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
