@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing
+from . import decontaminate, near_duplicates, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, shingle=5)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     return found.drop("matches")
@@ -31,6 +36,7 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_minhash_near_duplicates": op4_minhash_near_duplicates,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pattern_packing": op8_pattern_packing,
 }
