@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_duplicates, packing, substring_dedup
+from . import decontaminate, language_id, near_duplicates, packing, private_data, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_skip_chain_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find_private_data(_table(spark, sf_dir, "documents"))
+
+
 def op3_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify_languages(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -45,6 +49,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_skip_chain_private_data": op2_skip_chain_private_data,
     "op3_kneser_ney_language_id": op3_kneser_ney_language_id,
     "op4_minhash_near_duplicates": op4_minhash_near_duplicates,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
