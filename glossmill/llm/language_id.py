@@ -267,7 +267,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
     return texts.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1)
 
 
-def identify_languages(docs: DataFrame, quantile: float = 0.9995, slack: float = 1.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slots: int = 1 << 20) -> DataFrame:
+def identify_languages(docs: DataFrame, quantile: float = 0.9995, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slots: int = 1 << 20) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, rejected, entropy.
 
     Rows whose crc32(doc_id as text) mod 3 is 1 are held out: nothing is learned from them.
@@ -281,7 +281,7 @@ def identify_languages(docs: DataFrame, quantile: float = 0.9995, slack: float =
     return found.select("doc_id", "held_out", "lang_pred", "score", rejected.alias("rejected"), "entropy")
 
 
-def keep_identified(docs: DataFrame, quantile: float = 0.9995, slack: float = 1.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slots: int = 1 << 20) -> DataFrame:
+def keep_identified(docs: DataFrame, quantile: float = 0.9995, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slots: int = 1 << 20) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, unchanged."""
     texts = _prepared(docs, id_col, text_col, lang_col)
     spark = docs.sparkSession
