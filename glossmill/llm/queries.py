@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_duplicates, packing, private_data, substring_dedup
+from . import decontaminate, language_id, line_dedup, near_duplicates, packing, private_data, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = sharding.shard_records(_table(spark, sf_dir, "documents"), shards=40)
+    return drawn.select(
+        "record.doc_id", "size", F.crc32(F.coalesce("record.text", F.lit(""))).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
+
+
 def op2_skip_chain_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.find_private_data(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +42,11 @@ def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.find_repeated_lines(_table(spark, sf_dir, "documents"), size=3)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     return found.drop("matches")
@@ -49,12 +61,32 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_two_pass_sharding": op1_two_pass_sharding,
     "op2_skip_chain_private_data": op2_skip_chain_private_data,
     "op3_kneser_ney_language_id": op3_kneser_ney_language_id,
     "op4_minhash_near_duplicates": op4_minhash_near_duplicates,
+    "op5_line_dedup": op5_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pattern_packing": op8_pattern_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": """
+        WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+        w AS (
+            SELECT doc_id, p, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] AS k
+            FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM cut)
+        ),
+        late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM w) WHERE n > 1),
+        covered AS (SELECT DISTINCT doc_id, p + o AS p FROM late, (VALUES (0), (1), (2)) AS t(o)),
+        line AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS s FROM cut),
+        kept AS (
+            SELECT doc_id, string_agg(s, chr(10) ORDER BY p) AS s, count(*) AS n
+            FROM line ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
+            CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM cut LEFT JOIN kept USING (doc_id)
+    """,
+}
