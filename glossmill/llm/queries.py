@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, near_duplicates, packing, private_data, sharding, substring_dedup
+from . import decontaminate, fingerprints, language_id, line_dedup, near_duplicates, packing, private_data, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_lookup_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     return found.drop("matches")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_kneser_ney_language_id": op3_kneser_ney_language_id,
     "op4_minhash_near_duplicates": op4_minhash_near_duplicates,
     "op5_line_dedup": op5_line_dedup,
+    "op6_lookup_sketch_fingerprints": op6_lookup_sketch_fingerprints,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pattern_packing": op8_pattern_packing,
     "op10_substring_dedup": op10_substring_dedup,
