@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language_id, line_dedup, near_duplicates, packing, private_data, sharding, substring_dedup
+from . import decontaminate, fingerprints, language_id, line_dedup, near_duplicates, packing, private_data, quality, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end_id=1)
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Toxic texts are of grade 0, poor ones of grade 1, all others of grade 2.
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    ratings = _table(spark, sf_dir, "labels").filter("toxic is not null and quality is not null").select("doc_id", grade.alias("grade"))
+    found = quality.grade_documents(_table(spark, sf_dir, "documents"), ratings, n_grades=3)
+    return found.select("doc_id", "expected_grade", "tail_probability", F.expr("1 - at_least[0]").alias("toxic_probability"), "kept")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=20)
 
@@ -73,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lookup_sketch_fingerprints": op6_lookup_sketch_fingerprints,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pattern_packing": op8_pattern_packing,
+    "op9_ordinal_quality": op9_ordinal_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
