@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .words import ALNUM, LOWER, Words, mix, span_hashes, words_of
 
 BITS = 22
+_UPDATES = 120_000_000
 _WORD = ALNUM.copy()
 _WORD[0x41:0x5B] = True
 _MARK = np.zeros(256, bool)
@@ -94,8 +95,12 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.thresholds)
 
 
-def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 25, rate: float = 0.1, decay: float = 1e-5, batch: int = 64, seed: int = 3) -> OrdinalModel:
-    """Likelihood by AdaGrad on mini-batches; grades count alike however often they come."""
+def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int | None = None, rate: float = 0.1, decay: float = 1e-5, batch: int = 64, seed: int = 3) -> OrdinalModel:
+    """Likelihood by AdaGrad on mini-batches; grades count alike however often they come.
+
+    Few ratings take many passes and many take few: ``_UPDATES`` feature updates in all, in 25 to 300 passes.
+    """
+    epochs = epochs or int(np.clip(_UPDATES // max(1, sum(map(len, features))), 25, 300))
     rng = np.random.default_rng(seed)
     share = np.bincount(grades, minlength=n_grades)
     weight = (len(grades) / np.maximum(share, 1) / max(1, (share > 0).sum())) ** 0.75
