@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
 def star_clusters(edges: DataFrame, weights: DataFrame) -> DataFrame:
     """(node, lead): leads are nodes heavier than all free neighbours; the others join their heaviest lead.
 
-    ``weights`` is (node, weight), ties to the lesser node. Every member is linked with its lead.
+    ``weights`` is (node, weight), ties to the lesser node. Every member is linked with its
+    lead; nodes whose neighbours all joined others lead themselves alone.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct()
     w = weights.select(F.col("node").alias("b"), F.struct(F.col("weight"), (-F.col("node")).alias("n")).alias("wb"))
@@ -51,4 +52,5 @@ def star_clusters(edges: DataFrame, weights: DataFrame) -> DataFrame:
         taken = done.select("node")
         rest = free.join(taken.withColumnRenamed("node", "a"), "a", "left_anti").join(taken.withColumnRenamed("node", "b"), "b", "left_anti")
         free = written(rest.select(both.columns), "free")
-    return done
+    alone = both.select(F.col("a").alias("node")).distinct().join(done.select("node"), "node", "left_anti")
+    return done.union(alone.select("node", F.col("node").alias("lead")))

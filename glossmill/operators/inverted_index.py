@@ -67,12 +67,12 @@ def retrieve(index: DataFrame, query: str, fuzzy: bool = False) -> DataFrame:
 
 
 def search(docs: DataFrame, index: DataFrame, query: str, fuzzy: bool = False, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that satisfy the query, with ``weight``.
+    """The documents that satisfy the query, with ``weight`` (in place of a column of that name).
 
     Candidates come from the postings; without words in the query, or with NOT, all documents are
     candidates. ``where`` filters before the texts are read; the boolean predicate decides.
     """
-    rows = docs if where is None else docs.filter(where)
+    rows = (docs if where is None else docs.filter(where)).drop("weight")
     if not query_terms(query) or has_negation(query):
         found = rows.withColumn("weight", F.lit(0).cast("long"))
     else:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def split_fields(line: Column) -> Column:
     """The fields of a line: parted by ``:``, where ``!`` keeps the next character as it is."""
-    found = F.regexp_extract_all(line, F.lit("((?:[^:!]|!.)*)(?::|$)"), 1)
-    found = F.when(line.endswith(":") & ~line.endswith("!:"), F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+    closed = F.when(line.rlike("^(?:[^!]|!.)*:$"), line).otherwise(F.concat(line, F.lit(":")))
+    found = F.regexp_extract_all(closed, F.lit("((?:[^:!]|!.)*):"), 1)
     return F.transform(found, lambda f: F.regexp_replace(f, "!(.)", "$1"))
 
 

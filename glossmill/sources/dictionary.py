@@ -17,17 +17,21 @@ def data_lines(lines: DataFrame) -> DataFrame:
     """(synset, pos, words, pointers, gloss) of synset lines (value): ``offset lex type count word id ...
     pointers ... | gloss``, numbers of words in hexadecimal. Licence lines (leading blanks) are left out."""
     rows = lines.filter(~F.col("value").startswith(" ")).select(F.split(F.split_part("value", F.lit(" | "), F.lit(1)), " +").alias("f"), F.trim(F.split_part("value", F.lit(" | "), F.lit(2))).alias("gloss"))
-    n = F.conv(F.element_at("f", 4), 16, 10).cast("int")
-    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.regexp_replace(F.element_at("f", 5 + 2 * i), r"\(.*\)$", ""))
-    m = F.element_at("f", 5 + 2 * n).cast("int")
+
+    def field(k):
+        return F.get("f", F.lit(k) - 1)
+
+    n = F.conv(field(4), 16, 10).cast("int")
+    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.regexp_replace(field(5 + 2 * i), r"\(.*\)$", ""))
+    m = field(5 + 2 * n).cast("int")
 
     def pointer(i):
         at = 6 + 2 * n + 4 * i
-        return F.struct(F.element_at("f", at).alias("symbol"), F.concat(F.element_at("f", at + 2), F.element_at("f", at + 1)).alias("target"))
+        return F.struct(field(at).alias("symbol"), F.concat(field(at + 2), field(at + 1)).alias("target"))
 
     pointers = F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), pointer)).otherwise(F.array().cast("array<struct<symbol:string,target:string>>"))
-    pos = F.when(F.element_at("f", 3) == "s", "a").otherwise(F.element_at("f", 3))
-    return rows.select(F.concat(pos, F.element_at("f", 1)).alias("synset"), pos.alias("pos"), words.alias("words"), pointers.alias("pointers"), "gloss")
+    pos = F.when(field(3) == "s", "a").otherwise(field(3))
+    return rows.select(F.concat(pos, field(1)).alias("synset"), pos.alias("pos"), words.alias("words"), pointers.alias("pointers"), "gloss")
 
 
 def dictionary_tables(data: DataFrame, counts: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -31,7 +31,7 @@ def visible_text(html: Column) -> Column:
 def file_texts(files: DataFrame) -> DataFrame:
     """(path, digest, description, text): text files as they are, pages without mark-up, programs'
     documentation; of all others the words of the path."""
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     path = F.lower("path")
     own = F.when(path.rlike(r"\.html?$"), visible_text(text)).when(path.rlike(r"\.(pl|pm|pod)$"), documentation_text(text)).when(path.rlike(r"\.(txt|text|md|csv)$"), text).otherwise(path_words(F.col("path")))
     return files.select("path", content_digest(F.col("content")).alias("digest"), path_words(F.col("path")).alias("description"), own.alias("text"))
