@@ -1,14 +1,16 @@
-"""Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions alone.
+"""Document fingerprints as invertible Bloom lookup sketches.
 
 A fingerprint is a small table of cells in three parts. Each distinct paragraph (line or
 sentence) is a 64-bit digest that goes to one cell of each part; a cell has the number of its
-digests and the exclusive-or of the digests and of their check sums. Two fingerprints subtract
-cell by cell, so that common paragraphs vanish. Peeling recovers the others: a cell that holds
-one digest, by its check sum, gives it away, and the digest is taken out of its other cells;
-parts take turns, so that no digest is taken twice. If cells are left in the end, the
-difference was too large; the digests then go to groups of sketches, as many as the difference
-may need, and a group that fails is tried again with cells twice, four and eight times as many.
-Only a group that fails them all is compared digest by digest.
+digests and the sums of the digests and of their check sums. Two fingerprints subtract cell by
+cell, so that common paragraphs vanish. Peeling recovers the others: a cell that holds one
+digest, by its check sum, gives it away, and the digest is taken out of its other cells; parts
+take turns, so that no digest is taken twice. If cells are left in the end, the difference was
+too large, and both texts' digests go to larger sketches, until all is recovered.
+
+Texts, neighbours and digests are DataFrame functions; sketches of many rows are then made and
+peeled together in Arrow batches. ``sketch``, ``subtract`` and ``peel`` are the same by
+DataFrame functions alone: right, but too slow for whole collections (see the README).
 
 Neighbours are found without a global sort: a first, light pass sums bytes over even ranges of
 ids, the ranges make up buckets, and a bucket's first row is sent to the bucket before it too.
@@ -20,16 +22,23 @@ their text's hash; the only row is its own neighbour. Other columns are not read
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import binascii
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .words import mix
+
 PARTS = 3
 #: Where a paragraph ends.
 PARAGRAPH = r"\n+|(?<=[.!?]) "
 _ROUNDS = 8
-_GROUP = 16
+#: Digests that are worked on together in a task, beyond which only the longest text goes.
+_DIGESTS = 300_000
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -105,35 +114,110 @@ def peel(cells: Column, width: int, seed: int = 0) -> Column:
     return _let(end, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)), s["found"]))
 
 
-def _in_groups(one: Column, other: Column, width: int) -> Column:
-    """How many digests differ, from sketches of groups of digests."""
-    groups = F.ceil((F.size(one) + F.size(other)) / F.lit(float(_GROUP))).cast("int")
-
-    def group(n: Column, g: Column) -> Column:
-        def mine(keys: Column) -> Column:
-            return F.filter(keys, lambda k: F.pmod(k, n.cast("long")) == g.cast("long"))
-
-        def tried(pair: Column) -> Column:
-            tries = [F.size(peel(subtract(sketch(pair["a"], width << t, t + 1), sketch(pair["b"], width << t, t + 1)), width << t, t + 1)) for t in range(4)]
-            exact = F.size(F.array_except(pair["a"], pair["b"])) + F.size(F.array_except(pair["b"], pair["a"]))
-            return F.coalesce(*(F.when(x >= 0, x) for x in tries), exact)
-
-        return _let(F.struct(mine(one).alias("a"), mine(other).alias("b")), tried)
-
-    return _let(F.greatest(groups, F.lit(1)), lambda n: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda total, g: total + group(n, g)))
-
-
-def likeness(one: Column, other: Column, cells_one: Column, cells_other: Column, width: int) -> Column:
-    """Shared paragraphs over all paragraphs of two texts, from the difference of their sketches."""
-    peeled = F.size(peel(subtract(cells_one, cells_other), width))
-    differ = F.coalesce(F.when(peeled >= 0, peeled), _in_groups(one, other, width))
-    total = (F.size(one) + F.size(other)).cast("double")
-    return _let(differ, lambda d: F.when(total == 0, F.lit(1.0)).otherwise((total - d) / (total + d)))
-
-
-def encoded(cells: Column) -> Column:
-    """A sketch as text: number, digests and checks of each cell."""
-    return F.array_join(F.transform(cells, lambda c: F.concat_ws(".", F.lower(F.hex(c["n"].cast("long"))), F.lower(F.hex(c["k"])), F.lower(F.hex(F.shiftrightunsigned(c["h"], 32))))), "-")
+def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
+    return mix(keys ^ np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+
+@dataclass
+class Sketches:
+    """The sketches of many rows in a row: row r has PARTS times width[r] cells from base[r]."""
+
+    width: np.ndarray
+    seed: int
+    base: np.ndarray
+    n: np.ndarray
+    k: np.ndarray
+    h: np.ndarray
+
+    @classmethod
+    def of(cls, owner: np.ndarray, keys: np.ndarray, width: np.ndarray, seed: int) -> Sketches:
+        base = np.cumsum(np.append(0, PARTS * width))
+        out = cls(width, seed, base, *(np.zeros(base[-1], t) for t in (np.int64, np.uint64, np.uint64)))
+        out.put(owner, keys, np.ones(len(keys), np.int64))
+        return out
+
+    def put(self, owner: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
+        """Add digests to their cells so many times; sums wrap."""
+        check, turn = _hash(keys, 97), times.view(np.uint64)
+        for j in range(PARTS):
+            at = self.base[owner] + j * self.width[owner] + (_hash(keys, self.seed + j) % self.width[owner].astype(np.uint64)).astype(np.int64)
+            np.add.at(self.n, at, times)
+            np.add.at(self.k, at, keys * turn)
+            np.add.at(self.h, at, check * turn)
+
+    def less(self, other: Sketches) -> Sketches:
+        """These sketches less those of the same widths, cell by cell."""
+        return Sketches(self.width, self.seed, self.base, self.n - other.n, self.k - other.k, self.h - other.h)
+
+    def peeled(self) -> np.ndarray:
+        """How many digests each row's difference gives away; -1 for rows where cells are left."""
+        rows = len(self.width)
+        found = np.zeros(rows, np.int64)
+        cell_row = np.repeat(np.arange(rows), PARTS * self.width)
+        part = (np.arange(self.base[-1]) - self.base[cell_row]) // self.width[cell_row]
+        members = [np.flatnonzero(part == j) for j in range(PARTS)]
+        idle, turn = 0, 0
+        while idle < PARTS:
+            mine = members[turn % PARTS]
+            one = mine[np.abs(self.n[mine]) == 1]
+            side = self.n[one]
+            keys = self.k[one] * side.view(np.uint64)
+            pure = self.h[one] == _hash(keys, 97) * side.view(np.uint64)
+            one, side, keys = one[pure], side[pure], keys[pure]
+            self.put(cell_row[one], keys, -side)
+            found += np.bincount(cell_row[one], minlength=rows)
+            idle, turn = (0 if len(one) else idle + 1), turn + 1
+        left = np.bincount(cell_row, (self.n != 0) | (self.k != 0) | (self.h != 0), rows)
+        return np.where(left > 0, -1, found)
+
+
+def _picked(owner: np.ndarray, keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of some rows, which are numbered anew."""
+    number = np.full(n, -1)
+    number[rows] = np.arange(len(rows))
+    keep = number[owner] >= 0
+    return number[owner][keep], keys[keep]
+
+
+def differences(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], first: np.ndarray) -> np.ndarray:
+    """How many digests differ in each row of two (owner, digests): ``first`` is what their
+    fingerprints gave; rows that failed (-1) are tried again with sketches that hold all their
+    digests, then twice as large, with other places, until none is left."""
+    out, n, seed, room = first.copy(), len(first), 0, 1
+    size = np.bincount(one[0], minlength=n) + np.bincount(other[0], minlength=n)
+    while len(rows := np.flatnonzero(out < 0)):
+        seed += PARTS
+        width = (size[rows] // 2 + 8) * room
+        a, b = (Sketches.of(*_picked(*x, rows, n), width, seed) for x in (one, other))
+        out[rows] = a.less(b).peeled()
+        room *= 2
+    return out
+
+
+def _compared(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """Fingerprints and likenesses of some rows with digests a, e and b."""
+    n = batch.num_rows
+    widths = np.full(n, width)
+    sets, cells = {}, {}
+    for c in "aeb":
+        lists = batch.column(c)
+        owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        keys = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+        sets[c], cells[c] = (owner, keys), Sketches.of(owner, keys, widths, 0)
+
+    def text(c: str) -> pa.Array:
+        x = cells[c]
+        packed = np.rec.fromarrays([x.n.astype("<i4"), x.k.astype("<u8"), (x.h >> np.uint64(32)).astype("<u4")]).tobytes()
+        step = len(packed) // max(n, 1)
+        return pa.array([binascii.b2a_base64(packed[i * step : (i + 1) * step], newline=False).decode() for i in range(n)], pa.string())
+
+    def near(c: str) -> pa.Array:
+        total = (np.bincount(sets["a"][0], minlength=n) + np.bincount(sets[c][0], minlength=n)).astype(float)
+        differ = differences(sets["a"], sets[c], cells["a"].less(cells[c]).peeled())
+        return pa.array(np.where(total == 0, 1.0, (total - differ) / np.maximum(total + differ, 1)))
+
+    names = ["doc_id", "n_chars", "edited_sha256"]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), text("a"), text("e"), near("e"), near("b")], [*names, "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
 def with_next(docs: DataFrame, bucket_bytes: int = 8 << 20, ranges: int = 1 << 14) -> DataFrame:
@@ -176,6 +260,16 @@ def fingerprint_edits(docs: DataFrame, width: int = 8, id_col: str = "doc_id", t
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.substring(F.col("next_text"), F.lit(1), third))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(digests(F.col(c)).alias(k) for c, k in (("text", "a"), ("edited", "e"), ("next_text", "b"))))
-    rows = rows.select("*", *(sketch(F.col(k), width).alias(f"{k}_cells") for k in "aeb"))
-    near = [likeness(F.col("a"), F.col(k), F.col("a_cells"), F.col(f"{k}_cells"), width).alias(name) for k, name in (("e", "near_edited"), ("b", "near_next"))]
-    return rows.select("doc_id", "n_chars", "edited_sha256", encoded(F.col("a_cells")).alias("fingerprint"), encoded(F.col("e_cells")).alias("edited_fingerprint"), *near)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = sum(np.diff(batch.column(c).offsets.to_numpy()) for c in "aeb")
+            ends = np.cumsum(size)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _DIGESTS, "right")))
+                yield _compared(pa.RecordBatch.from_arrays([c.slice(at, to - at) for c in batch.columns], batch.schema.names), width)
+                at = to
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
