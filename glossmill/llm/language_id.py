@@ -1,13 +1,15 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Characters are lower-cased; each run of characters that are no letters is one blank. The
-4-grams of all training texts are counted in Spark by language. Lower orders follow from the
-4-gram types alone (Kneser-Ney counts in how many contexts a shorter gram is seen), so the rest
-of the fit is arithmetic on those types. Their number is bounded: types meet in ``slots`` hash
-slots by language, where those that collide are counted as the most frequent of them.
+4-grams of all training texts are counted in Spark by language, exactly. Lower orders follow from
+the 4-gram types (Kneser-Ney counts in how many contexts a shorter gram is seen) by groupings of
+their own. What is known of a gram and language are the nodes: its count, and as a context the sum
+and number of what follows. Only names, discounts and the number of letters reach the driver.
+
+Texts are dealt to blocks of bounded size by a hash. Each block's distinct grams are joined with
+the nodes, and the block is scored against its own part of the model, so no machine needs to hold
+the whole. Grams that no language has seen fall back to the next order.
 
-A model is, for each order, a sorted array of gram hashes beside the log probability in every
-language, already interpolated; grams that no language has seen fall back to the next order.
 The lowest cross-entropy by character decides. It is rejected if it exceeds what training texts
 of that language and length (in powers of two) reach: their ``quantile``, times ``slack``.
 
@@ -21,19 +23,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stored
-from .words import mix
 
 ORDER = 4
 _CHUNK = 1 << 20
 _FLUSH = 1 << 22
+#: Characters of a block of texts; fewer where that makes less than so many blocks.
+_BLOCK, _SMALL, _LEAST_BLOCKS = 1 << 24, 1 << 18, 63
+_VALUES = ("n", "total", "types")
 _LETTERS: list[np.ndarray] = []
 
 
@@ -79,8 +84,8 @@ def _grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         i += len(part)
 
 
-def count_grams(docs: DataFrame, slots: int = 1 << 20) -> DataFrame:
-    """(lang, gram, n) over all of (lang, text): at most ``slots`` rows for a language."""
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n) over all of (lang, text), exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -103,103 +108,111 @@ def count_grams(docs: DataFrame, slots: int = 1 << 20) -> DataFrame:
                     size = 0
         yield from flush()
 
-    counted = docs.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    slotted = counted.groupBy("lang", F.pmod(F.xxhash64("gram"), F.lit(slots)).alias("slot"))
-    return slotted.agg(F.sum("n").alias("n"), F.max(F.struct("n", "gram")).alias("top")).select("lang", F.col("top.gram").alias("gram"), "n")
+    return docs.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _hashes(grams: np.ndarray, order: int) -> np.ndarray:
-    return mix(grams + np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)))
+def _suffix(grams: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` characters of each gram."""
+    return grams & np.uint64((1 << 16 * order) - 1)
 
 
-def _sorted_hashes(grams: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    h = _hashes(grams, order)
-    by = np.argsort(h)
-    return h[by], by
+def _discount(once, twice):
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
 
 
 @dataclass
-class _Table:
-    """Values by gram: sorted hashes, the rows beside them, and where each hash prefix begins."""
-
-    order: int
-    hashes: np.ndarray
-    values: np.ndarray
-    begins: np.ndarray
-    shift: int
+class Fit:
+    """What all parts of a model share: its languages, discounts by (order, language) and number of letters; and the nodes."""
 
-    @classmethod
-    def of(cls, grams: np.ndarray, values: np.ndarray, order: int) -> _Table:
-        hashes, by = _sorted_hashes(grams, order)
-        bits = max(1, int(len(grams)).bit_length())
-        begins = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
-        return cls(order, np.append(hashes, np.uint64(0)), np.vstack([values[by], np.zeros((1, values.shape[1]), values.dtype)]), begins, 64 - bits)
-
-    def find(self, grams: np.ndarray) -> np.ndarray:
-        """The row of each gram, or -1."""
-        h = _hashes(grams, self.order)
-        at = self.begins[h >> np.uint64(self.shift)].astype(np.int64)
-        last = len(self.hashes) - 1
-        todo = np.flatnonzero(self.hashes[at] != h)
-        while len(todo):
-            at[todo] += 1
-            over = (at[todo] >= last) | (self.hashes[np.minimum(at[todo], last)] > h[todo])
-            at[todo[over]] = -1
-            todo = todo[~over]
-            todo = todo[self.hashes[at[todo]] != h[todo]]
-        at[at == last] = -1
-        return at
+    names: list[str]
+    discounts: np.ndarray
+    letters: int
+    nodes: DataFrame | None = None
 
 
 class LanguageModels:
-    """Models of all languages, fitted to their 4-gram counts."""
+    """Models of all languages over some grams: fitted to 4-gram counts here, or a part of a ``Fit``."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.names = sorted(counts)
-        self.probabilities: dict[int, _Table] = {}
-        self.backoffs: dict[int, _Table] = {}
-        tables = {ORDER: [counts[x] for x in self.names]}
-        for order in range(ORDER - 1, 0, -1):
-            mask = np.uint64((1 << 16 * order) - 1)
-            tables[order] = [np.unique(g & mask, return_counts=True) for g, _ in tables[order + 1]]
-        grams = {order: np.unique(np.concatenate([g for g, _ in tables[order]])) for order in tables}
-        lower = np.full((1, len(self.names)), 1.0 / (len(grams[1]) + 1))
-        below = np.zeros(len(grams[1]), np.int64)
-        for order in range(1, ORDER + 1):
-            union = grams[order]
-            contexts = np.unique(union >> np.uint64(16))
-            seen = np.zeros((len(union), len(self.names)))
-            weight = np.ones((len(contexts), len(self.names)))
-            for j, (g, n) in enumerate(tables[order]):
-                once, twice = (n == 1).sum(), (n == 2).sum()
-                discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-                at = np.searchsorted(contexts, g >> np.uint64(16))
-                total = np.bincount(at, n, len(contexts))
-                types = np.bincount(at, minlength=len(contexts))
-                weight[total > 0, j] = discount * types[total > 0] / total[total > 0]
-                seen[np.searchsorted(union, g), j] = (n - discount) / total[at]
-            if order > 1:
-                below = np.searchsorted(grams[order - 1], union & np.uint64((1 << 16 * (order - 1)) - 1))
-            lower = seen + weight[np.searchsorted(contexts, union >> np.uint64(16))] * lower[below]
-            self.probabilities[order] = _Table.of(union, np.log(lower).astype(np.float32), order)
-            self.backoffs[order] = _Table.of(contexts, np.log(weight).astype(np.float32), order)
-        self.unknown = float(np.log(1.0 / (len(grams[1]) + 1)))
-
-    def log_probabilities(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """For each gram and language, the log probability of its last character after the others."""
-        if not order:
-            return np.full((len(grams), len(self.names)), self.unknown, np.float32)
-        table = self.probabilities[order]
-        at = table.find(grams)
-        out = table.values[at]
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            short = grams[missing]
-            context = self.backoffs[order].find(short >> np.uint64(16))
-            weight = np.where((context >= 0)[:, None], self.backoffs[order].values[context], 0)
-            out[missing] = weight + self.log_probabilities(short & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
+        names = sorted(counts)
+        discounts, rows, letters = np.full((ORDER + 1, len(names)), 0.5), [], set()
+        for j, name in enumerate(names):
+            grams, n = counts[name]
+            for order in range(ORDER, 0, -1):
+                discounts[order, j] = _discount((n == 1).sum(), (n == 2).sum())
+                rows.append((np.full(len(grams), order), grams, np.full(len(grams), j), n, 0 * n, 0 * n))
+                contexts, at = np.unique(grams >> np.uint64(16), return_inverse=True)
+                total, types = np.bincount(at, n), np.bincount(at)
+                rows.append((np.full(len(contexts), order - 1), contexts, np.full(len(contexts), j), 0 * total, total, types))
+                if order == 1:
+                    letters.update(grams.tolist())
+                grams, n = np.unique(_suffix(grams, order - 1), return_counts=True)
+        order, gram, lang, *values = (np.concatenate(x) for x in zip(*rows, strict=True))
+        self._take(Fit(names, discounts, len(letters)), order, gram, *((np.arange(len(gram)), lang, v) for v in values))
+
+    @classmethod
+    def of(cls, fit: Fit, nodes: pa.Table) -> LanguageModels:
+        """The part of a fit that some of its nodes make."""
+        made, several = cls.__new__(cls), len(fit.names)
+        values = []
+        for name in _VALUES:
+            column = nodes.column(name).combine_chunks()
+            packed = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+            values.append((pc.list_parent_indices(column).to_numpy(zero_copy_only=False), packed % several, packed // several))
+        made._take(fit, nodes.column("order").to_numpy(), nodes.column("gram").to_numpy().view(np.uint64), *values)
+        return made
+
+    def _take(self, fit: Fit, order: np.ndarray, gram: np.ndarray, *values: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Nodes and, for each kind of value, (row of the node, language, value)."""
+        self.names, self.discounts, self.letters = fit.names, fit.discounts, fit.letters
+        self.grams: list[np.ndarray] = []
+        place = np.zeros(len(gram), np.int64)
+        for k in range(ORDER + 1):
+            grams, place[order == k] = np.unique(gram[order == k], return_inverse=True)
+            self.grams.append(grams)
+        self.values = []
+        for row, lang, value in values:
+            row, lang, value = row[value > 0], lang[value > 0], value[value > 0]
+            group = order[row].astype(np.int64) * len(self.names) + lang
+            by = np.argsort(group, kind="stable")
+            begins = np.searchsorted(group[by], np.arange((ORDER + 1) * len(self.names) + 1))
+            self.values.append((begins, place[row[by]], value[by].astype(np.float64)))
+
+    def _find(self, order: int, grams: np.ndarray) -> np.ndarray:
+        """The place of each gram, one beyond the last if it has no node."""
+        known = self.grams[order]
+        at = np.searchsorted(known, grams)
+        if not len(known):
+            return at
+        return np.where(known[np.minimum(at, len(known) - 1)] == grams, at, len(known))
+
+    def _dense(self, order: int, lang: int, value: int) -> np.ndarray:
+        out = np.zeros(len(self.grams[order]) + 1)
+        begins, place, values = self.values[value]
+        rows = slice(*begins[order * len(self.names) + lang :][:2])
+        out[place[rows]] = values[rows]
         return out
 
+    def _by_language(self, grams: np.ndarray) -> Iterator[np.ndarray]:
+        """For each language, the log probability of each gram's last character after the others."""
+        now, inverse = np.unique(grams, return_inverse=True)
+        orders = []
+        for k in range(ORDER, 0, -1):
+            shorter, below = np.unique(_suffix(now, k - 1), return_inverse=True)
+            orders.insert(0, (k, self._find(k, now), self._find(k - 1, now >> np.uint64(16)), below))
+            now = shorter
+        for j in range(len(self.names)):
+            p = np.full(len(now), 1.0 / (self.letters + 1))
+            for k, at, context, below in orders:
+                n, total, types = self._dense(k, j, 0)[at], self._dense(k - 1, j, 1)[context], self._dense(k - 1, j, 2)[context]
+                d, some = self.discounts[k, j], np.maximum(total, 1)
+                p = np.where(n > 0, (n - d) / some, 0) + np.where(total > 0, d * types / some, 1) * p[below]
+            yield np.log(p)[inverse]
+
+    def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
+        """For each gram and language, the log probability of its last character after the others."""
+        return np.column_stack(list(self._by_language(grams)))
+
     def judge(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """Of each text: number of the best language (-1: und), its cross-entropy, score, characters."""
         best, entropy, score, size = [], [], [], []
@@ -207,7 +220,8 @@ class LanguageModels:
             n = np.diff(bounds)
             total = np.zeros((len(n), len(self.names)))
             if len(grams):
-                total[n > 0] = np.add.reduceat(self.log_probabilities(grams), bounds[:-1][n > 0], axis=0, dtype=np.float64)
+                for j, found in enumerate(self._by_language(grams)):
+                    total[n > 0, j] = np.add.reduceat(found, bounds[:-1][n > 0])
             top = total.argmax(axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 entropy.append(np.where(n > 0, -total.max(axis=1) / n, np.inf))
@@ -219,37 +233,103 @@ class LanguageModels:
         return tuple(np.concatenate(x) for x in (best, entropy, score, size))
 
 
-def fit_languages(docs: DataFrame, slots: int = 1 << 20, max_languages: int = 256) -> LanguageModels | None:
-    """Models from all rows of (lang, text) whose lang is not null; None without any."""
-    rows = count_grams(docs.filter("lang is not null").select("lang", "text"), slots)
-    table = rows.toPandas()  # at most slots rows a language
-    counts = {}
-    for name, part in table.groupby("lang"):
-        part = part.groupby("gram", as_index=False)["n"].sum().sort_values("gram")
-        counts[name] = part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy()
-        order = np.argsort(counts[name][0])
-        counts[name] = counts[name][0][order], counts[name][1][order]
-    if len(counts) > max_languages:
-        raise ValueError(f"{len(counts)} languages to learn; at most {max_languages}")
-    return LanguageModels(counts) if counts else None
+def fit_languages(docs: DataFrame, max_languages: int = 256) -> Fit | None:
+    """The fit to all rows of (lang, text) whose lang is not null; None without any gram.
+
+    Its nodes are (order, gram, n, total, types). The last three are lists with an entry for each
+    language that has a value: it times the number of languages, plus the language's number.
+    """
+    counts = stored(count_grams(docs.filter("lang is not null").select("lang", "text")), "grams")
+    names = sorted(r.lang for r in counts.select("lang").distinct().limit(max_languages + 1).collect())
+    if not names:
+        return None
+    if len(names) > max_languages:
+        raise ValueError(f"over {max_languages} languages to learn")
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(names)), "number int, lang string")
+    table = counts.join(F.broadcast(numbers), "lang").select(F.col("number").alias("lang"), "gram", "n")  # max_languages rows
+    parts, none = [], F.lit(0).cast("long")
+    for order in range(ORDER, 0, -1):
+        parts.append(table.select(F.lit(order).alias("order"), "gram", "lang", "n", none.alias("total"), none.alias("types")))
+        followed = table.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("gram")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
+        parts.append(followed.select(F.lit(order - 1).alias("order"), "gram", "lang", none.alias("n"), "total", "types"))
+        table = table.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1).cast("long")).alias("gram")).agg(F.count("*").alias("n"))
+    several = F.lit(len(names)).cast("long")
+    packed = (F.collect_list(F.when(F.col(c) > 0, F.col(c) * several + F.col("lang"))).alias(c) for c in _VALUES)
+    nodes = reduce(DataFrame.unionAll, parts).groupBy("order", "gram").agg(*packed)
+    nodes = stored(nodes.select("order", "gram", *(F.when(F.size(c) > 0, F.col(c)).alias(c) for c in _VALUES)), "nodes")
+    grams = nodes.select("order", "gram", F.explode("n").alias("x")).select("order", "gram", (F.col("x") % several).cast("int").alias("lang"), F.expr(f"x div {len(names)}").alias("n"))
+    discounts = np.full((ORDER + 1, len(names)), 0.5)
+    for r in grams.groupBy("order", "lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect():
+        discounts[r.order, r.lang] = _discount(r.once, r.twice)
+    return Fit(names, discounts, grams.filter("order = 1").select("gram").distinct().count(), nodes)
+
+
+def _dealt(texts: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame:
+    """(_block, _rows): the rows of ``texts`` dealt to blocks, many in one compressed value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            of = batch.column(batch.num_columns - 1).to_numpy()
+            batch = batch.take(pa.array(np.argsort(of, kind="stable")))
+            found, n = np.unique(of, return_counts=True)
+            packed = []
+            for begin, size in zip(np.cumsum(n) - n, n, strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    out.write_batch(batch.slice(begin, size))
+                packed.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], ["_block", "_rows"])
+
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int")
+    return texts.withColumn("_block", block).mapInArrow(run, "_block int, _rows binary").repartition(blocks, "_block")
+
 
+def _unpacked(packed: pa.Array | pa.ChunkedArray) -> Iterator[pa.Table]:
+    for value in packed:
+        yield pa.ipc.open_stream(value.as_buffer()).read_all()
 
-def _judged(texts: DataFrame, models: Broadcast) -> DataFrame:
-    """lang_pred, entropy, score and size beside the columns of ``texts`` less its text."""
-    keep = [c for c in texts.columns if c != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keep).schema)
+
+def _wanted(dealt: DataFrame, text_col: str) -> DataFrame:
+    """(_block, order, gram): the distinct grams of each block and what scoring asks of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
         for batch in batches:
-            m = models.value
-            if m is None:
-                best, entropy, score, size = np.full(batch.num_rows, -1), np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            else:
-                best, entropy, score, size = m.judge(batch.column("text").to_pylist())
-            names = ["und" if b < 0 else m.names[b] for b in best]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(entropy), pa.array(score), pa.array(size)], [*keep, "lang_pred", "entropy", "score", "size"])
+            for block, rows in zip(batch.column("_block").to_pylist(), _unpacked(batch.column("_rows")), strict=True):
+                for _, grams, _, _ in _grams(rows.column(text_col).to_pylist()):
+                    held.setdefault(block, []).append(np.unique(grams))
+                    size += len(held[block][-1])
+                if size > _FLUSH:
+                    held = {b: [np.unique(np.concatenate(parts))] for b, parts in held.items()}
+                    size = 0
+        for block, parts in held.items():
+            grams = np.unique(np.concatenate(parts))
+            for order in range(ORDER, -1, -1):
+                n = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(np.full(n, order, np.int32)), pa.array(grams.view(np.int64))], ["_block", "order", "gram"])
+                if order:
+                    grams = np.unique(np.concatenate([_suffix(grams, order - 1), grams >> np.uint64(16)]))
+
+    return dealt.mapInArrow(run, "_block int, order int, gram long")
+
+
+def _judged(texts: DataFrame, fit: Fit, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """_pred, _entropy, _score and _size beside the columns ``keep`` of ``texts``."""
+    size = texts.agg(F.sum(F.length(text_col))).first()[0] or 0
+    dealt = _dealt(texts, 1 + max(min(_LEAST_BLOCKS, size // _SMALL), size // _BLOCK), id_col, text_col)
+    known = _wanted(dealt, text_col).join(fit.nodes, ["order", "gram"]).select("_block", "order", "gram", *_VALUES)
+    fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
+    shared = Fit(fit.names, fit.discounts, fit.letters)
+
+    def run(packed: pa.Table, nodes: pa.Table) -> pa.Table:
+        rows = pa.concat_tables(_unpacked(packed.column("_rows")))
+        best, entropy, score, size = LanguageModels.of(shared, nodes).judge(rows.column(text_col).to_pylist())
+        names = [shared.names[b] if b >= 0 else "und" for b in best]
+        return pa.Table.from_arrays([*(rows.column(c) for c in keep), pa.array(names, pa.string()), pa.array(entropy), pa.array(score), pa.array(size)], [*keep, "_pred", "_entropy", "_score", "_size"])
 
-    return texts.mapInArrow(run, f"{fields}, lang_pred string, entropy double, score double, size long")
+    return dealt.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(run, f"{fields}, _pred string, _entropy double, _score double, _size long")
 
 
 def _bin(size):
@@ -257,47 +337,37 @@ def _bin(size):
 
 
 def _limits(judged: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """(lang_pred, bin, limit) from training rows; a length without enough of them has none."""
-    rows = judged.filter("not held_out and lang_pred = lang").groupBy("lang_pred", _bin("size").alias("bin"))
-    return rows.agg((F.percentile_approx("entropy", quantile, 10_000) * slack).alias("limit"))
-
-
-def _prepared(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return texts.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1)
+    """(_pred, _bin, _limit) from training rows; a length without enough of them has none."""
+    rows = judged.filter("not _held_out and _pred = _lang").groupBy("_pred", _bin("_size").alias("_bin"))
+    return rows.agg((F.percentile_approx("_entropy", quantile, 10_000) * slack).alias("_limit"))
+
+
+def _decided(docs: DataFrame, quantile: float, slack: float, id_col: str, text_col: str, lang_col: str, keep: list[str]) -> DataFrame | None:
+    """The columns ``keep``, _held_out, _pred, _entropy, _score and _rejected; None if nothing can be learned."""
+    held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
+    texts = docs.withColumns({"_held_out": held_out, "_lang": F.col(lang_col)})
+    fit = fit_languages(texts.filter("not _held_out").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
+    if fit is None:
+        return None
+    judged = stored(_judged(texts, fit, id_col, text_col, [*keep, "_held_out", "_lang"]), "judged")
+    limits = _limits(judged, quantile, slack)
+    found = judged.withColumn("_bin", _bin("_size")).join(F.broadcast(limits), ["_pred", "_bin"], "left")  # languages times 64 bins at most
+    return found.withColumn("_rejected", (F.col("_pred") == "und") | F.coalesce(F.col("_entropy") > F.col("_limit"), F.lit(False)))
 
 
-def identify_languages(docs: DataFrame, quantile: float = 0.9995, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slots: int = 1 << 20) -> DataFrame:
+def identify_languages(docs: DataFrame, quantile: float = 0.9995, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, rejected, entropy.
 
     Rows whose crc32(doc_id as text) mod 3 is 1 are held out: nothing is learned from them.
     """
-    texts = _prepared(docs, id_col, text_col, lang_col)
-    models = docs.sparkSession.sparkContext.broadcast(fit_languages(texts.filter("not held_out"), slots))
-    judged = stored(_judged(texts, models), "judged")
-    limits = _limits(judged, quantile, slack)
-    found = judged.withColumn("bin", _bin("size")).join(F.broadcast(limits), ["lang_pred", "bin"], "left")  # languages times 64 bins at most
-    rejected = (F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > F.col("limit"), F.lit(False))
-    return found.select("doc_id", "held_out", "lang_pred", "score", rejected.alias("rejected"), "entropy")
+    found = _decided(docs.select(id_col, text_col, lang_col), quantile, slack, id_col, text_col, lang_col, [id_col])
+    if found is None:
+        held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
+        return docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(float("inf")).alias("entropy"))
+    return found.select(F.col(id_col).alias("doc_id"), *(F.col(f"_{c}").alias(a) for c, a in (("held_out", "held_out"), ("pred", "lang_pred"), ("score", "score"), ("rejected", "rejected"), ("entropy", "entropy"))))
 
 
-def keep_identified(docs: DataFrame, quantile: float = 0.9995, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slots: int = 1 << 20) -> DataFrame:
+def keep_identified(docs: DataFrame, quantile: float = 0.9995, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, unchanged."""
-    texts = _prepared(docs, id_col, text_col, lang_col)
-    spark = docs.sparkSession
-    models = spark.sparkContext.broadcast(fit_languages(texts.filter("not held_out"), slots))
-    judged = stored(_judged(texts, models), "judged")
-    limits = spark.sparkContext.broadcast({(r.lang_pred, r.bin): r.limit for r in _limits(judged, quantile, slack).collect()})
-    place = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = models.value
-            if m is None:
-                continue
-            best, entropy, _, size = m.judge(batch.column(place).to_pylist())
-            bins = np.frexp(np.maximum(size, 1).astype(float))[1] - 1
-            keep = [b >= 0 and not e > limits.value.get((m.names[b], int(k)), np.inf) for b, e, k in zip(best, entropy, bins, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    found = _decided(docs, quantile, slack, id_col, text_col, lang_col, docs.columns)
+    return docs.limit(0) if found is None else found.filter("not _rejected").select(docs.columns)

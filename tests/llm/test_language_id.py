@@ -70,6 +70,26 @@ def test_counts_cover_all_texts(spark, make_docs):
     assert found == expected
 
 
+def test_no_gram_is_lost(spark, make_docs):
+    rng = random.Random(8)
+    docs = [(i, "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(5_000)), "zh") for i in range(60)]
+    grams = np.concatenate([g for _, g, _, _ in _grams([t for _, t, _ in docs])])
+    assert count_grams(make_docs(docs).select("lang", "text")).count() == len(np.unique(grams)) > 290_000
+
+
+def test_parts_score_like_the_whole(make_docs):
+    docs = texts(200, seed=9)
+    counts = {}
+    for lang in ("aa", "bb", "cc"):
+        grams = np.concatenate([g for _, g, _, _ in _grams([t for i, t, x in docs if x == lang and not held(i)])])
+        counts[lang] = np.unique(grams, return_counts=True)
+    model = LanguageModels(counts)
+    best, entropy, score, _ = model.judge([t for _, t, _ in docs])
+    by = {r.doc_id: r for r in identify_languages(make_docs(docs)).collect()}
+    for (i, _, _), b, e, s in zip(docs, best, entropy, score, strict=True):
+        assert by[i].lang_pred == model.names[b] and math.isclose(by[i].entropy, e, rel_tol=1e-9) and math.isclose(by[i].score, s, rel_tol=1e-6)
+
+
 def test_held_out_accuracy_and_cases(make_docs):
     docs = texts(600)
     odd = [(10_001, None, "aa"), (10_002, "12 !?", "bb"), (10_003, "", None), (None, "thering outh", None), (10_004, "中文字 " * 40, "aa" if held(10_004) else None), (5, docs[5][1], docs[5][2])]
