@@ -100,6 +100,31 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return full.filter(F.col("sim") >= threshold)
 
 
+def vector_classes(tf: DataFrame) -> DataFrame:
+    """(doc_id, lead): the least id of the documents with the very same term frequencies."""
+    entry = F.concat_ws(":", "term", F.col("tf").cast("string"))
+    signed = tf.groupBy("doc_id").agg(F.sha2(F.concat_ws(" ", F.array_sort(F.collect_list(entry))), 256).alias("sign"))
+    return signed.select("doc_id", "sign").join(signed.groupBy("sign").agg(F.min("doc_id").alias("lead")), "sign").select("doc_id", "lead")
+
+
+def leads_of(vectors: DataFrame, classes: DataFrame) -> DataFrame:
+    """The vectors of one document of each class, the lead."""
+    return vectors.join(classes.filter("doc_id = lead").select("doc_id"), "doc_id", "left_semi")
+
+
+def class_edges(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) that link what all pairs of members link: the pairs of leads, and each member with its lead."""
+    return pairs.select("a", "b").union(classes.filter("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
+
+
+def member_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, sim) of all members, from the pairs of leads; those of one class have 1."""
+    x, y = classes.toDF("x", "a"), classes.toDF("y", "b")
+    across = pairs.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
+    inside = x.join(y, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("sim"))
+    return across.union(inside)
+
+
 def jaccard_pairs(tf: DataFrame) -> DataFrame:
     """(a, b, jaccard) of term sets, with a < b, for documents that share a term."""
     n = tf.groupBy("doc_id").agg(F.count("*").alias("n"))

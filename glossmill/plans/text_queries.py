@@ -348,7 +348,7 @@ def latent_similarity(documents, benchmark):
 
 @query()
 def story_groups(documents):
-    members, _ = news.story_groups(documents, 0.6)
+    members, _ = news.story_groups(documents)
     return members
 
 

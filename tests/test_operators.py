@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glossmill.operators import crawl, entities, graphs, inverted_index, latent, lexicon, mail, news, questions, relational, summaries, tagging, text_stats, vectors, web
 from glossmill.operators.sentences import sentence_spans, sentences
 from glossmill.operators.typed_tokens import TokenLexicon, typed
+from glossmill.plans import text_queries
 
 DOCS = [
     (1, "Red foxes jump over quiet rivers. Red foxes hunt at night near quiet rivers."),
@@ -98,6 +99,23 @@ def test_summaries_and_news(docs):
     assert sum(r["size"] for r in titles) == len(cluster) and all(r.title for r in titles)
 
 
+def test_story_groups_link_all_pairs_above(spark, docs):
+    _, pairs = news.story_groups(docs)
+    v = vectors.tfidf_vectors(vectors.term_frequencies(docs.filter("length(text) > 50")))
+    full = [(a, b, round(s, 6)) for a, b, s in rows(vectors.cosine_pairs(v)) if s >= 0.2]
+    assert [(a, b, round(s, 6)) for a, b, s in rows(pairs)] == full and (2, 7, 1.0) in full
+
+
+def test_registered_story_groups(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bcdfgh") for _ in range(5)) for _ in range(150)]
+    some = [(i, " ".join(rng.choice(words) for _ in range(15))) for i in range(60)]
+    stories = spark.createDataFrame(some + [(100 + i, t) for i, t in some[:9]], "doc_id long, text string")
+    linked = vectors.cosine_pairs(vectors.tfidf_vectors(vectors.term_frequencies(stories))).filter("sim >= 0.2")
+    assert 0 < linked.filter("sim < 0.6").count()
+    assert rows(text_queries.story_groups(stories).filter("cluster is not null")) == rows(graphs.components(linked))
+
+
 def test_latent_factors(spark):
     rng = np.random.default_rng(1)
     a = rng.random((12, 7)) * (rng.random((12, 7)) > 0.4)
