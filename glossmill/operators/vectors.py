@@ -141,6 +141,26 @@ def related(pairs: DataFrame, k: int = 10) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def related_to(queries: DataFrame, vectors: DataFrame, classes: DataFrame, k: int = 10) -> DataFrame:
+    """(doc_id, rank, other, sim): the k most similar of all documents for each of ``queries`` (doc_id).
+
+    ``classes`` are the ``vector_classes`` of the documents: only leads are compared. Of each class the
+    k + 1 least ids can be among the k others, and a class whose lead is not among the first has none.
+    """
+    unit = unit_vectors(leads_of(vectors, classes))
+    asked = classes.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+    sought = asked.select(F.col("lead").alias("doc_id")).distinct()
+    a = unit.join(sought, "doc_id", "left_semi").select("term", F.col("doc_id").alias("a"), F.col("weight").alias("wa"))
+    b = unit.select("term", F.col("doc_id").alias("b"), F.col("weight").alias("wb"))
+    sims = a.join(b, "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    best = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b")
+    near = sims.withColumn("place", F.row_number().over(best)).filter((F.col("place") <= k + 1) | (F.col("a") == F.col("b")))
+    least = classes.withColumn("place", F.row_number().over(Window.partitionBy("lead").orderBy("doc_id"))).filter(F.col("place") <= k + 1)
+    found = asked.select("doc_id", F.col("lead").alias("a")).join(near.select("a", "b", "sim"), "a").join(least.select(F.col("lead").alias("b"), F.col("doc_id").alias("other")), "b")
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("sim", 9)), "other")
+    return found.filter("other != doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc_id", "rank", "other", "sim")
+
+
 def expanded(vectors: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Vectors with the synonyms (term, synonym) of each term at its weight, normalised again."""
     more = vectors.join(synonyms, "term").select("doc_id", F.col("synonym").alias("term"), "weight")

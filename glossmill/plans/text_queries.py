@@ -11,6 +11,7 @@ from ..functions.stemming import stem_vocabulary
 from ..functions.text import content_digest, question_kind, stopwords, tokens, trim_field
 from ..functions.text import question_words as words_of_question
 from ..operators import crawl, entities, graphs, inverted_index, latent, news, phrases, questions, sentences, summaries, tagging, text_stats, tiling, typed_tokens, vectors
+from ..scratch import written
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in stopwords())
@@ -112,6 +113,15 @@ def related_top10(benchmark):
     return vectors.related(_bench_pairs(benchmark)).select("doc_id", "other", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
+@query()
+def related_documents_top10(documents):
+    """Every fiftieth document against all documents."""
+    tf = _tf(documents)
+    classes = written(vectors.vector_classes(tf), "classes")
+    found = vectors.related_to(documents.filter("doc_id % 50 = 0"), vectors.frequency_vectors(tf), classes)
+    return found.select("doc_id", "other", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
 @query(f"{_BENCH} SELECT CAST(least(floor(round(sim, 1) * 10 + 0.5), 9) AS BIGINT) AS bin, count(*) AS n FROM pairs GROUP BY 1")
 def similarity_histogram(benchmark):
     return vectors.similarity_histogram(_bench_pairs(benchmark)).withColumn("bin", F.col("bin").cast("long"))
@@ -134,6 +144,14 @@ def cluster_components(benchmark):
     return graphs.components(_bench_pairs(benchmark).filter("sim >= 0.2"))
 
 
+@query()
+def document_components(documents):
+    tf = _tf(documents)
+    classes = written(vectors.vector_classes(tf), "classes")
+    pairs = vectors.similar_pairs(vectors.leads_of(vectors.frequency_vectors(tf), classes), 0.2)
+    return graphs.components(vectors.class_edges(pairs, classes))
+
+
 @query(
     f"""WITH {_terms()} SELECT substr(term, 1, 2) AS prefix, count(DISTINCT term) AS n_terms, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS total
     FROM tf WHERE length(term) <= 35 GROUP BY 1"""

@@ -116,6 +116,18 @@ def test_registered_story_groups(spark):
     assert rows(text_queries.story_groups(stories).filter("cluster is not null")) == rows(graphs.components(linked))
 
 
+def test_related_and_components_of_all_documents(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("bcdfgh") for _ in range(5)) for _ in range(150)]
+    some = [(i, " ".join(rng.choice(words) for _ in range(12))) for i in range(120)]
+    stories = spark.createDataFrame(some + [(200 + i, some[i % 4 and 50][1]) for i in range(40)], "doc_id long, text string")
+    full = vectors.cosine_pairs(vectors.frequency_vectors(vectors.term_frequencies(stories)))
+    expected = [(r.doc_id, r["rank"], r.other, round(r.sim, 6)) for r in vectors.related(full).filter("doc_id % 50 = 0").collect()]
+    found = [(r.doc_id, r["rank"], r.other, r.sim) for r in text_queries.related_documents_top10(stories).collect()]
+    assert sorted(found) == sorted(expected) and len(found) == 40
+    assert rows(text_queries.document_components(stories)) == rows(graphs.components(full.filter("sim >= 0.2")))
+
+
 def test_latent_factors(spark):
     rng = np.random.default_rng(1)
     a = rng.random((12, 7)) * (rng.random((12, 7)) > 0.4)
