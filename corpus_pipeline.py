@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossmill.llm import decontaminate, language_id, line_dedup, near_duplicates, packing
 from glossmill.llm.queries import word_tokenizer
-from glossmill.llm.scratch import stored
+from glossmill.scratch import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

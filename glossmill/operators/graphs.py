@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import Rounds, written
 
 
 def _toward_least(pairs: DataFrame, greater_only: bool) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     Loops, repeats and nulls count for nothing. Rounds end when the links stay the same, after about
     the logarithm of the longest path; each is written to the shared folder.
     """
-    now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    rounds = Rounds(edges.sparkSession, "links")
+    now = rounds.written(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
@@ -31,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = now.union(now.select("v", "u"))
         large = _toward_least(both, True).distinct()
-        now = written(_toward_least(large, False).filter("u != v").distinct(), "links")
+        now = rounds.written(_toward_least(large, False).filter("u != v").distinct())
 
 
 def star_clusters(edges: DataFrame, weights: DataFrame) -> DataFrame:
