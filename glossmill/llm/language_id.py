@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from ..scratch import written
 
 ORDER = 4
 _CHUNK = 1 << 20
@@ -239,7 +239,7 @@ def fit_languages(docs: DataFrame, max_languages: int = 256) -> Fit | None:
     Its nodes are (order, gram, n, total, types). The last three are lists with an entry for each
     language that has a value: it times the number of languages, plus the language's number.
     """
-    counts = stored(count_grams(docs.filter("lang is not null").select("lang", "text")), "grams")
+    counts = written(count_grams(docs.filter("lang is not null").select("lang", "text")), "grams")
     names = sorted(r.lang for r in counts.select("lang").distinct().limit(max_languages + 1).collect())
     if not names:
         return None
@@ -256,7 +256,7 @@ def fit_languages(docs: DataFrame, max_languages: int = 256) -> Fit | None:
     several = F.lit(len(names)).cast("long")
     packed = (F.collect_list(F.when(F.col(c) > 0, F.col(c) * several + F.col("lang"))).alias(c) for c in _VALUES)
     nodes = reduce(DataFrame.unionAll, parts).groupBy("order", "gram").agg(*packed)
-    nodes = stored(nodes.select("order", "gram", *(F.when(F.size(c) > 0, F.col(c)).alias(c) for c in _VALUES)), "nodes")
+    nodes = written(nodes.select("order", "gram", *(F.when(F.size(c) > 0, F.col(c)).alias(c) for c in _VALUES)), "nodes")
     grams = nodes.select("order", "gram", F.explode("n").alias("x")).select("order", "gram", (F.col("x") % several).cast("int").alias("lang"), F.expr(f"x div {len(names)}").alias("n"))
     discounts = np.full((ORDER + 1, len(names)), 0.5)
     for r in grams.groupBy("order", "lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect():
@@ -349,7 +349,7 @@ def _decided(docs: DataFrame, quantile: float, slack: float, id_col: str, text_c
     fit = fit_languages(texts.filter("not _held_out").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
     if fit is None:
         return None
-    judged = stored(_judged(texts, fit, id_col, text_col, [*keep, "_held_out", "_lang"]), "judged")
+    judged = written(_judged(texts, fit, id_col, text_col, [*keep, "_held_out", "_lang"]), "judged")
     limits = _limits(judged, quantile, slack)
     found = judged.withColumn("_bin", _bin("_size")).join(F.broadcast(limits), ["_pred", "_bin"], "left")  # languages times 64 bins at most
     return found.withColumn("_rejected", (F.col("_pred") == "und") | F.coalesce(F.col("_entropy") > F.col("_limit"), F.lit(False)))

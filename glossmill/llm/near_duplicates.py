@@ -5,12 +5,15 @@ m*(m-1)/2 tables of 2r minhashes need m*r minhash functions only. m follows from
 similarity: the least number at which two documents just similar enough share no table with a
 chance of 1e-5 at most.
 
-Documents of equal shingle sets are one class from the start. A collection value that only one
-class has can be in no shared key, so keys are formed from the others. In each bucket every
-class is compared with one of them, the one with most copies; links join classes to
-components. Buckets whose classes are then still in several components are settled exactly:
-their classes are joined on the rarest shingles of each (a similar pair must share one of
-them), with bounds by size and position, and only across components. No bucket emits its pairs.
+Documents of equal shingle sets are one class from the start, and classes are numbered. A
+collection value that only one class has can be in no shared key, so keys are formed from the
+others. In each bucket every class is compared with its lead, the class with most copies; links
+join classes to components. A bucket is settled when all its classes but the leads it had are of
+one component; else another lead is taken. What ``STARS`` rounds leave open is settled exactly:
+those classes are joined on the rarest shingles of each (a similar pair must share one of them),
+with bounds by size and position, only across components, and in blocks where a shingle is
+frequent. Sizes rule pairs out before sets are fetched, and only classes that share a bucket have
+their sets made.
 
 Defined cases: a document with fewer words than a shingle has its whole sequence as the one
 shingle; a null, empty or blank text has none and links with nothing; rows without an id share
@@ -25,14 +28,18 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
-from .scratch import stored
+from ..operators.graphs import components
+from ..scratch import Rounds, written
 from .words import NOT_SPACE, Words, mix, signed, window_hashes, words_of
 
 ROWS = 3
+#: Rounds of leads before what is open is settled by rare shingles.
+STARS = 4
+#: Partners of a class, and classes of a shingle, that are worked on in one place.
+_TOGETHER = 2000
 
 
 def collections_for(similarity: float, rows: int = ROWS, miss: float = 1e-5) -> int:
@@ -113,99 +120,140 @@ def signatures(docs: DataFrame, m: int, k: int, seed: int, id_col: str, text_col
     return pairs.mapInArrow(run, f"doc_id {id_type}, text_hash long, n_shingles long, d1 long, d2 long, halves array<long>")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """The class c and the shingle set of each text."""
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(c, shingles) of (c, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words_of(batch.column("text"), NOT_SPACE, True):
                 values, bounds = _shingle_sets(part, k)
-                d1, d2 = _digests(values, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), _lists(values, bounds)], ["d1", "d2", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("c").slice(part.first, part.rows), _lists(values, bounds)], ["c", "shingles"])
+
+    return texts.select("c", "text").mapInArrow(run, "c long, shingles array<long>")
+
 
-    return docs.select("text").mapInArrow(run, "d1 long, d2 long, shingles array<long>").select(F.struct("d1", "d2").alias("c"), "shingles")
+def _classes(signs: DataFrame) -> DataFrame:
+    """One row for each shingle set: its number c, copies, n, least id, a row that has it, halves."""
+    full = signs.filter("n_shingles > 0").groupBy("d1", "d2")
+    rows = full.agg(
+        F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("sample"), F.first("halves").alias("halves")
+    )
+    return rows.withColumn("c", F.monotonically_increasing_id())
 
 
 def _table_keys(classes: DataFrame) -> DataFrame:
-    """(key, c, copies): the table keys of each class that another class might share."""
-    halves = classes.select("c", "copies", F.posexplode("halves").alias("i", "u"))
-    common = halves.groupBy("i", "u").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    held = halves.join(common, ["i", "u"], "left_semi").groupBy("c", "copies").agg(F.array_sort(F.collect_list(F.struct("i", "u"))).alias("own"))
+    """(key, c, copies, n): the table keys of each class that another class might share."""
+    halves = classes.select("c", "copies", "n", F.posexplode("halves").alias("i", "u"))
+    common = halves.groupBy("i", "u").agg(F.count("*").alias("held")).filter("held > 1").drop("held")
+    held = halves.join(common, ["i", "u"], "left_semi").groupBy("c", "copies", "n").agg(F.array_sort(F.collect_list(F.struct("i", "u"))).alias("own"))
     own = F.col("own")
     each = F.transform(
         F.sequence(F.lit(1), F.size("own") - 1),
         lambda a: F.transform(F.slice(own, a + 1, F.size(own)), lambda y: F.xxhash64(F.element_at(own, a), y)),
     )
-    return held.filter(F.size("own") > 1).select(F.explode(F.flatten(each)).alias("key"), "c", "copies")
+    return held.filter(F.size("own") > 1).select(F.explode(F.flatten(each)).alias("key"), "c", "copies", "n")
+
+
+def _size_bound(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union."""
+    """The pairs (a, b) with 100 * intersection >= percent * union; the partners of a class b
+    are dealt to places of ``_TOGETHER`` at most."""
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    places = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / _TOGETHER).alias("places")), "places")
+    dealt = pairs.join(places, "b").select("a", "b", F.pmod(F.xxhash64("a"), "places").alias("place"))
     left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("t"))
+    right = sets.join(places.withColumnRenamed("b", "c"), "c").select(F.col("c").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t")).cast("long")
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b")
+    return dealt.join(left, "a").join(right, ["b", "place"]).filter(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b")
 
 
 def _across(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of classes (c, component) of different components: each pair
-    that is similar enough is among them."""
+    """Candidate pairs (a, b) of classes (c, component) of different components: each pair that is
+    similar enough is among them. Classes that share a frequent shingle meet block by block."""
     rows = unsettled.join(sets, "c").select("c", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
     shared = rows.groupBy("s").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "s")) - 1
     rows = rows.join(shared, "s").withColumn("p", rank).filter(100 * (F.col("n") - F.col("p")) >= percent * F.col("n")).filter("df > 1")
-    a = rows.select("s", F.col("c").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    b = rows.select("s", F.col("c").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    rows = written(rows.withColumn("blocks", F.ceil(F.col("df") / _TOGETHER)).withColumn("own", F.pmod(F.xxhash64("c"), "blocks")), "prefixes")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    a = rows.select("s", F.col("own").alias("x"), every.alias("y"), F.col("c").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    b = rows.select("s", every.alias("x"), F.col("own").alias("y"), F.col("c").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     near = (
         (F.col("a") < F.col("b"))
         & (F.col("ca") != F.col("cb"))
-        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & _size_bound("na", "nb", percent)
         & ((100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb")))
     )
-    return a.join(b, (a.s == b.s) & near).select("a", "b").distinct()
+    return a.join(b, (a.s == b.s) & (a.x == b.x) & (a.y == b.y) & near).select("a", "b")
+
+
+def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the component of their class c, by default itself."""
+    return rows.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+
+def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(node, component) of the classes that are linked."""
+    keys = written(_table_keys(classes), "keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key")
+    open_ = written(keys.join(shared, "key", "left_semi").withColumn("component", F.col("c")), "buckets")
+    sample = written(classes.join(open_.select("c").distinct(), "c", "left_semi").select("c", F.col("sample.doc_id").alias("i"), F.col("sample.text_hash").alias("h")), "sample")
+    texts = texts.join(sample, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
+    sets = written(shingle_sets(texts, shingle).groupBy("c").agg(F.first("shingles").alias("shingles")), "sets")
+
+    rounds = Rounds(classes.sparkSession, "open")
+    found = None
+    for _ in range(STARS):
+        lead = F.struct("copies", "c", "n", "component")
+        leads = open_.groupBy("key").agg(F.max(lead).alias("lead"))
+        stars = written(open_.join(leads, "key").filter("c != lead.c"), "stars")
+        pairs = stars.filter((F.col("component") != F.col("lead.component")) & _size_bound("n", "lead.n", percent))
+        links = _verified(pairs.select(F.col("c").alias("a"), F.col("lead.c").alias("b")), sets, percent)
+        found = components(links if found is None else links.union(found))
+        named = _named(stars.select("key", "c", "copies", "n"), found)
+        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
+        open_ = rounds.written(named.join(mixed, "key", "left_semi"))
+        if open_.isEmpty():
+            return found
+    unsettled = written(open_.select("c", "component").distinct(), "unsettled")
+    return components(_verified(_across(unsettled, sets, percent), sets, percent).union(found))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least doc_id reachable over links of
-    similarity percent/100 or more), kept (doc_id is component_id), and the digest d1, d2."""
-    m = collections_for(percent / 100)
-    signs = stored(signatures(docs, m, shingle, seed, id_col, text_col), "signatures")
-    full = signs.filter("n_shingles > 0").withColumn("c", F.struct("d1", "d2"))
-    classes = full.groupBy("c").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("sample"), F.first("halves").alias("halves"))
-    classes = stored(classes, "classes")
-    keys = stored(_table_keys(classes), "keys")
-
-    sample = classes.join(keys.select("c").distinct(), "c", "left_semi").select("sample.*")
-    texts = _pairs(docs, id_col, text_col)
-    texts = texts.join(sample.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left_semi")
-    sets = stored(shingle_sets(texts, shingle).groupBy("c").agg(F.first("shingles").alias("shingles")), "sets")
-
-    leads = keys.groupBy("key").agg(F.max(F.struct("copies", "c")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    stars = keys.join(leads, "key").select(F.col("c").alias("a"), F.col("lead.c").alias("b")).filter("a != b").distinct()
-    found = components(_verified(stars, sets, percent))
-
-    named = keys.join(found.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    unsettled = stored(named.join(mixed, "key", "left_semi").select("c", "component").distinct(), "unsettled")
-    if not unsettled.isEmpty():
-        more = _verified(_across(unsettled, sets, percent), sets, percent)
-        found = components(more.union(found.select("node", "component")))
-
-    joined = classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "first_id", F.coalesce("component", "c").alias("component"))
-    ids = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = joined.join(ids, "component").select("c", "component", "component_id")
-    linked = full.join(ids, "c").select("doc_id", "n_shingles", "component_id", "text_hash", "d1", "d2", "component")
-    alone = signs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", "d1", "d2", F.lit(None).cast("struct<d1:long,d2:long>").alias("component"))
+    similarity percent/100 or more), kept (doc_id is component_id), text_hash, and the number
+    ``component`` of its component, null without shingles."""
+    signs = written(signatures(docs, collections_for(percent / 100), shingle, seed, id_col, text_col), "signatures")
+    classes = written(_classes(signs), "classes")
+    found = _links(classes, _pairs(docs, id_col, text_col), percent, shingle)
+    named = written(_named(classes.select("c", "d1", "d2", "first_id"), found), "named")
+    ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    ids = named.join(ids, "component").select("d1", "d2", "component", "component_id")
+    linked = signs.filter("n_shingles > 0").join(ids, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "text_hash", "component")
+    alone = signs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("component"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one of each component; texts without words all stay."""
-    found = near_duplicates(docs, percent, shingle, seed, id_col, text_col)
-    chosen = found.filter("kept and n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("own")).select("own.*")
-    blank = found.filter("n_shingles = 0").select("doc_id", "text_hash").distinct()
-    keep = chosen.withColumn("copies", F.lit(False)).union(blank.withColumn("copies", F.lit(True))).toDF("_i", "_h", "_all")
-    marked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"))
-    marked = marked.join(keep, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_h")))
-    once = marked.filter("not _all").groupBy("_id", "_text").agg(F.first("_row").alias("_row")).select("_row.*")
-    return once.union(marked.filter("_all").select("_row.*"))
+    """The rows of ``docs`` less all but one of each component; texts without words all stay.
+
+    The rows that go are named by id and text hash, and taken out by one anti join; only of rows
+    that stay and come several times one is picked.
+    """
+    found = written(near_duplicates(docs, percent, shingle, seed, id_col, text_col).filter("component is not null").select("component", "kept", "doc_id", "text_hash"), "components")
+    own = F.struct("doc_id", "text_hash")
+    chosen = found.filter("kept").groupBy("component").agg(F.min(own).alias("stays"))
+    found = found.join(chosen, "component").withColumn("goes", ~own.eqNullSafe(F.col("stays")))
+    gone = written(found.filter("goes").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct(), "gone")
+    again = written(found.filter("not goes").groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("times")).filter("times > 1").drop("times"), "again")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_h"))
+    stay = rows.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return stay.select("_row.*")
+    once = stay.join(again, same, "left_semi").groupBy("_id", "_text").agg(F.first("_row").alias("_row"))
+    return stay.join(again, same, "left_anti").select("_row.*").union(once.select("_row.*"))

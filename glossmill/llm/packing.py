@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from ..scratch import written
 
 #: Texts of these characters are cut into words here, in the tokenizer's way; all others go
 #: to the tokenizer as they are.
@@ -260,7 +260,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     ``group_rows`` bounds the groups in which pieces of one length are ranked.
     """
     spark = docs.sparkSession
-    pieces = stored(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = written(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     places = spark.sparkContext.broadcast(_places(packing_plan(counts, capacity)))
     salts = spark.createDataFrame([(k, -(-v // group_rows)) for k, v in counts.items()] or [(0, 1)], "length long, salts long")

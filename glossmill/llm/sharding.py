@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from ..scratch import written
 
 ROW_BYTES = 16
 
@@ -47,9 +47,9 @@ def shard_records(docs: DataFrame, shards: int = 40, seed: int = 11, bucket_byte
     buckets = F.array(*(F.lit(max(1, -(-held.get(i, 0) // bucket_bytes))) for i in range(shards)))
     bucket = F.pmod("scatter", F.element_at(buckets, F.col("shard") + 1).cast("long")).cast("int")
     placed = rows.withColumn("bucket", bucket)
-    filled = stored(placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "buckets")
+    filled = written(placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "buckets")
     if filled.filter((F.col("bytes") > 4 * bucket_bytes) & (F.col("n") > 1)).limit(1).count():
-        rows = stored(rows.withColumn("scatter", F.xxhash64("scatter", F.floor(F.rand(seed) * (1 << 30)))), "scattered")
+        rows = written(rows.withColumn("scatter", F.xxhash64("scatter", F.floor(F.rand(seed) * (1 << 30)))), "scattered")
         placed = rows.withColumn("bucket", bucket)
         filled = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

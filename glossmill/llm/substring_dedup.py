@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from ..scratch import written
 from .words import NOT_SPACE, Words, mix, signed, window_hashes, words_of
 
 GRAM = 8
@@ -279,8 +279,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     sketch = build_sketch(texts, window, max_bits)
     copies = _copies(texts, sketch, window)
     first = copies.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    first = stored(first.select("doc_id", "text", "t1", "t2"), "first_copies")
-    members = stored(copies.select("doc_id", "t1", "t2", "n_words"), "copies")
+    first = written(first.select("doc_id", "text", "t1", "t2"), "first_copies")
+    members = written(copies.select("doc_id", "t1", "t2", "n_words"), "copies")
     once = texts.withColumn("stands", F.lit(False)).union(first.withColumn("stands", F.lit(True)))
 
     windows = _candidate_windows(once, sketch, window)

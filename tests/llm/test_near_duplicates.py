@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from glossmill.llm.graph import components
+from glossmill.operators.graphs import components
 from glossmill.llm.near_duplicates import collections_for, drop_near_duplicates, near_duplicates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -94,3 +94,27 @@ def test_components(spark):
                     group[x] = one
     assert found == {x: min(g) for x, g in group.items()}
     assert collections_for(0.85) == 16
+
+
+def test_long_words_that_sum_alike_stay_apart(make_docs):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo powers of two."""
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    rows = got(near_duplicates(make_docs([(1, one), (2, one.translate(str.maketrans("ab", "ba")))])))
+    assert rows == [(1, 1, 1, True), (2, 1, 2, True)]
+
+
+def test_frequent_shingles_are_compared_in_blocks(make_docs, monkeypatch):
+    """Many texts of one template, alike in chains only: leads leave them open, blocks settle them."""
+    monkeypatch.setattr("glossmill.llm.near_duplicates._TOGETHER", 7)
+    monkeypatch.setattr("glossmill.llm.near_duplicates.STARS", 1)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        text = list(words)
+        for j in range(i % 20):
+            text[(j * 5 + i // 20) % 100] = f"y{rng.randrange(3)}"
+        rows.append((i, " ".join(text)))
+    assert got(near_duplicates(make_docs(rows), 85)) == brute(rows, 85)
