@@ -1,275 +1,243 @@
-"""Document fingerprints as invertible Bloom lookup sketches.
+"""Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions alone.
 
 A fingerprint is a small table of cells in three parts. Each distinct paragraph (line or
 sentence) is a 64-bit digest that goes to one cell of each part; a cell has the number of its
-digests and the sums of the digests and of their check sums. Two fingerprints subtract cell by
-cell, so that common paragraphs vanish. Peeling recovers the others: a cell that holds one
-digest, by its check sum, gives it away, and the digest is taken out of its other cells; parts
-take turns, so that no digest is taken twice. If cells are left in the end, the difference was
-too large, and both texts' digests go to larger sketches, until all is recovered.
+digests and the exclusive-or of the digests and of their check sums. Two fingerprints subtract
+cell by cell, so that common paragraphs vanish. Peeling recovers the others: a cell that holds
+one digest, by its check sum, gives it away, and the digest is taken out of its other cells;
+parts take turns, so that no digest is taken twice. If cells are left in the end, the difference
+was too large, and the digests go to wider sketches, with other places, until all is recovered.
 
-Texts, neighbours and digests are DataFrame functions; sketches of many rows are then made and
-peeled together in Arrow batches. ``sketch``, ``subtract`` and ``peel`` are the same by
-DataFrame functions alone: right, but too slow for whole collections (see the README).
+Sketches are rows (one for each cell in use, so that wide sketches cost no more than narrow ones):
+digests are exploded to cells, cells are summed by hash aggregation, and each turn of peeling is one
+more explode and sum. All of it is grouped by the bucket of a row first, by which texts are
+partitioned once; no cell is ever shuffled.
 
-Neighbours are found without a global sort: a first, light pass sums bytes over even ranges of
-ids, the ranges make up buckets, and a bucket's first row is sent to the bucket before it too.
+Neighbours are found without a global sort: ids are cut into buckets of about equal bytes at
+quantiles, and a bucket's first row is sent to the bucket before it too. The quantiles come from a
+sample, which moves the borders only; all rows of an id share a bucket.
 
 Defined cases: a null text is empty, as is the text of no paragraphs; two empty texts are alike
-(1); ids are whole numbers; rows without an id come last; rows that share an id are ordered by
-their text's hash; the only row is its own neighbour. Other columns are not read.
+(1); ids are whole numbers, however far apart; rows without an id come last; rows that share an id
+are ordered by their text's hash; the only row is its own neighbour. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import binascii
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import mix
+from ..scratch import written
 
 PARTS = 3
 #: Where a paragraph ends.
 PARAGRAPH = r"\n+|(?<=[.!?]) "
-_ROUNDS = 8
-#: Digests that are worked on together in a task, beyond which only the longest text goes.
-_DIGESTS = 300_000
-
-
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+#: Kinds of cells: a text's, its edited text's and its neighbour's fingerprint, and two differences.
+TEXT, EDITED, NEXT, TO_EDITED, TO_NEXT, ROW = range(6)
+#: Cells below 0 hold the digests that were found, and what is known of the row.
+FOUND, KNOWN = -1, -2
+_SAMPLE = 1 << 20
+_WEIGHT = 1 << 16
 
 
 def digests(text: Column) -> Column:
-    """The distinct 64-bit digests of the paragraphs of a text, in ascending order."""
+    """The distinct 64-bit digests of the paragraphs of a text."""
     parts = F.filter(F.split(text, PARAGRAPH, -1), lambda p: p != "")
-    return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
+    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(97))
 
 
-def _places(key: Column, width: int | Column, seed: int) -> list[Column]:
-    """The cell of a digest in each part; cells count through the parts."""
-    w = F.lit(width).cast("int")
-    return [F.pmod(F.xxhash64(key, F.lit(seed + j)), w.cast("long")).cast("int") + j * w for j in range(PARTS)]
-
-
-def sketch(keys: Column, width: int, seed: int = 0) -> Column:
-    """The cells of an array of digests: array of (n, k, h), ``width`` to a part."""
-    placed = F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("h"), *(p.alias(f"p{j}") for j, p in enumerate(_places(k, width, seed)))))
-
-    def cells(items: Column) -> Column:
-        def cell(j: int) -> Callable[[Column], Column]:
-            return lambda i: _let(
-                F.filter(items, lambda x: x[f"p{j}"] == i),
-                lambda mine: F.struct(
-                    F.size(mine).alias("n"),
-                    F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["k"])).alias("k"),
-                    F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["h"])).alias("h"),
-                ),
-            )
-
-        return F.concat(*(F.transform(F.sequence(F.lit(j * width), F.lit((j + 1) * width - 1)), cell(j)) for j in range(PARTS)))
-
-    return _let(placed, cells)
-
-
-def subtract(one: Column, other: Column) -> Column:
-    """One sketch less another, cell by cell."""
-    return F.zip_with(one, other, lambda a, b: F.struct((a["n"] - b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["h"].bitwiseXOR(b["h"]).alias("h")))
-
-
-def peel(cells: Column, width: int, seed: int = 0) -> Column:
-    """The digests of a sketch difference as (k, n), n being 1 or -1 for the side; null if some stay."""
-    none = F.array().cast("array<struct<n:int,k:bigint,h:bigint>>")
-
-    def step(state: Column, turn: Column) -> Column:
-        part = F.pmod(turn, F.lit(PARTS))
-        pure = F.filter(F.slice(state["cells"], part * width + 1, F.lit(width)), lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
-        spread = F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h"), F.array(*_places(c["k"], width, seed)).alias("at")))
-
-        def without(found: Column) -> Column:
-            def less(cell: Column, i: Column) -> Column:
-                return F.aggregate(
-                    F.filter(found, lambda c: F.array_contains(c["at"], i)), cell,
-                    lambda a, c: F.struct((a["n"] - c["n"]).alias("n"), a["k"].bitwiseXOR(c["k"]).alias("k"), a["h"].bitwiseXOR(c["h"]).alias("h")),
-                )
-
-            taken = F.transform(found, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h")))
-            cells_now = F.when(F.size(found) > 0, F.transform(state["cells"], less)).otherwise(state["cells"])
-            return F.struct(cells_now.alias("cells"), F.concat(state["found"], taken).alias("found"))
-
-        return _let(spread, without)
-
-    start = F.struct(cells.alias("cells"), none.alias("found"))
-    end = F.aggregate(F.sequence(F.lit(0), F.lit(PARTS * _ROUNDS - 1)), start, step)
-    return _let(end, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)), s["found"]))
-
-
-def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
-    return mix(keys ^ np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-
-
-@dataclass
-class Sketches:
-    """The sketches of many rows in a row: row r has PARTS times width[r] cells from base[r]."""
-
-    width: np.ndarray
-    seed: int
-    base: np.ndarray
-    n: np.ndarray
-    k: np.ndarray
-    h: np.ndarray
-
-    @classmethod
-    def of(cls, owner: np.ndarray, keys: np.ndarray, width: np.ndarray, seed: int) -> Sketches:
-        base = np.cumsum(np.append(0, PARTS * width))
-        out = cls(width, seed, base, *(np.zeros(base[-1], t) for t in (np.int64, np.uint64, np.uint64)))
-        out.put(owner, keys, np.ones(len(keys), np.int64))
-        return out
-
-    def put(self, owner: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
-        """Add digests to their cells so many times; sums wrap."""
-        check, turn = _hash(keys, 97), times.view(np.uint64)
-        for j in range(PARTS):
-            at = self.base[owner] + j * self.width[owner] + (_hash(keys, self.seed + j) % self.width[owner].astype(np.uint64)).astype(np.int64)
-            np.add.at(self.n, at, times)
-            np.add.at(self.k, at, keys * turn)
-            np.add.at(self.h, at, check * turn)
-
-    def less(self, other: Sketches) -> Sketches:
-        """These sketches less those of the same widths, cell by cell."""
-        return Sketches(self.width, self.seed, self.base, self.n - other.n, self.k - other.k, self.h - other.h)
-
-    def peeled(self) -> np.ndarray:
-        """How many digests each row's difference gives away; -1 for rows where cells are left."""
-        rows = len(self.width)
-        found = np.zeros(rows, np.int64)
-        cell_row = np.repeat(np.arange(rows), PARTS * self.width)
-        part = (np.arange(self.base[-1]) - self.base[cell_row]) // self.width[cell_row]
-        members = [np.flatnonzero(part == j) for j in range(PARTS)]
-        idle, turn = 0, 0
-        while idle < PARTS:
-            mine = members[turn % PARTS]
-            one = mine[np.abs(self.n[mine]) == 1]
-            side = self.n[one]
-            keys = self.k[one] * side.view(np.uint64)
-            pure = self.h[one] == _hash(keys, 97) * side.view(np.uint64)
-            one, side, keys = one[pure], side[pure], keys[pure]
-            self.put(cell_row[one], keys, -side)
-            found += np.bincount(cell_row[one], minlength=rows)
-            idle, turn = (0 if len(one) else idle + 1), turn + 1
-        left = np.bincount(cell_row, (self.n != 0) | (self.k != 0) | (self.h != 0), rows)
-        return np.where(left > 0, -1, found)
-
-
-def _picked(owner: np.ndarray, keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The digests of some rows, which are numbered anew."""
-    number = np.full(n, -1)
-    number[rows] = np.arange(len(rows))
-    keep = number[owner] >= 0
-    return number[owner][keep], keys[keep]
-
-
-def differences(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], first: np.ndarray) -> np.ndarray:
-    """How many digests differ in each row of two (owner, digests): ``first`` is what their
-    fingerprints gave; rows that failed (-1) are tried again with sketches that hold all their
-    digests, then twice as large, with other places, until none is left."""
-    out, n, seed, room = first.copy(), len(first), 0, 1
-    size = np.bincount(one[0], minlength=n) + np.bincount(other[0], minlength=n)
-    while len(rows := np.flatnonzero(out < 0)):
-        seed += PARTS
-        width = (size[rows] // 2 + 8) * room
-        a, b = (Sketches.of(*_picked(*x, rows, n), width, seed) for x in (one, other))
-        out[rows] = a.less(b).peeled()
-        room *= 2
-    return out
-
-
-def _compared(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
-    """Fingerprints and likenesses of some rows with digests a, e and b."""
-    n = batch.num_rows
-    widths = np.full(n, width)
-    sets, cells = {}, {}
-    for c in "aeb":
-        lists = batch.column(c)
-        owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-        keys = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
-        sets[c], cells[c] = (owner, keys), Sketches.of(owner, keys, widths, 0)
-
-    def text(c: str) -> pa.Array:
-        x = cells[c]
-        packed = np.rec.fromarrays([x.n.astype("<i4"), x.k.astype("<u8"), (x.h >> np.uint64(32)).astype("<u4")]).tobytes()
-        step = len(packed) // max(n, 1)
-        return pa.array([binascii.b2a_base64(packed[i * step : (i + 1) * step], newline=False).decode() for i in range(n)], pa.string())
-
-    def near(c: str) -> pa.Array:
-        total = (np.bincount(sets["a"][0], minlength=n) + np.bincount(sets[c][0], minlength=n)).astype(float)
-        differ = differences(sets["a"], sets[c], cells["a"].less(cells[c]).peeled())
-        return pa.array(np.where(total == 0, 1.0, (total - differ) / np.maximum(total + differ, 1)))
-
-    names = ["doc_id", "n_chars", "edited_sha256"]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), text("a"), text("e"), near("e"), near("b")], [*names, "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-
-def with_next(docs: DataFrame, bucket_bytes: int = 8 << 20, ranges: int = 1 << 14) -> DataFrame:
-    """Each row of (doc_id, text) with next_text: the text of the next row by descending id, after
-    the last that of the first."""
+def _place(key: Column, width: Column, part: int, seed: int) -> Column:
+    """The cell of a digest in one part; cells count through the parts."""
+    return F.pmod(F.xxhash64(key, F.lit(seed + part)), width) + width * part
+
+
+def _cell(at: Column, n: Column, k: Column, h: Column, digest: Column | None = None) -> Column:
+    return F.struct(at.cast("long").alias("cell"), (F.lit(None) if digest is None else digest).cast("long").alias("digest"), n.cast("long").alias("n"), k.alias("k"), h.alias("h"))
+
+
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of the same place as one; empty ones go."""
+    cells = rows.groupBy(*keys, "kind", "width", "known", "cell", "digest").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+    return cells.filter("cell < 0 or n != 0 or k != 0 or h != 0")
+
+
+def sketches(rows: DataFrame, keys: list[str], wanted: list[tuple[int, Column, int, Column]], seed: int = 0, known: Column | None = None) -> DataFrame:
+    """The cells of each row's digests: ``wanted`` has (kind, width, sign, array of digests), and a
+    null array adds nothing. ``known`` travels with the row in a cell of its own."""
+    zero, nothing = F.lit(0).cast("long"), F.lit(None).cast("int")
+    if known is None:
+        known = nothing
+    entry = lambda kind, width, sign, own, more: F.struct(F.lit(kind).alias("kind"), width.cast("long").alias("width"), F.lit(sign).alias("sign"), own.alias("own"), more.alias("known"))
+    entries = [entry(kind, width, sign, own, F.when(F.lit(False), known)) for kind, width, sign, own in wanted]
+    entries.append(entry(ROW, F.lit(1), 0, F.array(zero), known))
+    each = rows.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.kind", "e.width", "e.sign", "e.known", F.explode("e.own").alias("key"))
+    key, check = F.col("key"), _check(F.col("key"))
+    places = F.array(*(_cell(_place(key, F.col("width"), j, seed), F.col("sign"), key, check) for j in range(PARTS)))
+    cells = F.when(F.col("kind") == ROW, F.array(_cell(F.lit(KNOWN), zero, zero, zero))).otherwise(places)
+    return _summed(each.select(*keys, "kind", "width", "known", F.explode(cells).alias("c")).select(*keys, "kind", "width", "known", "c.*"), keys)
+
+
+def subtract(cells: DataFrame, keys: list[str], differences: dict[int, tuple[int, int]]) -> DataFrame:
+    """``cells`` and, for each difference, the cells of one kind less those of another."""
+    kind, goes = F.col("kind"), []
+    for to, (one, other) in differences.items():
+        goes.append(F.when(kind.isin(one, other), F.struct(F.lit(to).alias("kind"), F.when(kind == one, F.col("n")).otherwise(-F.col("n")).alias("n"))))
+    goes = F.array_compact(F.array(F.struct("kind", "n"), *goes))
+    rest = [c for c in cells.columns if c not in ("kind", "n")]
+    return _summed(cells.select(*rest, F.explode(goes).alias("g")).select(*rest, "g.*"), keys)
+
+
+def peel(cells: DataFrame, keys: list[str], kinds: tuple[int, ...], turns: int, seed: int = 0, keep: bool = False) -> DataFrame:
+    """The cells left of each difference after so many turns, and what was found: the number of
+    digests in the cell ``FOUND``, or with ``keep`` one such cell for each digest, its n the side."""
+    zero = F.lit(0).cast("long")
+    key, width, n = F.col("k"), F.col("width"), F.col("n")
+    for turn in range(turns):
+        part = turn % PARTS
+        inside = (F.col("cell") >= width * part) & (F.col("cell") < width * (part + 1)) & F.col("kind").isin(*kinds)
+        pure = inside & (F.abs(n) == 1) & (F.col("h") == _check(key))
+        found = _cell(F.lit(FOUND), n if keep else F.lit(1), zero, zero, key if keep else None)
+        others = [_cell(_place(key, width, j, seed), -n, key, F.col("h")) for j in range(PARTS) if j != part]
+        same = F.struct("cell", "digest", "n", "k", "h")
+        moved = cells.select(*keys, "kind", "width", "known", F.explode(F.when(pure, F.array(found, *others)).otherwise(F.array(same))).alias("c"))
+        cells = _summed(moved.select(*keys, "kind", "width", "known", "c.*"), keys)
+    return cells
+
+
+def _differing(kind: int) -> Column:
+    """How many digests of a row's difference were found; null if cells are left."""
+    mine = F.col("kind") == kind
+    return F.when(~F.max(F.coalesce(mine & (F.col("cell") >= 0), F.lit(False))), F.coalesce(F.sum(F.when(mine & (F.col("cell") == FOUND), F.col("n"))), F.lit(0)))
+
+
+def _fingerprint(kind: int) -> Column:
+    """The cells in use, in order: place, number, digests, check sums."""
+    cells = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("cell", "n", "k", "h"))))
+    packed = F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["cell"]), 2, "0"), F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["h"]), 16, "0")))
+    return F.base64(F.unhex(F.array_join(packed, "")))
+
+
+def _bucket_bounds(rows: DataFrame, bucket_bytes: int, most: int) -> list[int]:
+    """Ids that cut the rows of (doc_id, size) into buckets of about ``bucket_bytes``."""
+    n, size = rows.agg(F.count("*"), F.sum("size")).first()
+    buckets = min(most, -(-(size or 0) // bucket_bytes), n)
+    if buckets < 2:
+        return []
+    every = -(-n // _SAMPLE)
+    sample = rows.filter("doc_id is not null").filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    weighed = sample.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.least("size", F.lit(16 * bucket_bytes)) / _WEIGHT).cast("int"))))
+    cuts = weighed.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets))).first()[0]
+    return sorted(set(cuts or []))
+
+
+def with_next(docs: DataFrame, bucket_bytes: int = 4 << 20, most_buckets: int = 1 << 14) -> DataFrame:
+    """Each row of (doc_id, text) with its neighbour, by descending id, after the last the first:
+    bucket, place (in the bucket), doc_id, t, text, next_id, next_t and next_text. Rows of a
+    bucket are in one partition. Where ``most_buckets`` do not do, buckets are larger, and spill."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // ranges))
-    # Range 0 is that of the rows without an id; then they ascend with the id.
-    at = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.floor((F.col("doc_id") - low) / F.lit(width)).cast("int") + 1)
-    sums = rows.groupBy(at.alias("at")).agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.max(F.struct("doc_id", "t")).alias("top")).collect()  # a row a range
-    bucket, tops, held = {}, [], 0
-    for r in sorted(sums, key=lambda r: r.at):
-        if not tops or held + r.bytes > bucket_bytes:
-            tops.append(None)
-            held = 0
-        held += r.bytes
-        bucket[r.at] = len(tops) - 1
-        tops[-1] = r.top
-    n = len(tops) or 1
-    numbers = F.array(*(F.lit(bucket.get(i, 0)) for i in range(max(bucket, default=0) + 1)))
-    ids = F.array(*(F.lit(t.doc_id if t else None).cast("long") for t in tops or [None]))
-    hashes = F.array(*(F.lit(t.t if t else 0).cast("long") for t in tops or [None]))
-    own = F.element_at(numbers, at + 1)
-    rows = rows.withColumn("bucket", own)
+    bounds = _bucket_bounds(rows.select("doc_id", (F.octet_length("text") + 64).cast("long").alias("size")), bucket_bytes, most_buckets)
+    steps = F.array(*(F.lit(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1)))
+    cuts = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array(F.lit(None).cast("long"))
+    # How many cuts are at most the id, by halving; rows without an id are below them all.
+    below = F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s <= len(bounds)) & (F.try_element_at(cuts, i + s) <= F.col("doc_id")), i + s).otherwise(i))
+    at = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below + 1)
+    tops = {r.at: r.top for r in rows.select(at.alias("at"), F.struct("doc_id", "t").alias("row")).groupBy("at").agg(F.max("row").alias("top")).collect()}  # a row a bucket
+    number = {a: i for i, a in enumerate(sorted(tops))}
+    n = len(number) or 1
+    ordered = [tops[a] for a in sorted(tops)] or [None]
+    numbers = F.array(*(F.lit(number.get(i, 0)) for i in range(len(bounds) + 2)))
+    ids = F.array(*(F.lit(t.doc_id if t else None).cast("long") for t in ordered))
+    hashes = F.array(*(F.lit(t.t if t else 0).cast("long") for t in ordered))
+    rows = rows.withColumn("bucket", F.element_at(numbers, at + 1))
     first = F.col("doc_id").eqNullSafe(F.element_at(ids, F.col("bucket") + 1)) & (F.col("t") == F.element_at(hashes, F.col("bucket") + 1))
     home = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
     above = F.struct(F.pmod(F.col("bucket") + 1, F.lit(n)).alias("bucket"), F.lit(True).alias("guest"))
-    rows = rows.withColumn("goes", F.explode(F.when(first, F.array(home, above)).otherwise(F.array(home)))).select("doc_id", "text", "t", "goes.bucket", "goes.guest")
+    rows = rows.withColumn("goes", F.explode(F.when(first, F.array(home, above)).otherwise(F.array(home)))).select("goes.bucket", "goes.guest", "doc_id", "t", "text")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("t").desc())
-    return rows.withColumn("next_text", F.lead("text").over(order)).filter("not guest").select("doc_id", "text", "next_text")
+    rows = rows.repartition(n, "bucket").withColumn("place", F.row_number().over(order))
+    following = [F.lead(c).over(order).alias(f"next_{name}") for c, name in (("doc_id", "id"), ("t", "t"), ("text", "text"))]
+    return rows.select("*", *following).filter("not guest").drop("guest")
 
 
-def fingerprint_edits(docs: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_chars; edited_sha256 of the text whose last third is replaced by as much of
-    the next; both fingerprints; near_edited and near_next: the likeness to the edited and the next text."""
-    rows = with_next(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    third = F.floor(F.length("text") / 3).cast("int")
+def _edited(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of (text, next_text): n_chars, edited_sha256, and the digests a, e and b of the text, the
+    edited text and the next; other columns are those in ``keys``."""
+    third = F.expr("cast(floor(length(text) / 3) as int)")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(digests(F.col(c)).alias(k) for c, k in (("text", "a"), ("edited", "e"), ("next_text", "b"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = sum(np.diff(batch.column(c).offsets.to_numpy()) for c in "aeb")
-            ends = np.cumsum(size)
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _DIGESTS, "right")))
-                yield _compared(pa.RecordBatch.from_arrays([c.slice(at, to - at) for c in batch.columns], batch.schema.names), width)
-                at = to
-
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = rows.withColumn("edited", edited)
+    return rows.select(*keys, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(digests(F.col(c)).alias(k) for c, k in (("text", "a"), ("edited", "e"), ("next_text", "b"))))
+
+
+def _wider(rows: DataFrame, keys: list[str], room: int, seed: int, known: Column) -> DataFrame:
+    """The cells left of the differences that are not known yet (``to_edited`` and ``to_next`` are
+    null), after peeling sketches of ``room`` cells a part for each digest."""
+    wanted = []
+    for kind, name, other in ((TO_EDITED, "to_edited", "e"), (TO_NEXT, "to_next", "b")):
+        width = room * (F.size("a") + F.size(other)) + 16 * room
+        for sign, side in ((1, "a"), (-1, other)):
+            wanted.append((kind, width, sign, F.when(F.col(name).isNull(), F.col(side))))
+    cells = sketches(rows, keys, wanted, seed, known)
+    return peel(cells, keys, (TO_EDITED, TO_NEXT), 6, seed)
+
+
+def _likeness(differ: str, other: str) -> Column:
+    total = F.col("n_a") + F.col(other)
+    return F.when(total == 0, 1.0).otherwise((total - F.col(differ)) / (total + F.col(differ)))
+
+
+def fingerprint_edits(docs: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 4 << 20) -> DataFrame:
+    """Per row: doc_id, n_chars; edited_sha256 of the text whose last third is replaced by as much of
+    the next; both fingerprints; near_edited and near_next: the likeness to the edited and the next text.
+
+    Fingerprints of ``width`` (up to 80) cells a part are subtracted and peeled first; where they hold too little,
+    sketches with room for all digests are, and for what is left (rows in a hundred thousand) ever wider ones.
+    """
+    if PARTS * width > 255:
+        raise ValueError("a fingerprint has 255 cells at most")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keys = ["bucket", "place"]
+    names = ["doc_id", "t", "next_id", "next_t"]
+    rows = _edited(with_next(docs, bucket_bytes), keys + names)
+
+    cells = sketches(rows, keys, [(kind, F.lit(width), 1, F.col(c)) for kind, c in ((TEXT, "a"), (EDITED, "e"), (NEXT, "b"))])
+    cells = peel(subtract(cells, keys, {TO_EDITED: (TEXT, EDITED), TO_NEXT: (TEXT, NEXT)}), keys, (TO_EDITED, TO_NEXT), 3 * PARTS)
+    first = cells.groupBy(*keys).agg(_differing(TO_EDITED).alias("to_edited"), _differing(TO_NEXT).alias("to_next"), _fingerprint(TEXT).alias("fingerprint"), _fingerprint(EDITED).alias("edited_fingerprint"))
+
+    sizes = [F.size(c).alias(f"n_{c}") for c in "aeb"]
+    known = F.struct(*names, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "to_edited", "to_next", *sizes)
+    cells = _wider(rows.join(first, keys), keys, 4, PARTS, known)
+    found = cells.groupBy(*keys).agg(_differing(TO_EDITED).alias("e"), _differing(TO_NEXT).alias("x"), F.first("known", True).alias("known"))
+    columns = [*names, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "n_a", "n_e", "n_b"]
+    found = found.select(*(F.col(f"known.{c}").alias(c) for c in columns), F.coalesce("known.to_edited", "e").alias("to_edited"), F.coalesce("known.to_next", "x").alias("to_next"))
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+
+    open_ = found.filter("to_edited is null or to_next is null").select("row", *names, "to_edited", "to_next")
+    room, seed, later = 4, PARTS, None
+    while not open_.isEmpty():
+        room, seed = 2 * room, seed + PARTS
+        solved = written(_again(docs, open_, room, seed), "wider")
+        done = solved.filter("to_edited is not null and to_next is not null")
+        later = done if later is None else later.union(done)
+        open_ = open_.drop("to_edited", "to_next").join(solved.filter("to_edited is null or to_next is null"), "row")
+    if later is not None:
+        later = later.select("row", F.col("to_edited").alias("e"), F.col("to_next").alias("x"))
+        found = found.join(later, "row", "left").withColumns({"to_edited": F.coalesce("to_edited", "e"), "to_next": F.coalesce("to_next", "x")})
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", _likeness("to_edited", "n_e").alias("near_edited"), _likeness("to_next", "n_b").alias("near_next"))
+
+
+def _again(docs: DataFrame, open_: DataFrame, room: int, seed: int) -> DataFrame:
+    """(row, to_edited, to_next) of some rows with wider sketches; their texts are fetched by id and hash."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.select("i", "text", F.xxhash64("text").alias("h"))
+    for name, of in (("text", ("doc_id", "t")), ("next_text", ("next_id", "next_t"))):
+        wanted = open_.select(*of).distinct().toDF("d", "t")
+        own = texts.join(wanted, F.col("i").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t"))).groupBy("i", "h").agg(F.first("text").alias(name))
+        open_ = open_.join(own, F.col(of[0]).eqNullSafe(F.col("i")) & (F.col(of[1]) == F.col("h"))).drop("i", "h")
+    rows = _edited(open_, ["row", "to_edited", "to_next"])
+    cells = _wider(rows, ["row"], room, seed, F.struct("to_edited", "to_next"))
+    found = cells.groupBy("row").agg(_differing(TO_EDITED).alias("e"), _differing(TO_NEXT).alias("x"), F.first("known", True).alias("known"))
+    return found.select("row", F.coalesce("known.to_edited", "e").alias("to_edited"), F.coalesce("known.to_next", "x").alias("to_next"))

@@ -7,11 +7,13 @@ cumulative-link model with logistic link): P(grade <= j) = logistic(t_j - score)
 shared by all grades. The expected grade and the chance of at least ``least_grade`` follow.
 
 Weights and thresholds are fitted on the driver to at most ``sample_rows`` rated documents, those
-with the least hashes; all documents are graded by all of their text.
+with the least hashes, in ``epochs`` passes, whatever their number; all documents are graded by all
+of their text.
 
 Defined cases: a null or empty text has only the features of an empty text; rows without a
 rating, or with an id that is null, teach nothing; of several ratings of an id the least counts;
-without any rating the grade is null and every row is kept. Repeated rows are graded alike.
+without any rating the grade is null and every row is kept; a grade outside 0 to ``n_grades`` - 1 is
+an error. Repeated rows are graded alike. Only the id and the text are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -26,8 +28,7 @@ from pyspark.sql import functions as F
 
 from .words import ALNUM, LOWER, Words, mix, span_hashes, words_of
 
-BITS = 22
-_UPDATES = 120_000_000
+BITS = 20
 _WORD = ALNUM.copy()
 _WORD[0x41:0x5B] = True
 _MARK = np.zeros(256, bool)
@@ -95,44 +96,48 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.thresholds)
 
 
-def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int | None = None, rate: float = 0.1, decay: float = 1e-5, batch: int = 64, seed: int = 3) -> OrdinalModel:
-    """Likelihood by AdaGrad on mini-batches; grades count alike however often they come.
+def fit_ordinal(
+    features: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 150, rate: float = 0.1, decay: float = 1e-5, batch: int = 64, seed: int = 3
+) -> OrdinalModel:
+    """Likelihood by AdaGrad on mini-batches; rare grades count more, by a power of 0.75.
 
-    Few ratings take many passes and many take few: ``_UPDATES`` feature updates in all, in 25 to 300 passes.
+    Row i has features[bounds[i]:bounds[i + 1]].
     """
-    epochs = epochs or int(np.clip(_UPDATES // max(1, sum(map(len, features))), 25, 300))
     rng = np.random.default_rng(seed)
+    used, features = np.unique(features, return_inverse=True)
+    features = features.astype(np.int32)
+    n = np.diff(bounds)
     share = np.bincount(grades, minlength=n_grades)
     weight = (len(grades) / np.maximum(share, 1) / max(1, (share > 0).sum())) ** 0.75
-    w, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
+    w, squares = np.zeros(len(used)), np.full(len(used), 1e-6)
     start = np.cumsum(share)[:-1] / len(grades)
     raw = np.log(np.clip(start, 0.02, 0.98) / (1 - np.clip(start, 0.02, 0.98)))
     t = np.maximum.accumulate(raw + 1e-3 * np.arange(n_grades - 1))
     t_squares = np.full(n_grades - 1, 1e-6)
-    edge = lambda j, t: np.concatenate([[-np.inf], t, [np.inf]])[j]
     for _ in range(epochs):
         order = rng.permutation(len(grades))
         for i in range(0, len(order), batch):
             rows = order[i : i + batch]
-            n = np.array([len(features[r]) for r in rows])
-            index, owner = np.concatenate([features[r] for r in rows]), np.repeat(np.arange(len(rows)), n)
+            index, owner = np.concatenate([features[bounds[r] : bounds[r + 1]] for r in rows]), np.repeat(np.arange(len(rows)), n[rows])
             score = np.bincount(owner, w[index], len(rows))
-            y = grades[rows]
-            upper, lower = _sigmoid(edge(y + 1, t) - score), _sigmoid(edge(y, t) - score)
+            y, edges = grades[rows], np.concatenate([[-np.inf], t, [np.inf]])
+            upper, lower = _sigmoid(edges[y + 1] - score), _sigmoid(edges[y] - score)
             chance = np.maximum(upper - lower, 1e-9)
             up, down = upper * (1 - upper) / chance, lower * (1 - lower) / chance
             slope = weight[y] * (up - down)  # of the loss, by the score
-            used, inverse = np.unique(index, return_inverse=True)
-            g = np.bincount(inverse, slope[owner]) / len(rows) + decay * w[used]
-            squares[used] += g * g
-            w[used] -= rate * g / np.sqrt(squares[used])
+            g = np.bincount(index, slope[owner], len(used)) / len(rows)
+            g += decay * w * (g != 0)
+            squares += g * g
+            w -= rate * g / np.sqrt(squares)
             g = np.array([np.sum(weight[y] * ((y == j + 1) * down - (y == j) * up)) for j in range(n_grades - 1)]) / len(rows)
             t_squares += g * g
             t = np.maximum.accumulate(t - rate * g / np.sqrt(t_squares))
-    return OrdinalModel(w, t)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = w
+    return OrdinalModel(weights, t)
 
 
-def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int) -> OrdinalModel | None:
+def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int, epochs: int) -> OrdinalModel | None:
     """A model of at most ``sample_rows`` rows of (doc_id, text) that (doc_id, grade) rates."""
     known = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_rows)
@@ -144,21 +149,23 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows:
                 part = batch.slice(first, len(bounds) - 1)
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("grade"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(index, pa.int32()))], ["h", "grade", "features"])
 
-    table = rows.select("h", "grade", "text").mapInArrow(run, "h long, grade int, features array<int>").orderBy("h", "grade").limit(sample_rows).toPandas()
-    grades = table["grade"].to_numpy().astype(np.int64)
-    if not len(grades):
+    table = rows.select("h", "grade", "text").mapInArrow(run, "h long, grade int, features array<int>").orderBy("h", "grade").limit(sample_rows).toArrow()
+    if not table.num_rows:
         return None
+    grades = table.column("grade").to_numpy().astype(np.int64)
     if grades.min() < 0 or grades.max() >= n_grades:
         raise ValueError(f"grades must lie between 0 and {n_grades - 1}")
-    return fit_ordinal([np.asarray(f, np.int64) for f in table["features"]], grades, n_grades)
+    lists = table.column("features").combine_chunks()
+    bounds = np.cumsum(np.append(0, np.diff(lists.offsets.to_numpy())))
+    return fit_ordinal(lists.flatten().to_numpy(), bounds, grades, n_grades, epochs)
 
 
-def grade_documents(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, least_grade: int | None = None, chance: float = 0.5, sample_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grade_documents(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, least_grade: int | None = None, chance: float = 0.5, sample_rows: int = 8000, epochs: int = 150, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, expected_grade, at_least (P(grade >= j) for j from 1), tail_probability
     (P(grade >= least_grade), by default the highest) and kept: whether it reaches ``chance``."""
     least = n_grades - 1 if least_grade is None else least_grade
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(texts, ratings, n_grades, sample_rows))
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(texts, ratings, n_grades, sample_rows, epochs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

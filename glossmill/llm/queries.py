@@ -61,9 +61,11 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Toxic texts are of grade 0, poor ones of grade 1, all others of grade 2.
-    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
-    ratings = _table(spark, sf_dir, "labels").filter("toxic is not null and quality is not null").select("doc_id", grade.alias("grade"))
+    # Toxic texts are of grade 0, poor ones of grade 1, all others of grade 2; a text that is not
+    # known to be toxic or not, or else not to be poor or not, has no grade and teaches nothing.
+    toxic, good = F.col("toxic"), F.col("quality")
+    grade = F.when(toxic == 1, 0).when((toxic == 0) & (good == 0), 1).when((toxic == 0) & (good == 1), 2)
+    ratings = _table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
     found = quality.grade_documents(_table(spark, sf_dir, "documents"), ratings, n_grades=3)
     return found.select("doc_id", "expected_grade", "tail_probability", F.expr("1 - at_least[0]").alias("toxic_probability"), "kept")
 

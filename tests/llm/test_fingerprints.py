@@ -4,7 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.llm.fingerprints import PARAGRAPH, fingerprint_edits, peel, sketch, subtract, with_next
+from glossmill.llm import fingerprints
+from glossmill.llm.fingerprints import FOUND, NEXT, PARAGRAPH, TEXT, TO_NEXT, fingerprint_edits, peel, sketches, subtract, with_next
 
 
 def ordered(docs):
@@ -52,21 +53,42 @@ def test_same_as_brute_force(make_docs, docs):
 
 
 def test_neighbours_across_buckets(make_docs, docs):
-    rows = ordered(docs)
-    expected = sorted(((d, t or "", rows[(i + 1) % len(rows)][1] or "") for i, (d, t) in enumerate(rows)), key=str)
-    for size in (1, 2000, 1 << 30):
-        found = with_next(make_docs(docs), bucket_bytes=size, ranges=50)
-        assert sorted((tuple(r) for r in found.collect()), key=str) == expected
+    for some in (docs, [(d, t) for d, t in docs if d != 10**12] + [(-9 * 10**18, "low"), (9 * 10**18, "high"), (9 * 10**18 + 1, "higher")]):
+        rows = ordered(some)
+        expected = sorted(((d, t or "", rows[(i + 1) % len(rows)][1] or "") for i, (d, t) in enumerate(rows)), key=str)
+        for size in (100, 2000, 1 << 30):
+            found = with_next(make_docs(some), bucket_bytes=size).select("bucket", "doc_id", "text", "next_text").collect()
+            assert sorted((tuple(r[1:]) for r in found), key=str) == expected
+            assert len({r.bucket for r in found}) > {100: 60, 2000: 8, 1 << 30: 0}[size]
 
 
 def test_peeling_recovers_both_sides(spark):
-    rows = [(list(range(i, i + 30)), list(range(i + 3, i + 32))) for i in range(200)]
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
-    found = df.select("a", "b", peel(subtract(sketch(F.col("a"), 6), sketch(F.col("b"), 6)), 6).alias("d")).collect()
-    full = [r for r in found if r.d is not None]
+    rows = [(i, list(range(i, i + 30)), list(range(i + 3, i + 32))) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    cells = sketches(df, ["i"], [(kind, F.lit(6), 1, F.col(c)) for kind, c in ((TEXT, "a"), (NEXT, "b"))])
+    cells = peel(subtract(cells, ["i"], {TO_NEXT: (TEXT, NEXT)}), ["i"], (TO_NEXT,), 9, keep=True).filter(F.col("kind") == TO_NEXT)
+    found = {}
+    for r in cells.collect():
+        found.setdefault(r.i, []).append((r.cell, r.digest, r.n))
+    full = {i: x for i, x in found.items() if all(c == FOUND for c, _, _ in x)}
     assert len(full) > 150
-    for r in full:
-        assert {x.k for x in r.d if x.n == 1} == set(r.a) - set(r.b) and {x.k for x in r.d if x.n == -1} == set(r.b) - set(r.a)
+    for i, a, b in rows:
+        if i in full:
+            assert {(k, n) for _, k, n in full[i]} == {(k, 1) for k in set(a) - set(b)} | {(k, -1) for k in set(b) - set(a)}
+
+
+def test_what_is_left_goes_to_wider_sketches(make_docs, docs, monkeypatch):
+    """With room for too few digests many rows are left over, again and again."""
+    wider = fingerprints._wider
+    monkeypatch.setattr(fingerprints, "_wider", lambda rows, keys, room, seed, known: wider(rows, keys, F.lit(room) / 48, seed, known))
+    monkeypatch.setattr(fingerprints, "_place", lambda key, width, part, seed: F.pmod(F.xxhash64(key, F.lit(seed + part)), F.greatest(width.cast("long"), F.lit(1))) + F.greatest(width.cast("long"), F.lit(1)) * part)
+    assert got(fingerprint_edits(make_docs(docs)).collect()) == brute(docs)
+
+
+def test_no_cell_is_shuffled(make_docs, docs):
+    cells = sketches(with_next(make_docs(docs)).withColumn("a", F.array("t")), ["bucket", "place"], [(TEXT, F.lit(4), 1, F.col("a"))])
+    plan = peel(cells, ["bucket", "place"], (TEXT,), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Python") == 0
 
 
 def test_one_row_and_none(make_docs):

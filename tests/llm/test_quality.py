@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from glossmill.llm.quality import OrdinalModel, fit_ordinal, grade_documents
 
@@ -44,8 +46,26 @@ def test_thresholds_follow_the_grades():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 9, 3000)
     grades = np.digitize(x + rng.normal(0, 0.3, 3000), [3, 6])
-    model = fit_ordinal([np.arange(100, 100 + k + 1) for k in x], grades, 3, epochs=30)
+    bounds = np.cumsum(np.append(0, x + 1))
+    model = fit_ordinal(np.concatenate([np.arange(100, 100 + k + 1) for k in x]), bounds, grades, 3, epochs=30)
     assert model.thresholds[0] < model.thresholds[1]
     p = model.at_least(np.concatenate([np.arange(100, 100 + k + 1) for k in range(9)]), np.cumsum([0, *range(1, 10)]))
     assert ((p.sum(axis=1).round().astype(int)) == [0, 0, 0, 1, 1, 1, 2, 2, 2]).sum() >= 7
     assert np.allclose(OrdinalModel(np.zeros(4), np.array([0.0])).at_least(np.array([], int), np.array([0, 0])), 0.5)
+
+
+def test_a_grade_out_of_range_is_an_error(spark, make_docs):
+    with pytest.raises(ValueError):
+        grade_documents(make_docs([(1, "a b")]), spark.createDataFrame([(1, 3)], "doc_id long, grade int"))
+
+
+def test_graded_labels_of_the_tables(spark):
+    """Held-out accuracy on the tables: fitted without every third label, which is then graded."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    rated = labels.select("doc_id", grade.alias("grade")).filter("doc_id is not null")
+    found = grade_documents(docs, rated.filter("doc_id % 3 != 0"))
+    rows = found.join(rated.filter("doc_id % 3 = 0"), "doc_id").collect()
+    means = [np.mean([r.expected_grade for r in rows if r.grade == k]) for k in range(3)]
+    assert means[0] < means[1] < means[2]
+    assert np.mean([round(r.expected_grade) == r.grade for r in rows]) > 0.7
