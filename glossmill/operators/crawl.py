@@ -107,6 +107,47 @@ def judged_pages(pages: DataFrame, keywords: list[str], id_col: str = "page_id",
     return rows.withColumn("status", status).drop("_first")
 
 
+def recomputed(links: DataFrame, pages: DataFrame, keywords: list[str], search: str = "breadth", priority_domain: str | None = None) -> DataFrame:
+    """Crawl links (url, anchor, level, status, priority, relevance) with the priority of those New, if
+    above 0, and the relevance of those Done that have a page (url, text) worked out anew."""
+    scored = priority(links, keywords, search, priority_domain).select("url", F.col("priority").alias("_priority")).dropDuplicates(["url"])
+    judged = pages.groupBy("url").agg(F.min("text").alias("_text")).select("url", relevancy(F.col("_text"), keywords).alias("_relevance"))
+    rows = links.join(scored, "url", "left").join(judged, "url", "left")
+    rows = rows.withColumn("priority", F.when((F.col("status") == "New") & (F.col("priority") > 0), F.col("_priority")).otherwise(F.col("priority")))
+    done = (F.col("status") == "Done") & F.col("_relevance").isNotNull()
+    return rows.withColumn("relevance", F.when(done, F.col("_relevance")).otherwise(F.col("relevance"))).select(links.columns)
+
+
+def status_log(events: DataFrame) -> DataFrame:
+    """(crawl, log): the messages of each crawl (crawl, spider, at, message) in order of time, each as
+    ``Sn h:mm:ss => message``, parted by marks."""
+    entry = F.concat(F.lit("S"), F.col("spider").cast("string"), F.lit(" "), F.date_format("at", "H:mm:ss"), F.lit(" => "), F.col("message"))
+    rows = events.groupBy("crawl").agg(F.array_sort(F.collect_list(F.struct("at", "spider", entry.alias("e")))).alias("rows"))
+    return rows.select("crawl", F.array_join(F.transform("rows", lambda r: r["e"]), " ### ").alias("log"))
+
+
+def within_limits(visits: DataFrame, most_urls: int | None = None, most_hours: float | None = None) -> DataFrame:
+    """The visits (crawl, url, at) that a crawl's limits allow: its first ``most_urls`` by time, and none
+    later than ``most_hours`` after its first."""
+    order = Window.partitionBy("crawl").orderBy("at", "url")
+    rows = visits.withColumn("_k", F.row_number().over(order)).withColumn("_first", F.min("at").over(Window.partitionBy("crawl")))
+    if most_urls is not None:
+        rows = rows.filter(F.col("_k") <= most_urls)
+    if most_hours is not None:
+        rows = rows.filter(F.unix_timestamp(F.col("at").cast("timestamp")) - F.unix_timestamp(F.col("_first").cast("timestamp")) <= most_hours * 3600)
+    return rows.drop("_k", "_first")
+
+
+def restarted(links: DataFrame, blocked: list[str] | None = None, selected: list[str] | None = None) -> DataFrame:
+    """Links as a crawl finds them when it starts: those left in Visiting are New, those of blocked or not selected sites go."""
+    rows = links.withColumn("status", F.when(F.col("status") == "Visiting", "New").otherwise(F.col("status")))
+    if blocked:
+        rows = rows.filter(~site_of(F.col("url")).isin(blocked))
+    if selected:
+        rows = rows.filter(site_of(F.col("url")).isin(selected))
+    return rows
+
+
 def allowed_links(links: DataFrame, seen: DataFrame, site_quota: int | None = None, blocked: list[str] | None = None, selected: list[str] | None = None, most_slashes: int | None = None) -> DataFrame:
     """New links (url, ...): not seen, of allowed sites, not too deep, within the quota of their site (best priority first)."""
     rows = links.withColumn("site", site_of(F.col("url"))).join(seen.select("url").distinct(), "url", "left_anti")

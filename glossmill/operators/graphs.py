@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Rounds, written
@@ -35,6 +35,28 @@ def components(edges: DataFrame) -> DataFrame:
         now = rounds.written(_toward_least(large, False).filter("u != v").distinct())
 
 
+def dense_clusters(edges: DataFrame, members: DataFrame, share: float, most_rounds: int = 1000) -> DataFrame:
+    """(node, cluster) of clusters whose every member is linked with ``share`` of the others: 0.5 for
+    half, 1.0 for all. ``members`` is (node, cluster) to begin with, such as components or stars.
+
+    In each round the members of least share below it leave their cluster, to be alone (null).
+    """
+    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).filter("node != other").distinct(), "both")
+    rounds = Rounds(edges.sparkSession, "clusters")
+    now = rounds.written(members.select("node", "cluster").filter("cluster is not null"))
+    for _ in range(most_rounds):
+        n = F.count("*").over(Window.partitionBy("cluster"))
+        held = now.withColumnRenamed("cluster", "c").join(both, "node").join(now.select(F.col("node").alias("other"), F.col("cluster").alias("c")), ["other", "c"]).groupBy("node").agg(F.count("*").alias("links"))
+        rows = now.join(held, "node", "left").withColumn("n", n).withColumn("share", F.when(F.col("n") > 1, F.coalesce("links", F.lit(0)) / (F.col("n") - 1)).otherwise(F.lit(0.0)))
+        rows = rows.withColumn("least", F.min("share").over(Window.partitionBy("cluster")))
+        stays = (F.col("share") >= share - 1e-9) | (F.col("share") > F.col("least"))
+        new = rounds.written(rows.filter((F.col("n") > 1) & stays).select("node", "cluster"))
+        if new.count() == now.count():
+            break
+        now = new
+    return members.select("node").distinct().join(new, "node", "left")
+
+
 def star_clusters(edges: DataFrame, weights: DataFrame) -> DataFrame:
     """(node, lead): leads are nodes heavier than all free neighbours; the others join their heaviest lead.
 

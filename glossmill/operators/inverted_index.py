@@ -49,18 +49,25 @@ def _term_condition(query: str, fuzzy: bool) -> Column | None:
         word = "".join(c for c in part if (c.isascii() and c.isalnum()) or c == "*")
         if not word.strip("*"):
             continue
+        start = word.split("*")[0][:2]
         if fuzzy:
             one = F.col("term").contains(word.replace("*", ""))
         elif "*" in word:
             one = F.col("term").like(word.replace("*", "%"))
+            if start:
+                one = one & F.col("prefix").startswith(start)
         else:
-            one = F.col("term") == word
+            one = (F.col("prefix") == start) & (F.col("term") == word)
         out = one if out is None else out | one
     return out
 
 
 def retrieve(index: DataFrame, query: str, fuzzy: bool = False) -> DataFrame:
-    """(doc_id, weight): documents with any word of the query and the sum of their counts."""
+    """(doc_id, weight): documents with any word of the query and the sum of their counts.
+
+    Of an index in folders by prefix only those of the words are read; a fuzzy search, or a word
+    that begins with a wildcard, reads all of them.
+    """
     wanted = _term_condition(query, fuzzy)
     found = index.filter(F.lit(False)) if wanted is None else index.filter(wanted)
     return found.groupBy("doc_id").agg(F.sum("tf").alias("weight"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import cosine
 from ..functions.text import content_digest, content_words
+from .inverted_index import page, search
 from .vectors import frequency_vectors, l1_normalized, strongest, unit_vectors
 
 # Field weights, limits.
@@ -62,16 +64,16 @@ def nearest_centroid(vectors: DataFrame, centres: DataFrame, least: float = LEAS
     return found.select("doc_id", F.when(near, F.col("b.category").cast("string")).otherwise(F.lit(MISCELLANEOUS)).alias("category"), F.coalesce("b.sim", F.lit(0.0)).alias("sim"))
 
 
-def moved_centroid(centroid: Column, size: Column, vector: Column, length: Column, add: bool = True, delta: float = 0.0, terms: int = VECTOR_TERMS) -> Column:
+def moved_centroid(centroid: Column, size: Column, vector: Column, length: Column, add: bool = True, delta: float | Column = 0.0, terms: int = VECTOR_TERMS) -> Column:
     """A map<string,double> after a message joined or left its category.
 
     The message weighs length * (1 + delta) / (size +- length), the centroid the rest; terms of
     little weight go, the strongest stay, and weights sum to 1.
     """
     if add:
-        w = length * (1.0 + delta) / (size + length)
+        w = F.least(length * (1.0 + delta) / (size + length), F.lit(1.0))
     else:
-        w = F.when(size > length, length * (1.0 + delta) / (size - length)).otherwise(F.lit(1.0))
+        w = F.when(size > length, F.least(length * (1.0 + delta) / (size - length), F.lit(1.0))).otherwise(F.lit(1.0))
     own = F.transform_values(centroid, lambda _, v: v * (1 - w))
     other = F.transform_values(vector, lambda _, v: v * w)
     if add:
@@ -102,6 +104,71 @@ def fresh_messages(incoming: DataFrame, archive: DataFrame | None = None) -> Dat
     return rows.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
 
 
+def archived(incoming: DataFrame, centres: DataFrame, archive: DataFrame | None = None, edges: DataFrame | None = None) -> dict[str, DataFrame]:
+    """New messages filed: ``messages`` with digest and category, their ``vectors``, and the ``edges`` of the
+    network with the new messages added to the counts it had."""
+    rows = fresh_messages(incoming, archive)
+    vectors = message_vectors(rows)
+    found = nearest_centroid(vectors, centres).select(F.col("doc_id").alias("id"), "category")
+    placed = rows.drop("category").join(found, "id", "left").withColumn("category", F.coalesce("category", F.lit(MISCELLANEOUS)))
+    return {"messages": placed, "vectors": vectors, "edges": added_edges(network_edges(rows), edges)}
+
+
+def added_edges(new: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(source, target, n): counts of a stored network and new ones summed."""
+    both = new if edges is None else edges.select("source", "target", "n").unionByName(new)
+    return both.groupBy("source", "target").agg(F.sum("n").alias("n"))
+
+
+def recategorised(centroids_: DataFrame, moves: DataFrame) -> DataFrame:
+    """(category, centroid, size) after messages moved: ``moves`` is (old, new, vector map, length), one
+    row a message, ``centroids_`` (category, centroid map, size).
+
+    A message weighs more the more its likeness to the two differs; those that one category loses or wins
+    are taken as one message of their mean vector, so the order of moves does not matter.
+    """
+    own = centroids_.select("category", "centroid", "size")
+    old = own.select(F.col("category").alias("old"), F.col("centroid").alias("_from"))
+    new = own.select(F.col("category").alias("new"), F.col("centroid").alias("_to"))
+    rows = moves.filter("old != new").join(old, "old", "left").join(new, "new", "left")
+    none = F.create_map().cast("map<string,double>")
+    delta = F.abs(cosine("vector", F.coalesce("_from", none)) - cosine("vector", F.coalesce("_to", none)))
+    rows = rows.withColumn("delta", delta)
+    every = rows.select(F.col("old").alias("category"), F.lit(False).alias("add"), "vector", "length", "delta").union(rows.select("new", F.lit(True), "vector", "length", "delta"))
+    total = every.groupBy("category", "add").agg(F.sum("length").alias("length"), F.avg("delta").alias("delta"), F.count("*").alias("n"))
+    terms = every.select("category", "add", F.explode("vector").alias("term", "w")).groupBy("category", "add", "term").agg(F.sum("w").alias("w"))
+    terms = terms.join(total, ["category", "add"]).groupBy("category", "add", "length", "delta").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", F.col("w") / F.col("n"))))).alias("vector"))
+    out = own
+    for add in (False, True):
+        side = terms.filter(F.col("add") == add).select("category", "vector", "length", "delta")
+        moved = moved_centroid(F.col("centroid"), F.col("size"), F.col("vector"), F.col("length"), add, F.col("delta"))
+        size = F.col("size") + F.col("length") * (1 if add else -1)
+        out = out.join(side, "category", "left").select("category", F.when(F.col("vector").isNull() | (F.col("category") == MISCELLANEOUS), F.col("centroid")).otherwise(moved).alias("centroid"), F.when(F.col("vector").isNull(), F.col("size")).otherwise(F.greatest(size, F.lit(0))).alias("size"))
+    return out
+
+
+def message_filter(statuses: list[str] | None = None, categories: list | None = None, start: str | None = None, end: str | None = None, at: str = "at") -> Column:
+    """A condition on messages (status, category, deleted, at): not deleted, of these statuses and
+    categories (None: all), and strictly between two times; messages without a time count where none is asked."""
+    out = ~F.coalesce(F.col("deleted"), F.lit(False))
+    if statuses is not None:
+        out = out & F.coalesce(F.lower("status").isin([s.lower() for s in statuses]), F.lit(False))
+    if categories is not None:
+        out = out & F.coalesce(F.col("category").isin(categories), F.lit(False))
+    if start is not None:
+        out = out & (F.col(at) > F.lit(start).cast("timestamp"))
+    if end is not None:
+        out = out & (F.col(at) < F.lit(end).cast("timestamp"))
+    return out
+
+
+def search_messages(messages: DataFrame, index: DataFrame, query: str, where: Column | None = None, fuzzy: bool = False, number: int = 1, size: int = 10) -> DataFrame:
+    """A page of the messages that satisfy a query and ``where`` (``message_filter``), the latest first,
+    with weight and position. ``index`` is a stored index: of it only the folders of the words are read."""
+    found = search(messages, index, query, fuzzy, message_filter() if where is None else where, "id")
+    return page(found, number, size, [F.desc("at"), F.asc("id")])
+
+
 def addresses(field: Column) -> Column:
     """array<struct<name,address>> of a header field; commas inside quotes do not part."""
     parts = F.regexp_extract_all(field, F.lit(r'((?:"[^"]*"|[^,"])+)'), 1)
@@ -115,7 +182,7 @@ def addresses(field: Column) -> Column:
 
 
 def network_edges(messages: DataFrame, sender: str = "sender", recipient: str = "recipient") -> DataFrame:
-    """(source, target, n): directed counts of messages between addresses."""
+    """(source, target, n): directed counts of messages between addresses; ``added_edges`` sums them with stored ones."""
     rows = messages.select(F.explode(addresses(F.col(sender))).alias("s"), F.col(recipient).alias("r")).select("s", F.explode(addresses(F.col("r"))).alias("t"))
     return rows.groupBy(F.col("s.address").alias("source"), F.col("t.address").alias("target")).agg(F.count("*").alias("n"))
 

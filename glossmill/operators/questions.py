@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from .vectors import cosine_pairs, related, strongest, term_frequencies, tfidf_vectors, truncated_weights
 
 # N-gram and match weights, the shape of the answer-type network.
 GRAM_WEIGHTS = {1: 1.0, 2: 1.5, 3: 4.0}
@@ -46,6 +47,66 @@ def answer_scores(parts: DataFrame, queries: DataFrame, key: str = "doc_id", tex
     return found.join(parts.select(key, bonus.alias("_bonus")), key).withColumn("score", F.col("score") + F.coalesce("_bonus", F.lit(0.0))).drop("_bonus")
 
 
+def expanded_query(neighbours: DataFrame) -> DataFrame:
+    """(query_id, word, weight): the weights that all of a query's nouns (``neighbour_weights`` of each,
+    with its ``seed``) give to a word, summed."""
+    return neighbours.groupBy("query_id", "word").agg(F.sum("weight").alias("weight"))
+
+
+def sentence_scores(
+    parts: DataFrame, queries: DataFrame, idf: DataFrame, collocations: DataFrame, wanted: DataFrame, entities: DataFrame, nouns: DataFrame, key: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(query_id, key, score) of answer sentences in full: the share of the query's idf mass (``idf`` is
+    term, idf; terms of collocations count double), pairs and runs of three by their share, 8 where the
+    sentence has an entity (key, type) of a type that is wanted (query_id, type), and 16 times the share of
+    the weight of the query's nouns (query_id, word, weight) that it holds."""
+    asked = query_grams(queries)
+    known = asked.filter("size = 1").join(idf.select(F.col("term").alias("gram"), "idf"), "gram")
+    twice = collocations.select(F.explode(F.split(F.lower("phrase"), "[ _]+")).alias("gram")).distinct().withColumn("k", F.lit(2.0))
+    known = known.join(twice, "gram", "left").withColumn("mass", F.col("idf") * F.coalesce("k", F.lit(1.0)))
+    total = known.groupBy("query_id").agg(F.sum("mass").alias("all"))
+    single = known.join(total, "query_id").filter("all > 0").select("query_id", "gram", (GRAM_WEIGHTS[1] * F.col("mass") / F.col("all")).alias("w"))
+    sizes = asked.groupBy("query_id", "size").agg(F.count("*").alias("n"))
+    longer = asked.filter("size > 1").join(sizes, ["query_id", "size"])
+    longer = longer.select("query_id", "gram", (F.when(F.col("size") == 2, GRAM_WEIGHTS[2]).otherwise(GRAM_WEIGHTS[3]) / F.col("n")).alias("w"))
+    all_nouns = nouns.groupBy("query_id").agg(F.sum("weight").alias("all"))
+    noun = nouns.join(all_nouns, "query_id").filter("all > 0").select("query_id", F.lower("word").alias("gram"), (NOUN_WEIGHT * F.col("weight") / F.col("all")).alias("w"))
+    held = query_grams(parts, key, text_col).select(F.col("query_id").alias(key), "gram")
+    grams = held.join(single.union(longer).union(noun), "gram").select("query_id", key, "w")
+    types = entities.select(key, "type").distinct().join(wanted.distinct(), "type").select("query_id", key).distinct().withColumn("w", F.lit(ENTITY_WEIGHT))
+    return grams.union(types).groupBy("query_id", key).agg(F.sum("w").alias("score"))
+
+
+def training_patterns(questions_: DataFrame, profile: DataFrame, actual: DataFrame, positive: int = 2, negative_share: float = 0.25) -> DataFrame:
+    """(question_id, category, s1..s5, label): the likeness of a question's terms (question_id, kind, term,
+    weight) of five kinds to each category's (``category_profile``). Patterns of the actual category
+    (question_id, category) come ``positive`` times, of the others so large a share, chosen by hash."""
+    kinds = ["phrase", "cat_term", "iword", "noun", "vector"]
+
+    def unit(rows: DataFrame, keys: list[str]) -> DataFrame:
+        norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys, "kind")))
+        return rows.select(*keys, "kind", "term", (F.col("weight") / norm).alias("w")).filter("w is not null")
+
+    a = unit(questions_, ["question_id"])
+    b = unit(profile, ["category"]).withColumnRenamed("w", "v")
+    sims = a.join(b, ["kind", "term"]).groupBy("question_id", "category", "kind").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+    wide = sims.groupBy("question_id", "category").pivot("kind", kinds).agg(F.first("s"))
+    categories = sorted(r.category for r in profile.select("category").distinct().collect())  # a row an answer type
+    pairs = questions_.select("question_id").distinct().withColumn("category", F.explode(F.array(*map(F.lit, categories)).cast("array<string>")))
+    rows = pairs.join(wide, ["question_id", "category"], "left").join(actual.select("question_id", F.col("category").alias("_actual")), "question_id")
+    rows = rows.select("question_id", "category", *(F.coalesce(k, F.lit(0.0)).alias(f"s{i}") for i, k in enumerate(kinds, 1)), (F.col("category") == F.col("_actual")).alias("label"))
+    chosen = F.pmod(F.xxhash64("question_id", "category"), F.lit(10_000)) < int(negative_share * 10_000)
+    times = F.when(F.col("label"), positive).otherwise(F.when(chosen, 1).otherwise(0))
+    return rows.withColumn("_t", F.explode(F.array_repeat(F.lit(1), times))).drop("_t")
+
+
+def faq_entries(faqs: DataFrame, terms: int = 250, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Of questions (doc_id, text): their idf vectors of the ``terms`` strongest terms, cut to three decimals, and
+    (doc_id, rank, other, sim) of the ``k`` most similar questions of each."""
+    vectors = truncated_weights(strongest(tfidf_vectors(term_frequencies(faqs)), terms).drop("rank"))
+    return vectors, related(cosine_pairs(vectors), k)
+
+
 def best_answers(scores: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
     """The k best parts of each query, with ``rank``."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)

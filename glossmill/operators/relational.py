@@ -18,6 +18,29 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list[st
     return table.join(changes.select(*keys).distinct(), keys, "left_anti").select(table.columns).unionByName(changes)
 
 
+def removed(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The table less the rows of these keys."""
+    return table.join(gone.select(*keys).distinct(), keys, "left_anti").select(table.columns)
+
+
+def checked_numbers(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose texts in ``columns`` are all numbers or null, and the others."""
+    good = reduce(lambda a, b: a & b, (F.col(c).isNull() | F.col(c).rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$") for c in columns), F.lit(True))
+    return rows.filter(good), rows.filter(~good)
+
+
+def unique_or_rejected(table: DataFrame, changes: DataFrame, key: str, unique: str) -> tuple[DataFrame, DataFrame]:
+    """The table with changes by ``key``, and the changes that were not made because another row, of the
+    table or an earlier change (lesser key), has their value of ``unique`` (as sources have one address each)."""
+    held = table.select(F.col(key).alias("_k"), F.col(unique).alias("_u"))
+    order = Window.partitionBy(unique).orderBy(key)
+    rows = changes.withColumn("_r", F.row_number().over(order))
+    clash = rows.join(held, (F.col(unique) == F.col("_u")) & (F.col(key) != F.col("_k")), "left_semi").select(F.col(key).alias("_c")).union(rows.filter("_r > 1").select(key)).distinct()
+    good = changes.join(clash, F.col(key) == F.col("_c"), "left_anti")
+    bad = changes.join(clash, F.col(key) == F.col("_c"), "left_semi")
+    return upsert(table, good, [key]), bad
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: one aggregation, without sorting the groups."""
     others = [c for c in rows.columns if c not in keys]

@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 
 # Tags of function words, which decide by themselves.
 FUNCTION_TAGS = "cipod"
-MOST_RULES = 200_000
+
+
+def with_bases(lexicon: DataFrame, bases: DataFrame) -> DataFrame:
+    """The lexicon, and for words that it lacks the tags of their base words (word, base, pos), counted once."""
+    more = bases.join(lexicon.select("word").distinct(), "word", "left_anti").select("word", F.col("pos").alias("tag"), F.lit(1).cast("long").alias("n"))
+    return lexicon.select("word", "tag", F.col("n").cast("long").alias("n")).union(more.distinct())
 
 
 def candidate_tags(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -39,43 +44,35 @@ def candidate_tags(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return rows.withColumn("candidates", F.transform(found, lambda c: F.struct(c["tag"].alias("tag"), (-c["m"]).alias("n")))).drop("_low", "word", "known")
 
 
-def _resolve(tokens: list[str], candidates: list[list[dict]], back: dict, ahead: dict) -> list[str]:
-    tags = ["".join(c["tag"] for c in options) for options in candidates]
-    for i, options in enumerate(candidates):
+def _resolve(sentence: list[dict]) -> list[str]:
+    """Tags from left to right; each token brings its candidates and the rules of its word."""
+    tags = ["".join(c["tag"] for c in x["candidates"]) for x in sentence]
+    for i, x in enumerate(sentence):
         if len(tags[i]) == 1:
             continue
-        word = tokens[i].lower()
         tried = []
-        if i + 1 < len(tokens):
-            tried += [(f, t) for t, other, f in back.get(word, ()) if other in tags[i + 1]]
-        if i:
-            tried += [(f, t) for t, other, f in ahead.get(word, ()) if other in tags[i - 1]]
-        fixed = [c["tag"] for c in options if c["tag"] in FUNCTION_TAGS]
-        usual = fixed[-1] if fixed else options[0]["tag"]
-        tags[i] = min(tried, key=lambda x: (-x[0], x[1]))[1] if tried else usual
+        for r in x["rules"] if x["rules"] is not None else ():
+            beside = i + 1 if r["kind"] == "WB" else i - 1
+            if 0 <= beside < len(sentence) and r["other"] in tags[beside]:
+                tried.append((-r["frequency"], r["tag"]))
+        fixed = [c["tag"] for c in x["candidates"] if c["tag"] in FUNCTION_TAGS]
+        tags[i] = min(tried)[1] if tried else fixed[-1] if fixed else x["candidates"][0]["tag"]
     return tags
 
 
 def tag_sentences(tokens: DataFrame, lexicon: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, sent, tokens, tags): one row a sentence. Rules go to all tasks; over MOST_RULES is an error."""
-    found = candidate_tags(tokens, lexicon).groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "candidates"))).alias("t"))
-    table = rules.limit(MOST_RULES + 1).collect()
-    if len(table) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    back: dict[str, list] = {}
-    ahead: dict[str, list] = {}
-    for r in table:
-        if r.kind == "WB":
-            back.setdefault(r.part1, []).append((r.tag, r.part2, r.frequency))
-        else:
-            ahead.setdefault(r.part2, []).append((r.tag, r.part1, r.frequency))
-    shared = tokens.sparkSession.sparkContext.broadcast((back, ahead))
+    """(doc_id, sent, tokens, tags): one row a sentence. A token meets the rules of its word by join."""
+    other = F.when(F.col("kind") == "WB", F.col("part2")).otherwise(F.col("part1")).alias("other")
+    word = F.when(F.col("kind") == "WB", F.col("part1")).otherwise(F.col("part2")).alias("_word")
+    by_word = rules.select(word, F.struct("kind", other, "tag", "frequency").alias("r")).groupBy("_word").agg(F.array_sort(F.collect_list("r")).alias("rules"))
+    rows = candidate_tags(tokens, lexicon).withColumn("_low", F.lower("token"))
+    known = F.when(F.size("candidates") > 1, F.col("rules")).alias("rules")  # others need none
+    found = rows.join(by_word, F.col("_low") == F.col("_word"), "left").select("doc_id", "sent", F.struct("pos", "token", "candidates", known).alias("t"))
+    found = found.groupBy("doc_id", "sent").agg(F.sort_array(F.collect_list("t")).alias("t"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            words = [[x["token"] for x in t] for t in part["t"]]
-            tags = [_resolve(w, [list(x["candidates"]) for x in t], *shared.value) for w, t in zip(words, part["t"], strict=True)]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "sent": part["sent"], "tokens": words, "tags": tags})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "sent": part["sent"], "tokens": [[x["token"] for x in t] for t in part["t"]], "tags": [_resolve(list(t)) for t in part["t"]]})
 
     id_type = tokens.schema["doc_id"].dataType.simpleString()
     return found.mapInPandas(run, f"doc_id {id_type}, sent {tokens.schema['sent'].dataType.simpleString()}, tokens array<string>, tags array<string>")

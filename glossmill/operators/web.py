@@ -33,6 +33,7 @@ class _Page(HTMLParser):
         self.images: list[str] = []
         self.weighted: dict[int, str] = {}
         self.link: str | None = None
+        self.error: str | None = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         at = {k: v or "" for k, v in attrs}
@@ -78,14 +79,19 @@ class _Page(HTMLParser):
 
 
 def parse_page(html: str | None) -> _Page:
+    """The page as far as it can be read: what a marked section that is no mark-up hides stays unread, and ``error`` names it."""
     page = _Page(len(html or ""))
-    page.feed(html or "")
-    page.close()
+    try:
+        page.feed(html or "")
+        page.close()
+    except (AssertionError, ValueError, IndexError) as odd:
+        page.error = f"{type(odd).__name__}: {odd}"
     return page
 
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, links map<string,string>, images, weighted map<int,string>), links as written."""
+    """(page_id, url, text, links map<string,string>, images, weighted map<int,string>, error), links as written;
+    ``error`` says where reading ended early."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,11 +105,12 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     "links": [p.links for p in found],
                     "images": [list(dict.fromkeys(p.images)) for p in found],
                     "weighted": [p.weighted for p in found],
+                    "error": [p.error for p in found],
                 }
             )
 
     id_type = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"page_id {id_type}, url string, text string, links map<string,string>, images array<string>, weighted map<int,string>")
+    return rows.mapInPandas(run, f"page_id {id_type}, url string, text string, links map<string,string>, images array<string>, weighted map<int,string>, error string")
 
 
 def page_links(parsed: DataFrame) -> DataFrame:
@@ -118,6 +125,15 @@ def page_images(parsed: DataFrame) -> DataFrame:
     return rows.select("page_id", clean_link(F.col("link"), F.col("url")).alias("image")).distinct()
 
 
+def local_images(pages: DataFrame, images: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Pages whose image addresses are those of local copies: ``images`` is (page_id, image, local), as
+    written in the page; the longest address is replaced first. Pages without such images stay."""
+    swaps = images.groupBy(F.col("page_id").alias("_page")).agg(F.array_sort(F.collect_set(F.struct((-F.length("image")).alias("n"), "image", "local"))).alias("_swaps"))
+    rows = pages.join(swaps, F.col(id_col) == F.col("_page"), "left")
+    put = F.aggregate(F.coalesce("_swaps", F.expr("array()")), F.col(html_col), lambda h, s: F.replace(h, F.concat(F.lit('"'), s["image"], F.lit('"')), F.concat(F.lit('"'), s["local"], F.lit('"'))))
+    return rows.withColumn(html_col, F.when(F.col("_swaps").isNull(), F.col(html_col)).otherwise(put)).drop("_page", "_swaps")
+
+
 def link_targets(html: Column) -> Column:
     """Targets of all anchors, by pattern alone: the part of link reading that SQL can state."""
     return F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href="([^"]*)\""""), 1)

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.boolean_query import text_match
-from ..functions.text import content_words, media_kind
+from ..functions.text import media_kind
 from ..functions.urls import base_of, site_of
 from ..operators import crawl, mail, relational, tagging, text_stats, vectors, web
 from ..sources.files import visible_text
@@ -311,9 +310,3 @@ def embedding_norms(embeddings):
     e = F.transform("embedding", lambda x: x.cast("double"))
     dot = F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x)
     return embeddings.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(dot / (F.sqrt(dot) * F.sqrt(dot))), 4).alias("self"))
-
-
-@query()
-def message_search(conversations):
-    rows = conversations.filter(text_match(F.col("text"), "(que OR und OR the) AND NOT xyz"))
-    return rows.select("conv_id", "turn", F.size(content_words(F.col("text"))).alias("n_words"))

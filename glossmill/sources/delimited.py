@@ -21,13 +21,21 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
 def write_delimited(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Rows as such lines."""
-    fields = [F.concat(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "([:!])", "!$1"), F.lit(":")) for c in df.columns]
-    df.select(F.concat(*fields).alias("value")).write.mode(mode).text(path)
+    df.select(joined_fields(df.columns).alias("value")).write.mode(mode).text(path)
+
+
+def joined_fields(columns: list[str]) -> Column:
+    """The reverse of ``split_fields``; nulls are empty."""
+    return F.concat(*(F.concat(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "([:!])", "!$1"), F.lit(":")) for c in columns))
 
 
 def read_seeds(spark: SparkSession, path: str, priority: float = 5000.0) -> DataFrame:
-    """(url, status, priority): one link a line, ``#`` comments, ``!`` before links to skip."""
-    line = F.trim("value")
-    rows = spark.read.text(path).select(line.alias("l")).filter("l != '' and not startswith(l, '#')")
+    """The ``seed_links`` of a file."""
+    return seed_links(spark.read.text(path), priority)
+
+
+def seed_links(lines: DataFrame, priority: float = 5000.0) -> DataFrame:
+    """(url, status, priority) of lines (value): one link a line, ``#`` comments, ``!`` before links to skip."""
+    rows = lines.select(F.trim("value").alias("l")).filter("l != '' and not startswith(l, '#')")
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace("l", r"^!\s*", ""), "^https?://", ""), "/$", "")
     return rows.select(url.alias("url"), F.when(F.col("l").startswith("!"), "Skip").otherwise("New").alias("status"), F.lit(priority).alias("priority"))

@@ -26,6 +26,20 @@ def network_lines(edges: DataFrame) -> DataFrame:
     return points.union(lines).union(heads)
 
 
+def compressed_columns(matrix: DataFrame) -> DataFrame:
+    """(section, key, line) of a matrix (term, doc_id, value) in the compressed-column exchange form: the sizes,
+    where each column begins, the row of each value, the values. Terms and columns are numbered from 1 in order."""
+    cells = matrix.filter("value != 0")
+    rows = numbered(cells.select("term").distinct(), ["term"], "i")
+    columns = numbered(cells.select("doc_id").distinct(), ["doc_id"], "j")
+    placed = numbered(cells.join(rows, "term").join(columns, "doc_id").select("i", "j", "value"), ["j", "i"], "k")
+    starts = placed.groupBy("j").agg(F.min("k").alias("k"), F.max("k").alias("last"))
+    n = placed.agg(F.max("i"), F.max("j"), F.count("*")).first()
+    head = matrix.sparkSession.createDataFrame([(0, 0, f"{n[0] or 0} {n[1] or 0} {n[2]}"), (1, (n[1] or 0) + 1, str(n[2] + 1))], "section int, key long, line string")
+    lines = starts.select(F.lit(1), F.col("j").cast("long"), F.col("k").cast("string")).union(placed.select(F.lit(2), F.col("k").cast("long"), F.col("i").cast("string")))
+    return head.union(lines).union(placed.select(F.lit(3), F.col("k").cast("long"), F.col("value").cast("string")))
+
+
 def write_network(edges: DataFrame, path: str) -> None:
     """The lines in order as text parts."""
     network_lines(edges).repartitionByRange("section", "key").sortWithinPartitions("section", "key").select("line").write.mode("overwrite").text(path)
