@@ -203,13 +203,16 @@ def fingerprint_edits(docs: DataFrame, width: int = 8, id_col: str = "doc_id", t
     names = ["doc_id", "t", "next_id", "next_t"]
     rows = _edited(with_next(docs, bucket_bytes), keys + names)
 
-    cells = sketches(rows, keys, [(kind, F.lit(width), 1, F.col(c)) for kind, c in ((TEXT, "a"), (EDITED, "e"), (NEXT, "b"))])
+    known = F.struct(*names, "n_chars", "edited_sha256", "a", "e", "b")
+    cells = sketches(rows, keys, [(kind, F.lit(width), 1, F.col(c)) for kind, c in ((TEXT, "a"), (EDITED, "e"), (NEXT, "b"))], known=known)
     cells = peel(subtract(cells, keys, {TO_EDITED: (TEXT, EDITED), TO_NEXT: (TEXT, NEXT)}), keys, (TO_EDITED, TO_NEXT), 3 * PARTS)
-    first = cells.groupBy(*keys).agg(_differing(TO_EDITED).alias("to_edited"), _differing(TO_NEXT).alias("to_next"), _fingerprint(TEXT).alias("fingerprint"), _fingerprint(EDITED).alias("edited_fingerprint"))
+    rows = cells.groupBy(*keys).agg(
+        _differing(TO_EDITED).alias("to_edited"), _differing(TO_NEXT).alias("to_next"), _fingerprint(TEXT).alias("fingerprint"), _fingerprint(EDITED).alias("edited_fingerprint"), F.first("known", True).alias("known")
+    ).select(*keys, "to_edited", "to_next", "fingerprint", "edited_fingerprint", "known.*")
 
     sizes = [F.size(c).alias(f"n_{c}") for c in "aeb"]
     known = F.struct(*names, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "to_edited", "to_next", *sizes)
-    cells = _wider(rows.join(first, keys), keys, 4, PARTS, known)
+    cells = _wider(rows, keys, 4, PARTS, known)
     found = cells.groupBy(*keys).agg(_differing(TO_EDITED).alias("e"), _differing(TO_NEXT).alias("x"), F.first("known", True).alias("known"))
     columns = [*names, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "n_a", "n_e", "n_b"]
     found = found.select(*(F.col(f"known.{c}").alias(c) for c in columns), F.coalesce("known.to_edited", "e").alias("to_edited"), F.coalesce("known.to_next", "x").alias("to_next"))
@@ -217,7 +220,7 @@ def fingerprint_edits(docs: DataFrame, width: int = 8, id_col: str = "doc_id", t
 
     open_ = found.filter("to_edited is null or to_next is null").select("row", *names, "to_edited", "to_next")
     room, seed, later = 4, PARTS, None
-    while not open_.isEmpty():
+    while not (open_ := written(open_.repartition(8, "row"), "open")).isEmpty():  # few rows
         room, seed = 2 * room, seed + PARTS
         solved = written(_again(docs, open_, room, seed), "wider")
         done = solved.filter("to_edited is not null and to_next is not null")

@@ -38,7 +38,7 @@ from .words import NOT_SPACE, Words, mix, signed, window_hashes, words_of
 ROWS = 3
 #: Rounds of leads before what is open is settled by rare shingles.
 STARS = 4
-#: Partners of a class, and classes of a shingle, that are worked on in one place.
+#: Classes of a shingle that meet in one place.
 _TOGETHER = 2000
 
 
@@ -160,15 +160,12 @@ def _size_bound(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union; the partners of a class b
-    are dealt to places of ``_TOGETHER`` at most."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    places = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / _TOGETHER).alias("places")), "places")
-    dealt = pairs.join(places, "b").select("a", "b", F.pmod(F.xxhash64("a"), "places").alias("place"))
+    """The pairs (a, b) with 100 * intersection >= percent * union. One exchange of the sets serves
+    both joins; the partners of a class that has very many are split by adaptive execution."""
     left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("s"))
-    right = sets.join(places.withColumnRenamed("b", "c"), "c").select(F.col("c").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), F.col("shingles").alias("t"))
+    right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t")).cast("long")
-    return dealt.join(left, "a").join(right, ["b", "place"]).filter(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b")
 
 
 def _across(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,13 +203,15 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     sets = written(shingle_sets(texts, shingle).groupBy("c").agg(F.first("shingles").alias("shingles")), "sets")
 
     rounds = Rounds(classes.sparkSession, "open")
-    found = None
+    found = compared = None
     for _ in range(STARS):
-        lead = F.struct("copies", "c", "n", "component")
-        leads = open_.groupBy("key").agg(F.max(lead).alias("lead"))
+        leads = open_.groupBy("key").agg(F.max(F.struct("copies", "c", "n", "component")).alias("lead"))
         stars = written(open_.join(leads, "key").filter("c != lead.c"), "stars")
         pairs = stars.filter((F.col("component") != F.col("lead.component")) & _size_bound("n", "lead.n", percent))
-        links = _verified(pairs.select(F.col("c").alias("a"), F.col("lead.c").alias("b")), sets, percent)
+        pairs = pairs.select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct()
+        pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = pairs if compared is None else compared.union(pairs)
+        links = _verified(pairs, sets, percent)
         found = components(links if found is None else links.union(found))
         named = _named(stars.select("key", "c", "copies", "n"), found)
         mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
@@ -220,7 +219,8 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
         if open_.isEmpty():
             return found
     unsettled = written(open_.select("c", "component").distinct(), "unsettled")
-    return components(_verified(_across(unsettled, sets, percent), sets, percent).union(found))
+    pairs = _across(unsettled, sets, percent).distinct().join(compared, ["a", "b"], "left_anti")
+    return components(_verified(written(pairs, "pairs"), sets, percent).union(found))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
