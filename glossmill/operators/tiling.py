@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Differences up to this come from the order of sums.
+_NOISE = 1e-12
+
 
 def blocks(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, block, words): the distinct lower-case words of each run of ``size`` words."""
@@ -33,7 +36,7 @@ def gap_scores(found: DataFrame) -> DataFrame:
 
 
 def cuts(scores: DataFrame, compatible: bool = False) -> DataFrame:
-    """(doc_id, block, depth): gaps deeper than mean - deviation and above 0.
+    """(doc_id, block, depth): gaps deeper than mean - deviation and above 0 (both by more than ``_NOISE``).
 
     ``compatible`` divides the root of the summed squares by the count in place of a deviation.
     """
@@ -42,4 +45,4 @@ def cuts(scores: DataFrame, compatible: bool = False) -> DataFrame:
     spread = F.sum(F.pow(F.col("depth"), 2)).over(all_) - F.count("*").over(all_) * mean * mean
     spread = F.sqrt(F.greatest(spread, F.lit(0.0)))
     dev = spread / F.count("*").over(all_) if compatible else spread / F.sqrt(F.count("*").over(all_))
-    return scores.withColumn("limit", mean - dev).filter((F.col("depth") > F.col("limit")) & (F.col("depth") > 0)).select("doc_id", "block", "depth")
+    return scores.withColumn("limit", mean - dev).filter((F.col("depth") > F.col("limit") + _NOISE) & (F.col("depth") > _NOISE)).select("doc_id", "block", "depth")

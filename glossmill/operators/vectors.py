@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_words
+from ..scratch import written
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Column | None = None) -> DataFrame:
@@ -37,7 +38,11 @@ def frequency_vectors(tf: DataFrame, normalize: bool = True) -> DataFrame:
 
 
 def tfidf_vectors(tf: DataFrame, n_docs: int | None = None, normalize: bool = True) -> DataFrame:
-    """(doc_id, term, weight): tf times (log2 N - log2 df + 1); N is the documents with a term unless given."""
+    """(doc_id, term, weight): tf times (log2 N - log2 df + 1); N is the documents with a term unless given.
+
+    The frequencies are written once, since they are read for the documents, the terms and the weights.
+    """
+    tf = written(tf, "tf")
     n = tf.select("doc_id").distinct().count() if n_docs is None else n_docs
     df = document_frequencies(tf).select("term", "df")
     idf = F.log2(F.lit(float(max(n, 1)))) - F.log2("df") + 1

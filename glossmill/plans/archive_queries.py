@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.text import media_kind
 from ..functions.urls import base_of, site_of
-from ..operators import crawl, mail, relational, tagging, text_stats, vectors, web
+from ..operators import crawl, entities, mail, relational, tagging, text_stats, vectors, web
 from ..sources.files import visible_text
 from ..streaming.ingest import windowed_counts
 from .registry import query
@@ -67,12 +67,14 @@ def crawl_priority(pages):
 
 
 @query(
-    rf"""WITH l AS (SELECT page_id, url, unnest(list_distinct({_LINKS})) AS link FROM pages)
+    rf"""WITH l AS (SELECT page_id, url, regexp_replace(url, '^http://', '') AS u, unnest(list_distinct({_LINKS})) AS link FROM pages),
+    x AS (SELECT *, lower(CASE WHEN regexp_matches(u, '[/\\]$') THEN u WHEN regexp_matches(u, '\.[^./\\]{{2,8}}$') OR regexp_matches(u, '\?.*$') THEN regexp_replace(u, '[/\\][^/\\]*$', '') || '/' ELSE u || '/' END) AS base,
+        lower(regexp_extract(url, '^(?:https?://)?([^/:?#]*)', 1)) AS site, lower(regexp_extract(link, '^(?:https?://)?([^/:?#]*)', 1)) AS other FROM l)
     SELECT page_id, link, CASE WHEN NOT regexp_matches(link, '^[A-Za-z0-9_/]') OR regexp_matches(link, '(?i)\.(jpg|jpeg|gif|pdf|ps|doc|xls|ppt|mpg|mpeg|gz)$') OR regexp_matches(link, '(?i)doubleclick') THEN 0.0
-        ELSE 10.0 + CASE WHEN regexp_matches(link, '(?i)the') THEN 1000.0 ELSE 0 END + CASE WHEN link[1] = '/' THEN 110.0 ELSE 0.0 END END::DOUBLE AS value FROM l WHERE link[1] = '/'"""
+        ELSE 10.0 + CASE WHEN regexp_matches(link, '(?i)the') THEN 1000.0 ELSE 0 END + CASE WHEN link[1] = '/' OR contains(lower(link), base) THEN 100.0 ELSE 0.0 END + CASE WHEN link[1] = '/' OR contains(site, other) THEN 10.0 ELSE 30.0 END END::DOUBLE AS value FROM x"""
 )
 def link_value(pages):
-    links = pages.select("page_id", "url", F.explode(F.array_distinct(web.link_targets(F.col("html")))).alias("link")).filter(F.col("link").startswith("/"))
+    links = pages.select("page_id", "url", F.explode(F.array_distinct(web.link_targets(F.col("html")))).alias("link"))
     return links.select("page_id", "link", crawl.link_value(F.col("link"), F.lit(None).cast("string"), F.col("url"), ["the"]).alias("value"))
 
 
@@ -97,9 +99,12 @@ def crawled(pages):
     return crawl.crawl(links.select(F.col("page").alias("url")).distinct(), links, 2)
 
 
-@query(r"SELECT url, CASE WHEN regexp_matches(url, '(?i)\.(jpg|jpeg|gif|png)$') THEN 'image' WHEN regexp_matches(url, '(?i)\.(pdf|ps|doc|xls|ppt|htm|html|pl|pm)$') THEN 'doc' END AS kind FROM pages")
+@query(
+    r"""SELECT url, CASE WHEN regexp_matches(url, '(?i)\.(jpg|jpeg|gif|png)$') THEN 'image' WHEN regexp_matches(url, '(?i)\.(au|ra|mp3|wav|midi|mid)$') THEN 'audio' WHEN regexp_matches(url, '(?i)\.(ram)$') THEN 'video'
+    WHEN regexp_matches(url, '(?i)\.(pdf|ps|doc|xls|ppt|htm|html|pl|pm)$') THEN 'doc' END AS kind FROM pages"""
+)
 def media_kinds(pages):
-    return pages.select("url", F.when(media_kind(F.col("url")).isin("image", "doc"), media_kind(F.col("url"))).alias("kind"))
+    return pages.select("url", media_kind(F.col("url")).alias("kind"))
 
 
 # --- conversations as mail
@@ -163,18 +168,6 @@ def nearest_centroid(documents, labels):
     return mail.nearest_centroid(vectors.frequency_vectors(tf), mail.centroids(tf, _categories(labels))).withColumn("sim", F.round("sim", 6))
 
 
-@query(
-    """WITH p AS (SELECT event_type AS period, CAST(ts AS DATE) AS d FROM events)
-    SELECT period, d AS date, CASE period WHEN 'click' THEN DATE '2024-01-15' + CAST(((isodow(d) - isodow(DATE '2024-01-15') + 3) % 7 + 7) % 7 - 3 - 1 AS INTEGER)
-        ELSE d - 7 END AS from_date, count(*) AS n FROM p GROUP BY ALL"""
-)
-def task_windows(events):
-    kind = F.when(F.col("event_type") == "click", "Weekly").otherwise("Once")
-    tasks = events.select("event_type", F.to_date("ts").alias("date"), kind.alias("period"))
-    found = mail.task_windows(tasks, "2024-01-15")
-    return found.groupBy(F.col("event_type").alias("period"), "date", "from_date").agg(F.count("*").alias("n"))
-
-
 @query(
     """SELECT e.event_id, EXISTS (SELECT 1 FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'click' AND c.ts BETWEEN e.ts AND e.ts + INTERVAL 1 HOUR) AS complete
     FROM events e WHERE e.event_type = 'error'"""
@@ -196,10 +189,9 @@ def interval_task_match(events):
 )
 def feature_loglik(documents, labels):
     rows = vectors.term_frequencies(documents).join(_categories(labels).filter("category is not null"), "doc_id")
-    sizes = rows.groupBy("category").agg(F.count_distinct("doc_id").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 1
-    counts = rows.groupBy("category", "term").agg(F.count("*").alias("c")).join(sizes, "category")
-    return counts.select("category", "term", F.round(F.log2(F.col("c") / F.col("n") * F.col("n") / F.lit(total)), 6).alias("loglik"))
+    known = rows.groupBy("doc_id", F.col("category").alias("type")).agg(F.collect_set("term").alias("features"))
+    rules = entities.likelihood_rules(known)
+    return rules.select(F.col("type").alias("category"), F.col("feature").alias("term"), F.round(F.log2("value"), 6).alias("loglik"))
 
 
 @query(
@@ -305,8 +297,7 @@ def windowed_events(events):
     return windowed_counts(events, "ts", "event_type")
 
 
-@query("SELECT label, count(*) AS n, round(avg(list_cosine_similarity(embedding, embedding)), 4) AS self FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS n, round(avg(sqrt(list_sum([x::DOUBLE * x FOR x IN embedding]))), 4) AS norm FROM embeddings GROUP BY label")
 def embedding_norms(embeddings):
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    dot = F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x)
-    return embeddings.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(dot / (F.sqrt(dot) * F.sqrt(dot))), 4).alias("self"))
+    squares = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
+    return embeddings.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.sqrt(squares)), 4).alias("norm"))

@@ -8,7 +8,7 @@ from ..functions import records, scalars, text
 from ..functions.boolean_query import text_match
 from ..functions.text import content_words
 from ..functions.urls import clean_link
-from ..operators import phrases, relational, text_stats, tiling, vectors, web
+from ..operators import phrases, relational, text_stats, vectors, web
 from ..sources import delimited, exports, feeds, files, mailbox
 from .registry import query
 from .text_queries import _COUNTS, _STOP, _terms
@@ -307,22 +307,6 @@ def bigram_poisson(documents):
     return pairs.select("w1", "w2", F.round(scalars.poisson_ratio(F.col("c1"), F.col("c2"), F.col("c12"), F.col("n")), 3).alias("llr"))
 
 
-@query(
-    r"""WITH b AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
-    k AS (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 20 + 1)) AS block FROM b WHERE len(w) > 0),
-    s AS (SELECT doc_id, block, list_distinct(w[block * 20 + 1 : block * 20 + 20]) AS words FROM k),
-    g AS (SELECT doc_id, block, words, lead(words) OVER (PARTITION BY doc_id ORDER BY block) AS nxt FROM s),
-    o AS (SELECT doc_id, block, len(list_intersect(words, nxt)) / len(list_distinct(list_concat(words, nxt))) AS overlap FROM g WHERE nxt IS NOT NULL),
-    m AS (SELECT *, avg(overlap) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM o),
-    d AS (SELECT doc_id, block, coalesce(lag(smooth) OVER w + lead(smooth) OVER w - 2 * smooth, 0) AS depth FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY block)),
-    l AS (SELECT *, avg(depth) OVER (PARTITION BY doc_id) - stddev_pop(depth) OVER (PARTITION BY doc_id) AS lim FROM d)
-    SELECT doc_id, CAST(count(*) AS BIGINT) AS n_cuts, round(sum(depth), 5) AS depth FROM l WHERE depth > lim + 1e-12 AND depth > 1e-12 GROUP BY doc_id"""
-)
-def tiling_cut_totals(documents):
-    found = tiling.cuts(tiling.gap_scores(tiling.blocks(documents))).filter("depth > 1e-12")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_cuts"), F.round(F.sum("depth"), 5).alias("depth"))
-
-
 @query(
     rf"""SELECT conv_id, turn, CAST(len(list_filter(regexp_extract_all(lower(regexp_replace(text, '[^\x20-\x7a]', ' ', 'g')), '[a-z0-9]+'), lambda w: length(w) >= 3 AND regexp_matches(w, '^[a-z]') AND w NOT IN ({_STOP}))) AS BIGINT) AS n_words
     FROM conversations WHERE length(text) >= 2 AND (regexp_matches(text, '(?is)\bque\b') OR regexp_matches(text, '(?is)\bund\b') OR regexp_matches(text, '(?is)\bthe\b')) AND NOT regexp_matches(text, '(?is)\bxyz\b')"""

@@ -113,15 +113,6 @@ def related_top10(benchmark):
     return vectors.related(_bench_pairs(benchmark)).select("doc_id", "other", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
-@query()
-def related_documents_top10(documents):
-    """Every fiftieth document against all documents."""
-    tf = _tf(documents)
-    classes = written(vectors.vector_classes(tf), "classes")
-    found = vectors.related_to(documents.filter("doc_id % 50 = 0"), vectors.frequency_vectors(tf), classes)
-    return found.select("doc_id", "other", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
-
-
 @query(f"{_BENCH} SELECT CAST(least(floor(round(sim, 1) * 10 + 0.5), 9) AS BIGINT) AS bin, count(*) AS n FROM pairs GROUP BY 1")
 def similarity_histogram(benchmark):
     return vectors.similarity_histogram(_bench_pairs(benchmark)).withColumn("bin", F.col("bin").cast("long"))
@@ -144,7 +135,11 @@ def cluster_components(benchmark):
     return graphs.components(_bench_pairs(benchmark).filter("sim >= 0.2"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_terms()}, {_UNIT}, {_PAIRS}, e AS (SELECT a, b FROM pairs WHERE sim >= 0.2 UNION SELECT b, a FROM pairs WHERE sim >= 0.2),
+    reach(node, other) AS (SELECT a, a FROM e UNION SELECT node, b FROM reach JOIN e ON other = a)
+    SELECT node, min(other) AS component FROM reach GROUP BY node"""
+)
 def document_components(documents):
     tf = _tf(documents)
     classes = written(vectors.vector_classes(tf), "classes")
@@ -203,6 +198,13 @@ def page_abstract(benchmark):
     return benchmark.select("item_id", crawl.abstract(F.col("text")).alias("abstract"))
 
 
+#: The likelihood ratio of counts c1, c2, c12 and n with shares p, p1 and p2.
+_LLR = """-2 * (CASE WHEN p > 0 AND p < 1 THEN c12 * log2(p) + CASE WHEN c1 > c12 THEN (c1 - c12) * log2(1 - p) ELSE 0 END
+            + CASE WHEN c2 > c12 THEN (c2 - c12) * log2(p) ELSE 0 END + CASE WHEN n - c1 > c2 - c12 THEN (n - c1 - c2 + c12) * log2(1 - p) ELSE 0 END ELSE 0 END
+        - CASE WHEN p1 > 0 AND p1 < 1 THEN c12 * log2(p1) + (c1 - c12) * log2(1 - p1) ELSE 0 END
+        - CASE WHEN p2 > 0 AND p2 < 1 THEN (c2 - c12) * log2(p2) + (n - c1 - c2 + c12) * log2(1 - p2) ELSE 0 END)"""
+
+
 @query(
     f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
     p AS (SELECT w[i] AS w1, w[i + 1] AS w2 FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)),
@@ -210,11 +212,7 @@ def page_abstract(benchmark):
     b AS (SELECT w1, w2, count(*) AS c12 FROM p WHERE w1 NOT IN ({_STOP}) AND w2 NOT IN ({_STOP}) GROUP BY ALL HAVING count(*) >= 5),
     j AS (SELECT w1, w2, x.c AS c1, y.c AS c2, c12, CAST(n AS BIGINT) AS n FROM b JOIN c x ON x.w = w1 JOIN c y ON y.w = w2, n),
     q AS (SELECT *, c2 / n AS p, c12 / c1 AS p1, (c2 - c12) / (n - c1) AS p2 FROM j)
-    SELECT w1, w2, c1, c2, c12, n, round(-2 * (
-        CASE WHEN p > 0 AND p < 1 THEN c12 * log2(p) + CASE WHEN c1 > c12 THEN (c1 - c12) * log2(1 - p) ELSE 0 END
-            + CASE WHEN c2 > c12 THEN (c2 - c12) * log2(p) ELSE 0 END + CASE WHEN n - c1 > c2 - c12 THEN (n - c1 - c2 + c12) * log2(1 - p) ELSE 0 END ELSE 0 END
-        - CASE WHEN p1 > 0 AND p1 < 1 THEN c12 * log2(p1) + (c1 - c12) * log2(1 - p1) ELSE 0 END
-        - CASE WHEN p2 > 0 AND p2 < 1 THEN (c2 - c12) * log2(p2) + (n - c1 - c2 + c12) * log2(1 - p2) ELSE 0 END), 4) AS llr FROM q"""
+    SELECT w1, w2, c1, c2, c12, n, round({_LLR}, 4) AS llr FROM q"""
 )
 def bigram_llr(documents):
     return phrases.bigram_scores(documents, least=5).withColumn("llr", F.round("llr", 4))
@@ -278,9 +276,21 @@ def tiling_depth(documents):
     return found.select("doc_id", F.col("block").cast("long").alias("block"), *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("overlap", "smooth", "depth")))
 
 
-@query()
+@query(
+    r"""WITH b AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+    k AS (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 20 + 1)) AS block FROM b WHERE len(w) > 0),
+    s AS (SELECT doc_id, block, list_distinct(w[block * 20 + 1 : block * 20 + 20]) AS words FROM k),
+    g AS (SELECT doc_id, block, words, lead(words) OVER (PARTITION BY doc_id ORDER BY block) AS nxt FROM s),
+    o AS (SELECT doc_id, block, len(list_intersect(words, nxt)) / len(list_distinct(list_concat(words, nxt))) AS overlap FROM g WHERE nxt IS NOT NULL),
+    m AS (SELECT *, avg(overlap) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM o),
+    d AS (SELECT doc_id, block, coalesce(lag(smooth) OVER w + lead(smooth) OVER w - 2 * smooth, 0) AS depth FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY block)),
+    l AS (SELECT *, avg(depth) OVER (PARTITION BY doc_id) - stddev_pop(depth) OVER (PARTITION BY doc_id) AS lim FROM d)
+    SELECT doc_id, CAST(block AS BIGINT) AS block, round(depth, 6) AS depth FROM l WHERE depth > lim + 1e-12 AND depth > 1e-12"""
+)
 def tiling_cuts(documents):
-    return tiling.cuts(tiling.gap_scores(tiling.blocks(documents)))
+    found = tiling.cuts(tiling.gap_scores(tiling.blocks(documents)))
+    return found.select("doc_id", F.col("block").cast("long").alias("block"), F.round("depth", 6).alias("depth"))
+
 
 
 _GRAM = "(SELECT {k} AS id, {n} AS size, array_to_string(w[i : i + {m}], ' ') AS gram FROM (SELECT {k}, w, unnest(range(1, len(w) - {m} + 1)) AS i FROM {t}))"
@@ -305,14 +315,13 @@ def ngram_overlap(documents, benchmark):
 
 
 @query(
-    r"""WITH c AS (SELECT conv_id, turn, regexp_extract(text, '(?i)^\W*(name|how|what|when|where|which|who|why)\b', 1) AS f,
-        regexp_extract_all(lower(text), '\b(name|how|what|when|where|which|who|why)\b', 1) AS w FROM conversations)
-    SELECT conv_id, turn, CAST(len(list_distinct(w)) AS BIGINT) AS n_words, lower(f) AS first_word FROM c"""
+    r"""WITH c AS (SELECT conv_id, turn, list_distinct(list_concat(regexp_extract_all(lower(text), '^\W*(name|how|what|when|where|which|who|why)\b', 1),
+        regexp_extract_all(lower(text), '\b(name|how|what|when|where|which|who|why)\b', 1))) AS w FROM conversations)
+    SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS n_words, array_to_string(list_sort(w), ' ') AS words FROM c"""
 )
 def question_words(conversations):
     found = words_of_question(F.col("text"))
-    first = F.lower(F.regexp_extract("text", r"(?i)^\W*(name|how|what|when|where|which|who|why)\b", 1))
-    return conversations.select("conv_id", "turn", F.size(found).cast("long").alias("n_words"), first.alias("first_word"))
+    return conversations.select("conv_id", "turn", F.size(found).cast("long").alias("n_words"), F.array_join(F.array_sort(found), " ").alias("words"))
 
 
 @query(
@@ -344,9 +353,24 @@ def document_summaries(documents):
     return summaries.summaries(documents, kind="news")
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    n AS (SELECT doc_id, len(w) AS n FROM w), c AS (SELECT doc_id, w[i] AS w, count(*) AS c FROM i GROUP BY ALL), tri AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS phrase FROM i WHERE i + 2 <= len(w)),
+    b AS (SELECT doc_id, w[i] AS w1, w[i + 1] AS w2, count(*) AS c12 FROM i WHERE i < len(w) GROUP BY ALL HAVING count(*) >= 2),
+    j AS (SELECT b.doc_id, w1, w2, x.c AS c1, y.c AS c2, c12, n FROM b JOIN c x ON x.doc_id = b.doc_id AND x.w = w1 JOIN c y ON y.doc_id = b.doc_id AND y.w = w2 JOIN n ON n.doc_id = b.doc_id
+        WHERE length(w1) > 2 AND length(w2) > 2 AND w1 NOT IN ({_STOP}) AND w2 NOT IN ({_STOP})),
+    q AS (SELECT *, c2 / n AS p, c12 / c1 AS p1, (c2 - c12) / nullif(n - c1, 0) AS p2 FROM j),
+    s AS (SELECT doc_id, w1, w2, c1 / n * CASE WHEN n > c1 THEN {_LLR} ELSE 0 END * c12 AS weight FROM q),
+    best AS (SELECT doc_id, w1, w2, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, w1 ORDER BY round(weight, 9) DESC, w2) AS k FROM s) WHERE k = 1),
+    ch AS (SELECT a.doc_id, a.w1, a.w2, a.w1 || ' ' || a.w2 || ' ' || z.w2 AS phrase, (a.weight + z.weight) / 2 AS weight FROM best a JOIN best z ON z.doc_id = a.doc_id AND z.w1 = a.w2
+        WHERE EXISTS (SELECT 1 FROM tri t WHERE t.doc_id = a.doc_id AND t.phrase = a.w1 || ' ' || a.w2 || ' ' || z.w2)),
+    f AS (SELECT doc_id, w1 || ' ' || w2 AS phrase, weight FROM best a WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.doc_id = a.doc_id AND ch.w1 = a.w1 AND ch.w2 = a.w2) UNION ALL SELECT doc_id, phrase, weight FROM ch),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, phrase) AS rank FROM f)
+    SELECT doc_id, CAST(rank AS BIGINT) AS rank, lower(phrase) AS phrase, round(weight, 4) AS weight FROM r WHERE rank <= 5"""
+)
 def document_phrases(documents):
-    return phrases.key_phrases(documents, 5)
+    found = phrases.key_phrases(documents, 5)
+    return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.lower("phrase").alias("phrase"), F.round("weight", 4).alias("weight"))
 
 
 @query()
@@ -364,7 +388,12 @@ def latent_similarity(documents, benchmark):
     return sims.withColumn("rank", F.row_number().over(order)).filter("rank <= 10")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE long_ AS (SELECT doc_id, text FROM documents WHERE length(text) > 50), {_terms("long_")}, n AS (SELECT count(DISTINCT doc_id) AS n FROM tf), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    idf AS (SELECT doc_id, term, tf * (log2(n) - log2(df) + 1) AS w FROM tf JOIN df USING (term), n), unit AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM idf), {_PAIRS},
+    e AS (SELECT a, b FROM pairs WHERE sim >= 0.2 UNION SELECT b, a FROM pairs WHERE sim >= 0.2), reach(node, other) AS (SELECT a, a FROM e UNION SELECT node, b FROM reach JOIN e ON other = a),
+    c AS (SELECT node, min(other) AS cluster FROM reach GROUP BY node) SELECT doc_id, cluster FROM documents LEFT JOIN c ON node = doc_id"""
+)
 def story_groups(documents):
     members, _ = news.story_groups(documents)
     return members
@@ -389,12 +418,8 @@ def pos_tags(documents):
     rows = _token_rows(documents)
     lexicon = _corpus_lexicon(rows)
     best = lexicon.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "tag")).alias("b")).select("word", "b.tag")
-    frequent = lexicon.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(200).select("word")
     tagged = rows.select(F.concat_ws("/", "doc_id", "sent").alias("doc_id"), "pos", F.lower("token").alias("word")).join(best, "word")
-    rules = tagging.tag_rules(tagged)
-    listed = frequent.toDF("w")
-    rules = rules.join(F.broadcast(listed), F.col("w") == F.when(F.col("kind") == "WB", F.col("part1")).otherwise(F.col("part2")), "left_semi")  # 200 words
-    return tagging.tag_sentences(rows, lexicon, rules)
+    return tagging.tag_sentences(rows, lexicon, tagging.tag_rules(tagged))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossmill.operators import crawl, entities, graphs, inverted_index, latent, lexicon, mail, news, questions, relational, summaries, tagging, text_stats, vectors, web
 from glossmill.operators.sentences import sentence_spans, sentences
 from glossmill.operators.typed_tokens import TokenLexicon, typed
-from glossmill.plans import text_queries
+from glossmill.plans import message_queries, text_queries
 
 DOCS = [
     (1, "Red foxes jump over quiet rivers. Red foxes hunt at night near quiet rivers."),
@@ -123,7 +123,7 @@ def test_related_and_components_of_all_documents(spark):
     stories = spark.createDataFrame(some + [(200 + i, some[i % 4 and 50][1]) for i in range(40)], "doc_id long, text string")
     full = vectors.cosine_pairs(vectors.frequency_vectors(vectors.term_frequencies(stories)))
     expected = [(r.doc_id, r["rank"], r.other, round(r.sim, 6)) for r in vectors.related(full).filter("doc_id % 50 = 0").collect()]
-    found = [(r.doc_id, r["rank"], r.other, r.sim) for r in text_queries.related_documents_top10(stories).collect()]
+    found = [(r.doc_id, r["rank"], r.other, r.sim) for r in message_queries.related_documents_top10(stories).collect()]
     assert sorted(found) == sorted(expected) and len(found) == 40
     assert rows(text_queries.document_components(stories)) == rows(graphs.components(full.filter("sim >= 0.2")))
 
