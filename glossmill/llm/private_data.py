@@ -1,7 +1,8 @@
 """Personal data in documents: pattern matches, made consistent by a skip-chain random field.
 
-The patterns find e-mail addresses, IP addresses, card numbers and phone numbers. A document's
-mentions (the matches, and other runs that look like an address or a number) then form a
+The patterns find e-mail addresses, IP addresses, card numbers and phone numbers, and secrets: long
+values of letters and digits that a name such as ``token`` or ``password`` is given. A document's
+mentions (the matches, and other runs that look like an address, a number or such a value) then form a
 conditional random field: each has a label or none; neighbours share a potential, and so do
 distant mentions that are equal or alike (the same letters without case, the same last digits).
 Each mention has an edge to the last one before it of the same key, so a key has as many edges
@@ -12,8 +13,10 @@ The weights are learned here from the patterns' own decisions on a sample of at
 ``sample_mentions`` mentions: a softmax regression on surface features for the single
 potentials, smoothed counts for those of neighbours, the rate of agreement for alike pairs.
 
+The sample has distinct texts only, each once, with all of its mentions, those of least hash first.
+
 Defined cases: a null text is empty and has no spans; repeated rows give a row each; spans
-count code points, with the end exclusive. Other columns are not read.
+count code points, with the end exclusive. Secrets have columns of their own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-_NONE = len(KINDS)
+SECRET = len(KINDS)
+_NONE = SECRET + 1
 
 # The patterns of the base kinds.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,6 +45,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9\x20().-]{5,40}[0-9]")
 _AT = re.compile(r"[^\s@]{1,64}@[^\s@]{1,255}")
 _DIGIT = re.compile("[0-9]")
+_VALUE = re.compile("[A-Za-z0-9+/_-]{20,}+")
+_LETTER = re.compile("[A-Za-z]")
+_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s*[=:]\s*[\"']?$")
+_LONGEST_NAME = 40
 
 
 def luhn(digits: str) -> bool:
@@ -85,19 +93,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _mixed(value: str) -> bool:
+    """Whether a value has both letters and digits."""
+    return bool(_DIGIT.search(value) and _LETTER.search(value))
+
+
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of long values of letters and digits that follow a name for secrets."""
+    return [(SECRET, m.start(), m.end()) for m in _VALUE.finditer(text) if _mixed(m.group()) and _NAMED.search(text, max(0, m.start() - _LONGEST_NAME), m.start())]
+
+
 def _others(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs outside the base spans that look like an address or a number."""
+    """Runs outside the spans taken that look like an address, a number or a secret value."""
     out, at = [], 0
     for start, end in [*sorted((s, e) for _, s, e in taken), (len(text), len(text))]:
         if start > at:
-            for pattern in (_AT, _NUMBER):
-                out += [(m.start(), m.end()) for m in pattern.finditer(text, at, start) if pattern is _AT or 7 <= len(_digits(m.group())) <= 19]
+            for pattern in (_AT, _VALUE, _NUMBER):
+                out += [(m.start(), m.end()) for m in pattern.finditer(text, at, start) if pattern is _AT or pattern is _VALUE and _mixed(m.group()) or pattern is _NUMBER and 7 <= len(_digits(m.group())) <= 19]
         at = max(at, end)
     out.sort()
     return [s for i, s in enumerate(out) if not i or s[0] >= out[i - 1][1]]
 
 
-N_FEATURES = 32
+N_FEATURES = 34
 
 
 def _features(text: str, start: int, end: int) -> np.ndarray:
@@ -106,9 +124,10 @@ def _features(text: str, start: int, end: int) -> np.ndarray:
     d = _digits(s)
     x = np.zeros(N_FEATURES)
     x[min(len(d), 20)] = 1
-    x[21:32] = (
+    x[21:34] = (
         1, "@" in s, s.startswith("+"), "(" in s, s.count(".") == 3, "." in s, "-" in s, " " in s,
         any(c.isalpha() for c in s), 16 <= len(d) <= 19 and luhn(d), start > 0 and not text[start - 1].isspace() or end < len(text) and text[end].isalnum(),
+        len(s) >= 20 and "@" not in s and any(c.isalpha() for c in s), text[max(0, start - 2) : start].strip("\"' ").endswith(("=", ":")),
     )
     return x
 
@@ -116,6 +135,8 @@ def _features(text: str, start: int, end: int) -> np.ndarray:
 def _key(text: str, start: int, end: int) -> str:
     """Equal for mentions that are equal or alike."""
     s = text[start:end]
+    if len(s) >= 20 and "@" not in s and any(c.isalpha() for c in s):
+        return f"value {s}"
     if "@" in s:
         return s.lower().strip(".,;:!?()<>\"'")
     d = _digits(s)
@@ -199,11 +220,13 @@ def fit_field(documents: list[tuple[np.ndarray, np.ndarray, list[str]]], steps:
 
 
 def _mentions(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans; and all mentions as (start, end, label), in order, each place once."""
+    """The base spans; and all mentions as (start, end, label), in order, those of the patterns and others
+    outside them."""
     base = base_spans(text)
     if not base and "@" not in text and not _DIGIT.search(text):
         return base, []
-    found = [(s, e, kind) for kind, s, e in base] + [(s, e, _NONE) for s, e in _others(text, base)]
+    taken = base + secret_spans(text)
+    found = [(s, e, kind) for kind, s, e in taken] + [(s, e, _NONE) for s, e in _others(text, taken)]
     return base, sorted(found)
 
 
@@ -214,14 +237,14 @@ def _sample(texts: DataFrame, limit: int) -> list[tuple[np.ndarray, np.ndarray,
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for i, (s, e, label) in enumerate(_mentions(text)[1][:100]):
+                for i, (s, e, label) in enumerate(_mentions(text)[1]):
                     for x, v in zip(out, (h, i, label, _key(text, s, e), _features(text, s, e)), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.float64()))], ["h", "i", "label", "key", "features"])
 
     every = max(1, texts.count() * 2 // limit)
     rows = texts.filter("text is not null").withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(every)) == 0)
-    rows = rows.select("h", "text").mapInArrow(run, "h long, i long, label long, key string, features array<double>")
+    rows = rows.groupBy("h").agg(F.first("text").alias("text")).mapInArrow(run, "h long, i long, label long, key string, features array<double>")
     by: dict[int, list] = {}
     for r in rows.orderBy("h", "i").limit(limit).collect():
         by.setdefault(r.h, []).append(r)
@@ -234,38 +257,42 @@ def _spans(found: list[tuple[int, int, int]]) -> str:
 
 def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, sample_mentions: int = 20_000) -> DataFrame:
     """Per row: doc_id; n_email, n_ip, n_card, n_phone and base_sha256 of the patterns' spans;
-    spans, those of the field included; n_added; and, if asked, the text with [KIND] in their place."""
+    spans, those of the field included; n_added; secrets (start:end, comma-joined), n_secret; n_private, the
+    number of all spans and secrets; and, if asked, the text with [KIND] in place of all of them."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     field = texts.sparkSession.sparkContext.broadcast(fit_field(_sample(texts, sample_mentions)))
 
-    def spans_of(text: str) -> tuple[list, list]:
+    def spans_of(text: str) -> tuple[list, list, list]:
         base, mentions = _mentions(text)
+        secrets = [(SECRET, s, e) for s, e, label in mentions if label == SECRET]
         if not any(label == _NONE for _, _, label in mentions):
-            return base, []
+            return base, [], secrets
         fixed = np.array([-1 if label == _NONE else label for _, _, label in mentions])
         features = np.array([_features(text, s, e) for s, e, _ in mentions])
         best = field.value.marginals(features, fixed, [_key(text, s, e) for s, e, _ in mentions]).argmax(axis=1)
-        return base, [(int(k), s, e) for k, (s, e, label) in zip(best, mentions, strict=True) if label == _NONE and k != _NONE]
+        added = [(int(k), s, e) for k, (s, e, label) in zip(best, mentions, strict=True) if label == _NONE and k != _NONE]
+        return base, [x for x in added if x[0] != SECRET], secrets + [x for x in added if x[0] == SECRET]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.zeros((batch.num_rows, len(KINDS) + 1), np.int64)
-            digests, spans, masked = [], [], []
+            counts = np.zeros((batch.num_rows, len(KINDS) + 3), np.int64)
+            digests, spans, values, masked = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                base, added = spans_of(text or "")
+                base, added, secrets = spans_of(text or "")
                 for kind, _, _ in base:
                     counts[i, kind] += 1
-                counts[i, -1] = len(added)
+                counts[i, -3:] = len(added), len(secrets), len(base) + len(added) + len(secrets)
+                values.append(",".join(f"{s}:{e}" for _, s, e in sorted(secrets)))
                 digests.append(hashlib.sha256(_spans(base).encode()).hexdigest())
                 spans.append(_spans(base + added))
-                masked.append(_redacted(text, base + added) if redact else None)
+                masked.append(_redacted(text, base + added + secrets) if redact else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(counts[:, -1]), pa.array(masked, pa.string())],
-                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "redacted"],
+                [batch.column("doc_id"), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(counts[:, -3]), pa.array(values, pa.string()), pa.array(counts[:, -2]), pa.array(counts[:, -1]), pa.array(masked, pa.string())],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "secrets", "n_secret", "n_private", "redacted"],
             )
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(run, f"doc_id {id_type}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long, redacted string")
+    found = texts.mapInArrow(run, f"doc_id {id_type}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long, secrets string, n_secret long, n_private long, redacted string")
     return found if redact else found.drop("redacted")
 
 
@@ -275,6 +302,6 @@ def _redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None
     out, at = [], 0
     for start, end, kind in sorted((s, e, k) for k, s, e in spans):
         if end > at:
-            out += [text[at:start], f"[{KINDS[kind].upper()}]"] if start >= at else []
+            out += [text[at:start], f"[{(*KINDS, 'secret')[kind].upper()}]"] if start >= at else []
             at = end
     return "".join([*out, text[at:]])

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from glossmill.llm.private_data import KINDS, SkipChainField, base_spans, find_private_data, luhn
+from glossmill.llm.private_data import _NONE, KINDS, N_FEATURES, SkipChainField, base_spans, find_private_data, luhn, secret_spans
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -37,7 +37,7 @@ def test_base_is_that_of_the_patterns():
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))
         assert base_spans(text) == brute(text), text
     for long in ("1" * 200_000, "a" * 200_000 + "@", "256." * 100_000, "+1" + " " * 100_000, "a@" * 100_000):
-        assert base_spans(long) == []
+        assert base_spans(long) == [] and secret_spans(long) == []
 
 
 def text_of(i):
@@ -69,9 +69,9 @@ def test_alike_mentions_get_one_label(make_docs):
 
 def test_marginals_on_a_tree_are_exact():
     rng = np.random.default_rng(0)
-    k = len(KINDS) + 1
-    field = SkipChainField(rng.normal(size=(32, k)), rng.normal(size=(k, k)), np.eye(k), rounds=40)
-    x = rng.normal(size=(3, 32))
+    k = _NONE + 1
+    field = SkipChainField(rng.normal(size=(N_FEATURES, k)), rng.normal(size=(k, k)), np.eye(k), rounds=40)
+    x = rng.normal(size=(3, N_FEATURES))
     got = field.marginals(x, np.array([-1, -1, 2]), ["a", "b", "c"])
     u = x @ field.single
     u[2] = -40
@@ -83,3 +83,13 @@ def test_marginals_on_a_tree_are_exact():
 
 def test_empty_table(make_docs):
     assert find_private_data(make_docs([])).count() == 0
+
+
+def test_secrets_and_their_repeats(make_docs):
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    docs = [(i, f'token = "{i:02d}{value[2:]}" and text') for i in range(60)]
+    docs += [(100, f'set api_key: {value} then later {value} once more'), (101, "internationalization_of_everything = none"), (102, f"a commit {value[:12]} only")]
+    rows = {r.doc_id: r for r in find_private_data(make_docs(docs), redact=True).collect()}
+    assert all(rows[i].n_secret == 1 and rows[i].n_private == 1 and rows[i].secrets == "9:49" for i in range(60))
+    assert rows[100].n_secret == 2 and rows[100].redacted.count("[SECRET]") == 2 and rows[100].spans == ""
+    assert rows[101].n_private == 0 and rows[102].n_private == 0
