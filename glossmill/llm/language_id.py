@@ -11,7 +11,9 @@ the nodes, and the block is scored against its own part of the model, so no mach
 the whole. Grams that no language has seen fall back to the next order.
 
 The lowest cross-entropy by character decides. It is rejected if it exceeds what training texts
-of that language and length (in powers of two) reach: their ``quantile``, times ``slack``.
+of that language and length (in powers of two) reach: their ``quantile``, times ``slack``. A length
+with fewer than ``_ENOUGH`` of them has the greater of the limits of the nearest lengths that have so
+many; a language without any such length has the greatest of its own limits, or else of all.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; so
 is every text if nothing can be learned. A null language teaches nothing. Rows without an id
@@ -39,6 +41,8 @@ _FLUSH = 1 << 22
 #: Characters of a block of texts; fewer where that makes less than so many blocks.
 _BLOCK, _SMALL, _LEAST_BLOCKS = 1 << 24, 1 << 18, 63
 _VALUES = ("n", "total", "types")
+#: Training texts from which a length has a limit of its own; lengths in powers of two.
+_ENOUGH, _BINS = 20, 64
 _LETTERS: list[np.ndarray] = []
 
 
@@ -336,10 +340,19 @@ def _bin(size):
     return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
 
 
-def _limits(judged: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """(_pred, _bin, _limit) from training rows; a length without enough of them has none."""
+def _limits(judged: DataFrame, names: list[str], quantile: float, slack: float) -> DataFrame:
+    """(_pred, _bin, _limit) from training rows, for each language and length."""
     rows = judged.filter("not _held_out and _pred = _lang").groupBy("_pred", _bin("_size").alias("_bin"))
-    return rows.agg((F.percentile_approx("_entropy", quantile, 10_000) * slack).alias("_limit"))
+    found = rows.agg(F.count("*").alias("n"), (F.percentile_approx("_entropy", quantile, 10_000) * slack).alias("limit")).collect()  # languages times lengths
+    every, out = [r.limit for r in found], []
+    for name in names:
+        own = {r._bin: r.limit for r in found if r._pred == name and r.n >= _ENOUGH}
+        some = [r.limit for r in found if r._pred == name] or every
+        for k in range(_BINS):
+            near = [own[max(b)] for b in [[x for x in own if x <= k]] if b] + [own[min(b)] for b in [[x for x in own if x >= k]] if b]
+            limit = own.get(k, max(near or some, default=float("inf")))
+            out.append((name, k, float(limit)))
+    return judged.sparkSession.createDataFrame(out, "_pred string, _bin int, _limit double")
 
 
 def _decided(docs: DataFrame, quantile: float, slack: float, id_col: str, text_col: str, lang_col: str, keep: list[str]) -> DataFrame | None:
@@ -350,8 +363,8 @@ def _decided(docs: DataFrame, quantile: float, slack: float, id_col: str, text_c
     if fit is None:
         return None
     judged = written(_judged(texts, fit, id_col, text_col, [*keep, "_held_out", "_lang"]), "judged")
-    limits = _limits(judged, quantile, slack)
-    found = judged.withColumn("_bin", _bin("_size")).join(F.broadcast(limits), ["_pred", "_bin"], "left")  # languages times 64 bins at most
+    limits = _limits(judged, fit.names, quantile, slack)
+    found = judged.withColumn("_bin", _bin("_size")).join(F.broadcast(limits), ["_pred", "_bin"], "left")  # languages times lengths
     return found.withColumn("_rejected", (F.col("_pred") == "und") | F.coalesce(F.col("_entropy") > F.col("_limit"), F.lit(False)))
 
 

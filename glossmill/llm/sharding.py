@@ -5,8 +5,8 @@ shard i takes a row from the lesser ones with a chance of 1/(i+1), decided by th
 last shard that takes it has it. The first pass scatters the rows of a shard uniformly into
 buckets that fit in memory, by another seeded hash; how many follows from the bytes of the
 shard. The second pass reads one bucket at a time, brings it into a fixed order, shuffles it
-(Spark's ``shuffle`` is a Fisher-Yates shuffle) and numbers its rows after those of the
-buckets before it.
+(Spark's ``shuffle`` is a Fisher-Yates shuffle, seeded by the partition, whose number follows from
+the bytes) and numbers its rows after those of the buckets before it.
 
 Defined cases: a null text has no bytes; rows without an id share a shard; rows that share an
 id share its shard, and where they would overfill a bucket they are scattered by a random salt
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 ROW_BYTES = 16
+#: Buckets whose beginnings (24 bytes each) may go to all tasks.
+_MOST_SENT = 1 << 20
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -30,9 +32,9 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(taken)
 
 
-def shard_records(docs: DataFrame, shards: int = 40, seed: int = 11, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_records(docs: DataFrame, shards: int = 40, seed: int = 11, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
     """Each row as ``record`` with its size, shard, grown_shard (with one shard more), bucket and
-    slot: its number in the shard after the shuffle."""
+    slot: its number in the shard after the shuffle. With ``in_order`` partitions ascend by shard and slot."""
     key = F.col(id_col)
     more = F.pmod(F.xxhash64(key, F.lit(shards), F.lit(seed)), F.lit(shards + 1).cast("long")) == 0
     rows = docs.select(
@@ -56,7 +58,12 @@ def shard_records(docs: DataFrame, shards: int = 40, seed: int = 11, bucket_byte
     begins = filled.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begins"))
 
     parts = max(1, sum(-(-b // bucket_bytes) for b in held.values()))
-    whole = placed.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").agg(F.collect_list(F.struct("order", "more", "size", "record")).alias("rows"))
+    if in_order:
+        if parts > _MOST_SENT:
+            raise ValueError(f"ordered shards have {_MOST_SENT} buckets at most: raise bucket_bytes")
+        begins = F.broadcast(begins)
+    dealt = (placed.repartitionByRange if in_order else placed.repartition)(parts, "shard", "bucket")
+    whole = dealt.groupBy("shard", "bucket").agg(F.collect_list(F.struct("order", "more", "size", "record")).alias("rows"))
     ordered = F.array_sort("rows", lambda a, b: F.when(a.order < b.order, -1).when(a.order > b.order, 1).otherwise(0))
     whole = whole.join(begins, ["shard", "bucket"]).select("shard", "bucket", "begins", ordered.alias("rows")).sortWithinPartitions("shard", "bucket")
     drawn = whole.select("shard", "bucket", "begins", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
@@ -66,5 +73,6 @@ def shard_records(docs: DataFrame, shards: int = 40, seed: int = 11, bucket_byte
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write the shards as Parquet, a folder a shard; files and rows are in the order of slots."""
-    shard_records(docs, **options).write.partitionBy("shard").parquet(path)
+    """Write the shards as Parquet, a folder a shard; files by name, and rows in them, are in the order of ``slot``."""
+    rows = shard_records(docs, in_order=True, **options)
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -92,7 +92,7 @@ def test_parts_score_like_the_whole(make_docs):
 
 def test_held_out_accuracy_and_cases(make_docs):
     docs = texts(600)
-    odd = [(10_001, None, "aa"), (10_002, "12 !?", "bb"), (10_003, "", None), (None, "thering outh", None), (10_004, "中文字 " * 40, "aa" if held(10_004) else None), (5, docs[5][1], docs[5][2])]
+    odd = [(10_001, None, "aa"), (10_002, "12 !?", "bb"), (10_003, "", None), (None, "thering outh", None), (10_004, "中文字 " * 40, "aa" if held(10_004) else None), (5, docs[5][1], docs[5][2]), (10_005, "中文字 " * 9000, None), (10_006, "xq zzkv qqjx " * 3000, None)]
     rows = identify_languages(make_docs([*docs, *odd])).collect()
     assert len(rows) == len(docs) + len(odd)
     by = {r.doc_id: r for r in rows}
@@ -101,6 +101,7 @@ def test_held_out_accuracy_and_cases(make_docs):
     assert all(r.held_out == held(r.doc_id if r.doc_id is not None else "") and 0 <= r.score <= 1 for r in rows)
     assert [by[i].lang_pred for i in (10_001, 10_002, 10_003)] == ["und"] * 3
     assert sum(r.rejected for r in rows if r.doc_id is not None and r.doc_id < 10_000) <= 6
+    assert by[10_005].rejected and by[10_006].rejected  # much longer than all that was learned from
     assert by[10_004].entropy > 2 * max(by[i].entropy for i, _, _ in docs)
     kept = keep_identified(make_docs([*docs, *odd]))
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in rows if not r.rejected)

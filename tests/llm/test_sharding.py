@@ -57,3 +57,11 @@ def test_write_and_empty(make_docs, corpus, spark, tmp_path):
     write_shards(make_docs(corpus), str(tmp_path / "out"), shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(corpus) and {"record", "slot", "shard"} <= set(back.columns)
+
+
+def test_files_are_in_slot_order(make_docs, corpus, spark, tmp_path):
+    path = tmp_path / "out"
+    write_shards(make_docs([(i, t) for i, (_, t) in enumerate(corpus * 2)]), str(path), shards=3, bucket_bytes=4000)
+    for shard in range(3):
+        slots = [r.slot for f in sorted((path / f"shard={shard}").glob("*.parquet")) for r in spark.read.parquet(str(f)).select("slot").collect()]
+        assert len(slots) > 50 and slots == list(range(len(slots)))
