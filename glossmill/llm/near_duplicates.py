@@ -40,6 +40,8 @@ ROWS = 3
 STARS = 4
 #: Classes of a shingle that meet in one place.
 _TOGETHER = 2000
+#: Places to which the classes of a component are dealt.
+_PLACES = 32
 
 
 def collections_for(similarity: float, rows: int = ROWS, miss: float = 1e-5) -> int:
@@ -206,14 +208,14 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     found = compared = None
     for _ in range(STARS):
         leads = open_.groupBy("key").agg(F.max(F.struct("copies", "c", "n", "component")).alias("lead"))
-        stars = written(open_.join(leads, "key").filter("c != lead.c"), "stars")
+        stars = written(open_.join(leads, "key").withColumn("leads", F.col("c") == F.col("lead.c")), "stars")
         pairs = stars.filter((F.col("component") != F.col("lead.component")) & _size_bound("n", "lead.n", percent))
         pairs = pairs.select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct()
         pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = pairs if compared is None else compared.union(pairs)
         links = _verified(pairs, sets, percent)
         found = components(links if found is None else links.union(found))
-        named = _named(stars.select("key", "c", "copies", "n"), found)
+        named = _named(stars.filter("not leads").select("key", "c", "copies", "n"), found)
         mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
         open_ = rounds.written(named.join(mixed, "key", "left_semi"))
         if open_.isEmpty():
@@ -231,8 +233,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, seed:
     classes = written(_classes(signs), "classes")
     found = _links(classes, _pairs(docs, id_col, text_col), percent, shingle)
     named = written(_named(classes.select("c", "d1", "d2", "first_id"), found), "named")
+    place = F.pmod(F.xxhash64("c"), F.lit(_PLACES)).cast("int").alias("place")
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = named.join(ids, "component").select("d1", "d2", "component", "component_id")
+    ids = ids.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(_PLACES - 1))))
+    ids = named.withColumn("place", place).join(ids, ["component", "place"]).select("d1", "d2", "component", "component_id")
     linked = signs.filter("n_shingles > 0").join(ids, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "text_hash", "component")
     alone = signs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("component"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -246,10 +250,13 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, s
     """
     found = written(near_duplicates(docs, percent, shingle, seed, id_col, text_col).filter("component is not null").select("component", "kept", "doc_id", "text_hash"), "components")
     own = F.struct("doc_id", "text_hash")
-    chosen = found.filter("kept").groupBy("component").agg(F.min(own).alias("stays"))
-    found = found.join(chosen, "component").withColumn("goes", ~own.eqNullSafe(F.col("stays")))
-    gone = written(found.filter("goes").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct(), "gone")
-    again = written(found.filter("not goes").groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("times")).filter("times > 1").drop("times"), "again")
+    kept = found.filter("kept")  # of most components one row
+    stays = kept.groupBy(F.col("component").alias("_c")).agg(F.min(own).alias("_own")).select("_c", F.col("_own.doc_id").alias("_d"), F.col("_own.text_hash").alias("_t"))
+    others = kept.join(stays, (F.col("component") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_anti")
+    key = F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")
+    gone = written(found.filter("not kept").select(*key).union(others.select(*key)).distinct(), "gone")
+    again = kept.groupBy(*key).agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    again = written(again.join(gone, ["_i", "_h"], "left_anti"), "again")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"))
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_h"))
     stay = rows.join(gone, same, "left_anti")

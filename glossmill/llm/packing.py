@@ -254,7 +254,7 @@ def _places(plan: list) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "sequence", "times", "offset"), table.T, strict=True))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, group_rows: int = 20_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, group_rows: int = 2_000) -> DataFrame:
     """Each piece of each document with its sequence_id and the offset of its first token there.
 
     ``group_rows`` bounds the groups in which pieces of one length are ranked.
