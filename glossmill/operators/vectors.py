@@ -13,6 +13,10 @@ from ..functions.text import content_words
 from ..scratch import written
 
 
+#: Groups of terms by which candidates are bounded.
+_FOLDS = 64
+
+
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Column | None = None) -> DataFrame:
     """(doc_id, term, tf): how often each content word is in each document."""
     found = content_words(F.col(text_col)) if words is None else words
@@ -89,8 +93,9 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
 
     Terms are ordered from rare to frequent. The shortest suffix of a document whose length stays
     below the threshold cannot reach it alone, so a similar pair shares a term of both prefixes;
-    only these meet in the join, and candidates are then computed in full. Weights must not be
-    negative.
+    only these meet in the join. Candidates whose terms, dealt to ``_FOLDS`` groups, have lengths that
+    cannot reach the threshold go (the dot product is at most that of the lengths by group); the
+    others are computed in full. Weights must not be negative.
     """
     unit = unit_vectors(vectors).filter("weight > 0")
     df = unit.groupBy("term").agg(F.count("*").alias("df"))
@@ -99,6 +104,11 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     prefix = ranked.filter((F.col("left") >= threshold - 1e-9) & (F.col("df") > 1)).select("term", "doc_id")
     a, b = prefix.select("term", F.col("doc_id").alias("a")), prefix.select("term", F.col("doc_id").alias("b"))
     pairs = a.join(b, (a.term == b.term) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    group = F.pmod(F.xxhash64("term"), F.lit(_FOLDS))
+    lengths = unit.groupBy("doc_id").agg(*(F.sqrt(F.sum(F.when(group == i, F.col("weight") * F.col("weight")).otherwise(0.0))).alias(f"n{i}") for i in range(_FOLDS)))
+    lengths = lengths.select("doc_id", F.array(*(f"n{i}" for i in range(_FOLDS))).alias("n"))
+    most = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, q: s + q)
+    pairs = pairs.join(lengths.toDF("a", "x"), "a").join(lengths.toDF("b", "y"), "b").filter(most >= threshold - 1e-9).select("a", "b")
     wa = unit.select(F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa"))
     wb = unit.select(F.col("doc_id").alias("b"), "term", F.col("weight").alias("wb"))
     full = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))

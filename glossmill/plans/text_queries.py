@@ -92,7 +92,10 @@ def cosine_pairs(benchmark):
     SELECT a, b, round(sim, 6) AS sim FROM pairs WHERE sim >= 0.9"""
 )
 def similar_documents(documents):
-    return vectors.similar_pairs(vectors.frequency_vectors(_tf(documents)), 0.9).withColumn("sim", F.round("sim", 6))
+    tf = written(_tf(documents), "tf")
+    classes = written(vectors.vector_classes(tf), "classes")
+    pairs = vectors.similar_pairs(vectors.leads_of(vectors.frequency_vectors(tf), classes), 0.9)
+    return vectors.member_pairs(written(pairs, "pairs"), classes).withColumn("sim", F.round("sim", 6))
 
 
 @query(
