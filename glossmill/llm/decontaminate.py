@@ -6,8 +6,9 @@ as the shortest window has (no other suffix can match). Every suffix of every be
 is looked up by binary search; the range found gives all places of its window, and windows
 that continue each other along a diagonal give the longest verbatim matches.
 
-The shards are independent, so nothing is shuffled. The benchmark goes to all tasks; its size
-is checked against ``max_benchmark_bytes``.
+The shards are independent, so nothing is shuffled. The benchmark goes to all tasks in blocks of
+about ``block_bytes`` (of a large item more); the documents pass the blocks one after another, and
+what each block covers is merged.
 
 Defined cases: a null or empty text has no words and is not contaminated; an item without
 words has no window; an item with fewer than ``window`` words is one window; items that share
@@ -18,17 +19,18 @@ and pass through ``remove_contaminated`` unchanged.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, words_of
+from .words import ALNUM, Words, words_of
 
+RANGES = "array<struct<first:long,end:long>>"
 MATCHES = "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"
 
 
@@ -112,15 +114,14 @@ def _runs_of_known(known: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _search(column: pa.Array, tests: BenchmarkSuffixes) -> Iterator[tuple]:
-    """For each chunk: rows, words of each row, hit words of each row, and all matches of a
-    window as (row, item, word of the row, word of the item, length)."""
+    """For each chunk: its words, which of them lie in a window, and all matches of a window as
+    (row, item, word of the row, word of the item, length)."""
     for part in words_of(column, ALNUM, True):
-        n = np.diff(part.bounds)
-        hit = np.zeros(part.rows, np.int64)
+        hit = np.zeros(len(part.starts), bool)
         found = []
         if tests.lengths and len(part.starts):
             known = tests.numbers(part.hashes())
-            left = _runs_of_known(known, part.bounds[1:][n > 0])
+            left = _runs_of_known(known, part.bounds[1:][np.diff(part.bounds) > 0])
             padded = np.concatenate([known, np.zeros(tests.window, np.uint64)])
             covered = np.zeros(len(known) + 1, np.int64)
             owners = part.owners()
@@ -142,10 +143,9 @@ def _search(column: pa.Array, tests: BenchmarkSuffixes) -> Iterator[tuple]:
                 j, m = _spread(tests.first[length][k], tests.first[length][k + 1])
                 row = owners[at[m]]
                 found.append((row, tests.item[length][j], at[m] - part.bounds[row], tests.place[length][j], np.full(len(j), length)))
-            if found:
-                hit = np.bincount(owners[np.cumsum(covered[:-1]) > 0], minlength=part.rows)
+            hit = np.cumsum(covered[:-1]) > 0
         matches = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 5
-        yield part, n, hit, matches
+        yield part, hit, matches
 
 
 def _longest(row, item, at, place, length) -> tuple[np.ndarray, ...]:
@@ -166,47 +166,87 @@ def _longest(row, item, at, place, length) -> tuple[np.ndarray, ...]:
     return row[top], item[top], at[top], place[top], words[top]
 
 
-def _suffixes(docs: DataFrame, benchmark: DataFrame, window: int, max_bytes: int):
+def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Broadcast]:
+    """The sorted windows of each block of items; the rows of an item are in one block."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("words"))
     size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; at most {max_bytes} may go to all tasks: pass it in parts")
-    rows = [(r.item, r.words) for r in items.collect()]
-    return docs.sparkSession.sparkContext.broadcast(benchmark_suffixes(rows, window))
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+    n = max(1, -(-size // block_bytes))
+    block = F.pmod(F.xxhash64("item"), F.lit(n))
+    for k in range(n):
+        rows = [(r.item, r.words) for r in items.filter(block == k).collect()]  # about block_bytes
+        yield docs.sparkSession.sparkContext.broadcast(benchmark_suffixes(rows, window))
+
+
+def _ranges(hit: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """The runs of hit words of each row, as [first, end) counted in the row."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
+    first, end = edge[::2], edge[1::2]
+    inner = bounds[1:-1]
+    cut = inner[hit[np.clip(inner - 1, 0, None)] & hit[np.clip(inner, None, len(hit) - 1)]] if len(hit) else inner[:0]
+    cut = np.unique(cut[(cut > 0) & (cut < len(hit))])  # a run across rows is one for each
+    first, end = np.sort(np.concatenate([first, cut])), np.sort(np.concatenate([end, cut]))
+    row = np.searchsorted(bounds, first, "right") - 1
+    structs = pa.StructArray.from_arrays([pa.array(first - bounds[row]), pa.array(end - bounds[row])], ["first", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, bounds), pa.int32()), structs)
+
+
+def _found(part: Words, hit: np.ndarray, matches: list[np.ndarray], names: list[str]) -> list[pa.Array]:
+    """n_words, hits and matches of a chunk's rows."""
+    row, item, at, place, words = _longest(*matches)
+    cut = np.searchsorted(row, np.arange(part.rows + 1))
+    structs = pa.StructArray.from_arrays([pa.array([names[i] for i in item], pa.string()), pa.array(at), pa.array(place), pa.array(words)], ["item_id", "doc_word", "item_word", "n_words"])
+    return [pa.array(np.diff(part.bounds)), _ranges(hit, part.bounds), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), structs)]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 64 << 20) -> DataFrame:
     """For each document: n_words, n_hit (words inside a benchmark window), n_items,
     items_sha256 (of the item ids sorted as strings and joined by commas), contaminated, and
     matches: for each item, in order of its id, the longest verbatim match and its places."""
-    tests = _suffixes(docs, benchmark, window, max_benchmark_bytes)
-    pairs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = pairs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tests.value
-        for batch in batches:
-            for part, n, hit, matches in _search(batch.column("text"), t):
-                row, item, at, place, words = _longest(*matches)
-                cut = np.searchsorted(row, np.arange(part.rows + 1))
-                digests = [hashlib.sha256(",".join(t.names[i] for i in item[a:b]).encode()).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                structs = pa.StructArray.from_arrays([pa.array([t.names[i] for i in item], pa.string()), pa.array(at), pa.array(place), pa.array(words)], ["item_id", "doc_word", "item_word", "n_words"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(part.first, part.rows), pa.array(n), pa.array(hit), pa.array(np.diff(cut)), pa.array(digests, pa.string()), pa.array(hit > 0), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), structs)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches"],
-                )
-
-    return pairs.mapInArrow(run, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches {MATCHES}")
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    for number, tests in enumerate(_blocks(docs, benchmark, window, block_bytes)):
+
+        def run(batches: Iterator[pa.RecordBatch], tests: Broadcast = tests, first: bool = number == 0) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, hit, matches in _search(batch.column("text"), tests.value):
+                    own = batch.slice(part.first, part.rows)
+                    n, hits, found = _found(part, hit, matches, tests.value.names)
+                    if not first:
+                        hits, found = (_joined(own.column(c), x) for c, x in (("hits", hits), ("matches", found)))
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text"), n, hits, found], ["doc_id", "text", "n_words", "hits", "matches"])
+
+        rows = rows.mapInArrow(run, f"doc_id {id_type}, text string, n_words long, hits {RANGES}, matches {MATCHES}")
+    ids = F.array_sort(F.transform("matches", lambda m: m["item_id"]))
+    matches = F.array_sort("matches")
+    rows = rows.select("doc_id", "n_words", _covered(F.col("hits")).alias("n_hit"), F.size("matches").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), matches.alias("matches"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "matches")
+
+
+def _joined(one: pa.ListArray, other: pa.ListArray) -> pa.ListArray:
+    """Two lists of each row as one."""
+    a, b = (np.diff(x.offsets.to_numpy()) for x in (one, other))
+    rows = np.concatenate([np.repeat(np.arange(len(a)), a), np.repeat(np.arange(len(b)), b)])
+    values = pa.concat_arrays([one.flatten(), other.flatten()]).take(pa.array(np.argsort(rows, kind="stable")))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, a + b)), pa.int32()), values)
+
+
+def _covered(hits: Column) -> Column:
+    """How many words lie in any of the ranges."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+    step = lambda s, r: F.struct((s["n"] + F.greatest(r["end"] - F.greatest(r["first"], s["to"]), F.lit(0))).alias("n"), F.greatest(s["to"], r["end"]).alias("to"))
+    return F.aggregate(F.array_sort(hits), start, step, lambda s: s["n"])
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 64 << 20) -> DataFrame:
     """The rows of ``docs``, unchanged, whose text has no word inside a benchmark window."""
-    tests = _suffixes(docs, benchmark, window, max_benchmark_bytes)
     place = docs.columns.index(text_col)
+    rows = docs
+    for tests in _blocks(docs, benchmark, window, block_bytes):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [hit == 0 for _, _, hit, _ in _search(batch.column(place), tests.value)]
-            yield batch.filter(pa.array(np.concatenate([*clean, np.empty(0, bool)])))
+        def run(batches: Iterator[pa.RecordBatch], tests: Broadcast = tests) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [~np.logical_or.reduceat(np.append(hit, False), part.bounds[:-1]) | (np.diff(part.bounds) == 0) for part, hit, _ in _search(batch.column(place), tests.value)]
+                yield batch.filter(pa.array(np.concatenate([*clean, np.empty(0, bool)])))
 
-    return docs.mapInArrow(run, docs.schema)
+        rows = rows.mapInArrow(run, docs.schema)
+    return rows

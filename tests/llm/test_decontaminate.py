@@ -35,13 +35,16 @@ def items_of(corpus):
 def test_same_as_brute_force(spark, make_docs, corpus):
     docs = [*corpus, corpus[0], corpus[0]]
     items = items_of(corpus)
-    found = find_contamination(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 300):  # in one block, and in several
+        found = find_contamination(make_docs(docs), bench, block_bytes=size)
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()) == brute(docs, items)
     got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect())
-    assert got == brute(docs, items)
     assert sum(r[-1] for r in got) > 20
     dirty = {r[0] for r in got if r[-1]}
-    left = remove_contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, _ in docs if d not in dirty)
+    for size in (1 << 20, 300):
+        left = remove_contaminated(make_docs(docs), bench, block_bytes=size)
+        assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, _ in docs if d not in dirty)
 
 
 def test_longest_match_and_place(spark, make_docs):
@@ -57,3 +60,13 @@ def test_empty_tables(spark, make_docs, corpus):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(make_docs([]), none).count() == 0
     assert not any(r.contaminated for r in find_contamination(make_docs(corpus[:9]), none).collect())
+
+
+def test_words_of_special_form_are_not_one(spark, make_docs):
+    """A Thue-Morse word and its complement."""
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    found = find_contamination(make_docs([(1, " ".join([other] * 12)), (2, " ".join([one] * 12))]), spark.createDataFrame([(1, " ".join([one] * 10))], "item_id long, text string"))
+    assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 0, 2: 12}
