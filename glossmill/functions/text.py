@@ -136,3 +136,12 @@ def question_kind(text: Column) -> Column:
     """The kind of answer that the question word asks for."""
     low = F.lower(text)
     return F.when(low.rlike(r"\bwhen\b"), "time").when(low.rlike(r"\bwhere\b"), "place").when(low.rlike(r"\bwho\b"), "person").otherwise("miscellaneous")
+
+
+def made_sentence(key: Column, leads: list[str], subjects: list[str], verbs: list[str], objects: list[str]) -> Column:
+    """A sentence of a lead-in, subject, verb and object drawn by the hash of a key: test text that repeats."""
+
+    def drawn(words: list[str], turn: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, words)), F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(len(words))).cast("int") + 1)
+
+    return F.concat(F.concat_ws(" ", *(drawn(w, i) for i, w in enumerate((leads, subjects, verbs, objects)))), F.lit("."))

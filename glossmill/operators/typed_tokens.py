@@ -10,9 +10,11 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import stopwords
+
 SCHEMA = "array<struct<token:string,end:int,type:string>>"
 
 
@@ -86,3 +88,22 @@ def assemble(text: Column, lexicon: TokenLexicon = TokenLexicon()) -> Column:
         return pd.Series([[{"token": a, "end": b, "type": c} for a, b, c in typed(t, lexicon, pattern)] for t in texts])
 
     return run(text)
+
+
+def token_lexicon(abbreviations: DataFrame, collocations: DataFrame | None = None, most: int = 200_000) -> TokenLexicon:
+    """The lexicon of tables: abbreviations (name, kind) of kind ``a`` abbreviation, ``ic`` country code, ``e``
+    emoticon, and collocations (phrase). Both go to all tasks: over ``most`` rows are an error."""
+    rows = abbreviations.select(F.lower("name").alias("low"), "name", "kind").limit(most + 1).collect()
+    phrases = [] if collocations is None else collocations.select(F.lower("phrase").alias("p")).limit(most + 1).collect()
+    if max(len(rows), len(phrases)) > most:
+        raise ValueError(f"the token lexicon has more than {most} rows")
+    of = lambda kind: [r for r in rows if r.kind == kind]
+    return TokenLexicon(frozenset(r.low.rstrip(".") for r in of("a")), frozenset(r.low.lstrip(".") for r in of("ic")), tuple(sorted(r.name for r in of("e"))), frozenset(r.p for r in phrases))
+
+
+def content_tokens(assembled: Column, kinds: str = "", keep_stopwords: bool = False) -> Column:
+    """array<string>: of assembled tokens those that begin with a letter or a dot, have three characters or
+    more and are no stop words, lower-cased."""
+    low = F.transform(assembled, lambda t: F.lower(t["token"]))
+    fine = lambda w: w.rlike("^[a-z.]") & (F.length(w) >= 3) & (F.lit(keep_stopwords) | ~w.isin(stopwords(kinds)))
+    return F.filter(low, fine)

@@ -9,7 +9,7 @@ from ..functions.boolean_query import text_match
 from ..functions.text import content_words
 from ..functions.urls import clean_link
 from ..operators import phrases, relational, text_stats, vectors, web
-from ..sources import delimited, exports, feeds, files, mailbox
+from ..sources import delimited, dictionary, exports, feeds, files, mailbox
 from .registry import query
 from .text_queries import _COUNTS, _STOP, _terms
 
@@ -331,3 +331,49 @@ def pages_with_local_links(pages):
 def commonest_by_length(documents):
     counts = text_stats.word_counts(documents)
     return counts.groupBy(F.length("word").cast("long").alias("length")).agg(F.max("n").alias("most"), F.min_by("word", F.struct(-F.col("n"), "word")).alias("word"))
+
+
+@query(
+    """SELECT n_name AS word, 'c' AS pos, 'c:' || array_to_string(list_sort(list_distinct([n_name, 'aa', 'zz'])), ' ') AS synset, 'aa zz' AS others, 'in ' || n_regionkey || ': so' AS gloss FROM nation WHERE n_nationkey % 3 != 0"""
+)
+def function_word_lines(nation):
+    line = F.concat("n_name", F.lit(":c: zz  aa :in "), F.col("n_regionkey").cast("string"), F.lit(": so"))
+    found = dictionary.function_words(nation.select(F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("#"), line)).otherwise(line).alias("value")))
+    return found.select("word", "pos", "synset", F.array_join("others", " ").alias("others"), "gloss")
+
+
+@query("SELECT lower(replace(p_brand, '#', '_')) AS word, CASE p_size % 5 WHEN 0 THEN 'n' WHEN 1 THEN 'v' WHEN 3 THEN 'r' ELSE 'a' END || lpad(CAST(p_size AS VARCHAR), 8, '0') AS synset, max(p_partkey) AS tag_count FROM part GROUP BY ALL")
+def sense_lines(part):
+    line = F.concat(F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_"))), F.lit("%"), (F.col("p_size") % 5 + 1).cast("string"), F.lit(":03:00:: "), F.lpad(F.col("p_size").cast("string"), 8, "0"), F.lit(" 1 "), F.col("p_partkey").cast("string"))
+    return dictionary.sense_counts(part.select(line.alias("value")))
+
+
+@query("SELECT 'w' || s_suppkey AS word, CASE s_suppkey % 2 WHEN 0 THEN 'n' ELSE 'v' END AS pos, s_nationkey AS n_senses FROM supplier")
+def index_entries(supplier):
+    line = F.concat(F.lit("w"), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, " n ").otherwise(" v "), F.col("s_nationkey").cast("string"), F.lit(" 0 1 1 00001740"))
+    licence = supplier.sparkSession.createDataFrame([("  1 This text is a licence",), ("",)], "value string")
+    return dictionary.index_lines(supplier.select(line.alias("value")).union(licence))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w, lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND length(text) >= 1000),
+    t AS (SELECT doc_id, i - 1 AS pos, w[i] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w))
+    SELECT CAST(doc_id AS VARCHAR) AS source, CAST(pos AS BIGINT) AS pos, token, CASE lower(token) WHEN 'the' THEN 'place' WHEN 'que' THEN 'person' ELSE 'org' END AS type FROM t WHERE regexp_matches(token, '^[A-Z]') AND lower(token) IN ('the', 'que', 'und')"""
+)
+def story_labels(documents):
+    rows = documents.filter("text is not null and source is not null and lang is not null")
+    body = F.replace(F.col("text"), F.lit("<"), F.lit(" "))
+    sgml = F.concat(F.lit("<REUTERS>\n<PLACES><D>the-de</D></PLACES><PEOPLE><D>Que</D></PEOPLE><ORGS><D>und</D></ORGS><BODY>"), body, F.lit("</BODY></REUTERS>"))
+    stories = feeds.tagged_stories(rows.select(F.col("doc_id").cast("string").alias("source"), sgml.alias("value")))
+    return feeds.weak_labels(stories).select("source", F.col("pos").cast("long").alias("pos"), "token", "type")
+
+
+_SUBJECTS, _VERBS = ["dogs", "cats"], ["chase", "see", "hear"]
+
+
+@query("SELECT o_orderkey, true AS fits, CAST(6 AS BIGINT) AS most FROM orders")
+def made_sentences(orders):
+    made = orders.select("o_orderkey", text.made_sentence(F.col("o_orderkey"), ["Often", "Today"], _SUBJECTS, _VERBS, ["birds"]).alias("s"))
+    most = made.agg(F.count_distinct(F.substring_index(F.regexp_replace("s", "^[A-Z][a-z]+ ", ""), " ", 2)).alias("most")).withColumn("fits", F.lit(True))
+    fine = made.select("o_orderkey", F.col("s").rlike("^(Often|Today) (dogs|cats) (chase|see|hear) birds[.]$").alias("fits"))
+    return fine.join(most, "fits", "left").select("o_orderkey", "fits", "most")

@@ -385,3 +385,12 @@ def training_patterns(benchmark):
     weighed = rows.groupBy("question_id", "kind", "term").agg(F.count("*").cast("double").alias("weight"))
     found = questions.training_patterns(weighed, profile, actual)
     return found.filter("label").groupBy("question_id", "category").agg(F.round(F.max("s5"), 6).alias("s5"), F.count("*").alias("times"))
+
+
+@query(
+    f"""WITH s AS (SELECT * FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.text = d.text AND e.doc_id < d.doc_id)), {_terms("s")},
+    w AS (SELECT doc_id, sum(tf) AS weight FROM tf WHERE term IN ('sch', 'tion') AND term NOT IN ('reuters', 'ap', 'iht', 'upi') GROUP BY doc_id),
+    r AS (SELECT *, row_number() OVER (ORDER BY weight DESC, doc_id) AS k FROM w) SELECT doc_id, CAST(weight AS BIGINT) AS weight FROM r WHERE k <= 10"""
+)
+def story_search(documents):
+    return news.search_stories(inverted_index.postings(news.distinct_stories(documents), kinds="news"), "sch tion")

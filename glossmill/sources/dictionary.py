@@ -71,3 +71,30 @@ def marked_entities(lines: DataFrame) -> DataFrame:
     kind = F.lower(F.regexp_extract("p", "^<([A-Za-z]+)[A-Za-z_]*>", 1))
     inner = F.regexp_extract("p", "^<[A-Za-z_]+>([^<]*)<", 1)
     return rows.select("doc_id", "pos", F.when(kind == "", F.col("p")).otherwise(inner).alias("token"), F.when(kind != "", kind).alias("type"))
+
+
+def sense_counts(lines: DataFrame) -> DataFrame:
+    """(word, synset, tag_count) of sense lines (value): ``word%type:... offset number count``, the type a
+    number from 1 to 5 for noun, verb, adjective, adverb and adjective again."""
+    f = F.split("value", " +")
+    kind = F.regexp_extract("value", "%([1-5]):", 1)
+    pos = F.translate(kind, "12345", "nvara")
+    rows = lines.filter(kind != "").select(F.split_part(f[0], F.lit("%"), F.lit(1)).alias("word"), F.concat(pos, f[1]).alias("synset"), F.try_element_at(f, F.lit(4)).cast("long").alias("tag_count"))
+    return rows.groupBy("word", "synset").agg(F.max("tag_count").alias("tag_count"))
+
+
+def index_lines(lines: DataFrame) -> DataFrame:
+    """(word, pos, n_senses) of index lines (value): ``word pos count ...``; licence lines are left out."""
+    f = F.split(F.trim("value"), " +")
+    return lines.filter("value != '' and not startswith(value, ' ')").select(f[0].alias("word"), f[1].alias("pos"), F.try_element_at(f, F.lit(3)).cast("long").alias("n_senses"))
+
+
+def function_words(lines: DataFrame) -> DataFrame:
+    """(word, pos, synset, others, gloss) of function word lines (value): ``word:tag:like words:gloss``, ``#`` for
+    comments. Words that are alike share a synset, which is named by its tag and its words in order."""
+    rows = lines.filter("value rlike '^[^#:]+:.:'").select(F.split("value", ":", 4).alias("f"))
+    others = F.filter(F.split(F.trim(F.get("f", F.lit(2))), r"\s+"), lambda w: w != "")
+    every = F.array_sort(F.array_distinct(F.concat(F.array(F.get("f", F.lit(0))), others)))
+    gloss = F.trim(F.coalesce(F.get("f", F.lit(3)), F.lit("")))
+    rows = rows.select(F.get("f", F.lit(0)).alias("word"), F.get("f", F.lit(1)).alias("pos"), every.alias("every"), gloss.alias("gloss"))
+    return rows.select("word", "pos", F.concat("pos", F.lit(":"), F.array_join("every", " ")).alias("synset"), F.array_remove("every", F.col("word")).alias("others"), "gloss")

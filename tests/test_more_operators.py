@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmill.functions import records
-from glossmill.operators import crawl, graphs, inverted_index, lexicon, mail, questions, relational, summaries, tagging, web
+from glossmill.operators import crawl, graphs, inverted_index, lexicon, mail, news, phrases, questions, relational, summaries, tagging, typed_tokens, web
 from glossmill.plans import sample_lexicon
 
 
@@ -115,3 +115,34 @@ def test_unique_sources(spark):
     changes = spark.createDataFrame([(2, "u1"), (3, "u3"), (4, "u3"), (1, "u1")], "id int, url string")
     kept, bad = relational.unique_or_rejected(table, changes, "id", "url")
     assert {tuple(r) for r in kept.collect()} == {(1, "u1"), (2, "u2"), (3, "u3")} and {r.id for r in bad.collect()} == {2, 4}
+
+
+def test_phrases_by_tags_and_tokens_by_tables(spark):
+    docs = spark.createDataFrame([(1, "quick fox runs. quick fox runs. quick fox sleeps. slowly fox slowly fox.")], "doc_id long, text string")
+    tags = spark.createDataFrame([("quick", "a"), ("fox", "n"), ("runs", "v"), ("slowly", "r")], "word string, tag string")
+    every = {r.phrase for r in phrases.key_phrases(docs).collect()}
+    assert {r.phrase for r in phrases.key_phrases(docs, tags=tags).collect()} == {"Quick Fox"} and len(every) > 1
+    lex = typed_tokens.token_lexicon(spark.createDataFrame([("Dr.", "a"), (".nl", "ic"), (":D", "e")], "name string, kind string"), spark.createDataFrame([("New Town",)], "phrase string"))
+    assert [t for t, _, _ in typed_tokens.typed("Dr. Who saw new town :D at x.nl", lex)] == ["Dr.", "Who", "saw", "new town", ":D", "at", "x.nl"]
+    made = spark.createDataFrame([("The U.S. army of Dr. Who and 3 new towns",)], "t string").select(typed_tokens.content_tokens(typed_tokens.assemble(F.col("t")))).first()[0]
+    assert made == ["u.s.", "army", "dr.", "new", "towns"]
+
+
+def test_collected_news(spark):
+    rows = [(1, "Red foxes jump over quiet rivers and hunt at night near quiet rivers today."), (2, "Red foxes hunt near rivers while owls watch the quiet night of rivers and foxes."), (3, "Stock prices fell sharply. Traders sold shares and stock prices fell once more."), (4, "Red foxes jump over quiet rivers and hunt at night near quiet rivers today.")]
+    found = news.collected(spark.createDataFrame(rows, "doc_id long, text string"))
+    stories = {r.doc_id: r for r in found["stories"].collect()}
+    assert set(stories) == {1, 2, 3} and stories[1].cluster == stories[2].cluster == 1 and stories[3].cluster is None and all(r.summary for r in stories.values())
+    assert {(r.doc_id, r.other) for r in found["related"].collect()} == {(1, 2), (2, 1)}
+    assert [r["size"] for r in found["clusters"].collect()] == [2] and found["index"].filter("term = 'foxes'").count() == 2
+
+
+def test_summaries_with_synonyms(spark):
+    text = (
+        "The hound barked loudly beside the garden gate until midnight passed. A tired dog slept soundly near an old fireplace the whole winter. "
+        "Nothing else of interest happened in that village yesterday evening. Heavy rain poured onto empty streets during most early mornings."
+    )
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    same = spark.createDataFrame([("hound", "dog"), ("dog", "hound")], "term string, synonym string")
+    plain, more = (summaries.summaries(docs, size=2, threshold=0.1, synonyms=s).first() for s in (None, same))
+    assert plain.n_chosen == more.n_chosen == 2 and "hound" in more.summary
