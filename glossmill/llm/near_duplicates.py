@@ -162,8 +162,11 @@ def _size_bound(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union. One exchange of the sets serves
-    both joins; the partners of a class that has very many are split by adaptive execution."""
+    """The pairs (a, b) with 100 * intersection >= percent * union. Only sets of classes in a pair are
+    moved, and one exchange of them serves both joins; the partners of a class that has very many are
+    split by adaptive execution."""
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "named")
+    sets = sets.join(named, "c", "left_semi")
     left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t")).cast("long")
@@ -201,7 +204,8 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key")
     open_ = written(keys.join(shared, "key", "left_semi").withColumn("component", F.col("c")), "buckets")
     sample = written(classes.join(open_.select("c").distinct(), "c", "left_semi").select("c", F.col("sample.doc_id").alias("i"), F.col("sample.text_hash").alias("h")), "sample")
-    texts = texts.join(sample, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
+    # The sample grows with the collection: the plan is that of a large one at every size.
+    texts = texts.join(sample.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
     sets = written(shingle_sets(texts, shingle).groupBy("c").agg(F.first("shingles").alias("shingles")), "sets")
 
     rounds = Rounds(classes.sparkSession, "open")
