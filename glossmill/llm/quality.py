@@ -97,7 +97,7 @@ class OrdinalModel:
 
 
 def fit_ordinal(
-    features: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 150, rate: float = 0.1, decay: float = 1e-5, batch: int = 64, seed: int = 3
+    features: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 40, rate: float = 0.1, decay: float = 1e-5, batch: int = 64, seed: int = 3
 ) -> OrdinalModel:
     """Likelihood by AdaGrad on mini-batches; rare grades count more, by a power of 0.75.
 
@@ -160,7 +160,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows:
     return fit_ordinal(lists.flatten().to_numpy(), bounds, grades, n_grades, epochs)
 
 
-def grade_documents(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, least_grade: int | None = None, chance: float = 0.5, sample_rows: int = 8000, epochs: int = 150, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grade_documents(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, least_grade: int | None = None, chance: float = 0.5, sample_rows: int = 8000, epochs: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, expected_grade, at_least (P(grade >= j) for j from 1), tail_probability
     (P(grade >= least_grade), by default the highest) and kept: whether it reaches ``chance``."""
     least = n_grades - 1 if least_grade is None else least_grade

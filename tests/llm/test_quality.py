@@ -27,7 +27,7 @@ def test_held_out_grades(spark, make_docs):
     docs = made(1500)
     ratings = spark.createDataFrame([(d, g) for d, _, g in docs if d % 3] + [(None, 1), (4, None), (10**6, 1)], "doc_id long, grade int")
     odd = [(2001, None), (2002, ""), (None, docs[0][1]), (0, docs[0][1])]
-    rows = grade_documents(make_docs([*((d, t) for d, t, _ in docs), *odd]), ratings).collect()
+    rows = grade_documents(make_docs([*((d, t) for d, t, _ in docs), *odd]), ratings, epochs=150).collect()
     assert len(rows) == len(docs) + 4
     by = {r.doc_id: r for r in rows}
     held = [(by[d], g) for d, _, g in docs if d % 3 == 0]
