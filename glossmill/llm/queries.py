@@ -87,7 +87,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_near_duplicates": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        reach(node, other) AS (SELECT a, a FROM l UNION SELECT node, b FROM reach JOIN l ON other = a),
+        c AS (SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id, coalesce(component, w.doc_id) = w.doc_id AS kept
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = w.doc_id
+    """,
+    "op7_benchmark_decontamination": rf"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), []) AS w FROM documents),
+        t AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+        tw AS (
+            SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS g
+            FROM (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM t WHERE len(w) > 0)
+        ),
+        dw AS (
+            SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS g
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM tw) WHERE len(w) >= k)
+        ),
+        hit AS (SELECT doc_id, i, k, item FROM dw JOIN tw USING (k, g)),
+        n AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM (SELECT DISTINCT doc_id, i, k FROM hit), range(0, 10) AS r(o) WHERE o < k GROUP BY doc_id),
+        m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
+    "op10_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        p AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w)),
+        late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM p) WHERE n > 1),
+        covered AS (SELECT DISTINCT doc_id, i + o AS i FROM late, range(0, 20) AS r(o)),
+        word AS (SELECT doc_id, i, w[i] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+        kept AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS s, count(*) AS n FROM word ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
     "op5_line_dedup": """
         WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
         w AS (
