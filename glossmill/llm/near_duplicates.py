@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graphs import components
 from ..scratch import Rounds, written
-from .words import NOT_SPACE, Words, mix, signed, window_hashes, words_of
+from .words import NOT_SPACE, WordKey, Words, mix, signed, window_hashes, words_of
 
 ROWS = 3
 #: Rounds of leads before what is open is settled by rare shingles.
@@ -52,9 +52,9 @@ def collections_for(similarity: float, rows: int = ROWS, miss: float = 1e-5) ->
     return m
 
 
-def _shingle_sets(part: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _shingle_sets(part: Words, k: int, key: WordKey) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row in a row, and where each row's begin."""
-    words = part.hashes()
+    words = part.hashes(key)
     all_ = window_hashes(words, k)
     sets = []
     for a, b in zip(part.bounds[:-1], part.bounds[1:], strict=True):
@@ -90,7 +90,7 @@ def _pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
 
 
-def signatures(docs: DataFrame, m: int, k: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, m: int, k: int, seed: int, key: WordKey, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_hash, n_shingles, the digest d1 and d2 of the shingle set, its m collections."""
     pairs = _pairs(docs, id_col, text_col)
     rng = np.random.default_rng(seed)
@@ -100,17 +100,17 @@ def signatures(docs: DataFrame, m: int, k: int, seed: int, id_col: str, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words_of(batch.column("text"), NOT_SPACE, True):
-                values, bounds = _shingle_sets(part, k)
+                values, bounds = _shingle_sets(part, k, key)
                 d1, d2 = _digests(values, bounds)
                 halves = np.empty((part.rows, m), np.uint64)
                 work = np.empty_like(values)
                 for i in range(m):
-                    key = np.full(part.rows, i + 1, np.uint64)
+                    half = np.full(part.rows, i + 1, np.uint64)
                     for j in range(i * ROWS, i * ROWS + ROWS):
                         np.bitwise_xor(values, flips[j], out=work)
                         np.multiply(work, factors[j], out=work)
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + _reduced(np.minimum, work, bounds))
-                    halves[:, i] = key
+                        half = mix(half * np.uint64(0x9E3779B97F4A7C15) + _reduced(np.minimum, work, bounds))
+                    halves[:, i] = half
                 rows = batch.slice(part.first, part.rows)
                 n = np.diff(bounds)
                 yield pa.RecordBatch.from_arrays(
@@ -122,13 +122,13 @@ def signatures(docs: DataFrame, m: int, k: int, seed: int, id_col: str, text_col
     return pairs.mapInArrow(run, f"doc_id {id_type}, text_hash long, n_shingles long, d1 long, d2 long, halves array<long>")
 
 
-def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+def shingle_sets(texts: DataFrame, k: int, key: WordKey) -> DataFrame:
     """(c, shingles) of (c, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words_of(batch.column("text"), NOT_SPACE, True):
-                values, bounds = _shingle_sets(part, k)
+                values, bounds = _shingle_sets(part, k, key)
                 yield pa.RecordBatch.from_arrays([batch.column("c").slice(part.first, part.rows), _lists(values, bounds)], ["c", "shingles"])
 
     return texts.select("c", "text").mapInArrow(run, "c long, shingles array<long>")
@@ -198,7 +198,7 @@ def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
 
-def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int, key: WordKey) -> DataFrame:
     """(node, component) of the classes that are linked."""
     keys = written(_table_keys(classes), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key")
@@ -206,7 +206,7 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     sample = written(classes.join(open_.select("c").distinct(), "c", "left_semi").select("c", F.col("sample.doc_id").alias("i"), F.col("sample.text_hash").alias("h")), "sample")
     # The sample grows with the collection: the plan is that of a large one at every size.
     texts = texts.join(sample.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
-    sets = written(shingle_sets(texts, shingle).groupBy("c").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = written(shingle_sets(texts, shingle, key).groupBy("c").agg(F.first("shingles").alias("shingles")), "sets")
 
     rounds = Rounds(classes.sparkSession, "open")
     found = compared = None
@@ -233,9 +233,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, seed:
     """Per row: doc_id, n_shingles, component_id (the least doc_id reachable over links of
     similarity percent/100 or more), kept (doc_id is component_id), text_hash, and the number
     ``component`` of its component, null without shingles."""
-    signs = written(signatures(docs, collections_for(percent / 100), shingle, seed, id_col, text_col), "signatures")
+    key = WordKey.drawn()
+    signs = written(signatures(docs, collections_for(percent / 100), shingle, seed, key, id_col, text_col), "signatures")
     classes = written(_classes(signs), "classes")
-    found = _links(classes, _pairs(docs, id_col, text_col), percent, shingle)
+    found = _links(classes, _pairs(docs, id_col, text_col), percent, shingle, key)
     named = written(_named(classes.select("c", "d1", "d2", "first_id"), found), "named")
     place = F.pmod(F.xxhash64("c"), F.lit(_PLACES)).cast("int").alias("place")
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

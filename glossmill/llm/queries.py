@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language_id, line_dedup, near_duplicates, packing, private_data, quality, sharding, substring_dedup
+from . import centroids, decontaminate, divergence, fingerprints, language_id, line_dedup, near_duplicates, packing, private_data, quality, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=20)
 
 
+def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, scale=1024, seed=3)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), least_documents=3, most_terms=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_two_pass_sharding": op1_two_pass_sharding,
     "op2_skip_chain_private_data": op2_skip_chain_private_data,
@@ -85,11 +93,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pattern_packing": op8_pattern_packing,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_yinyang_clusters": op12_yinyang_clusters,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+def _lloyd_sql(k: int, rounds: int, size: int, scale: int, seed: int) -> str:
+    """Rounds of assignment and floored means, each a step of its own. A centroid is a list of integers."""
+    distance = "list_sum(list_transform(list_zip(v, h), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        f"""n AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}
+        )""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS c, v AS h FROM n ORDER BY c LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"d{i} AS (SELECT r, c, CAST({distance} AS BIGINT) AS d FROM n, c{i})")
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS o FROM d{i}) WHERE o = 1)")
+        if i < rounds:
+            parts.append(
+                f"m{i} AS (SELECT c, list(x ORDER BY j) AS h FROM (SELECT c, j, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x "
+                f"FROM (SELECT c, unnest(v) AS x, unnest(range(1, {size + 1})) AS j FROM a{i} JOIN n USING (r)) GROUP BY c, j) GROUP BY c)"
+            )
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.h, o.h) AS h FROM c{i} AS o LEFT JOIN m{i} AS m USING (c))")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(h, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN n USING (r) JOIN c{rounds} USING (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_yinyang_clusters": _lloyd_sql(8, 10, 64, 1024, 3),
+    "op13_source_divergence": rf"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ),
+        kept AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY ALL HAVING count(*) >= 3),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        o AS (SELECT lang, source, t, count(*) AS c FROM (SELECT lang, source, unnest(w) AS t FROM d) SEMI JOIN kept USING (lang, t) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        gn AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN o USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT lang, source, t, coalesce(c, 0) AS c, 1 + (1000000000 * CAST(coalesce(c, 0) + 1 AS HUGEINT)) // (n + v) AS p
+            FROM gn JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN o USING (lang, source, t)
+        ),
+        l AS (SELECT lang, t, sum(c) AS c FROM o GROUP BY ALL),
+        ln AS (SELECT lang, sum(c) AS n FROM l GROUP BY ALL),
+        q AS (SELECT lang, t, 1 + (1000000000 * CAST(c + 1 AS HUGEINT)) // (n + v) AS q FROM l JOIN ln USING (lang) JOIN v USING (lang)),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b USING (lang, t) WHERE a.source <> b.source GROUP BY ALL),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        ),
+        terms AS (SELECT lang, source, 'term' AS part, t AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN q USING (lang, t) WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+        WHERE part = 'pair' OR rank <= 200
+    """,
     "op4_minhash_near_duplicates": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
         s AS (
@@ -118,10 +183,14 @@ ORACLE_SQL: dict[str, str] = {
         ),
         hit AS (SELECT doc_id, i, k, item FROM dw JOIN tw USING (k, g)),
         n AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM (SELECT DISTINCT doc_id, i, k FROM hit), range(0, 10) AS r(o) WHERE o < k GROUP BY doc_id),
-        m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+        places AS (SELECT r, k, unnest(range(1, len(w) - k + 2)) AS j, w FROM (SELECT row_number() OVER () AS r, w, least(len(w), 10) AS k FROM t WHERE len(w) > 0)),
+        met AS (SELECT doc_id, r, k, i, j FROM (SELECT DISTINCT doc_id, i, k, g FROM dw SEMI JOIN tw USING (k, g)) JOIN (SELECT r, k, j, array_to_string(w[j : j + k - 1], ' ') AS g FROM places) USING (k, g)),
+        runs AS (SELECT doc_id, count(*) + k - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS run FROM met) GROUP BY doc_id, r, k, i - j, run),
+        longest AS (SELECT doc_id, max(n) AS longest FROM runs GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN longest USING (doc_id)
     """,
     "op10_substring_dedup": r"""
         WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),

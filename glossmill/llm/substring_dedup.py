@@ -7,8 +7,8 @@ the 8-word grams inside it, counted once for each run of windows that share it.
 have equal counters and different documents count each, so the count is never too low, and
 windows repeated inside one document are found there. Whole texts are counted likewise.
 
-Second pass: windows estimated as repeated, and no others, are grouped exactly by 128 bits of
-hash; those that do not have the least document id cover the words that go. Texts that are
+Second pass: windows estimated as repeated, and no others, are grouped by two 64-bit
+hashes of word hashes that are keyed with a secret of the run; those that do not have the least document id cover the words that go. Texts that are
 equal are one text in this pass, held by the least id.
 
 The sketch has about four bytes of text to a cell, between 2**20 and ``2**max_bits`` cells in
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .words import NOT_SPACE, Words, mix, signed, window_hashes, words_of
+from .words import NOT_SPACE, WordKey, Words, mix, signed, window_hashes, words_of
 
 GRAM = 8
 _BLOCK_BITS = 16
@@ -99,9 +99,9 @@ class _Windows:
         return out
 
 
-def _chunks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
+def _chunks(batch: pa.RecordBatch, key: WordKey) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
     for part in words_of(batch.column("text"), NOT_SPACE, False):
-        yield batch.slice(part.first, part.rows), part, part.hashes()
+        yield batch.slice(part.first, part.rows), part, part.hashes(key)
 
 
 def _text_keys(rows: pa.RecordBatch, part: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ def _text_keys(rows: pa.RecordBatch, part: Words, size: int) -> tuple[np.ndarray
     return mix(rows.column("t1").to_numpy().view(np.uint64)[full] ^ _TEXT_SEED), full
 
 
-def build_sketch(texts: DataFrame, size: int, max_bits: int) -> Broadcast:
+def build_sketch(texts: DataFrame, key: WordKey, size: int, max_bits: int) -> Broadcast:
     """The merged sketch of all windows and texts of (text, t1)."""
     spark = texts.sparkSession
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -131,7 +131,7 @@ def build_sketch(texts: DataFrame, size: int, max_bits: int) -> Broadcast:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = [], 0
         for batch in batches:
-            for rows, part, words in _chunks(batch, size):
+            for rows, part, words in _chunks(batch, key):
                 windows = _Windows(part, words, size)
                 for k in (windows.counter[windows.new], _text_keys(rows, part, size)[0]):
                     keys.append(k)
@@ -170,12 +170,12 @@ def build_sketch(texts: DataFrame, size: int, max_bits: int) -> Broadcast:
     return spark.sparkContext.broadcast(RepeatSketch(bits, bytes(bitmap)))
 
 
-def _copies(texts: DataFrame, sketch: Broadcast, size: int) -> DataFrame:
+def _copies(texts: DataFrame, key: WordKey, sketch: Broadcast, size: int) -> DataFrame:
     """The rows whose whole text is estimated as repeated, with n_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, part, _ in _chunks(batch, size):
+            for rows, part, _ in _chunks(batch, key):
                 keys, full = _text_keys(rows, part, size)
                 picked = full[sketch.value.repeated(keys)]
                 out = rows.take(pa.array(picked))
@@ -196,13 +196,13 @@ def _in_pass(rows: pa.RecordBatch, part: Words, sketch: RepeatSketch, size: int)
     return keep | rows.column("stands").to_numpy(zero_copy_only=False)
 
 
-def _candidate_windows(texts: DataFrame, sketch: Broadcast, size: int) -> DataFrame:
+def _candidate_windows(texts: DataFrame, key: WordKey, sketch: Broadcast, size: int) -> DataFrame:
     """(a, h, doc_id, place): the first place in its text of each window estimated as repeated;
     place has 32 bits of the text's hash above the word's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, part, words in _chunks(batch, size):
+            for rows, part, words in _chunks(batch, key):
                 w = _Windows(part, words, size)
                 pick = np.flatnonzero(w.estimated(sketch.value) & _in_pass(rows, part, sketch.value, size)[w.row] & ~w.again(part.rows))
                 row = w.row[pick]
@@ -212,12 +212,12 @@ def _candidate_windows(texts: DataFrame, sketch: Broadcast, size: int) -> DataFr
     return texts.mapInArrow(run, f"a long, h long, doc_id {_type(texts)}, place long")
 
 
-def _to_finish(texts: DataFrame, sketch: Broadcast, size: int, keep_text: bool) -> DataFrame:
+def _to_finish(texts: DataFrame, key: WordKey, sketch: Broadcast, size: int, keep_text: bool) -> DataFrame:
     """A row for each text: finished, or with its text where windows may go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, part, words in _chunks(batch, size):
+            for rows, part, words in _chunks(batch, key):
                 w = _Windows(part, words, size)
                 again = w.again(part.rows)
                 open_ = np.bincount(w.row[w.estimated(sketch.value) | again], minlength=part.rows) > 0
@@ -238,7 +238,7 @@ def _to_finish(texts: DataFrame, sketch: Broadcast, size: int, keep_text: bool)
     return texts.mapInArrow(run, f"doc_id {_type(texts)}, t1 long, t2 long, stands boolean, n_words long, text string, kept_sha256 string, kept_text string")
 
 
-def _finished(rows: DataFrame, size: int, keep_text: bool) -> DataFrame:
+def _finished(rows: DataFrame, key: WordKey, size: int, keep_text: bool) -> DataFrame:
     """Remove the words of windows that begin earlier, in this text or (``late``) before it."""
     names = ["doc_id", "t1", "t2", "stands", "n_words"]
 
@@ -248,7 +248,7 @@ def _finished(rows: DataFrame, size: int, keep_text: bool) -> DataFrame:
             digests = batch.column("kept_sha256").to_pylist()
             texts = batch.column("kept_text").to_pylist()
             late = batch.column("late")
-            for rows, part, words in _chunks(batch, size):
+            for rows, part, words in _chunks(batch, key):
                 w = _Windows(part, words, size)
                 starts = [w.at[w.again(part.rows)]]
                 for i in range(part.rows):
@@ -275,21 +275,22 @@ def _finished(rows: DataFrame, size: int, keep_text: bool) -> DataFrame:
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, max_bits: int = 29) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text: the words that
     no window covers whose words begin earlier too, joined by one space."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("t1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("t2"))
-    sketch = build_sketch(texts, window, max_bits)
-    copies = _copies(texts, sketch, window)
+    key = WordKey.drawn()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.xxhash64(F.lit(x), F.col(text_col)).alias(n) for n, x in (("t1", key.seed >> 65), ("t2", key.seed & (1 << 63) - 1))))
+    sketch = build_sketch(texts, key, window, max_bits)
+    copies = _copies(texts, key, sketch, window)
     first = copies.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     first = written(first.select("doc_id", "text", "t1", "t2"), "first_copies")
     members = written(copies.select("doc_id", "t1", "t2", "n_words"), "copies")
     once = texts.withColumn("stands", F.lit(False)).union(first.withColumn("stands", F.lit(True)))
 
-    windows = _candidate_windows(once, sketch, window)
+    windows = _candidate_windows(once, key, sketch, window)
     least = windows.groupBy("a", "h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     late = windows.join(least, ["a", "h"]).filter("least is not null and (doc_id is null or doc_id > least)")
     late = late.groupBy(F.col("doc_id").alias("d"), F.shiftrightunsigned("place", 32).alias("t")).agg(F.collect_list(F.col("place").bitwiseAND((1 << 32) - 1)).alias("late"))
-    rows = _to_finish(once, sketch, window, keep_text)
+    rows = _to_finish(once, key, sketch, window, keep_text)
     rows = rows.join(late, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1").bitwiseAND((1 << 32) - 1) == F.col("t")), "left").drop("d", "t")
-    result = _finished(rows, window, keep_text)
+    result = _finished(rows, key, window, keep_text)
 
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
     stand = result.filter("stands").select("t1", "t2", F.col("doc_id").alias("least"), F.col("n_removed").alias("r"), F.col("kept_sha256").alias("k"), F.col("kept_text").alias("x"))

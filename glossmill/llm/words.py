@@ -8,6 +8,7 @@ row. A batch is taken apart into chunks of whole texts, so that memory follows
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,9 +67,66 @@ def _sums(values: np.ndarray, base: int) -> np.ndarray:
     return acc
 
 
+@dataclass(frozen=True)
+class WordKey:
+    """A secret from which word hashes are made; both sides of a match use the same one.
+
+    Pieces of 32 bits are multiplied by odd secret numbers and summed modulo 2**64; the upper half of
+    such a sum takes two different words to one value with a chance of 2**-32, whatever the words are,
+    since they were chosen without the secret (multilinear hashing). Two sums give 64 bits, which are
+    scrambled so that windows of hashes keep nothing of the sums.
+    """
+
+    seed: int
+
+    @staticmethod
+    def drawn() -> WordKey:
+        """A new secret; it goes to the tasks with the job, so that a task run again uses the same."""
+        return WordKey(secrets.randbits(128))
+
+    def factors(self, n: int) -> np.ndarray:
+        """Two rows of n secret numbers."""
+        have = _FACTORS.get(self.seed)
+        if have is None:
+            if len(_FACTORS) > 16:
+                _FACTORS.clear()
+            have = np.random.Generator(np.random.PCG64(self.seed)).integers(0, 1 << 64, (2, LONG_WORD // 4 + 4), np.uint64)
+            _FACTORS[self.seed] = have
+        return have[:, :n]
+
+
+_FACTORS: dict[int, np.ndarray] = {}
+
+def keyed_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: WordKey) -> np.ndarray:
+    """A 64-bit hash of each byte span under a key; of spans over ``LONG_WORD`` bytes, the first eight
+    bytes of their keyed BLAKE2 digest."""
+    size = ends - starts
+    short = size <= LONG_WORD
+    factors = key.factors(LONG_WORD // 4 + 4)
+    low = np.uint64(0xFFFFFFFF)
+    sums = [f[0] + f[1] * size.astype(np.uint64) for f in factors]
+    eights = np.ndarray((len(buf) + 1,), "<u8", np.append(buf, np.zeros(8, np.uint8)), 0, (1,))
+    rows = np.flatnonzero(short & (size > 0))
+    for at in range(0, LONG_WORD, 8):
+        now = rows[size[rows] > at]
+        if not len(now):
+            break
+        rows = now
+        piece = eights[starts[rows] + at] & _TAIL[np.minimum(size[rows] - at, 8)]
+        i = at // 4 + 2
+        for f, total in zip(factors, sums, strict=True):
+            total[rows] += (piece & low) * f[i] + (piece >> np.uint64(32)) * f[i + 1]
+    out = mix((sums[0] & ~low) | (sums[1] >> np.uint64(32)))
+    for i in np.flatnonzero(~short):
+        digest = hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=key.seed.to_bytes(16, "little")).digest()
+        out[i] = np.uint64(int.from_bytes(digest, "little"))
+    return out
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span: eight bytes at a time, each step a bijective scrambling
-    of all before; spans over ``LONG_WORD`` bytes by eight bytes of their BLAKE2 digest."""
+    """For features, whose numbers must be the same in every run: a hash of each byte span without a
+    key, to which words can be made that share one. Eight bytes at a time, each step a bijective
+    scrambling of all before; spans over ``LONG_WORD`` bytes by eight bytes of their BLAKE2 digest."""
     size = ends - starts
     out = mix(size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     eights = np.ndarray((len(buf) + 1,), "<u8", np.append(buf, np.zeros(8, np.uint8)), 0, (1,))
@@ -116,8 +174,8 @@ class Words:
     def rows(self) -> int:
         return len(self.bounds) - 1
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.buf, self.starts, self.ends)
+    def hashes(self, key: WordKey) -> np.ndarray:
+        return keyed_hashes(self.buf, self.starts, self.ends, key)
 
     def owners(self) -> np.ndarray:
         """For each word, its row counted from ``first``."""

@@ -70,3 +70,56 @@ def test_words_of_special_form_are_not_one(spark, make_docs):
     other = one.translate(str.maketrans("ab", "ba"))
     found = find_contamination(make_docs([(1, " ".join([other] * 12)), (2, " ".join([one] * 12))]), spark.createDataFrame([(1, " ".join([one] * 10))], "item_id long, text string"))
     assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 0, 2: 12}
+
+
+def longest_brute(doc, item):
+    a, b = WORD.findall(lower(doc)), WORD.findall(lower(item))
+    best, before = (0, 0, 0), {}
+    for i in range(len(a)):
+        now = {}
+        for j in range(len(b)):
+            if a[i] == b[j]:
+                n = now[j] = before.get(j - 1, 0) + 1
+                best = max(best, (n, -(j - n + 1), -(i - n + 1)))
+        before = now
+    return -best[2], -best[1], best[0]
+
+
+def test_repeats_in_document_and_item(spark, make_docs):
+    docs = [(1, "a " * 60 + "b " * 20 + "a " * 35), (2, "a b " * 40 + "c"), (3, "b a b a b a b a b a b q " * 3), (4, "a " * 9)]
+    items = [(1, "a " * 30), (2, "b a " * 25 + "c"), (3, "a " * 12 + "b " * 12), (4, "a b")]
+    rows = find_contamination(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows) == brute(docs, items)
+    texts, bodies = dict(docs), dict(items)
+    for r in rows:
+        for m in r.matches:
+            assert tuple(m)[1:] == longest_brute(texts[r.doc_id], bodies[int(m.item_id)])
+        assert r.longest_match == max((m.n_words for m in r.matches), default=0)
+
+
+def test_long_repeats_need_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from glossmill.llm import decontaminate
+    from glossmill.llm.words import WordKey
+
+    text = "a " * 20_000
+    tests = decontaminate.benchmark_suffixes([("1", text)], 10, WordKey(1))
+    tracemalloc.start()
+    ((part, *found),) = decontaminate._search(pa.array([text]), tests)
+    matches = decontaminate._longest(part, *found, tests)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert found[1].all() and [int(x[0]) for x in matches] == [0, 0, 0, 0, 20_000]
+
+
+#: Two words that an unkeyed hash of eight bytes at a time took for one.
+TWINS = ("rs18bf38k17b4gxy", "8cmzhkvd9b1dwzlg")
+
+
+def test_words_made_for_an_unkeyed_hash(spark, make_docs):
+    docs = [(1, " ".join([TWINS[0]] * 12)), (2, " ".join([TWINS[1]] * 12))]
+    found = find_contamination(make_docs(docs), spark.createDataFrame([(1, " ".join([TWINS[1]] * 10))], "item_id long, text string"))
+    assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 0, 2: 12}

@@ -118,3 +118,9 @@ def test_frequent_shingles_are_compared_in_blocks(make_docs, monkeypatch):
             text[(j * 5 + i // 20) % 100] = f"y{rng.randrange(3)}"
         rows.append((i, " ".join(text)))
     assert got(near_duplicates(make_docs(rows), 85)) == brute(rows, 85)
+
+
+def test_words_made_for_an_unkeyed_hash(make_docs):
+    one, other = "rs18bf38k17b4gxy", "8cmzhkvd9b1dwzlg"  # which eight bytes at a time took for one
+    rows = got(near_duplicates(make_docs([(1, one), (2, other), (3, f"a b c {one} d"), (4, f"a b c {other} d")])))
+    assert rows == brute([(1, one), (2, other), (3, f"a b c {one} d"), (4, f"a b c {other} d")], 80) and all(r[3] for r in rows)

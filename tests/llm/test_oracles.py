@@ -15,7 +15,7 @@ def test_same_as_sql(spark, name):
     if not os.path.isdir(FOLDER):
         pytest.skip("no tables here")
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     found = queries.QUERIES[name](spark, FOLDER)
     columns = sorted(found.columns)

@@ -68,3 +68,9 @@ def test_words_of_special_form_are_not_one(make_docs):
     other = one.translate(str.maketrans("ab", "ba"))
     rows = dedup_substrings(make_docs([(1, " ".join([one] * 20)), (2, " ".join([other] * 20)), (3, " ".join([one] * 20))]), 20).collect()
     assert {r.doc_id: r.n_removed for r in rows} == {1: 0, 2: 0, 3: 20}
+
+
+def test_words_made_for_an_unkeyed_hash(make_docs):
+    one, other = "rs18bf38k17b4gxy", "8cmzhkvd9b1dwzlg"  # which eight bytes at a time took for one
+    rows = dedup_substrings(make_docs([(1, " ".join([one] * 20)), (2, " ".join([other] * 20)), (3, " ".join([one] * 20))]), 20).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {1: 0, 2: 0, 3: 20}
