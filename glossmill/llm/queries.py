@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, divergence, fingerprints, language_id, line_dedup, near_duplicates, packing, private_data, quality, sharding, substring_dedup
+from . import centroids, decontaminate, divergence, fingerprints, language_id, line_dedup, near_duplicates, neighbours, packing, private_data, quality, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=20)
 
 
+def op11_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
 def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, scale=1024, seed=3)
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pattern_packing": op8_pattern_packing,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_multiprobe_neighbours": op11_multiprobe_neighbours,
     "op12_yinyang_clusters": op12_yinyang_clusters,
     "op13_source_divergence": op13_source_divergence,
 }
