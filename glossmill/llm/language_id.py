@@ -1,6 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Characters are lower-cased; each run of characters that are no letters is one blank. The
+Characters are lower-cased; each run of characters that are no letters is one blank; letters beyond
+the basic plane count as the two units of UTF-16. The
 4-grams of all training texts are counted in Spark by language, exactly. Lower orders follow from
 the 4-gram types (Kneser-Ney counts in how many contexts a shorter gram is seen) by groupings of
 their own. What is known of a gram and language are the nodes: its count, and as a context the sum
@@ -30,7 +31,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
@@ -47,15 +48,27 @@ _LETTERS: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """The 16-bit code of each code point: 0 for all but letters."""
+    """Each code point, but 0 for all that are no letters."""
     if not _LETTERS:
-        points = np.arange(0x110000, dtype=np.uint32)
-        codes = np.where(points < 0x10000, points, 0xE000 + points % 0x1900).astype(np.uint16)
+        codes = np.arange(0x110000, dtype=np.uint32)
         codes[[not chr(i).isalpha() for i in range(0x110000)]] = 0
         _LETTERS.append(codes)
     return _LETTERS[0]
 
 
+def _units(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 16-bit units of code points and where texts begin in them: letters beyond the basic plane are
+    two units each, as in UTF-16, which no other letter shares."""
+    far = codes > 0xFFFF
+    if not far.any():
+        return codes.astype(np.uint16), offsets
+    starts = np.arange(len(codes)) + np.cumsum(far) - far
+    out = np.repeat(codes, 1 + far)
+    above = codes[far] - 0x10000
+    out[starts[far]], out[starts[far] + 1] = 0xD800 + (above >> 10), 0xDC00 + (above & 0x3FF)
+    return out.astype(np.uint16), np.append(starts, len(out))[offsets]
+
+
 def _grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For chunks of texts: number of the first, packed 4-grams, where each text's begin, letters of each."""
     i = 0
@@ -65,7 +78,7 @@ def _grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarra
             part.append((texts[i + len(part)] or "").lower())
             held += len(part[-1]) + 1
         codes = _letters()[np.frombuffer(" ".join([*part, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        offsets = np.cumsum([0, *(len(t) + 1 for t in part)])
+        codes, offsets = _units(codes, np.cumsum([0, *(len(t) + 1 for t in part)]))
         first = np.zeros(len(codes), bool)
         first[offsets[:-1]] = True
         before = np.empty_like(codes)
@@ -355,14 +368,15 @@ def _limits(judged: DataFrame, names: list[str], quantile: float, slack: float)
     return judged.sparkSession.createDataFrame(out, "_pred string, _bin int, _limit double")
 
 
-def _decided(docs: DataFrame, quantile: float, slack: float, id_col: str, text_col: str, lang_col: str, keep: list[str]) -> DataFrame | None:
-    """The columns ``keep``, _held_out, _pred, _entropy, _score and _rejected; None if nothing can be learned."""
+def _decided(docs: DataFrame, quantile: float, slack: float, id_col: str, text_col: str, lang_col: str, keep: Column) -> DataFrame | None:
+    """_row (``keep`` of each row), _held_out, _pred, _entropy, _score and _rejected; None if nothing can be learned."""
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
-    texts = docs.withColumns({"_held_out": held_out, "_lang": F.col(lang_col)})
-    fit = fit_languages(texts.filter("not _held_out").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
+    # Rows travel as one column, so that no name of theirs meets one of these.
+    texts = docs.select(keep.alias("_row"), held_out.alias("_held_out"), F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    fit = fit_languages(texts.filter("not _held_out").select(F.col("_lang").alias("lang"), F.col("_text").alias("text")))
     if fit is None:
         return None
-    judged = written(_judged(texts, fit, id_col, text_col, [*keep, "_held_out", "_lang"]), "judged")
+    judged = written(_judged(texts, fit, "_id", "_text", ["_row", "_held_out", "_lang"]), "judged")
     limits = _limits(judged, fit.names, quantile, slack)
     found = judged.withColumn("_bin", _bin("_size")).join(F.broadcast(limits), ["_pred", "_bin"], "left")  # languages times lengths
     return found.withColumn("_rejected", (F.col("_pred") == "und") | F.coalesce(F.col("_entropy") > F.col("_limit"), F.lit(False)))
@@ -373,14 +387,15 @@ def identify_languages(docs: DataFrame, quantile: float = 0.9995, slack: float =
 
     Rows whose crc32(doc_id as text) mod 3 is 1 are held out: nothing is learned from them.
     """
-    found = _decided(docs.select(id_col, text_col, lang_col), quantile, slack, id_col, text_col, lang_col, [id_col])
+    found = _decided(docs, quantile, slack, id_col, text_col, lang_col, F.col(id_col))
     if found is None:
         held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
         return docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(float("inf")).alias("entropy"))
-    return found.select(F.col(id_col).alias("doc_id"), *(F.col(f"_{c}").alias(a) for c, a in (("held_out", "held_out"), ("pred", "lang_pred"), ("score", "score"), ("rejected", "rejected"), ("entropy", "entropy"))))
+    return found.select(F.col("_row").alias("doc_id"), *(F.col(f"_{c}").alias(a) for c, a in (("held_out", "held_out"), ("pred", "lang_pred"), ("score", "score"), ("rejected", "rejected"), ("entropy", "entropy"))))
 
 
 def keep_identified(docs: DataFrame, quantile: float = 0.9995, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, unchanged."""
-    found = _decided(docs, quantile, slack, id_col, text_col, lang_col, docs.columns)
-    return docs.limit(0) if found is None else found.filter("not _rejected").select(docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    found = _decided(docs, quantile, slack, id_col, text_col, lang_col, row)
+    return docs.limit(0) if found is None else found.filter("not _rejected").select("_row.*")

@@ -110,3 +110,27 @@ def test_held_out_accuracy_and_cases(make_docs):
 def test_nothing_to_learn(make_docs):
     assert [r.lang_pred for r in identify_languages(make_docs([(1, "text", None)])).collect()] == ["und"]
     assert identify_languages(make_docs([])).count() == 0 and keep_identified(make_docs([])).count() == 0
+
+
+def test_names_that_clash_with_inner_ones(spark):
+    rows = [(i, t, lang, "p", "q", "r", 1.5, True, "s", "t", "u") for i, t, lang in texts(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _lang string, _pred string, _block string, _entropy double, _rejected boolean, _row string, _id string, _text string")
+    found = {r.doc_id: r.lang_pred for r in identify_languages(docs).collect()}
+    assert found == {r.doc_id: r.lang_pred for r in identify_languages(docs.select("doc_id", "text", "lang")).collect()}
+    kept = keep_identified(docs)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == sorted(r for r in rows if found[r[0]] != "und")
+
+
+def test_letters_beyond_the_basic_plane_stay_apart(spark):
+    rng = random.Random(8)
+    script = {"x": 0x20000, "y": 0x21900}  # 0x1900 apart
+    rows = [(i, "".join(chr(script["xy"[i % 2]] + rng.randrange(12)) for _ in range(30)) + " 😀", "xy"[i % 2]) for i in range(90)] + [(90, "😀😀", "x")]
+    found = {r.doc_id: (r.lang_pred, r.score) for r in identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(found[i][0] == "xy"[i % 2] and found[i][1] > 0.99 for i in range(90)) and found[90] == ("und", 0.0)
+
+
+def test_very_long_text(spark):
+    long = " ".join(t for _, t, lang in texts(4000, 9) if lang == "bb")
+    rows = [*texts(120), (1000, long, None), (1001, long * 3, None)]
+    found = {r.doc_id: r.lang_pred for r in identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found[1000] == found[1001] == "bb"
