@@ -1,4 +1,4 @@
-"""Queries of the dictionary, tag, entity and question operators over a small dictionary of our own."""
+"""Queries of the dictionary, tag, entity and question operators, with a dictionary that the corpus gives."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stopwords
 from ..operators import entities, lexicon, questions, tagging, vectors
+from ..scratch import written
+from . import corpus_lexicon
 from .registry import query
-from .sample_lexicon import sql_tables, tables
 
-_DICT = f"WITH RECURSIVE {sql_tables()}"
+_DICT = f"WITH {corpus_lexicon.SQL}, {corpus_lexicon.ASKED_SQL}"
+
+
+def _tables(documents: DataFrame, conversations: DataFrame) -> dict[str, DataFrame]:
+    return corpus_lexicon.dictionary(documents) | {"asked": written(corpus_lexicon.asked_words(conversations), "asked")}
 
 
 def _suffix_sql() -> str:
@@ -30,31 +35,31 @@ _SENSES = """ranked AS (SELECT a.word, w.pos, w.synset, w.tag_count, row_number(
 
 
 @query(f"{_DICT}, {_BASES} SELECT word, base, pos FROM bases")
-def lexicon_base_words(spark):
-    t = tables(spark)
+def lexicon_base_words(documents, conversations):
+    t = _tables(documents, conversations)
     return lexicon.base_words(t["asked"], t["words"], t["exceptions"])
 
 
 @query(f"{_DICT}, {_BASES} SELECT word, CASE WHEN word IN (SELECT word FROM words) THEN 1 WHEN word IN (SELECT word FROM bases) THEN 2 ELSE 0 END AS found FROM asked")
-def lexicon_membership(spark):
-    t = tables(spark)
+def lexicon_membership(documents, conversations):
+    t = _tables(documents, conversations)
     return lexicon.membership(t["asked"], t["words"], t["exceptions"])
 
 
 @query(f"{_DICT} SELECT word, string_agg(DISTINCT pos, '' ORDER BY pos) AS tags FROM words GROUP BY word")
-def lexicon_word_tags(spark):
-    return lexicon.word_pos(tables(spark)["words"])
+def lexicon_word_tags(documents):
+    return lexicon.word_pos(corpus_lexicon.dictionary(documents)["words"])
 
 
 @query(f"{_DICT} SELECT word, coalesce((SELECT bool_or(is_entity) FROM words w WHERE w.word = a.word), true) AS is_entity FROM asked a")
-def lexicon_name_flags(spark):
-    t = tables(spark)
+def lexicon_name_flags(documents, conversations):
+    t = _tables(documents, conversations)
     return lexicon.entity_flag(t["asked"], t["words"])
 
 
 @query(f"{_DICT}, {_SENSES} SELECT word, other FROM first_words")
-def lexicon_synset_words(spark):
-    t = tables(spark)
+def lexicon_synset_words(documents, conversations):
+    t = _tables(documents, conversations)
     return lexicon.synset_words(t["asked"], t["words"], t["synsets"])
 
 
@@ -65,67 +70,93 @@ def lexicon_synset_words(spark):
     three AS (SELECT * FROM all_words WHERE NOT contains(other, word) AND word NOT IN (SELECT word FROM one) AND word NOT IN (SELECT word FROM b))
     SELECT word, other FROM one UNION ALL SELECT word, other FROM b UNION ALL SELECT word, other FROM three"""
 )
-def lexicon_synonyms(spark):
-    t = tables(spark)
+def lexicon_synonyms(documents, conversations):
+    t = _tables(documents, conversations)
     return lexicon.similar_words(t["asked"], t["words"], t["synsets"], t["exceptions"])
 
 
 @query(
     f"""{_DICT} SELECT DISTINCT 'hypernym' AS relation, a.word, s.word AS other FROM asked a JOIN words w USING (word) JOIN relations r ON r.relation = 'hypernym' AND r.source = w.synset JOIN synsets s ON s.synset = r.target
-    UNION ALL SELECT DISTINCT 'antonym', a.word, r.target FROM asked a JOIN relations r ON r.relation = 'antonym' AND r.source = a.word
-    UNION ALL SELECT DISTINCT 'also_see', a.word, r.target FROM asked a JOIN relations r ON r.relation = 'also_see' AND r.source = a.word"""
+    UNION ALL SELECT DISTINCT 'antonym', a.word, r.target FROM asked a JOIN relations r ON r.relation = 'antonym' AND r.source = a.word"""
 )
-def lexicon_related_words(spark):
-    t = tables(spark)
+def lexicon_related_words(documents, conversations):
+    t = _tables(documents, conversations)
     parts = [
         lexicon.related_words(t["asked"], name, t["words"], t["synsets"], t["relations"]).select(F.lit(name).alias("relation"), "word", "other")
-        for name in ("hypernym", "antonym", "also_see", "no such relation")
+        for name in ("hypernym", "antonym", "no such relation")
     ]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query(
-    f"""{_DICT}, u AS (SELECT word FROM asked WHERE word NOT IN (SELECT word FROM words)),
-    c AS (SELECT u.word AS query, n, (SELECT count(DISTINCT w.word) FROM words w WHERE starts_with(w.word, substr(u.word, 1, n))) AS hits
-        FROM u, unnest(range(1, length(u.word) + 1)) AS x(n) WHERE n > length(u.word) - 10),
-    best AS (SELECT query, CASE WHEN max(n) FILTER (hits >= 3) IS NOT NULL THEN max(n) FILTER (hits >= 3)
-        ELSE min(n) FILTER (hits = (SELECT max(hits) FROM c d WHERE d.query = c.query)) END AS n FROM c WHERE hits > 0 GROUP BY query),
-    r AS (SELECT DISTINCT query, w.word FROM best JOIN words w ON starts_with(w.word, substr(query, 1, n))),
+    f"""{_DICT}, w AS (SELECT DISTINCT word FROM words), u AS (SELECT word FROM asked WHERE word NOT IN (SELECT word FROM w)),
+    p AS (SELECT word, n, substr(word, 1, n) AS prefix FROM (SELECT word, unnest(range(1, length(word) + 1)) AS n FROM w)), held AS (SELECT prefix, count(*) AS hits FROM p GROUP BY prefix),
+    c AS (SELECT query, n, prefix, hits FROM (SELECT word AS query, n, substr(word, 1, n) AS prefix FROM (SELECT word, unnest(range(1, length(word) + 1)) AS n FROM u) WHERE n > length(word) - 10) JOIN held USING (prefix)),
+    best AS (SELECT query, CASE WHEN max(n) FILTER (hits >= 3) IS NOT NULL THEN max(n) FILTER (hits >= 3) ELSE min(n) FILTER (hits = m) END AS n
+        FROM (SELECT *, max(hits) OVER (PARTITION BY query) AS m FROM c) GROUP BY query),
+    r AS (SELECT query, p.word FROM best JOIN p ON p.prefix = substr(query, 1, best.n)),
     k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY word) AS k FROM r) SELECT query, word FROM k WHERE k <= 4"""
 )
-def lexicon_prefix_matches(spark):
-    t = tables(spark)
+def lexicon_prefix_matches(documents, conversations):
+    t = _tables(documents, conversations)
     return lexicon.prefix_matches(t["asked"], t["words"], least=3, most=4)
 
 
-_SCORES = """prior AS (SELECT target, synset, log2(tag_count / sum(tag_count) OVER (PARTITION BY target)) AS prior FROM targets JOIN words USING (word)),
+#: Words of first turns that have several senses, and the words of the turn.
+_SCORES = f"""first_ AS (SELECT conv_id, lower(unnest(regexp_extract_all(text, '{corpus_lexicon.WORD}'))) AS word FROM conversations WHERE turn = 0),
+    several AS (SELECT word FROM words GROUP BY word HAVING count(*) > 1),
+    targets AS (SELECT DISTINCT conv_id || ':' || word AS target, conv_id, word FROM first_ JOIN several USING (word)),
+    contexts AS (SELECT DISTINCT target, f.word AS term FROM targets t JOIN first_ f ON f.conv_id = t.conv_id AND f.word <> t.word),
+    prior AS (SELECT target, synset, log2(tag_count / sum(tag_count) OVER (PARTITION BY target)) AS prior FROM targets JOIN words USING (word)),
     scores AS (SELECT p.target, p.synset, any_value(prior) + sum(CASE WHEN c.term IS NULL THEN 0.0 ELSE coalesce(log2(s.p), -100.0) END) AS score
         FROM prior p LEFT JOIN contexts c USING (target) LEFT JOIN signatures s ON s.synset = p.synset AND s.term = c.term GROUP BY ALL)"""
 
 
-@query(f"{_DICT}, {_SCORES} SELECT target, synset, round(score, 6) AS score FROM scores")
-def sense_scores(spark):
-    t = tables(spark)
-    return lexicon.sense_scores(t["targets"], t["contexts"], t["words"], t["signatures"]).withColumn("score", F.round("score", 6))
+def _sense_scores(documents: DataFrame, conversations: DataFrame) -> DataFrame:
+    t = corpus_lexicon.dictionary(documents)
+    first = corpus_lexicon.words_with_previous(conversations.filter("turn = 0"), "conv_id").select("conv_id", F.lower("token").alias("word")).distinct()
+    several = t["words"].groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word")
+    targets = first.join(several, "word").select("conv_id", "word", F.concat_ws(":", "conv_id", "word").alias("target"))
+    contexts = targets.join(first.withColumnRenamed("word", "term"), "conv_id").filter("term <> word").select("target", "term")
+    return lexicon.sense_scores(targets.select("target", "word"), contexts, t["words"], t["signatures"])
+
+
+@query(f"{_DICT}, {_SCORES} SELECT target, synset, round(score, 4) AS score FROM scores")
+def sense_scores(documents, conversations):
+    return _sense_scores(documents, conversations).withColumn("score", F.round("score", 4))
+
 
+@query(f"{_DICT}, {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(score, 6) DESC, synset) AS k FROM scores) SELECT target, synset FROM r WHERE k = 1")
+def best_senses(documents, conversations):
+    return lexicon.best_senses(_sense_scores(documents, conversations).withColumn("score", F.round("score", 6)))
 
-@query(f"{_DICT}, {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, synset) AS k FROM scores) SELECT target, synset FROM r WHERE k = 1")
-def best_senses(spark):
-    t = tables(spark)
-    return lexicon.best_senses(lexicon.sense_scores(t["targets"], t["contexts"], t["words"], t["signatures"]))
+
+#: Entries of two words: a capital, and a word that follows it often.
+_PHRASES = f"""entries AS (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM cut)),
+    phrases AS (SELECT lower(a) || '_' || lower(b) AS word FROM entries WHERE regexp_matches(a, '^[A-ZÀ-Þ]') GROUP BY 1 HAVING count(*) >= {corpus_lexicon.LEAST})"""
+
+
+def _phrases(documents: DataFrame) -> DataFrame:
+    found = F.regexp_extract_all("text", F.lit(corpus_lexicon.WORD), F.lit(0))
+    pairs = documents.select(found.alias("w")).select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))).alias("p")).select("p.*")
+    rows = pairs.filter(F.col("b").isNotNull() & F.col("a").rlike("^[A-ZÀ-Þ]")).groupBy(F.concat_ws("_", F.lower("a"), F.lower("b")).alias("word")).agg(F.count("*").alias("n"))
+    return rows.filter(F.col("n") >= corpus_lexicon.LEAST).select("word")
 
 
 @query(
-    f"""{_DICT} SELECT DISTINCT split_part(word, '_', 1) AS lead, replace(word, '_', ' ') AS phrase, CAST(len(string_split(word, '_')) AS BIGINT) AS n_tokens
-    FROM words WHERE contains(word, '_') AND word NOT LIKE 'genus\\_%' ESCAPE '\\' AND word NOT LIKE 'family\\_%' ESCAPE '\\' AND word NOT LIKE 'order\\_%' ESCAPE '\\'"""
+    f"""{_DICT}, {_PHRASES} SELECT split_part(word, '_', 1) AS lead, replace(word, '_', ' ') AS phrase, CAST(len(string_split(word, '_')) AS BIGINT) AS n_tokens
+    FROM phrases WHERE word NOT LIKE 'the\\_%' ESCAPE '\\' AND word NOT LIKE '%\\_the' ESCAPE '\\' AND word NOT LIKE 'la\\_%' ESCAPE '\\' AND word NOT LIKE '%\\_la' ESCAPE '\\'"""
 )
-def collocation_table(spark):
-    return lexicon.collocations(tables(spark)["words"]).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+def collocation_table(documents):
+    return lexicon.collocations(_phrases(documents), skip=("the", "la")).withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
-@query(f"{_DICT} SELECT word, pos, min(base) AS base FROM exceptions GROUP BY ALL")
-def single_exceptions(spark):
-    return lexicon.single_exceptions(tables(spark)["exceptions"])
+@query(f"{_DICT} SELECT word, pos, min(base) AS base FROM (SELECT a.word, b.word AS base, 'v' AS pos FROM asked a JOIN words b ON a.word IN (b.word || 'en', b.word || 'e', b.word || 'er')) GROUP BY ALL")
+def single_exceptions(documents, conversations):
+    t = _tables(documents, conversations)
+    ends = F.array(*(F.when(F.col("word").endswith(e), F.substring("word", F.lit(1), F.length("word") - len(e))) for e in ("en", "e", "er")))
+    bases = t["asked"].select("word", F.explode(F.array_compact(ends)).alias("base")).join(t["words"].select(F.col("word").alias("base")).distinct(), "base")
+    return lexicon.single_exceptions(bases.select("word", "base", F.lit("v").alias("pos")))
 
 
 # --- tags and entities over conversations
@@ -196,23 +227,31 @@ def entity_rules(conversations):
     return entities.likelihood_rules(typed.withColumn("type", F.element_at("types", 1))).withColumn("value", F.round("value", 6))
 
 
+_CUSTOMERS = "SELECT lower(c_mktsegment) AS name, 'org' AS type FROM customer UNION SELECT lower(n_name), 'place' FROM nation UNION SELECT lower(r_name), 'place_region' FROM region"
+
+
 @query(
-    f"""WITH {_NAMES}, fixed(name, type) AS (VALUES ('help', 'tech'), ('new town', 'place')) SELECT DISTINCT name, type FROM (
-        SELECT name, CASE WHEN name = 'help' AND type = 'place' THEN 'place_town' ELSE type END AS type FROM names WHERE name NOT IN (SELECT name FROM fixed)
-        UNION ALL SELECT name, type FROM fixed UNION ALL SELECT 'new', 'part_place' UNION ALL SELECT 'town', 'part_place')"""
+    f"""WITH g AS ({_CUSTOMERS}), fixed AS (SELECT lower(n_name) || ' ' || lower(r_name) AS name, 'place_nation' AS type FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT 'building', 'tech'),
+    parts AS (SELECT unnest(string_split(name, ' ')) AS name, 'part_' || type AS type FROM fixed WHERE contains(name, ' '))
+    SELECT DISTINCT name, type FROM (SELECT * FROM g WHERE name NOT IN (SELECT name FROM fixed) UNION ALL SELECT * FROM fixed UNION ALL SELECT * FROM parts WHERE name <> '')"""
 )
-def gazetteer_corrections(spark):
-    gazetteer = spark.createDataFrame(_GAZETTEER, "name string, type string")
-    return entities.with_corrections(gazetteer, spark.createDataFrame([("Help", "tech"), ("New Town", "place")], "name string, type string"))
+def gazetteer_corrections(customer, nation, region):
+    known = customer.select(F.lower("c_mktsegment").alias("name"), F.lit("org").alias("type")).union(nation.select(F.lower("n_name"), F.lit("place"))).union(region.select(F.lower("r_name"), F.lit("place_region"))).distinct()
+    named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.initcap(F.concat_ws(" ", "n_name", "r_name")).alias("name"), F.lit("place_nation").alias("type"))
+    return entities.with_corrections(known, named.union(named.sparkSession.createDataFrame([("Building", "tech")], "name string, type string")))
 
 
 # --- questions
 
-_SEEDS = [(1, "dog", 256.0), (1, "city", 128.0), (2, "cat", 128.0), (2, "large", 64.0)]
+#: The first two nouns of each conversation.
+_SEEDS = f"""nouns AS (SELECT DISTINCT word FROM words WHERE pos = 'n'),
+    turns AS (SELECT conv_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, regexp_extract_all(lower(text), '{corpus_lexicon.WORD}') AS w FROM conversations WHERE turn = 0)),
+    seeds AS (SELECT query_id, word, CASE k WHEN 1 THEN 256.0 ELSE 128.0 END AS weight FROM (
+        SELECT conv_id AS query_id, w[i] AS word, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k FROM turns WHERE w[i] IN (SELECT word FROM nouns)) WHERE k <= 2)"""
 
 
 @query(
-    f"""{_DICT}, seeds(query_id, word, weight) AS (VALUES {", ".join(f"({q}, '{w}', {x})" for q, w, x in _SEEDS)}),
+    f"""{_DICT}, {_SEEDS},
     syn AS (SELECT DISTINCT a.word, b.word AS other FROM synsets a JOIN synsets b USING (synset) WHERE a.word != b.word),
     hyp AS (SELECT DISTINCT a.word, b.word AS other FROM synsets a JOIN relations r ON r.relation = 'hypernym' AND r.source = a.synset JOIN synsets b ON b.synset = r.target),
     near_ AS (SELECT query_id, other AS word FROM seeds JOIN syn USING (word)),
@@ -220,13 +259,16 @@ _SEEDS = [(1, "dog", 256.0), (1, "city", 128.0), (2, "cat", 128.0), (2, "large",
     every AS (SELECT query_id, word, weight, 0 AS k FROM seeds UNION ALL SELECT query_id, word, 64.0, 1 FROM near_ UNION ALL SELECT query_id, word, 8.0, 2 FROM far_),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id, word ORDER BY k, weight DESC) AS o FROM every) SELECT CAST(query_id AS BIGINT) AS query_id, word, CAST(weight AS DOUBLE) AS weight FROM r WHERE o = 1"""
 )
-def neighbour_weights(spark):
-    t = tables(spark)
+def neighbour_weights(documents, conversations):
+    t = corpus_lexicon.dictionary(documents)
+    nouns = t["words"].filter("pos = 'n'").select("word").distinct()
+    found = F.regexp_extract_all(F.lower("text"), F.lit(corpus_lexicon.WORD), F.lit(0))
+    tokens = conversations.filter("turn = 0").select(F.col("conv_id").alias("query_id"), F.posexplode(found).alias("pos", "token"))
     named = t["synsets"].select("synset", "word")
     synonyms = named.join(named.withColumnRenamed("word", "other"), "synset").filter("word != other").select("word", "other").distinct()
     above = t["relations"].filter("relation = 'hypernym'")
     hypernyms = named.join(above, F.col("synset") == F.col("source")).select("word", "target").join(named.select(F.col("synset").alias("target"), F.col("word").alias("other")), "target").select("word", "other").distinct()
-    return questions.neighbour_weights(spark.createDataFrame(_SEEDS, "query_id long, word string, weight double"), synonyms, hypernyms)
+    return questions.neighbour_weights(questions.noun_weights(tokens, nouns), synonyms, hypernyms)
 
 
 @query(
@@ -287,13 +329,13 @@ def question_profiles(benchmark):
 
 @query(
     f"""{_DICT}, tf AS (SELECT conv_id AS doc_id, w.word AS term, count(*)::DOUBLE AS tf FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) c
-        JOIN (SELECT DISTINCT word FROM words UNION VALUES ('help'), ('que'), ('und')) w USING (word) GROUP BY ALL),
+        JOIN (SELECT DISTINCT word FROM words) w USING (word) GROUP BY ALL),
     v AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) AS w FROM tf), syn(term, synonym) AS (VALUES ('the', 'le'), ('the', 'der'), ('und', 'and'), ('que', 'that')),
     e AS (SELECT doc_id, term, sum(w) AS w FROM (SELECT * FROM v UNION ALL SELECT doc_id, synonym, w FROM v JOIN syn USING (term)) GROUP BY ALL)
     SELECT doc_id, term, round(w / sum(w) OVER (PARTITION BY doc_id), 6) AS weight FROM e"""
 )
-def expanded_vectors(spark, conversations):
-    known = tables(spark)["words"].select("word").union(spark.createDataFrame([("help",), ("que",), ("und",)], "word string")).distinct()
+def expanded_vectors(spark, documents, conversations):
+    known = corpus_lexicon.dictionary(documents)["words"].select("word").distinct()
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
     rows = conversations.select(F.col("conv_id").alias("doc_id"), F.explode(words).alias("word")).join(known, "word")
     tf = rows.groupBy("doc_id", F.col("word").alias("term")).agg(F.count("*").alias("tf"))

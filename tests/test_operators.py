@@ -180,6 +180,79 @@ def test_entities(spark):
     assert ("rome", "place") in fixed and ("inc", "part_org") in fixed and fixed.count(("rome", "org")) == 0
 
 
+def _tokens(spark, *sentences):
+    return spark.createDataFrame([(1, s, i, t) for s, words in enumerate(sentences) for i, t in enumerate(words.split())], "doc_id int, sent int, pos int, token string")
+
+
+def _types(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r.sent, r.pos)):
+        out.setdefault(r.sent, []).append((r.token, r.type))
+    return out
+
+
+def test_names_of_several_words(spark):
+    gazetteer = spark.createDataFrame([("New York", "place_city"), ("new_york_times", "org"), ("york", "place"), ("times square", "place"), ("bank of america", "org"), ("bank of", "tech"), ("bank", "part_org")], "name string, type string")
+    tokens = _tokens(spark, "In NEW YORK the New York Times Square", "a bank of america and Bank of America . Bank of", "New York")
+    spans = entities.name_spans(tokens, gazetteer)
+    assert rows(spans.select("sent", "first", "last", "name", "type")) == [
+        (0, 1, 2, "new york", "place"), (0, 4, 6, "new york times", "org"), (1, 5, 7, "bank of america", "org"), (1, 9, 10, "bank of", "tech"), (2, 0, 1, "new york", "place"),
+    ]
+    assert entities.name_spans(tokens, gazetteer.limit(0)).count() == 0
+
+
+def test_parts_of_names_between_and_beside(spark):
+    gazetteer = spark.createDataFrame([("acme", "org"), ("holding", "org"), ("and", "org"), ("river", "part_place"), ("severn", "place"), ("very", "part_place")], "name string, type string")
+    dictionary = spark.createDataFrame([("river", "n", False), ("very", "r", False)], "word string, tags string, is_entity boolean")
+    tokens = _tokens(spark, "Acme and Holding", "the Severn River is Very far", "River boats", "Severn . Very")
+    typed = entities.seeded(entities.with_tags(tokens, dictionary), gazetteer)
+    got = {(r.sent, r.pos): r.types for r in entities.resolved_parts(typed, gazetteer).collect()}
+    assert [got[0, i] for i in range(3)] == [["org"]] * 3
+    assert got[1, 2] == ["place"] and got[1, 4] == [] and got[2, 0] == [] and got[3, 2] == []  # very is no noun
+
+
+def test_neighbours_and_runs(spark):
+    gazetteer = spark.createDataFrame([("patriot", "org"), ("blue lake inc", "org"), ("wyndham hotel", "org"), ("anna", "person")], "name string, type string")
+    dictionary = spark.createDataFrame([("big", "a", False), ("monday", "n", True), ("hence", "r", False)], "word string, tags string, is_entity boolean")
+    typed = [(0, 0, "North", "miscellaneous"), (0, 1, "American", "miscellaneous"), (0, 2, "Patriot", "org"), (0, 3, "said", None), (1, 0, "Wyndham", "miscellaneous"), (1, 1, "Hotel", "miscellaneous"), (1, 2, "Corp", "miscellaneous"),
+             (2, 0, "Anna", "person"), (2, 1, "Green", "miscellaneous"), (2, 2, "Hence", "miscellaneous"), (2, 3, "Red", "miscellaneous"), (3, 0, "Big", "miscellaneous"), (3, 1, ".", None), (3, 2, "Monday", "miscellaneous")]
+    tokens = spark.createDataFrame([(1, *r) for r in typed], "doc_id int, sent int, pos int, token string, type string")
+    got = {(r.sent, r.pos): r.type for r in entities.resolved_neighbours(entities.with_tags(tokens, dictionary), gazetteer).collect()}
+    assert [got[0, i] for i in range(4)] == ["org", "org", "org", None]
+    assert [got[1, i] for i in range(3)] == ["org"] * 3  # a run less the ending of a firm
+    assert [got[2, i] for i in range(4)] == ["person", "person", None, "miscellaneous"]  # hence is no noun and is a common word
+    assert got[3, 0] is None and got[3, 2] == "miscellaneous"
+
+
+def test_common_words_and_types_of_the_document(spark):
+    rules = spark.createDataFrame([("in_dictionary", "place", 0.2), ("in_dictionary", "org", 0.9)], "feature string, type string, value double")
+    dictionary = spark.createDataFrame([("reading", "nv", False), ("bath", "n", False), ("apple", "nv", False)], "word string, tags string, is_entity boolean")
+    typed = [(0, 0, "Reading", "place"), (0, 1, "Reading", "place"), (0, 2, "reading", "place"), (1, 0, "Bath", "place"), (1, 1, "Apple", "org"), (2, 0, "Apple", None), (2, 1, "apple", None), (2, 2, "Bath", "miscellaneous"), (3, 0, "Apple", "person")]
+    tokens = spark.createDataFrame([(1, *r) for r in typed], "doc_id int, sent int, pos int, token string, type string")
+    kept = entities.without_common_words(entities.with_tags(tokens, dictionary), rules)
+    assert {(r.sent, r.pos): r.type for r in kept.collect() if r.sent < 2} == {(0, 0): None, (0, 1): "place", (0, 2): None, (1, 0): "place", (1, 1): "org"}
+    got = {(r.sent, r.pos): r.type for r in entities.consistent_types(kept).collect()}
+    assert got[2, 0] == got[3, 0] == "org" and got[2, 1] is None and got[2, 2] == "place" and got[0, 0] == "place"
+
+
+def test_entities_of_a_news_story(spark):
+    """Names of firms in a business story: whole names, parts, endings, and the same type all through."""
+    gazetteer = spark.createDataFrame(
+        [("reuters", "org"), ("new york", "place"), ("wyndham hotel", "org"), ("inc", "part_org"), ("corp", "part_org"), ("interstate hotels", "org"), ("interstate", "org"), ("patriot american hospitality", "org"), ("patriot", "org"), ("tuesday", "time")], "name string, type string"
+    )
+    dictionary = spark.createDataFrame([("said", "v", False), ("it", "p", False), ("on", "r", False), ("completion", "n", False), ("casinos", "n", True)], "word string, tags string, is_entity boolean")
+    rules = spark.createDataFrame([("start_up", "org", 0.2)], "feature string, type string, value double").limit(0)
+    story = (
+        "NEW YORK ( Reuters ) - Hotel investment trust Patriot American Hospitality Inc . said Tuesday it had agreed to acquire Interstate Hotels Corp , a company",
+        "On the Interstate deal and its acquisition of Wyndham Hotel Corp . and WHG Reuters",
+    )
+    got = _types(entities.extract_entities(_tokens(spark, *story), gazetteer, rules, dictionary))
+    assert got[0] == [
+        ("NEW", "place"), ("YORK", "place"), ("Reuters", "org"), ("Hotel", "org"), ("Patriot", "org"), ("American", "org"), ("Hospitality", "org"), ("Inc", "org"), ("Tuesday", "time"), ("Interstate", "org"), ("Hotels", "org"), ("Corp", "org"),
+    ]
+    assert got[1] == [("Interstate", "org"), ("Wyndham", "org"), ("Hotel", "org"), ("Corp", "org"), ("WHG", "org"), ("Reuters", "org")]
+
+
 def test_questions(spark):
     parts = spark.createDataFrame([(1, "the old red bridge stands"), (2, "a bridge"), (3, "none")], "doc_id long, text string")
     asked = spark.createDataFrame([(9, "old red bridge")], "query_id long, text string")
