@@ -31,24 +31,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .words import WordKey, Words, words_of
+from .words import WordKey, Words, mix, words_of
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bytes of terms once A to Z are lower case: a to z and everything beyond ASCII.
+#: Bytes of terms, runs of letters and of everything beyond ASCII, once A to Z are lower case: a to z and everything beyond ASCII.
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _PIECE = 8 << 10  # bytes of words in a row
 _PLACE = 64 << 20  # bytes of words in a place
-_SOURCES = 64  # sources whose counts a task holds
+_SOURCES = 64  # sources whose counts a task holds, about
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_HELD = 1 << 18  # occurrences that are counted at once
 _PAIRS = 1 << 21  # pairs of postings that are expanded at once
 
 
 def kept_terms(docs: DataFrame, least: int) -> DataFrame:
-    """(lang, term) of the terms in at least so many documents of the language."""
-    words = F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(TERM), F.lit(0))
-    each = docs.select("lang", F.explode(F.array_distinct(words)).alias("term"))
-    return each.groupBy("lang", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("lang", "term")
+    """(lang, term) of the terms in at least so many documents of the language. A task tells terms of
+    a chunk of texts apart by a keyed hash of 64 bits and sends each with its number of documents."""
+    key = WordKey.drawn()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names: dict = {}
+            langs = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.uint64)
+            named = pa.array(list(names), pa.string())
+            found: dict[str, list] = {"lang": [], "hash": [], "n": [], "term": []}
+            for part in words_of(batch.column("text"), _LETTERS, True):
+                hashes, owner = part.hashes(key), part.owners()
+                once = np.unique(mix(hashes + owner.astype(np.uint64) * _ODD), return_index=True)[1]  # of a document's copies one
+                hashes, lang = hashes[once], langs[owner[once] + part.first]
+                _, first, n = np.unique(mix(hashes + lang * _ODD), return_index=True, return_counts=True)
+                size = (part.ends - part.starts)[once[first]]
+                bounds = np.append(0, np.cumsum(size))
+                body = part.buf[np.arange(bounds[-1]) + np.repeat(part.starts[once[first]] - bounds[:-1], size)]
+                terms = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(body))
+                for name, x in (("lang", lang[first]), ("hash", hashes[first]), ("n", n), ("term", terms)):
+                    found[name].append(x)
+            if found["n"]:
+                lang, hashes, n = (np.concatenate(found[c]) for c in ("lang", "hash", "n"))
+                _, first, where = np.unique(mix(hashes + lang * _ODD), return_index=True, return_inverse=True)
+                total = np.zeros(len(first), np.int64)
+                np.add.at(total, where, n)
+                terms = pa.chunked_array(found["term"]).take(pa.array(first)).cast(pa.string()).combine_chunks()
+                yield pa.RecordBatch.from_arrays([named.take(pa.array(lang[first].astype(np.int64))), terms, pa.array(total)], ["lang", "term", "n"])
+
+    each = docs.select("lang", "text").mapInArrow(run, "lang string, term string, n long")
+    return each.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "term")
 
 
 def _pieces(part: Words, blocks: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -120,7 +147,9 @@ class _Counter:
     def __init__(self) -> None:
         self.terms: list[str] = []
         self.automaton: ahocorasick.Automaton | None = None
+        self.found: dict[str, list[np.ndarray]] = {}
         self.counts: dict[str, np.ndarray] = {}
+        self.held = 0
 
     def add(self, source: str, words: str) -> None:
         if not self.terms:
@@ -131,10 +160,21 @@ class _Counter:
                 self.automaton.add_word(f"\n{term}\n", i)
             self.automaton.make_automaton()
         found = np.fromiter((i for _, i in self.automaton.iter(f"\n{words}")), np.int64)
-        held = self.counts.setdefault(source, np.zeros(len(self.terms), np.int64))
-        held += np.bincount(found, minlength=len(self.terms))
+        self.found.setdefault(source, []).append(found)
+        self.held += len(found)
+        if self.held > _HELD:
+            self.count()
+
+    def count(self) -> None:
+        for source, found in self.found.items():
+            terms, n = np.unique(np.concatenate(found), return_counts=True)
+            if source not in self.counts:
+                self.counts[source] = np.zeros(len(self.terms), np.int64)
+            self.counts[source][terms] += n
+        self.found, self.held = {}, 0
 
     def done(self, lang: str) -> Iterator[pa.RecordBatch]:
+        self.count()
         for source, held in self.counts.items():
             rows = np.flatnonzero(held)
             terms = pa.array([self.terms[i] for i in rows], pa.string())
@@ -161,9 +201,9 @@ def count_terms(docs: DataFrame, terms: DataFrame, block_bytes: int = 2 << 20) -
                 if kind == 0:
                     counter.terms.append(words)
                 else:
-                    if len(counter.counts) >= _SOURCES and source not in counter.counts:
-                        yield from counter.done(lang)
                     counter.add(source, words)
+                    if len(counter.counts) > _SOURCES:
+                        yield from counter.done(lang)
         if now is not None:
             yield from counter.done(now[0])
 
