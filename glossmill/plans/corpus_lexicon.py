@@ -39,9 +39,15 @@ def _stem(letters: int) -> Column:
     return F.concat("pos", F.lit(":"), F.substring("word", 1, letters))
 
 
+def tagged_words(documents: DataFrame) -> DataFrame:
+    """(word, small, previous, pos): each word, whether in small letters, and the part of speech that the word before asks for."""
+    rows = words_with_previous(documents)
+    return rows.select(F.lower("token").alias("word"), (F.col("token") == F.lower("token")).alias("small"), "previous", _part_of_speech(F.col("previous")).alias("pos"))
+
+
 def dictionary(documents: DataFrame) -> dict[str, DataFrame]:
     """words, synsets, relations, exceptions and signatures, as the lexicon operators take them."""
-    rows = words_with_previous(documents).select(F.lower("token").alias("word"), (F.col("token") == F.lower("token")).alias("small"), "previous", _part_of_speech(F.col("previous")).alias("pos"))
+    rows = tagged_words(documents)
     counts = [F.struct(F.lit(pos).alias("pos"), F.count_if(F.col("pos") == pos).alias("tag_count")) for pos in BEFORE]
     words = rows.groupBy("word").agg(F.array(*counts).alias("c"), (~F.bool_or("small")).alias("is_entity"))
     words = words.select("word", F.inline("c"), "is_entity").filter(F.col("tag_count") >= LEAST)

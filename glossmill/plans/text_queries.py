@@ -10,7 +10,7 @@ from ..functions.boolean_query import text_match
 from ..functions.stemming import stem_vocabulary
 from ..functions.text import content_digest, question_kind, stopwords, tokens, trim_field
 from ..functions.text import question_words as words_of_question
-from ..operators import crawl, entities, graphs, inverted_index, latent, news, phrases, questions, sentences, summaries, tagging, text_stats, tiling, typed_tokens, vectors
+from ..operators import crawl, graphs, inverted_index, latent, news, phrases, questions, sentences, summaries, text_stats, tiling, typed_tokens, vectors
 from ..scratch import written
 from .registry import query
 
@@ -400,36 +400,3 @@ def latent_similarity(documents, benchmark):
 def story_groups(documents):
     members, _ = news.story_groups(documents)
     return members
-
-
-def _token_rows(docs: DataFrame) -> DataFrame:
-    found = sentences.sentences(docs)
-    words = F.regexp_extract_all("sentence", F.lit("([A-Za-z0-9]+|[^A-Za-z0-9\\s])"), 1)
-    return found.select("doc_id", "sent", F.posexplode(words).alias("pos", "token"))
-
-
-def _corpus_lexicon(tokens_: DataFrame) -> DataFrame:
-    """A lexicon learned from the corpus: a word's last letter stands for its class."""
-    word = F.lower("token")
-    tag = F.when(word.rlike("[aeiou]$"), "v").when(word.rlike("[n-z]$"), "n").otherwise("a")
-    rows = tokens_.filter(F.col("token").rlike("^[A-Za-z]")).select(word.alias("word"), F.explode(F.array(tag, F.when(F.length(word) > 5, F.lit("n")).otherwise(tag))).alias("tag"))
-    return rows.groupBy("word", "tag").agg(F.count("*").alias("n"))
-
-
-@query()
-def pos_tags(documents):
-    rows = _token_rows(documents)
-    lexicon = _corpus_lexicon(rows)
-    best = lexicon.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "tag")).alias("b")).select("word", "b.tag")
-    tagged = rows.select(F.concat_ws("/", "doc_id", "sent").alias("doc_id"), "pos", F.lower("token").alias("word")).join(best, "word")
-    return tagging.tag_sentences(rows, lexicon, tagging.tag_rules(tagged))
-
-
-@query()
-def entity_types(documents):
-    rows = _token_rows(documents)
-    names = rows.filter(F.col("token").rlike("^[A-Z][a-z]{3,}$") & (F.col("pos") > 0)).select(F.lower("token").alias("name")).distinct()
-    gazetteer = names.select("name", F.when(F.col("name").rlike("[aeiou]$"), "place").when(F.col("name").rlike("n$"), "person").otherwise("org").alias("type"))
-    seeds = entities.features(entities.seeded(rows, gazetteer))
-    known = seeds.filter("size(types) = 1 and get(types, 0) not in ('miscellaneous', 'number')").withColumn("type", F.get("types", F.lit(0)))
-    return entities.extract_entities(rows, gazetteer, entities.likelihood_rules(known))

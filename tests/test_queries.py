@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from glossmill.plans import archive_queries, function_queries, lexicon_queries, message_queries, registry, text_queries  # noqa: F401
+from glossmill.plans import archive_queries, entity_queries, function_queries, lexicon_queries, message_queries, registry, text_queries  # noqa: F401
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
