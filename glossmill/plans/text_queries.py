@@ -10,7 +10,7 @@ from ..functions.boolean_query import text_match
 from ..functions.stemming import stem_vocabulary
 from ..functions.text import content_digest, question_kind, stopwords, tokens, trim_field
 from ..functions.text import question_words as words_of_question
-from ..operators import crawl, graphs, inverted_index, latent, news, phrases, questions, sentences, summaries, text_stats, tiling, typed_tokens, vectors
+from ..operators import crawl, graphs, inverted_index, latent, news, phrases, questions, sentences, summaries, text_stats, tiles, tiling, typed_tokens, vectors
 from ..scratch import written
 from .registry import query
 
@@ -98,6 +98,38 @@ def similar_documents(documents):
     return vectors.member_pairs(written(pairs, "pairs"), classes).withColumn("sim", F.round("sim", 6))
 
 
+_DOCS = f"WITH {_terms()}, {_UNIT}, {_PAIRS}"
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    return tiles.sparse_rows(vectors.frequency_vectors(written(_tf(documents), "tf")))
+
+
+@query(f"{_DOCS} SELECT CAST(least((CAST(round(sim * 1e9) AS BIGINT) + 50000000) // 100000000, 9) AS INTEGER) AS bin, count(*) AS n, count(*) FILTER (round(sim * 1e9) > 200000000) AS n_over FROM pairs GROUP BY 1")
+def document_similarity_counts(documents):
+    return tiles.similarity_counts(_rows(documents))
+
+
+@query(
+    f"""{_DOCS}, d AS (SELECT count(*) AS n FROM documents), o AS (SELECT count(*) FILTER (round(sim * 1e9) > 200000000) AS n_over FROM pairs)
+    SELECT n_over, round(n_over * 2 / (n * (n - 1)), 6) AS share, CASE WHEN n_over * 2 / (n * (n - 1)) < 0.05 THEN 0.15 ELSE 0.2 END::DOUBLE AS threshold FROM o, d"""
+)
+def document_threshold(documents):
+    return tiles.counted_threshold(tiles.similarity_counts(_rows(documents)), documents.count()).withColumn("share", F.round("share", 6))
+
+
+@query(
+    f"""WITH {_terms()}, s AS (SELECT doc_id, string_agg(term || ':' || tf, ' ' ORDER BY term) AS s FROM tf GROUP BY doc_id), lead_ AS (SELECT min(doc_id) AS doc_id FROM s GROUP BY s),
+    unit AS (SELECT doc_id, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS w FROM tf SEMI JOIN lead_ USING (doc_id)),
+    sims AS (SELECT a.doc_id AS lead, b.doc_id AS other, round(sum(a.w * b.w), 9) AS sim FROM unit a JOIN unit b ON a.term = b.term AND a.doc_id != b.doc_id GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lead ORDER BY sim DESC, other) AS rank FROM sims)
+    SELECT lead, rank, other, round(sim, 6) AS sim FROM r WHERE rank <= 10"""
+)
+def nearest_distinct_documents(documents):
+    found = tiles.nearest_rows(_rows(documents), 10)
+    return found.select("lead", F.col("rank").cast("long").alias("rank"), "other", F.round("sim", 6).alias("sim"))
+
+
 @query(
     f"""WITH {_terms("benchmark", "item_id")}, n AS (SELECT doc_id, count(*) AS n FROM tf GROUP BY doc_id),
     s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM tf a JOIN tf b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)
