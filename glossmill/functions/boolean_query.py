@@ -99,6 +99,39 @@ def text_match(text: Column, query: str, fuzzy: bool = False, case_sensitive: bo
     return F.coalesce((F.length(text) >= 2) & found, F.lit(False))
 
 
+def evaluated(query: str, values: dict):
+    """The query over values of its terms, which know ``&``, ``|`` and ``~``; a malformed query raises ValueError."""
+    reader = _Reader(_lexemes(query), values.__getitem__)
+    found = reader.all_of()
+    if reader.rest:
+        raise ValueError("unbalanced parentheses")
+    return found
+
+
+def boolean_terms(query: str | None) -> list[str] | None:
+    """The distinct terms of a query as they are written, in order: none for an empty query, None for a malformed one."""
+    lexemes = _lexemes(query or "")
+    terms = list(dict.fromkeys(t for kind, t in lexemes if kind == "term"))
+    try:
+        if lexemes:
+            evaluated(query, dict.fromkeys(terms, _Anything()))
+    except ValueError:
+        return None
+    return terms
+
+
+class _Anything:
+    """A value for which only the form of a query matters."""
+
+    def __and__(self, other):
+        return self
+
+    __or__ = __and__
+
+    def __invert__(self):
+        return self
+
+
 def query_terms(query: str) -> list[str]:
     """Words and phrases of a query, longest first."""
     return sorted({t for kind, t in _lexemes(query or "") if kind == "term"}, key=lambda t: (-len(t), t))

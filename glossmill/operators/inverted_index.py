@@ -6,12 +6,15 @@ letters, so that a search reads only the folders of its terms. Rows without an i
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boolean_query import has_negation, query_terms, text_match
-from ..functions.text import LONGEST_TERM, content_words
+from ..functions.boolean_query import boolean_terms, evaluated, query_terms, text_match
+from ..functions.text import LONGEST_TERM, content_words, stopwords
+from ..scratch import written
 from .vectors import term_frequencies
+from .word_index import WordIndex
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: str = "") -> DataFrame:
@@ -73,18 +76,30 @@ def retrieve(index: DataFrame, query: str, fuzzy: bool = False) -> DataFrame:
     return found.groupBy("doc_id").agg(F.sum("tf").alias("weight"))
 
 
-def search(docs: DataFrame, index: DataFrame, query: str, fuzzy: bool = False, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _needs_words(query: str) -> bool:
+    """Whether every document that satisfies the query has one of its words in the postings. Stop words, words of one or
+    two letters, phrases and wildcards may hold where postings have nothing."""
+    terms = boolean_terms(query)
+    if not terms:
+        return False
+    plain = lambda t: t.isascii() and t.isalnum() and 3 <= len(t) <= LONGEST_TERM and t[0].isalpha() and t.lower() not in stopwords()
+    return not evaluated(query, {t: np.bool_(not plain(t)) for t in terms})
+
+
+def search(docs: DataFrame, index: DataFrame, query: str, fuzzy: bool = False, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", words: WordIndex | None = None) -> DataFrame:
     """The documents that satisfy the query, with ``weight`` (in place of a column of that name).
 
-    Candidates come from the postings; without words in the query, or with NOT, all documents are
-    candidates. ``where`` filters before the texts are read; the boolean predicate decides.
+    Candidates come from the postings if every document that satisfies the query must have one of its words there; else all
+    documents are candidates, with weight 0 where they have none. ``where`` filters before the texts are read; the
+    boolean predicate decides. With ``words`` it is evaluated on that index, and no text is read.
     """
     rows = (docs if where is None else docs.filter(where)).drop("weight")
-    if not query_terms(query) or has_negation(query):
-        found = rows.withColumn("weight", F.lit(0).cast("long"))
-    else:
-        found = rows.join(retrieve(index, query, fuzzy).withColumnRenamed("doc_id", id_col), id_col)
-    return found.filter(text_match(F.col(text_col), query, fuzzy))
+    weights = retrieve(index, query, fuzzy).withColumnRenamed("doc_id", id_col)
+    if words is not None:
+        rows = rows.join(words.matching(query, fuzzy, docs, id_col, text_col).withColumnRenamed("doc_id", id_col), id_col, "left_semi")
+    needed = not fuzzy and _needs_words(query)
+    found = rows.join(weights, id_col, "inner" if needed and words is None else "left").withColumn("weight", F.coalesce("weight", F.lit(0).cast("long")))
+    return found if words is not None else found.filter(text_match(F.col(text_col), query, fuzzy))
 
 
 def page(rows: DataFrame, number: int, size: int = 10, order: list[Column] | None = None) -> DataFrame:
@@ -93,6 +108,7 @@ def page(rows: DataFrame, number: int, size: int = 10, order: list[Column] | Non
     Only the rows up to the end of the page are ranked: an ordered limit goes first.
     """
     order = order or [F.desc("weight"), F.asc("doc_id")]
+    rows = written(rows, "found")  # counted and ranked, found once
     total = rows.count()
     last = max(1, -(-total // size))
     number = min(max(number, 1), last)

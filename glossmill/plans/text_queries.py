@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +13,8 @@ from ..functions.boolean_query import text_match
 from ..functions.stemming import stem_vocabulary
 from ..functions.text import content_digest, question_kind, stopwords, tokens, trim_field
 from ..functions.text import question_words as words_of_question
-from ..operators import crawl, graphs, inverted_index, latent, news, phrases, questions, sentences, summaries, text_stats, tiles, tiling, typed_tokens, vectors
-from ..scratch import written
+from ..operators import crawl, graphs, inverted_index, latent, news, phrases, questions, sentences, summaries, text_stats, tiles, tiling, typed_tokens, vectors, word_index
+from ..scratch import shared_folder, written
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in stopwords())
@@ -192,7 +195,7 @@ def index_prefixes(documents):
 
 
 _RANKED = """h AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS weight FROM tf WHERE term IN ('sch', 'tion', 'ment') AND length(term) <= 35 GROUP BY doc_id),
-    f AS (SELECT doc_id, weight FROM h JOIN documents USING (doc_id) WHERE regexp_matches(text, '(?is)\\b(sch|tion|ment)\\b')),
+    f AS (SELECT doc_id, coalesce(weight, 0) AS weight FROM documents LEFT JOIN h USING (doc_id) WHERE length(text) >= 2 AND regexp_matches(text, '(?is)\\b(sch|tion|ment)\\b')),
     p AS (SELECT *, row_number() OVER (ORDER BY weight DESC, doc_id) AS position FROM f)"""
 
 
@@ -202,6 +205,16 @@ def search_ranked(documents):
     return inverted_index.page(found.select("doc_id", "weight"), 2).select("doc_id", "weight", F.col("position").cast("long").alias("position"))
 
 
+@query(
+    rf"""WITH {_terms()}, h AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS weight FROM tf WHERE term IN ('tion') GROUP BY doc_id)
+    SELECT doc_id, coalesce(weight, 0) AS weight FROM documents LEFT JOIN h USING (doc_id)
+    WHERE length(text) >= 2 AND (regexp_matches(text, '(?is)the') OR regexp_matches(text, '(?is)tion') OR regexp_matches(text, '(?is)ch'))"""
+)
+def search_with_stop_words(documents):
+    """A stop word and a word of two letters inside OR, which the postings do not have."""
+    return inverted_index.search(documents, inverted_index.postings(documents), "the OR tion OR ch").select("doc_id", "weight")
+
+
 def _bool(name: str, text_query: str, condition: str) -> None:
     def run(documents):
         return documents.filter(text_match(F.col("text"), text_query)).select("doc_id")
@@ -432,3 +445,42 @@ def latent_similarity(documents, benchmark):
 def story_groups(documents):
     members, _ = news.story_groups(documents)
     return members
+
+
+#: Asked of one stored index, without the texts.
+_INDEXED = {
+    "and": ("the AND that", _m(r"\bthe\b") + " AND " + _m(r"\bthat\b")),
+    "or_not": ("(und OR que) AND NOT the", "(" + _m(r"\bund\b") + " OR " + _m(r"\bque\b") + ") AND NOT " + _m(r"\bthe\b")),
+    "phrase": ('"of the" OR "de la"', _m(r"\bof.{1,2}the\b") + " OR " + _m(r"\bde.{1,2}la\b")),
+    "long_phrase": ('"in the th*" NOT "of  the"', _m(r"in.{1,2}the.{1,2}th") + " AND NOT " + _m(r"\bof.{1,2}.{1,2}the\b")),
+    "wildcard": ("tion* que", _m(r"tion[\w-]*") + " AND " + _m(r"\bque\b")),
+    "not": ("NOT (the OR und OR que OR de)", " AND ".join("NOT " + _m(rf"\b{w}\b") for w in ("the", "und", "que", "de"))),
+}
+
+
+def _stored_index(spark, name: str) -> word_index.WordIndex:
+    return word_index.WordIndex.create(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}")
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, doc_id FROM documents WHERE length(text) >= 2 AND {condition}" for name, (_, condition) in _INDEXED.items()))
+def indexed_boolean(spark, documents):
+    index = _stored_index(spark, "words")
+    index.add(documents)
+    found = [index.matching(text_query).select(F.lit(name).alias("name"), "doc_id") for name, (text_query, _) in _INDEXED.items()]
+    return reduce(DataFrame.union, found)
+
+
+@query(
+    rf"""WITH now AS (SELECT conv_id * 100 + turn AS doc_id, CASE WHEN turn = 1 THEN CAST(NULL AS VARCHAR) ELSE text END AS text FROM conversations WHERE role <> 'user' OR turn > 0)
+    SELECT doc_id FROM now WHERE length(text) >= 2 AND ({_m(r"the")} OR {_m(r"die")}) AND NOT {_m(r"und")}"""
+)
+def indexed_changes(spark, conversations):
+    """Turns are added in two segments, some are replaced and some removed, and the segments are joined."""
+    rows = conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text", "turn", "role")
+    index = _stored_index(spark, "turns")
+    index.add(rows.filter("turn <= 1"))
+    index.add(rows.filter("turn > 1"))
+    index.add(rows.filter("turn = 1").withColumn("text", F.lit(None).cast("string")))
+    index.remove(rows.filter("role = 'user' and turn = 0").select("doc_id"))
+    index.merged(most=2)
+    return index.matching("(the OR die) NOT und")
