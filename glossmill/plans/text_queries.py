@@ -208,7 +208,7 @@ def search_ranked(documents):
 @query(
     rf"""WITH {_terms()}, h AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS weight FROM tf WHERE term IN ('tion') GROUP BY doc_id)
     SELECT doc_id, coalesce(weight, 0) AS weight FROM documents LEFT JOIN h USING (doc_id)
-    WHERE length(text) >= 2 AND (regexp_matches(text, '(?is)the') OR regexp_matches(text, '(?is)tion') OR regexp_matches(text, '(?is)ch'))"""
+    WHERE length(text) >= 2 AND (regexp_matches(text, '(?is)\bthe\b') OR regexp_matches(text, '(?is)\btion\b') OR regexp_matches(text, '(?is)\bch\b'))"""
 )
 def search_with_stop_words(documents):
     """A stop word and a word of two letters inside OR, which the postings do not have."""
@@ -472,7 +472,7 @@ def indexed_boolean(spark, documents):
 
 @query(
     rf"""WITH now AS (SELECT conv_id * 100 + turn AS doc_id, CASE WHEN turn = 1 THEN CAST(NULL AS VARCHAR) ELSE text END AS text FROM conversations WHERE role <> 'user' OR turn > 0)
-    SELECT doc_id FROM now WHERE length(text) >= 2 AND ({_m(r"the")} OR {_m(r"die")}) AND NOT {_m(r"und")}"""
+    SELECT doc_id FROM now WHERE length(text) >= 2 AND ({_m(r"\bthe\b")} OR {_m(r"\bdie\b")}) AND NOT {_m(r"\bund\b")}"""
 )
 def indexed_changes(spark, conversations):
     """Turns are added in two segments, some are replaced and some removed, and the segments are joined."""
