@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 ORDER = 4
-_CHUNK = 1 << 20
-_FLUSH = 1 << 22
+_CHUNK = 1 << 18
+_FLUSH = 1 << 21
 #: Characters of a block of texts; fewer where that makes less than so many blocks.
 _BLOCK, _SMALL, _LEAST_BLOCKS = 1 << 24, 1 << 18, 63
 _VALUES = ("n", "total", "types")
