@@ -484,3 +484,24 @@ def indexed_changes(spark, conversations):
     index.remove(rows.filter("role = 'user' and turn = 0").select("doc_id"))
     index.merged(most=2)
     return index.matching("(the OR die) NOT und")
+
+
+def _nearest_edges(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ten strongest edges of each distinct document of similarity over 0.15, and these documents."""
+    rows = _rows(documents)
+    near = tiles.nearest_rows(rows, 10, 0.15)
+    edges = near.select(F.least("lead", "other").alias("a"), F.greatest("lead", "other").alias("b"), "sim").distinct()
+    return written(edges, "edges"), rows.select(F.col("lead").alias("node"))
+
+
+@query()
+def document_ring(documents):
+    """Distinct documents on a circle, similar ones side by side."""
+    return graphs.ring_order(*_nearest_edges(documents))
+
+
+@query()
+def document_ring_clusters(documents):
+    """Groups of documents around the ones most like others, half of whose members each is linked with."""
+    edges, nodes = _nearest_edges(documents)
+    return graphs.ring_clusters(edges, written(graphs.ring_order(edges, nodes), "ring"), 0.5)
