@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_text
+from .relational import numbered
 
 
 def all_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -42,14 +43,11 @@ def frequency_of_frequencies(counts: DataFrame) -> DataFrame:
 def ranked_frequencies(counts: DataFrame) -> DataFrame:
     """(word, n, rank): words from frequent to rare, ties by word.
 
-    Ranks come from the counts: words with more occurrences are summed up by count (few rows),
-    and only words of equal count are ordered among themselves, so no task sees the vocabulary.
+    Words are dealt by range of count and word, and ranks follow from the sizes of the ranges, so no task
+    sees the vocabulary, nor all the words that occur once.
     """
-    by_count = counts.groupBy("n").agg(F.count("*").alias("types"))
-    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_count.select("n", F.coalesce(F.sum("types").over(above), F.lit(0)).alias("above"))
-    inside = F.row_number().over(Window.partitionBy("n").orderBy("word"))
-    return counts.withColumn("inside", inside).join(offsets, "n").select("word", "n", (F.col("above") + F.col("inside")).alias("rank"))
+    rows = counts.select("word", "n", (-F.col("n")).alias("_down"))
+    return numbered(rows, ["_down", "word"], "rank").select("word", "n", "rank")
 
 
 def confusion(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
