@@ -209,6 +209,10 @@ def expanded_recipients(recipients: DataFrame, nicknames: DataFrame, lists: Data
     return found.select("id", F.coalesce("member", "own", "name").alias("address")).distinct()
 
 
+#: Places to which the messages of an address in a week are dealt.
+_PLACES = 8
+
+
 def task_windows(tasks: DataFrame, today: str) -> DataFrame:
     """Tasks (id, date, period, ...) with ``from_date`` and ``to_date``: a day around the weekday
     (Weekly), a week around the day of this month (Monthly), a month around the date (Annual), a
@@ -227,13 +231,17 @@ def task_windows(tasks: DataFrame, today: str) -> DataFrame:
 def task_status(tasks: DataFrame, messages: DataFrame, least: float = TASK_SIMILARITY) -> DataFrame:
     """(id, status): Complete if a message of the address in the window is similar to the description.
 
-    Tasks have id, type (Receive or Send), address, description, from_date and to_date.
+    Tasks have id, type (Receive or Send), address, description, from_date and to_date. Tasks and messages of an address
+    meet by week and in one of ``_PLACES`` places, so that an address with most of the messages is not one group.
     """
     who = messages.select(
         F.col("id").alias("mail"), F.to_date("at").alias("day"), F.explode(F.array(F.struct(F.lit("receive").alias("type"), F.lower("sender").alias("who")), F.struct(F.lit("send").alias("type"), F.lower("recipient").alias("who")))).alias("e")
     ).select("mail", "day", "e.type", F.explode(F.transform(addresses(F.col("e.who")), lambda a: a["address"])).alias("address"))
-    wanted = tasks.select(F.col("id").alias("task"), F.lower("type").alias("type"), F.lower("address").alias("address"), "from_date", "to_date")
-    pairs = wanted.join(who, ["type", "address"]).filter(F.col("day").between(F.col("from_date"), F.col("to_date"))).select("task", "mail").distinct()
+    week = lambda day: F.floor(F.unix_date(day) / 7)
+    who = who.withColumn("week", week(F.col("day"))).withColumn("place", F.pmod(F.xxhash64("mail"), F.lit(_PLACES)))
+    wanted = tasks.select(F.col("id").alias("task"), F.lower("type").alias("type"), F.lower("address").alias("address"), "from_date", "to_date").filter("from_date <= to_date")
+    wanted = wanted.withColumn("week", F.explode(F.sequence(week(F.col("from_date")), week(F.col("to_date"))))).withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PLACES - 1).cast("long"))))
+    pairs = wanted.join(who, ["type", "address", "week", "place"]).filter(F.col("day").between(F.col("from_date"), F.col("to_date"))).select("task", "mail").distinct()
     words = F.explode(content_words(F.col("description"), "email"))
     described = tasks.select(F.col("id").alias("doc_id"), words.alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     a = unit_vectors(frequency_vectors(described)).select(F.col("doc_id").alias("task"), "term", F.col("weight").alias("x"))

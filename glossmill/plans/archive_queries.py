@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import scalars
 from ..functions.text import media_kind
 from ..functions.urls import base_of, site_of
 from ..operators import crawl, entities, mail, relational, tagging, text_stats, vectors, web
+from ..scratch import shared_folder
+from ..sources import backup
 from ..sources.files import visible_text
 from ..streaming.ingest import windowed_counts
 from .registry import query
@@ -301,3 +305,29 @@ def windowed_events(events):
 def embedding_norms(embeddings):
     squares = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
     return embeddings.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.sqrt(squares)), 4).alias("norm"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def restored_suppliers(spark, supplier, nation):
+    """A backup of two tables, restored over suppliers whose names have changed and of whom some are missing."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/backup"
+    backup.backup({"supplier": supplier.select("s_suppkey", "s_name", "s_nationkey", F.to_binary("s_name", F.lit("utf-8")).alias("raw")), "nation": nation}, path)
+    changed = supplier.filter("s_nationkey > 4").select("s_suppkey", F.lower("s_name").alias("s_name"), "s_nationkey")
+    return backup.restore(spark, path, ["supplier"], {"supplier": changed}, {"supplier": ["s_suppkey"]})["supplier"]
+
+
+@query("SELECT name, len(columns) AS n_columns, n_rows FROM (VALUES ('region', ['a', 'b'], (SELECT count(*) FROM region)), ('orders', ['a', 'b', 'c'], (SELECT count(*) FROM orders))) AS t(name, columns, n_rows)")
+def backup_manifest(spark, region, orders):
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/backup"
+    made = backup.backup({"region": region.select("r_regionkey", "r_name", F.lit(b"x").alias("raw")), "orders": orders.select("o_orderkey", "o_custkey", "o_orderstatus")}, path)
+    return made.select("name", F.size("columns").cast("long").alias("n_columns"), "n_rows")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
+def customers_where(customer):
+    return customer.filter(relational.where_all({"c_mktsegment": "BUILDING", "c_nationkey": 3})).select("c_custkey")
+
+
+@query("SELECT DISTINCT url FROM pages WHERE starts_with(url, 'http') AND regexp_matches(url, '[02468](\\.html?)?$')")
+def story_addresses(pages):
+    return web.story_links(pages.select("url"), "http", r"[02468](\.html?)?$").select("url")

@@ -243,6 +243,21 @@ def gazetteer_corrections(customer, nation, region):
 
 # --- questions
 
+def _seeds(conversations: DataFrame, words: DataFrame) -> DataFrame:
+    """The first two nouns of each conversation."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(corpus_lexicon.WORD), F.lit(0))
+    tokens = conversations.filter("turn = 0").select(F.col("conv_id").alias("query_id"), F.posexplode(found).alias("pos", "token"))
+    return questions.noun_weights(tokens, words.filter("pos = 'n'").select("word").distinct())
+
+
+def _neighbours(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(word, other) of synonyms, and of words and those of the synset above theirs."""
+    named = t["synsets"].select("synset", "word")
+    synonyms = named.join(named.withColumnRenamed("word", "other"), "synset").filter("word != other").select("word", "other").distinct()
+    above = named.join(t["relations"].filter("relation = 'hypernym'"), F.col("synset") == F.col("source")).select("word", "target")
+    return synonyms, above.join(named.select(F.col("synset").alias("target"), F.col("word").alias("other")), "target").select("word", "other").distinct()
+
+
 #: The first two nouns of each conversation.
 _SEEDS = f"""nouns AS (SELECT DISTINCT word FROM words WHERE pos = 'n'),
     turns AS (SELECT conv_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, regexp_extract_all(lower(text), '{corpus_lexicon.WORD}') AS w FROM conversations WHERE turn = 0)),
@@ -261,14 +276,26 @@ _SEEDS = f"""nouns AS (SELECT DISTINCT word FROM words WHERE pos = 'n'),
 )
 def neighbour_weights(documents, conversations):
     t = corpus_lexicon.dictionary(documents)
-    nouns = t["words"].filter("pos = 'n'").select("word").distinct()
-    found = F.regexp_extract_all(F.lower("text"), F.lit(corpus_lexicon.WORD), F.lit(0))
-    tokens = conversations.filter("turn = 0").select(F.col("conv_id").alias("query_id"), F.posexplode(found).alias("pos", "token"))
-    named = t["synsets"].select("synset", "word")
-    synonyms = named.join(named.withColumnRenamed("word", "other"), "synset").filter("word != other").select("word", "other").distinct()
-    above = t["relations"].filter("relation = 'hypernym'")
-    hypernyms = named.join(above, F.col("synset") == F.col("source")).select("word", "target").join(named.select(F.col("synset").alias("target"), F.col("word").alias("other")), "target").select("word", "other").distinct()
-    return questions.neighbour_weights(questions.noun_weights(tokens, nouns), synonyms, hypernyms)
+    return questions.neighbour_weights(_seeds(conversations, t["words"]), *_neighbours(t))
+
+
+@query(
+    f"""{_DICT}, {_SEEDS}, one AS (SELECT query_id || ':' || word AS seed, query_id, word, weight FROM seeds),
+    syn AS (SELECT DISTINCT a.word, b.word AS other FROM synsets a JOIN synsets b USING (synset) WHERE a.word != b.word),
+    hyp AS (SELECT DISTINCT a.word, b.word AS other FROM synsets a JOIN relations r ON r.relation = 'hypernym' AND r.source = a.synset JOIN synsets b ON b.synset = r.target),
+    near_ AS (SELECT seed, query_id, other AS word FROM one JOIN syn USING (word)),
+    far_ AS (SELECT seed, query_id, hyp.other AS word FROM (SELECT seed, query_id, word FROM one UNION ALL SELECT * FROM near_) JOIN hyp USING (word)),
+    every AS (SELECT seed, query_id, word, weight, 0 AS k FROM one UNION ALL SELECT seed, query_id, word, 64.0, 1 FROM near_ UNION ALL SELECT seed, query_id, word, 8.0, 2 FROM far_),
+    r AS (SELECT *, row_number() OVER (PARTITION BY seed, word ORDER BY k, weight DESC) AS o FROM every)
+    SELECT CAST(query_id AS BIGINT) AS query_id, word, CAST(sum(weight) AS DOUBLE) AS weight FROM r WHERE o = 1 GROUP BY query_id, word"""
+)
+def expanded_questions(documents, conversations):
+    """The weights that both nouns of a conversation, each by itself, give to words, summed."""
+    t = corpus_lexicon.dictionary(documents)
+    seeds = _seeds(conversations, t["words"]).groupBy("query_id", "word").agg(F.max("weight").alias("weight"))
+    named = seeds.select(F.concat_ws(":", "query_id", "word").alias("query_id"), "word", "weight", F.col("query_id").alias("of"))
+    found = questions.neighbour_weights(named.drop("of"), *_neighbours(t)).join(named.select("query_id", "of"), "query_id")
+    return questions.expanded_query(found.select(F.col("of").alias("query_id"), "word", "weight"))
 
 
 @query(
