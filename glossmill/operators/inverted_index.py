@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.boolean_query import boolean_terms, evaluated, query_terms, text_match
 from ..functions.text import LONGEST_TERM, content_words, stopwords
 from ..scratch import written
+from .relational import numbered
 from .vectors import term_frequencies
 from .word_index import WordIndex
 
@@ -86,6 +87,44 @@ def _needs_words(query: str) -> bool:
     return not evaluated(query, {t: np.bool_(not plain(t)) for t in terms})
 
 
+def impact_blocks(index: DataFrame, size: int = 1000) -> DataFrame:
+    """Postings in blocks, (term, block, most, entries): documents are ranked by their number of words, and a block holds
+    ``size`` of them in a row; ``most`` is the greatest count of the term in it. Documents of one block are alike in
+    length, so that a block's greatest counts say what its documents can reach."""
+    lengths = index.groupBy("doc_id").agg((-F.sum("tf")).alias("_down"))
+    places = numbered(lengths, ["_down", "doc_id"], "_place", first=0).select("doc_id", F.floor(F.col("_place") / size).alias("block"))
+    rows = index.join(places, "doc_id").groupBy("term", "block")
+    return rows.agg(F.max("tf").alias("most"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("entries"))
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Blocks by term, so that a search skips the row groups of other terms; ``most`` is read without the entries."""
+    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(path)
+
+
+def top_documents(blocks: DataFrame, words: list[str], k: int = 10, first_blocks: int = 4, seen: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, weight): the k documents with the greatest sum of counts of the words, ties to the lesser id.
+
+    The greatest counts alone bound what a block's documents can reach. The few blocks of the highest bounds are
+    scored first; their k-th weight is a threshold, below which no block is read. ``seen`` takes how many
+    blocks there are and were read.
+    """
+    own = blocks.filter(F.col("term").isin([w.lower() for w in words]))
+    bounds = written(own.groupBy("block").agg(F.sum("most").alias("bound")), "bounds")
+    best = [r.block for r in bounds.orderBy(F.desc("bound"), "block").limit(first_blocks).collect()]
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        rows = own.join(chosen, "block", "left_semi").select(F.inline("entries"))
+        return rows.groupBy("doc_id").agg(F.sum("tf").alias("weight")).orderBy(F.desc("weight"), "doc_id").limit(k)
+
+    lead = written(scored(bounds.filter(F.col("block").isin(best)).select("block")), "lead")
+    held = [r.weight for r in lead.select("weight").collect()]  # k at most
+    rest = bounds.filter(~F.col("block").isin(best) & (F.col("bound") >= (min(held) if len(held) == k else 0))).select("block")
+    if seen is not None:
+        seen |= {"blocks": bounds.count(), "read": len(best) + rest.count()}
+    return lead.union(scored(rest)).orderBy(F.desc("weight"), "doc_id").limit(k)
+
+
 def search(docs: DataFrame, index: DataFrame, query: str, fuzzy: bool = False, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", words: WordIndex | None = None) -> DataFrame:
     """The documents that satisfy the query, with ``weight`` (in place of a column of that name).
 

@@ -215,6 +215,17 @@ def search_with_stop_words(documents):
     return inverted_index.search(documents, inverted_index.postings(documents), "the OR tion OR ch").select("doc_id", "weight")
 
 
+@query(
+    f"""WITH {_terms()} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS weight FROM tf WHERE term IN ('sch', 'tion', 'ment') AND length(term) <= 35
+    GROUP BY doc_id ORDER BY weight DESC, doc_id LIMIT 10"""
+)
+def top_ten_by_blocks(spark, documents):
+    """The ten documents with most of three words, from blocks of postings that a bound does not rule out."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/blocks"
+    inverted_index.write_blocks(inverted_index.impact_blocks(inverted_index.postings(documents), 100), path)
+    return inverted_index.top_documents(spark.read.parquet(path), ["sch", "tion", "ment"])
+
+
 def _bool(name: str, text_query: str, condition: str) -> None:
     def run(documents):
         return documents.filter(text_match(F.col("text"), text_query)).select("doc_id")
