@@ -38,9 +38,9 @@ from ..scratch import written
 
 ORDER = 4
 _CHUNK = 1 << 18
-_FLUSH = 1 << 21
+_FLUSH = 1 << 22
 #: Characters of a block of texts; fewer where that makes less than so many blocks.
-_BLOCK, _SMALL, _LEAST_BLOCKS = 1 << 24, 1 << 18, 63
+_BLOCK, _SMALL, _LEAST_BLOCKS = 1 << 23, 1 << 18, 63
 _VALUES = ("n", "total", "types")
 #: Training texts from which a length has a limit of its own; lengths in powers of two.
 _ENOUGH, _BINS = 20, 64
@@ -175,7 +175,8 @@ class LanguageModels:
         for name in _VALUES:
             column = nodes.column(name).combine_chunks()
             packed = pc.list_flatten(column).to_numpy(zero_copy_only=False)
-            values.append((pc.list_parent_indices(column).to_numpy(zero_copy_only=False), packed % several, packed // several))
+            rows = pc.list_parent_indices(column).to_numpy(zero_copy_only=False).astype(np.int32)
+            values.append((rows, (packed % several).astype(np.int32), packed // several))
         made._take(fit, nodes.column("order").to_numpy(), nodes.column("gram").to_numpy().view(np.uint64), *values)
         return made
 
@@ -183,14 +184,14 @@ class LanguageModels:
         """Nodes and, for each kind of value, (row of the node, language, value)."""
         self.names, self.discounts, self.letters = fit.names, fit.discounts, fit.letters
         self.grams: list[np.ndarray] = []
-        place = np.zeros(len(gram), np.int64)
+        place = np.zeros(len(gram), np.int32)
         for k in range(ORDER + 1):
             grams, place[order == k] = np.unique(gram[order == k], return_inverse=True)
             self.grams.append(grams)
         self.values = []
         for row, lang, value in values:
             row, lang, value = row[value > 0], lang[value > 0], value[value > 0]
-            group = order[row].astype(np.int64) * len(self.names) + lang
+            group = order[row].astype(np.int32) * np.int32(len(self.names)) + lang
             by = np.argsort(group, kind="stable")
             begins = np.searchsorted(group[by], np.arange((ORDER + 1) * len(self.names) + 1))
             self.values.append((begins, place[row[by]], value[by].astype(np.float64)))
@@ -344,6 +345,7 @@ def _judged(texts: DataFrame, fit: Fit, id_col: str, text_col: str, keep: list[s
         rows = pa.concat_tables(_unpacked(packed.column("_rows")))
         best, entropy, score, size = LanguageModels.of(shared, nodes).judge(rows.column(text_col).to_pylist())
         names = [shared.names[b] if b >= 0 else "und" for b in best]
+        pa.default_memory_pool().release_unused()  # before the next block comes
         return pa.Table.from_arrays([*(rows.column(c) for c in keep), pa.array(names, pa.string()), pa.array(entropy), pa.array(score), pa.array(size)], [*keep, "_pred", "_entropy", "_score", "_size"])
 
     return dealt.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(run, f"{fields}, _pred string, _entropy double, _score double, _size long")
