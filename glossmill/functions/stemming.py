@@ -14,23 +14,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Suffix > replacement, by step.
-_REPAIR = "at>ate bl>ble iz>ize bb>b dd>d ff>f gg>g mm>m nn>n pp>p rr>r tt>t ww>w xx>x"
-_STEP_2 = (
-    "ational>ate tional>tion enci>ence anci>ance izer>ize iser>ise abli>able alli>al entli>ent eli>e ousli>ous ization>ize "
-    "isation>ise ation>ate ator>ate alism>al iveness>ive fulnes>ful ousness>ous aliti>al iviti>ive biliti>ble"
-)
-_STEP_3 = "icate>ic ative> alize>al iciti>ic ical>ic ful> ness>"
-_STEP_4 = "al> ance> ence> er> ic> able> ible> ant> ement> ment> ent> sion>s tion>t ou> ism> ate> iti> ous> ive> ize> ise>"
+# Suffix and replacement, by step.
+_REPAIR = [
+    ("at", "ate"), ("bl", "ble"), ("iz", "ize"), ("bb", "b"), ("dd", "d"), ("ff", "f"), ("gg", "g"), ("mm", "m"), ("nn", "n"), ("pp", "p"), ("rr", "r"),
+    ("tt", "t"), ("ww", "w"), ("xx", "x"),
+]
+_STEP_2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("iser", "ise"), ("abli", "able"), ("alli", "al"),
+    ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("isation", "ise"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"),
+    ("iveness", "ive"), ("fulnes", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+_STEP_3 = [
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+]
+_STEP_4 = [
+    ("al", ""), ("ance", ""), ("ence", ""), ("er", ""), ("ic", ""), ("able", ""), ("ible", ""), ("ant", ""), ("ement", ""), ("ment", ""), ("ent", ""),
+    ("sion", "s"), ("tion", "t"), ("ou", ""), ("ism", ""), ("ate", ""), ("iti", ""), ("ous", ""), ("ive", ""), ("ize", ""), ("ise", ""),
+]
 _ONE_GROUP = re.compile("[^aeiou][aeiouy]")
 _TWO_GROUPS = re.compile("[^aeiou][aeiouy].*[^aeiou][aeiouy]")
 
 
-def _rules(text: str) -> list[tuple[str, str]]:
-    return [tuple(r.split(">")) for r in text.split()]
-
-
-_DERIVED = [(_rules(_STEP_2), _ONE_GROUP), (_rules(_STEP_3), _ONE_GROUP), (_rules(_STEP_4), _TWO_GROUPS)]
+_DERIVED = [(_STEP_2, _ONE_GROUP), (_STEP_3, _ONE_GROUP), (_STEP_4, _TWO_GROUPS)]
 
 
 def _first(word: str, rules: list[tuple[str, str]]) -> tuple[str, str] | None:
@@ -55,7 +60,7 @@ def stem_word(word: str | None) -> str | None:
         w = w[:-1]
     elif (m := re.fullmatch("(.*[aeiou].*)ed", w)) or (m := re.fullmatch("(.*[aeiouy].*)ing", w)):
         w = m[1]
-        if cut := _first(w, _rules(_REPAIR)):
+        if cut := _first(w, _REPAIR):
             w = cut[0] + cut[1]
         elif re.fullmatch("[^aeiouy]+[aeiouy][^aeiouy]", w):
             w += "e"

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Suffix, replacement and part of speech of the base-word rules, and relation names.
-SUFFIX_RULES = (
-    "s__n ses_s_n xes_x_n zes_z_n ches_ch_n shes_sh_n men_man_n ies_y_n s__v ies_y_v es_e_v es__v "
-    "ed_e_v ed__v ing__v ing_e_v er__a est__a er_e_a est_e_a"
-).split()
+SUFFIX_RULES = [
+    ("s", "", "n"), ("ses", "s", "n"), ("xes", "x", "n"), ("zes", "z", "n"), ("ches", "ch", "n"), ("shes", "sh", "n"), ("men", "man", "n"),
+    ("ies", "y", "n"), ("s", "", "v"), ("ies", "y", "v"), ("es", "e", "v"), ("es", "", "v"), ("ed", "e", "v"), ("ed", "", "v"), ("ing", "", "v"),
+    ("ing", "e", "v"), ("er", "", "a"), ("est", "", "a"), ("er", "e", "a"), ("est", "e", "a"),
+]
 WORD_RELATIONS = "antonym pertainym participle_of_verb also_see adj._derivation".split()
 SYNSET_RELATIONS = (
     "hypernym hyponym member_holonym substance_holonym part_holonym member_meronym substance_meronym "
@@ -36,8 +37,7 @@ def base_words(queries: DataFrame, words: DataFrame, exceptions: DataFrame, exce
     known = asked.join(exceptions.select("word", "base", "pos"), "word")
     rest = asked.join(known.select("word").distinct(), "word", "left_anti") if exceptions_only else asked
     tried = []
-    for rule in SUFFIX_RULES:
-        suffix, new, pos = rule.split("_")
+    for suffix, new, pos in SUFFIX_RULES:
         base = F.concat(F.substring("word", F.lit(1), F.length("word") - len(suffix)), F.lit(new))
         tried.append(F.when(F.col("word").endswith(suffix), F.struct(base.alias("base"), F.lit(pos).alias("pos"))))
     options = rest.select("word", F.explode(F.filter(F.array(*tried), lambda x: x.isNotNull())).alias("o")).select("word", "o.base", "o.pos")

@@ -20,8 +20,7 @@ def _tables(documents: DataFrame, conversations: DataFrame) -> dict[str, DataFra
 
 def _suffix_sql() -> str:
     parts = []
-    for rule in lexicon.SUFFIX_RULES:
-        suffix, new, pos = rule.split("_")
+    for suffix, new, pos in lexicon.SUFFIX_RULES:
         parts.append(f"SELECT word, substr(word, 1, length(word) - {len(suffix)}) || '{new}' AS base, '{pos}' AS pos FROM asked WHERE word LIKE '%{suffix}'")
     return " UNION ALL ".join(parts)
 
