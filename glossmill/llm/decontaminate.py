@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
+from .memory import tidy
 from .words import ALNUM, WordKey, Words, words_of
 
 RANGES = "array<struct<first:long,end:long>>"
@@ -338,7 +339,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 clean = [~np.logical_or.reduceat(np.append(hit, False), part.bounds[:-1]) | (np.diff(part.bounds) == 0) for part, _, hit, _ in _search(batch.column(place), tests.value)]
                 yield batch.filter(pa.array(np.concatenate([*clean, np.empty(0, bool)])))
 
-        rows = rows.mapInArrow(run, docs.schema)
+        rows = rows.mapInArrow(tidy(run), docs.schema)
         if not last:
             rows = written(rows, "clean")
             tests.destroy()

@@ -35,9 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
+from .memory import give_back, tidy
 
 ORDER = 4
 _CHUNK = 1 << 18
+_ROWS = 256  # texts that become Python strings at once
 _FLUSH = 1 << 22
 #: Characters of a block of texts; fewer where that makes less than so many blocks.
 _BLOCK, _SMALL, _LEAST_BLOCKS = 1 << 23, 1 << 18, 63
@@ -69,14 +71,24 @@ def _units(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out.astype(np.uint16), np.append(starts, len(out))[offsets]
 
 
-def _grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For chunks of texts: number of the first, packed 4-grams, where each text's begin, letters of each."""
-    i = 0
-    while i < len(texts):
-        part, held = [], 0
-        while i + len(part) < len(texts) and (not part or held < _CHUNK):
-            part.append((texts[i + len(part)] or "").lower())
+def _chunks(texts: list[str | None] | pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[str]]]:
+    """Texts in lower case, about ``_CHUNK`` characters at a time, and the number of the first."""
+    i, part, held = 0, [], 0
+    for k in range(0, len(texts), _ROWS):
+        some = texts[k : k + _ROWS]
+        for text in some if isinstance(some, list) else some.to_pylist():
+            part.append((text or "").lower())
             held += len(part[-1]) + 1
+            if held >= _CHUNK:
+                yield i, part
+                i, part, held = i + len(part), [], 0
+    if part:
+        yield i, part
+
+
+def _grams(texts: list[str | None] | pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For chunks of texts: number of the first, packed 4-grams, where each text's begin, letters of each."""
+    for i, part in _chunks(texts):
         codes = _letters()[np.frombuffer(" ".join([*part, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
         codes, offsets = _units(codes, np.cumsum([0, *(len(t) + 1 for t in part)]))
         first = np.zeros(len(codes), bool)
@@ -98,7 +110,6 @@ def _grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         n_letters = np.zeros(len(part), np.int64)
         n_letters[np.diff(bounds) > 0] = letters
         yield i, grams, bounds, n_letters
-        i += len(part)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -110,13 +121,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 gram, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
             held.clear()
 
         size = 0
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for first, grams, bounds, _ in _grams(batch.column("text").to_pylist()):
+            for first, grams, bounds, _ in _grams(batch.column("text")):
                 for j in range(len(bounds) - 1):
                     held.setdefault(langs[first + j], []).append(grams[bounds[j] : bounds[j + 1]].copy())
                 size += len(grams)
@@ -125,7 +136,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return docs.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _suffix(grams: np.ndarray, order: int) -> np.ndarray:
@@ -231,7 +242,7 @@ class LanguageModels:
         """For each gram and language, the log probability of its last character after the others."""
         return np.column_stack(list(self._by_language(grams)))
 
-    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    def judge(self, texts: list[str | None] | pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, ...]:
         """Of each text: number of the best language (-1: und), its cross-entropy, score, characters."""
         best, entropy, score, size = [], [], [], []
         for _, grams, bounds, letters in _grams(texts):
@@ -300,7 +311,7 @@ def _dealt(texts: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], ["_block", "_rows"])
 
     block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int")
-    return texts.withColumn("_block", block).mapInArrow(run, "_block int, _rows binary").repartition(blocks, "_block")
+    return texts.withColumn("_block", block).mapInArrow(tidy(run), "_block int, _rows binary").repartition(blocks, "_block")
 
 
 def _unpacked(packed: pa.Array | pa.ChunkedArray) -> Iterator[pa.Table]:
@@ -316,7 +327,7 @@ def _wanted(dealt: DataFrame, text_col: str) -> DataFrame:
         size = 0
         for batch in batches:
             for block, rows in zip(batch.column("_block").to_pylist(), _unpacked(batch.column("_rows")), strict=True):
-                for _, grams, _, _ in _grams(rows.column(text_col).to_pylist()):
+                for _, grams, _, _ in _grams(rows.column(text_col)):
                     held.setdefault(block, []).append(np.unique(grams))
                     size += len(held[block][-1])
                 if size > _FLUSH:
@@ -330,7 +341,7 @@ def _wanted(dealt: DataFrame, text_col: str) -> DataFrame:
                 if order:
                     grams = np.unique(np.concatenate([_suffix(grams, order - 1), grams >> np.uint64(16)]))
 
-    return dealt.mapInArrow(run, "_block int, order int, gram long")
+    return dealt.mapInArrow(tidy(run), "_block int, order int, gram long")
 
 
 def _judged(texts: DataFrame, fit: Fit, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -343,9 +354,9 @@ def _judged(texts: DataFrame, fit: Fit, id_col: str, text_col: str, keep: list[s
 
     def run(packed: pa.Table, nodes: pa.Table) -> pa.Table:
         rows = pa.concat_tables(_unpacked(packed.column("_rows")))
-        best, entropy, score, size = LanguageModels.of(shared, nodes).judge(rows.column(text_col).to_pylist())
+        best, entropy, score, size = LanguageModels.of(shared, nodes).judge(rows.column(text_col))
         names = [shared.names[b] if b >= 0 else "und" for b in best]
-        pa.default_memory_pool().release_unused()  # before the next block comes
+        give_back()  # before the next block comes
         return pa.Table.from_arrays([*(rows.column(c) for c in keep), pa.array(names, pa.string()), pa.array(entropy), pa.array(score), pa.array(size)], [*keep, "_pred", "_entropy", "_score", "_size"])
 
     return dealt.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(run, f"{fields}, _pred string, _entropy double, _score double, _size long")
@@ -370,15 +381,15 @@ def _limits(judged: DataFrame, names: list[str], quantile: float, slack: float)
     return judged.sparkSession.createDataFrame(out, "_pred string, _bin int, _limit double")
 
 
-def _decided(docs: DataFrame, quantile: float, slack: float, id_col: str, text_col: str, lang_col: str, keep: Column) -> DataFrame | None:
-    """_row (``keep`` of each row), _held_out, _pred, _entropy, _score and _rejected; None if nothing can be learned."""
+def _decided(docs: DataFrame, quantile: float, slack: float, id_col: str, text_col: str, lang_col: str, keep: Column, keep_text: bool = False) -> DataFrame | None:
+    """_row (``keep`` of each row), _text if it is kept, _held_out, _pred, _entropy, _score and _rejected; None if nothing can be learned."""
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
     # Rows travel as one column, so that no name of theirs meets one of these.
     texts = docs.select(keep.alias("_row"), held_out.alias("_held_out"), F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     fit = fit_languages(texts.filter("not _held_out").select(F.col("_lang").alias("lang"), F.col("_text").alias("text")))
     if fit is None:
         return None
-    judged = written(_judged(texts, fit, "_id", "_text", ["_row", "_held_out", "_lang"]), "judged")
+    judged = written(_judged(texts, fit, "_id", "_text", ["_row", "_held_out", "_lang"] + ["_text"] * keep_text), "judged")
     limits = _limits(judged, fit.names, quantile, slack)
     found = judged.withColumn("_bin", _bin("_size")).join(F.broadcast(limits), ["_pred", "_bin"], "left")  # languages times lengths
     return found.withColumn("_rejected", (F.col("_pred") == "und") | F.coalesce(F.col("_entropy") > F.col("_limit"), F.lit(False)))
@@ -398,6 +409,9 @@ def identify_languages(docs: DataFrame, quantile: float = 0.9995, slack: float =
 
 def keep_identified(docs: DataFrame, quantile: float = 0.9995, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, unchanged."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    found = _decided(docs, quantile, slack, id_col, text_col, lang_col, row)
-    return docs.limit(0) if found is None else found.filter("not _rejected").select("_row.*")
+    # A text travels once, outside the row that it belongs to.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    found = _decided(docs, quantile, slack, id_col, text_col, lang_col, row, keep_text=True)
+    if found is None:
+        return docs.limit(0)
+    return found.filter("not _rejected").select(*((F.col("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
+
 
 def _later_windows(texts: DataFrame, size: int) -> DataFrame:
     """(doc_id, t, late): where windows begin whose lines begin a document of lesser id."""
@@ -73,7 +75,7 @@ def find_repeated_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id",
             n, removed, kept = ([c[k] for c in cut] for k in range(3))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_text"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_lines long, n_removed long, kept_text string")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_lines long, n_removed long, kept_text string")
 
 
 def remove_repeated_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -92,4 +94,4 @@ def remove_repeated_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id"
                 columns[k] = pa.array([None if t is None else len(t) for t in kept], pa.int64()).cast(columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(tidy(run), docs.schema)

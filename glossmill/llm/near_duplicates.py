@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graphs import components
 from ..scratch import Rounds, written
+from .memory import tidy
 from .words import NOT_SPACE, WordKey, Words, mix, signed, window_hashes, words_of
 
 ROWS = 3
@@ -119,7 +120,7 @@ def signatures(docs: DataFrame, m: int, k: int, seed: int, key: WordKey, id_col:
                 )
 
     id_type = pairs.schema["doc_id"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"doc_id {id_type}, text_hash long, n_shingles long, d1 long, d2 long, halves array<long>")
+    return pairs.mapInArrow(tidy(run), f"doc_id {id_type}, text_hash long, n_shingles long, d1 long, d2 long, halves array<long>")
 
 
 def shingle_sets(texts: DataFrame, k: int, key: WordKey) -> DataFrame:
@@ -131,7 +132,7 @@ def shingle_sets(texts: DataFrame, k: int, key: WordKey) -> DataFrame:
                 values, bounds = _shingle_sets(part, k, key)
                 yield pa.RecordBatch.from_arrays([batch.column("c").slice(part.first, part.rows), _lists(values, bounds)], ["c", "shingles"])
 
-    return texts.select("c", "text").mapInArrow(run, "c long, shingles array<long>")
+    return texts.select("c", "text").mapInArrow(tidy(run), "c long, shingles array<long>")
 
 
 def _classes(signs: DataFrame) -> DataFrame:

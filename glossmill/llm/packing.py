@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
+from .memory import tidy
 
 #: Texts of these characters are cut into words here, in the tokenizer's way; all others go
 #: to the tokenizer as they are.
@@ -116,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return pairs.mapInArrow(run, fields)
+    return pairs.mapInArrow(tidy(run), fields)
 
 
 def nonnegative_fit(a: np.ndarray, b: np.ndarray, sweeps: int = 400) -> np.ndarray:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from glossmill.llm import language_id
 from glossmill.llm.language_id import LanguageModels, _grams, count_grams, identify_languages, keep_identified
 
 
@@ -134,3 +135,40 @@ def test_very_long_text(spark):
     rows = [*texts(120), (1000, long, None), (1001, long * 3, None)]
     found = {r.doc_id: r.lang_pred for r in identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert found[1000] == found[1001] == "bb"
+
+
+def test_a_text_travels_once(make_docs, monkeypatch):
+    seen = []
+    judged = language_id._judged
+    monkeypatch.setattr(language_id, "_judged", lambda texts, *rest: seen.append(texts.schema) or judged(texts, *rest))
+    docs = make_docs(texts(200))
+    kept = keep_identified(docs)
+    assert seen[0]["_text"].dataType.simpleString() == "string"
+    assert "text" not in seen[0]["_row"].dataType.names
+    assert kept.schema.names == docs.schema.names
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+
+
+def test_texts_become_strings_a_few_at_a_time():
+    sizes = []
+
+    class Column:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def __getitem__(self, rows):
+            return Column(self.values[rows])
+
+        def to_pylist(self):
+            sizes.append(len(self.values))
+            return self.values
+
+    values = [None if i % 50 == 0 else f"Text {i} " * (i % 300) for i in range(2000)]
+    some, all_ = list(_grams(Column(values))), list(_grams(values))
+    assert max(sizes) <= 256 and sum(sizes) == len(values)
+    assert len(some) == len(all_) > 1
+    for a, b in zip(some, all_, strict=True):
+        assert a[0] == b[0] and all((x == y).all() for x, y in zip(a[1:], b[1:], strict=True))
