@@ -38,6 +38,7 @@ TEXT, EDITED, NEXT, TO_EDITED, TO_NEXT, ROW = range(6)
 FOUND, KNOWN = -1, -2
 _SAMPLE = 1 << 20
 _WEIGHT = 1 << 16
+_FEW = 100_000  # rows whose ids and hashes go to all texts
 
 
 def digests(text: Column) -> Column:
@@ -233,12 +234,14 @@ def fingerprint_edits(docs: DataFrame, width: int = 8, id_col: str = "doc_id", t
 
 
 def _again(docs: DataFrame, open_: DataFrame, room: int, seed: int) -> DataFrame:
-    """(row, to_edited, to_next) of some rows with wider sketches; their texts are fetched by id and hash."""
+    """(row, to_edited, to_next) of some rows with wider sketches; their texts are fetched by id and hash.
+    Up to ``_FEW`` rows are sent to the texts, which stay where they are; more meet them in a shuffle."""
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("i", "text", F.xxhash64("text").alias("h"))
+    asked, few = open_, open_.count() <= _FEW
     for name, of in (("text", ("doc_id", "t")), ("next_text", ("next_id", "next_t"))):
-        wanted = open_.select(*of).distinct().toDF("d", "t")
-        own = texts.join(wanted, F.col("i").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t"))).groupBy("i", "h").agg(F.first("text").alias(name))
+        wanted = asked.select(*of).distinct().toDF("d", "t")
+        own = texts.join(F.broadcast(wanted) if few else wanted, F.col("i").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t"))).groupBy("i", "h").agg(F.first("text").alias(name))
         open_ = open_.join(own, F.col(of[0]).eqNullSafe(F.col("i")) & (F.col(of[1]) == F.col("h"))).drop("i", "h")
     rows = _edited(open_, ["row", "to_edited", "to_next"])
     cells = _wider(rows, ["row"], room, seed, F.struct("to_edited", "to_next"))

@@ -97,3 +97,18 @@ def test_one_row_and_none(make_docs):
     assert [r.near_next for r in fingerprint_edits(make_docs([(3, None), (4, "")])).collect()] == [1.0, 1.0]
     twice = fingerprint_edits(make_docs([(3, "a. b"), (3, "a. b"), (3, "c. d")])).collect()
     assert len(twice) == 3
+
+
+def test_texts_stay_where_they_are_for_few_rows(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, f"a {i}. b {i % 7}. c") for i in range(60)])
+    texts = docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    nothing = F.lit(None).cast("long")
+    open_ = texts.filter("i in (3, 9, 20)").select(F.col("i").alias("row"), F.col("i").alias("doc_id"), F.col("h").alias("t"), (F.col("i") - 1).alias("next_id"), nothing.alias("to_edited"), nothing.alias("to_next"))
+    open_ = open_.join(texts.toDF("next_id", "next_t"), "next_id")
+    plans, rows = [], []
+    monkeypatch.setattr(fingerprints, "_edited", lambda df, keys, real=fingerprints._edited: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, keys))
+    for few in (100_000, 0):
+        monkeypatch.setattr(fingerprints, "_FEW", few)
+        rows.append(sorted(tuple(r) for r in fingerprints._again(docs.select("doc_id", "text"), open_, 8, 6).collect()))
+    assert "strategy=broadcast" in plans[0] and "strategy=broadcast" not in plans[1]
+    assert rows[0] == rows[1] and len(rows[0]) == 3 and all(None not in r for r in rows[0])
