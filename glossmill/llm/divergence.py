@@ -2,10 +2,10 @@
 
 The first pass counts in how many documents of a language each term occurs, exactly, and keeps the
 terms of enough documents. The second pass recounts their occurrences: kept terms, padded with a
-delimiter on either side, become Aho-Corasick automata that run over the texts. A vocabulary grows
+delimiter on either side, become Aho-Corasick automata that run over the texts' words. A vocabulary grows
 with the corpus, so it is dealt by hash to blocks of about ``block_bytes``; texts are cut into words
-once, and each word goes, between delimiters, to the block that its term would be in, in strings of a
-few kilobytes. A block's texts are dealt to several places, each with the block's terms before them,
+once, and each distinct word of a batch and source goes, between delimiters, to the block that its term
+would be in, in strings of a few kilobytes, with the number of its occurrences. A block's words are dealt to several places, each with the block's terms before them,
 so neither a block nor a hot source is held by one task.
 
 Counts above zero are sparse postings. A source's smoothed share of a term is 1 + floor(1e9 * (count +
@@ -31,19 +31,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .words import WordKey, Words, mix, words_of
+from .words import WordKey, Words, mix, text_bytes, words_of
 
 #: Bytes of terms, runs of letters and of everything beyond ASCII, once A to Z are lower case: a to z and everything beyond ASCII.
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _PIECE = 8 << 10  # bytes of words in a row
-_PLACE = 64 << 20  # bytes of words in a place
+_PLACE = 128 << 20  # bytes of texts whose words meet in a place
 _SOURCES = 64  # sources whose counts a task holds, about
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_HELD = 1 << 18  # occurrences that are counted at once
+_MATCH = np.dtype([("end", np.int64), ("term", np.int64)])
 _PAIRS = 1 << 21  # pairs of postings that are expanded at once
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value comes first, and for each value the number of its distinct one."""
+    encoded = pa.array(values).dictionary_encode()
+    codes = encoded.indices.to_numpy(zero_copy_only=False)
+    first = np.empty(len(encoded.dictionary), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return first, codes
+
+
+def _totals(codes: np.ndarray, n: np.ndarray, several: int) -> np.ndarray:
+    """Sums of ``n`` by code; they are far below 2**53."""
+    return np.bincount(codes, n, several).astype(np.int64)
+
+
+def _named(part: Words, which: np.ndarray) -> pa.Array:
+    """Some of the words as strings."""
+    size = (part.ends - part.starts)[which]
+    bounds = np.append(0, np.cumsum(size))
+    body = part.buf[np.arange(bounds[-1]) + np.repeat(part.starts[which] - bounds[:-1], size)]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(body))
+
+
 def kept_terms(docs: DataFrame, least: int) -> DataFrame:
     """(lang, term) of the terms in at least so many documents of the language. A task tells terms of
     a chunk of texts apart by a keyed hash of 64 bits and sends each with its number of documents."""
@@ -57,20 +79,16 @@ def kept_terms(docs: DataFrame, least: int) -> DataFrame:
             found: dict[str, list] = {"lang": [], "hash": [], "n": [], "term": []}
             for part in words_of(batch.column("text"), _LETTERS, True):
                 hashes, owner = part.hashes(key), part.owners()
-                once = np.unique(mix(hashes + owner.astype(np.uint64) * _ODD), return_index=True)[1]  # of a document's copies one
+                once = _distinct(mix(hashes + owner.astype(np.uint64) * _ODD))[0]  # of a document's copies one
                 hashes, lang = hashes[once], langs[owner[once] + part.first]
-                _, first, n = np.unique(mix(hashes + lang * _ODD), return_index=True, return_counts=True)
-                size = (part.ends - part.starts)[once[first]]
-                bounds = np.append(0, np.cumsum(size))
-                body = part.buf[np.arange(bounds[-1]) + np.repeat(part.starts[once[first]] - bounds[:-1], size)]
-                terms = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(body))
-                for name, x in (("lang", lang[first]), ("hash", hashes[first]), ("n", n), ("term", terms)):
+                first, codes = _distinct(mix(hashes + lang * _ODD))
+                n = np.bincount(codes, minlength=len(first))
+                for name, x in (("lang", lang[first]), ("hash", hashes[first]), ("n", n), ("term", _named(part, once[first]))):
                     found[name].append(x)
             if found["n"]:
                 lang, hashes, n = (np.concatenate(found[c]) for c in ("lang", "hash", "n"))
-                _, first, where = np.unique(mix(hashes + lang * _ODD), return_index=True, return_inverse=True)
-                total = np.zeros(len(first), np.int64)
-                np.add.at(total, where, n)
+                first, codes = _distinct(mix(hashes + lang * _ODD))
+                total = _totals(codes, n, len(first))
                 terms = pa.chunked_array(found["term"]).take(pa.array(first)).cast(pa.string()).combine_chunks()
                 yield pa.RecordBatch.from_arrays([named.take(pa.array(lang[first].astype(np.int64))), terms, pa.array(total)], ["lang", "term", "n"])
 
@@ -78,29 +96,46 @@ def kept_terms(docs: DataFrame, least: int) -> DataFrame:
     return each.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "term")
 
 
-def _pieces(part: Words, blocks: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(group, block, words that end with a delimiter each) of about ``_PIECE`` bytes."""
-    owner = group[part.owners()]
-    order = np.lexsort((blocks, owner))
-    owner, blocks = owner[order], blocks[order]
-    starts, size = part.starts[order], (part.ends - part.starts)[order] + 1
+def _counted_words(column: pa.Array, group: np.ndarray, key: WordKey) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array] | None:
+    """group, hash, occurrences and word of each distinct word of each group; None if there is none."""
+    found: dict[str, list] = {"group": [], "hash": [], "n": [], "word": []}
+    for part in words_of(column, _LETTERS, True):
+        hashes, own = part.hashes(key), group[part.owners() + part.first]
+        first, codes = _distinct(mix(hashes + own.astype(np.uint64) * _ODD))
+        for name, x in (("group", own[first]), ("hash", hashes[first]), ("n", np.bincount(codes, minlength=len(first))), ("word", _named(part, first))):
+            found[name].append(x)
+    if not found["n"]:
+        return None
+    own, hashes, n = (np.concatenate(found[c]) for c in ("group", "hash", "n"))
+    first, codes = _distinct(mix(hashes + own.astype(np.uint64) * _ODD))
+    words = pa.chunked_array(found["word"]).take(pa.array(first)).combine_chunks()
+    return own[first], hashes[first], _totals(codes, n, len(first)), words
+
+
+def _pieces(own: np.ndarray, blocks: np.ndarray, n: np.ndarray, words: pa.Array) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(group, block, words that end with a delimiter each, occurrences of each) of about ``_PIECE`` bytes."""
+    order = np.lexsort((blocks, own))
+    own, blocks, n = own[order], blocks[order], n[order]
+    buf, offsets = text_bytes(words.take(pa.array(order)))
+    size = np.diff(offsets) + 1
     ends = np.cumsum(size)
     if not len(ends):
         return
-    at = np.arange(ends[-1]) + np.repeat(starts - (ends - size), size)
-    out = np.append(part.buf, np.uint8(10))[np.minimum(at, len(part.buf))]
-    out[ends - 1] = 10
-    new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(blocks, prepend=-1) != 0))
-    for a, b in zip(new, np.append(new[1:], len(owner)), strict=True):
+    out = np.full(ends[-1], 10, np.uint8)
+    inside = np.ones(ends[-1], bool)
+    inside[ends - 1] = False
+    out[inside] = buf
+    new = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(blocks, prepend=-1) != 0))
+    for a, b in zip(new, np.append(new[1:], len(own)), strict=True):
         first = ends[a] - size[a]
         cuts = np.unique(np.searchsorted(ends[a:b], np.arange(first, ends[b - 1], _PIECE)[1:])) + a
         for i, j in zip([a, *cuts], [*cuts, b], strict=True):
             if j > i:
-                yield int(owner[a]), int(blocks[a]), out[ends[i] - size[i] : ends[j - 1]].tobytes()
+                yield int(own[a]), int(blocks[a]), out[ends[i] - size[i] : ends[j - 1]].tobytes(), n[i:j].astype("<i8").tobytes()
 
 
 def _block_words(docs: DataFrame, key: WordKey, n_blocks: int, places: int) -> DataFrame:
-    """(lang, block, place, kind 1, source, words)."""
+    """(lang, block, place, kind 1, source, words, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -109,25 +144,27 @@ def _block_words(docs: DataFrame, key: WordKey, n_blocks: int, places: int) -> D
             names: dict = {}
             group = np.array([names.setdefault(x, len(names)) for x in zip(langs, sources, strict=True)], np.int64)
             named = list(names)
-            for part in words_of(batch.column("text"), _LETTERS, True):
-                blocks = (part.hashes(key) % np.uint64(n_blocks)).astype(np.int64)
-                rows: list[tuple] = []
-                for g, b, text in _pieces(part, blocks, group[part.first : part.first + part.rows]):
-                    turn += 1
-                    rows.append((named[g][0], b, (hash(named[g]) + turn) % places, 1, named[g][1], text.decode()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES, strict=True)], _NAMES)
+            counted = _counted_words(batch.column("text"), group, key)
+            if counted is None:
+                continue
+            own, hashes, n, words = counted
+            rows: list[tuple] = []
+            for g, b, text, times in _pieces(own, (hashes % np.uint64(n_blocks)).astype(np.int64), n, words):
+                turn += 1
+                rows.append((named[g][0], b, (hash(named[g]) + turn) % places, 1, named[g][1], text.decode(), times))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES, strict=True)], _NAMES)
 
     return docs.select("lang", "source", "text").mapInArrow(run, _ROWS)
 
 
-_NAMES = ["lang", "block", "place", "kind", "source", "words"]
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
-_ROWS = "lang string, block long, place long, kind int, source string, words string"
+_NAMES = ["lang", "block", "place", "kind", "source", "words", "times"]
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary()]
+_ROWS = "lang string, block long, place long, kind int, source string, words string, times binary"
 
 
 def _block_terms(terms: DataFrame, key: WordKey, n_blocks: int, places: int) -> DataFrame:
-    """(lang, block, place, kind 0, no source, term), for each place of the block."""
+    """(lang, block, place, kind 0, no source, term, no times), for each place of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +175,7 @@ def _block_terms(terms: DataFrame, key: WordKey, n_blocks: int, places: int) ->
 
     dealt = terms.mapInArrow(run, "lang string, block long, term string")
     place = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))).alias("place")
-    return dealt.select("lang", "block", place, F.lit(0).alias("kind"), F.lit(None).cast("string").alias("source"), F.col("term").alias("words"))
+    return dealt.select("lang", "block", place, F.lit(0).alias("kind"), F.lit(None).cast("string").alias("source"), F.col("term").alias("words"), F.lit(None).cast("binary").alias("times"))
 
 
 class _Counter:
@@ -147,11 +184,9 @@ class _Counter:
     def __init__(self) -> None:
         self.terms: list[str] = []
         self.automaton: ahocorasick.Automaton | None = None
-        self.found: dict[str, list[np.ndarray]] = {}
         self.counts: dict[str, np.ndarray] = {}
-        self.held = 0
 
-    def add(self, source: str, words: str) -> None:
+    def add(self, source: str, words: str, times: bytes) -> None:
         if not self.terms:
             return
         if self.automaton is None:
@@ -159,22 +194,15 @@ class _Counter:
             for i, term in enumerate(self.terms):
                 self.automaton.add_word(f"\n{term}\n", i)
             self.automaton.make_automaton()
-        found = np.fromiter((i for _, i in self.automaton.iter(f"\n{words}")), np.int64)
-        self.found.setdefault(source, []).append(found)
-        self.held += len(found)
-        if self.held > _HELD:
-            self.count()
-
-    def count(self) -> None:
-        for source, found in self.found.items():
-            terms, n = np.unique(np.concatenate(found), return_counts=True)
-            if source not in self.counts:
-                self.counts[source] = np.zeros(len(self.terms), np.int64)
-            self.counts[source][terms] += n
-        self.found, self.held = {}, 0
+        found = np.fromiter(self.automaton.iter(f"\n{words}"), _MATCH)
+        # A match ends at the delimiter after its word.
+        codes = np.frombuffer(words.encode(), np.uint8) if words.isascii() else np.frombuffer(words.encode("utf-32-le"), np.uint32)
+        word = np.searchsorted(np.flatnonzero(codes == 10) + 1, found["end"])
+        if source not in self.counts:
+            self.counts[source] = np.zeros(len(self.terms), np.int64)
+        np.add.at(self.counts[source], found["term"], np.frombuffer(times, "<i8")[word])
 
     def done(self, lang: str) -> Iterator[pa.RecordBatch]:
-        self.count()
         for source, held in self.counts.items():
             rows = np.flatnonzero(held)
             terms = pa.array([self.terms[i] for i in rows], pa.string())
@@ -193,7 +221,7 @@ def count_terms(docs: DataFrame, terms: DataFrame, block_bytes: int = 2 << 20) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, counter = None, _Counter()
         for batch in batches:
-            for lang, block, place, kind, source, words in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
+            for lang, block, place, kind, source, words, times in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
                 if (lang, block, place) != now:
                     if now is not None:
                         yield from counter.done(now[0])
@@ -201,7 +229,7 @@ def count_terms(docs: DataFrame, terms: DataFrame, block_bytes: int = 2 << 20) -
                 if kind == 0:
                     counter.terms.append(words)
                 else:
-                    counter.add(source, words)
+                    counter.add(source, words, times)
                     if len(counter.counts) > _SOURCES:
                         yield from counter.done(lang)
         if now is not None:

@@ -67,3 +67,13 @@ def test_no_rows_and_no_terms(spark):
     assert got(spark, []) == []
     rows = [("once", "en", "a"), (None, "en", "b")]
     assert got(spark, rows) == brute(rows) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
+
+
+def test_a_word_goes_to_its_block_once_for_a_batch_and_source(spark):
+    rows = [("en", "s", "Ab cd " * 3000), ("en", "s", "ab é中😀 ab"), ("en", "r", "cd"), ("en", "r", ""), ("fr", "s", "ab")]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    sent = divergence._block_words(docs, divergence.WordKey.drawn(), 2, 1).collect()
+    assert sum(len(r.words) for r in sent) == sum(len(w) + 1 for w in ("ab", "cd", "é中😀", "cd", "ab"))
+    terms = spark.createDataFrame([("en", "ab"), ("en", "é中😀"), ("en", "zz"), ("fr", "ab")], "lang string, term string")
+    counted = divergence.count_terms(docs, terms)
+    assert sorted(tuple(r) for r in counted.collect()) == [("en", "s", "ab", 3002), ("en", "s", "é中😀", 1), ("fr", "s", "ab", 1)]
