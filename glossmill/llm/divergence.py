@@ -6,7 +6,8 @@ delimiter on either side, become Aho-Corasick automata that run over the texts'
 with the corpus, so it is dealt by hash to blocks of about ``block_bytes``; texts are cut into words
 once, and each distinct word of a batch and source goes, between delimiters, to the block that its term
 would be in, in strings of a few kilobytes, with the number of its occurrences. A block's words are dealt to several places, each with the block's terms before them,
-so neither a block nor a hot source is held by one task.
+so neither a block nor a hot source is held by one task. The texts of a batch are taken group by group and
+those of a place source by source, so that a task holds the words or counts of one at a time.
 
 Counts above zero are sparse postings. A source's smoothed share of a term is 1 + floor(1e9 * (count +
 1) / (N + V)); the divergence of shares p from q is floor((p - q)^2 / q). Terms that neither of two
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
+from .memory import give_back, tidy
 from .words import WordKey, Words, mix, text_bytes, words_of
 
 #: Bytes of terms, runs of letters and of everything beyond ASCII, once A to Z are lower case: a to z and everything beyond ASCII.
@@ -38,7 +40,7 @@ _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _PIECE = 8 << 10  # bytes of words in a row
 _PLACE = 128 << 20  # bytes of texts whose words meet in a place
-_SOURCES = 64  # sources whose counts a task holds, about
+_ROWS_AT_ONCE = 256  # rows of words that become Python strings at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MATCH = np.dtype([("end", np.int64), ("term", np.int64)])
 _PAIRS = 1 << 21  # pairs of postings that are expanded at once
@@ -66,50 +68,58 @@ def _named(part: Words, which: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(body))
 
 
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """group, hash, number and word of each distinct word of each group, from parts in which each is distinct."""
+    if len(parts) == 1:
+        return parts[0]
+    own, hashes, n = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
+    first, codes = _distinct(mix(hashes + own.astype(np.uint64) * _ODD))
+    words = pa.chunked_array([x[3] for x in parts]).take(pa.array(first)).combine_chunks()
+    return own[first], hashes[first], _totals(codes, n, len(first)), words
+
+
+def _counted_words(column: pa.Array, group: np.ndarray, key: WordKey, by_row: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """group, hash, occurrences (``by_row``: rows) and word of each distinct word of each group, each group
+    whole in one of the results. Rows are taken in order of groups, so that beside a chunk of texts only the
+    distinct words of one group are held."""
+    if len(group) and (group != group[0]).any():
+        order = np.argsort(group, kind="stable")
+        column, group = column.take(pa.array(order)), group[order]
+    held: list[tuple] = []
+    for part in words_of(column, _LETTERS, True):
+        hashes, owner = part.hashes(key), part.owners()
+        once = _distinct(mix(hashes + owner.astype(np.uint64) * _ODD))[0] if by_row else np.arange(len(hashes))  # of a row's copies one
+        hashes, own = hashes[once], group[owner[once] + part.first]
+        first, codes = _distinct(mix(hashes + own.astype(np.uint64) * _ODD))
+        if len(first):
+            held.append((own[first], hashes[first], np.bincount(codes, minlength=len(first)), _named(part, once[first])))
+        last = group[part.first + part.rows - 1]
+        if not held or (held[0][0] == last).all() and sum(len(x[0]) for x in held[1:]) < len(held[0][0]):
+            continue
+        own, hashes, n, words = _merged(held)
+        done, open_ = np.flatnonzero(own != last), np.flatnonzero(own == last)
+        held = [(own[open_], hashes[open_], n[open_], words.take(pa.array(open_)))] if len(open_) else []
+        if len(done):
+            yield own[done], hashes[done], n[done], words.take(pa.array(done))
+    if held:
+        yield _merged(held)
+
+
 def kept_terms(docs: DataFrame, least: int) -> DataFrame:
     """(lang, term) of the terms in at least so many documents of the language. A task tells terms of
-    a chunk of texts apart by a keyed hash of 64 bits and sends each with its number of documents."""
+    a batch of texts apart by a keyed hash of 64 bits and sends each with its number of documents."""
     key = WordKey.drawn()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names: dict = {}
-            langs = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.uint64)
+            langs = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.int64)
             named = pa.array(list(names), pa.string())
-            found: dict[str, list] = {"lang": [], "hash": [], "n": [], "term": []}
-            for part in words_of(batch.column("text"), _LETTERS, True):
-                hashes, owner = part.hashes(key), part.owners()
-                once = _distinct(mix(hashes + owner.astype(np.uint64) * _ODD))[0]  # of a document's copies one
-                hashes, lang = hashes[once], langs[owner[once] + part.first]
-                first, codes = _distinct(mix(hashes + lang * _ODD))
-                n = np.bincount(codes, minlength=len(first))
-                for name, x in (("lang", lang[first]), ("hash", hashes[first]), ("n", n), ("term", _named(part, once[first]))):
-                    found[name].append(x)
-            if found["n"]:
-                lang, hashes, n = (np.concatenate(found[c]) for c in ("lang", "hash", "n"))
-                first, codes = _distinct(mix(hashes + lang * _ODD))
-                total = _totals(codes, n, len(first))
-                terms = pa.chunked_array(found["term"]).take(pa.array(first)).cast(pa.string()).combine_chunks()
-                yield pa.RecordBatch.from_arrays([named.take(pa.array(lang[first].astype(np.int64))), terms, pa.array(total)], ["lang", "term", "n"])
-
-    each = docs.select("lang", "text").mapInArrow(run, "lang string, term string, n long")
-    return each.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "term")
-
+            for lang, _, n, terms in _counted_words(batch.column("text"), langs, key, by_row=True):
+                yield pa.RecordBatch.from_arrays([named.take(pa.array(lang)), terms.cast(pa.string()), pa.array(n)], ["lang", "term", "n"])
 
-def _counted_words(column: pa.Array, group: np.ndarray, key: WordKey) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array] | None:
-    """group, hash, occurrences and word of each distinct word of each group; None if there is none."""
-    found: dict[str, list] = {"group": [], "hash": [], "n": [], "word": []}
-    for part in words_of(column, _LETTERS, True):
-        hashes, own = part.hashes(key), group[part.owners() + part.first]
-        first, codes = _distinct(mix(hashes + own.astype(np.uint64) * _ODD))
-        for name, x in (("group", own[first]), ("hash", hashes[first]), ("n", np.bincount(codes, minlength=len(first))), ("word", _named(part, first))):
-            found[name].append(x)
-    if not found["n"]:
-        return None
-    own, hashes, n = (np.concatenate(found[c]) for c in ("group", "hash", "n"))
-    first, codes = _distinct(mix(hashes + own.astype(np.uint64) * _ODD))
-    words = pa.chunked_array(found["word"]).take(pa.array(first)).combine_chunks()
-    return own[first], hashes[first], _totals(codes, n, len(first)), words
+    each = docs.select("lang", "text").mapInArrow(tidy(run), "lang string, term string, n long")
+    return each.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "term")
 
 
 def _pieces(own: np.ndarray, blocks: np.ndarray, n: np.ndarray, words: pa.Array) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -144,18 +154,14 @@ def _block_words(docs: DataFrame, key: WordKey, n_blocks: int, places: int) -> D
             names: dict = {}
             group = np.array([names.setdefault(x, len(names)) for x in zip(langs, sources, strict=True)], np.int64)
             named = list(names)
-            counted = _counted_words(batch.column("text"), group, key)
-            if counted is None:
-                continue
-            own, hashes, n, words = counted
-            rows: list[tuple] = []
-            for g, b, text, times in _pieces(own, (hashes % np.uint64(n_blocks)).astype(np.int64), n, words):
-                turn += 1
-                rows.append((named[g][0], b, (hash(named[g]) + turn) % places, 1, named[g][1], text.decode(), times))
-            if rows:
+            for own, hashes, n, words in _counted_words(batch.column("text"), group, key):
+                rows: list[tuple] = []
+                for g, b, text, times in _pieces(own, (hashes % np.uint64(n_blocks)).astype(np.int64), n, words):
+                    turn += 1
+                    rows.append((named[g][0], b, (hash(named[g]) + turn) % places, 1, named[g][1], text.decode(), times))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES, strict=True)], _NAMES)
 
-    return docs.select("lang", "source", "text").mapInArrow(run, _ROWS)
+    return docs.select("lang", "source", "text").mapInArrow(tidy(run), _ROWS)
 
 
 _NAMES = ["lang", "block", "place", "kind", "source", "words", "times"]
@@ -173,18 +179,19 @@ def _block_terms(terms: DataFrame, key: WordKey, n_blocks: int, places: int) ->
                 blocks = (part.hashes(key) % np.uint64(n_blocks)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([rows.column("lang"), pa.array(blocks), rows.column("term")], ["lang", "block", "term"])
 
-    dealt = terms.mapInArrow(run, "lang string, block long, term string")
+    dealt = terms.mapInArrow(tidy(run), "lang string, block long, term string")
     place = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))).alias("place")
     return dealt.select("lang", "block", place, F.lit(0).alias("kind"), F.lit(None).cast("string").alias("source"), F.col("term").alias("words"), F.lit(None).cast("binary").alias("times"))
 
 
 class _Counter:
-    """The automaton of a place's terms, and the counts of each source that passed it."""
+    """The automaton of a place's terms, and the counts of the source whose words pass it now."""
 
     def __init__(self) -> None:
         self.terms: list[str] = []
         self.automaton: ahocorasick.Automaton | None = None
-        self.counts: dict[str, np.ndarray] = {}
+        self.source: str | None = None
+        self.counts: np.ndarray | None = None
 
     def add(self, source: str, words: str, times: bytes) -> None:
         if not self.terms:
@@ -198,16 +205,19 @@ class _Counter:
         # A match ends at the delimiter after its word.
         codes = np.frombuffer(words.encode(), np.uint8) if words.isascii() else np.frombuffer(words.encode("utf-32-le"), np.uint32)
         word = np.searchsorted(np.flatnonzero(codes == 10) + 1, found["end"])
-        if source not in self.counts:
-            self.counts[source] = np.zeros(len(self.terms), np.int64)
-        np.add.at(self.counts[source], found["term"], np.frombuffer(times, "<i8")[word])
+        if self.counts is None:
+            self.source, self.counts = source, np.zeros(len(self.terms), np.int64)
+        np.add.at(self.counts, found["term"], np.frombuffer(times, "<i8")[word])
 
     def done(self, lang: str) -> Iterator[pa.RecordBatch]:
-        for source, held in self.counts.items():
-            rows = np.flatnonzero(held)
-            terms = pa.array([self.terms[i] for i in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array([source] * len(rows), pa.string()), terms, pa.array(held[rows])], ["lang", "source", "term", "n"])
-        self.counts = {}
+        """The counts of the source so far, which are given up."""
+        if self.counts is None:
+            return
+        rows = np.flatnonzero(self.counts)
+        terms = pa.array([self.terms[i] for i in rows], pa.string())
+        names = (pa.array([x] * len(rows), pa.string()) for x in (lang, self.source))
+        yield pa.RecordBatch.from_arrays([*names, terms, pa.array(self.counts[rows])], ["lang", "source", "term", "n"])
+        self.counts = None
 
 
 def count_terms(docs: DataFrame, terms: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
@@ -221,23 +231,26 @@ def count_terms(docs: DataFrame, terms: DataFrame, block_bytes: int = 2 << 20) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, counter = None, _Counter()
         for batch in batches:
-            for lang, block, place, kind, source, words, times in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
-                if (lang, block, place) != now:
-                    if now is not None:
-                        yield from counter.done(now[0])
-                    now, counter = (lang, block, place), _Counter()
-                if kind == 0:
-                    counter.terms.append(words)
-                else:
-                    counter.add(source, words, times)
-                    if len(counter.counts) > _SOURCES:
+            for k in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                some = batch.slice(k, _ROWS_AT_ONCE)
+                for lang, block, place, kind, source, words, times in zip(*(some.column(c).to_pylist() for c in _NAMES), strict=True):
+                    if (lang, block, place) != now:
+                        if now is not None:
+                            yield from counter.done(now[0])
+                        now, counter = (lang, block, place), _Counter()
+                        give_back()  # the automaton before
+                    if kind == 0:
+                        counter.terms.append(words)
+                        continue
+                    if source != counter.source:
                         yield from counter.done(lang)
+                    counter.add(source, words, times)
         if now is not None:
             yield from counter.done(now[0])
 
     rows = _block_terms(terms, key, n_blocks, places).union(_block_words(docs, key, n_blocks, places))
     own = ["lang", "block", "place"]
-    counted = rows.repartition(*own).sortWithinPartitions(*own, "kind").mapInArrow(run, "lang string, source string, term string, n long")
+    counted = rows.repartition(*own).sortWithinPartitions(*own, "kind", "source").mapInArrow(tidy(run), "lang string, source string, term string, n long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
@@ -291,7 +304,7 @@ def _shared_terms(postings: DataFrame) -> DataFrame:
                 total = {}
         yield _pair_rows(total)
 
-    return postings.mapInArrow(run, "lang string, source string, item string, x string").groupBy("lang", "source", "item").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("shared"))
+    return postings.mapInArrow(tidy(run), "lang string, source string, item string, x string").groupBy("lang", "source", "item").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("shared"))
 
 
 def _pair_rows(total: dict[tuple, int]) -> pa.RecordBatch:

@@ -77,3 +77,21 @@ def test_a_word_goes_to_its_block_once_for_a_batch_and_source(spark):
     terms = spark.createDataFrame([("en", "ab"), ("en", "é中😀"), ("en", "zz"), ("fr", "ab")], "lang string, term string")
     counted = divergence.count_terms(docs, terms)
     assert sorted(tuple(r) for r in counted.collect()) == [("en", "s", "ab", 3002), ("en", "s", "é中😀", 1), ("fr", "s", "ab", 1)]
+
+
+def test_a_task_holds_the_words_of_one_group_at_a_time(monkeypatch):
+    monkeypatch.setattr("glossmill.llm.words.CHUNK_BYTES", 4000)
+    rng = random.Random(5)
+    rows = [(g, " ".join(f"{'abcdefgh'[g]}{rng.choice('xyzß')}{rng.choice('uvw')}{'q' * rng.randint(0, 30)}" for _ in range(40))) for g in [*range(8)] * 40]
+    for by_row in (False, True):
+        want = Counter((g, w) for g, text in rows for w in (set if by_row else list)(text.split()))
+        seen, largest = [], 0
+        found = divergence._counted_words(divergence.pa.array([t for _, t in rows]), divergence.np.array([g for g, _ in rows]), divergence.WordKey.drawn(), by_row)
+        for own, _, n, words in found:
+            seen += zip(zip(own.tolist(), words.to_pylist(), strict=True), n.tolist(), strict=True)
+            largest = max(largest, len(own))
+        assert len(seen) == len(want) and dict(seen) == want
+        assert largest < len(want) / 3  # not the batch
+    one = divergence._counted_words(divergence.pa.array(["a b", None, "", "b " * 5000]), divergence.np.zeros(4, int), divergence.WordKey.drawn())
+    assert [sorted(zip(w.to_pylist(), n.tolist(), strict=True)) for _, _, n, w in one] == [[("a", 1), ("b", 5001)]]
+    assert not list(divergence._counted_words(divergence.pa.array([], divergence.pa.string()), divergence.np.zeros(0, int), divergence.WordKey.drawn()))
