@@ -162,21 +162,27 @@ def _size_bound(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair of classes c, d of (c, component, d, other) once, as a < b, with their components ca < cb."""
+    rows = pairs.groupBy(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
+    return rows.agg(F.min(F.least("component", "other")).alias("ca"), F.min(F.greatest("component", "other")).alias("cb"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union. Only sets of classes in a pair are
-    moved, and one exchange of them serves both joins; the partners of a class that has very many are
-    split by adaptive execution."""
+    """The components (a, b) of the pairs (a, b, ca, cb) with 100 * intersection >= percent * union. Only sets
+    of classes in a pair are moved, and one exchange of them serves both joins; the partners of a class that
+    has very many are split by adaptive execution."""
     named = written(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "named")
     sets = sets.join(named, "c", "left_semi")
     left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t")).cast("long")
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("s") + F.size("t") - both)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 def _across(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of classes (c, component) of different components: each pair that is
-    similar enough is among them. Classes that share a frequent shingle meet block by block."""
+    """Candidate pairs (c, component, d, other) of classes (c, component) of different components: each pair
+    that is similar enough is among them. Classes that share a frequent shingle meet block by block."""
     rows = unsettled.join(sets, "c").select("c", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
     shared = rows.groupBy("s").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "s")) - 1
@@ -191,7 +197,7 @@ def _across(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         & _size_bound("na", "nb", percent)
         & ((100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb")))
     )
-    return a.join(b, (a.s == b.s) & (a.x == b.x) & (a.y == b.y) & near).select("a", "b")
+    return a.join(b, (a.s == b.s) & (a.x == b.x) & (a.y == b.y) & near).select(F.col("a").alias("c"), F.col("ca").alias("component"), F.col("b").alias("d"), F.col("cb").alias("other"))
 
 
 def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -199,34 +205,36 @@ def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
 
+def _stars(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, c, copies, n, component) of the buckets that hold several components, with each
+    bucket's lead and whether the row is that."""
+    leads = rows.groupBy("key").agg(F.max(F.struct("copies", "c", "n", "component")).alias("lead"), F.min("component").alias("x"), F.max("component").alias("y"))
+    return rows.join(leads.filter("x != y").drop("x", "y"), "key").withColumn("leads", F.col("c") == F.col("lead.c"))
+
+
 def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int, key: WordKey) -> DataFrame:
     """(node, component) of the classes that are linked."""
-    keys = written(_table_keys(classes), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key")
-    open_ = written(keys.join(shared, "key", "left_semi").withColumn("component", F.col("c")), "buckets")
-    sample = written(classes.join(open_.select("c").distinct(), "c", "left_semi").select("c", F.col("sample.doc_id").alias("i"), F.col("sample.text_hash").alias("h")), "sample")
+    rounds = Rounds(classes.sparkSession, "stars")
+    keys = rounds.written(_table_keys(classes).withColumn("component", F.col("c")))
+    stars = rounds.written(_stars(keys))
+    sample = written(classes.join(stars.select("c").distinct(), "c", "left_semi").select("c", F.col("sample.doc_id").alias("i"), F.col("sample.text_hash").alias("h")), "sample")
     # The sample grows with the collection: the plan is that of a large one at every size.
     texts = texts.join(sample.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
     sets = written(shingle_sets(texts, shingle, key).groupBy("c").agg(F.first("shingles").alias("shingles")), "sets")
 
-    rounds = Rounds(classes.sparkSession, "open")
     found = compared = None
     for _ in range(STARS):
-        leads = open_.groupBy("key").agg(F.max(F.struct("copies", "c", "n", "component")).alias("lead"))
-        stars = written(open_.join(leads, "key").withColumn("leads", F.col("c") == F.col("lead.c")), "stars")
         pairs = stars.filter((F.col("component") != F.col("lead.component")) & _size_bound("n", "lead.n", percent))
-        pairs = pairs.select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct()
+        pairs = _once(pairs.select("c", "component", F.col("lead.c").alias("d"), F.col("lead.component").alias("other")))
         pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
+        compared = pairs.select("a", "b") if compared is None else compared.union(pairs.select("a", "b"))
         links = _verified(pairs, sets, percent)
         found = components(links if found is None else links.union(found))
-        named = _named(stars.filter("not leads").select("key", "c", "copies", "n"), found)
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-        open_ = rounds.written(named.join(mixed, "key", "left_semi"))
-        if open_.isEmpty():
+        stars = rounds.written(_stars(_named(stars.filter("not leads").select("key", "c", "copies", "n"), found)))
+        if stars.isEmpty():
             return found
-    unsettled = written(open_.select("c", "component").distinct(), "unsettled")
-    pairs = _across(unsettled, sets, percent).distinct().join(compared, ["a", "b"], "left_anti")
+    unsettled = written(stars.select("c", "component").distinct(), "unsettled")
+    pairs = _once(_across(unsettled, sets, percent)).join(compared, ["a", "b"], "left_anti")
     return components(_verified(written(pairs, "pairs"), sets, percent).union(found))
 
 

@@ -96,6 +96,36 @@ def test_components(spark):
     assert collections_for(0.85) == 16
 
 
+@pytest.fixture
+def tasks(spark):
+    """Runs a function and counts the tasks that it took, with 20 partitions to each shuffle."""
+    context, settings = spark.sparkContext, {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+
+    def count(run):
+        group = f"tasks-{random.random()}"
+        context.setJobGroup(group, group)
+        run()
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = {s for j in context.statusTracker().getJobIdsForGroup(group) for s in context.statusTracker().getJobInfo(j).stageIds}
+        return sum(i.numCompletedTasks for s in stages if (i := context.statusTracker().getStageInfo(s)))
+
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield count
+    context.setLocalProperty("spark.jobGroup.id", None)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_components_take_few_tasks(spark, tasks):
+    """With many partitions, tasks of a few rows each were most of the disk (logs, small files) of near-dedup."""
+    stars = spark.createDataFrame([(i % 7, i) for i in range(7, 200)], "a int, b int").coalesce(2)
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a int, b int").coalesce(2)
+    assert tasks(lambda: components(stars).collect()) < 130
+    assert tasks(lambda: components(path).collect()) < 900
+
+
 def test_long_words_that_sum_alike_stay_apart(make_docs):
     """A Thue-Morse word and its complement have equal polynomial hashes modulo powers of two."""
     one = "a"
