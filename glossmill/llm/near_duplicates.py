@@ -9,7 +9,7 @@ Documents of equal shingle sets are one class from the start, and classes are nu
 collection value that only one class has can be in no shared key, so keys are formed from the
 others. In each bucket every class is compared with its lead, the class with most copies; links
 join classes to components. A bucket is settled when all its classes but the leads it had are of
-one component; else another lead is taken. What ``STARS`` rounds leave open is settled exactly:
+one component; else another lead is taken. What ``STARS`` rounds, or fewer that settle little, leave open is settled exactly:
 those classes are joined on the rarest shingles of each (a similar pair must share one of them),
 with bounds by size and position, only across components, and in blocks where a shingle is
 frequent. Sizes rule pairs out before sets are fetched, and only classes that share a bucket have
@@ -39,6 +39,8 @@ from .words import NOT_SPACE, WordKey, Words, mix, signed, window_hashes, words_
 ROWS = 3
 #: Rounds of leads before what is open is settled by rare shingles.
 STARS = 4
+#: Share of the rows of buckets that a round may leave open for another one to follow.
+SETTLING = 0.9
 #: Classes of a shingle that meet in one place.
 _TOGETHER = 2000
 #: Places to which the classes of a component are dealt.
@@ -223,6 +225,7 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int, key
     sets = written(shingle_sets(texts, shingle, key).groupBy("c").agg(F.first("shingles").alias("shingles")), "sets")
 
     found = compared = None
+    left = stars.count()
     for _ in range(STARS):
         pairs = stars.filter((F.col("component") != F.col("lead.component")) & _size_bound("n", "lead.n", percent))
         pairs = _once(pairs.select("c", "component", F.col("lead.c").alias("d"), F.col("lead.component").alias("other")))
@@ -231,8 +234,11 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int, key
         links = _verified(pairs, sets, percent)
         found = components(links if found is None else links.union(found))
         stars = rounds.written(_stars(_named(stars.filter("not leads").select("key", "c", "copies", "n"), found)))
-        if stars.isEmpty():
+        before, left = left, stars.count()
+        if not left:
             return found
+        if left > SETTLING * before:
+            break
     unsettled = written(stars.select("c", "component").distinct(), "unsettled")
     pairs = _once(_across(unsettled, sets, percent)).join(compared, ["a", "b"], "left_anti")
     return components(_verified(written(pairs, "pairs"), sets, percent).union(found))

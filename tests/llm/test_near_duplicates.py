@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from glossmill.llm import near_duplicates as operator
 from glossmill.operators.graphs import components
 from glossmill.llm.near_duplicates import collections_for, drop_near_duplicates, near_duplicates
 
@@ -126,6 +127,13 @@ def test_components_take_few_tasks(spark, tasks):
     assert tasks(lambda: components(path).collect()) < 900
 
 
+def test_rounds_of_leads_end_when_they_settle_little(make_docs, copies, monkeypatch):
+    calls = []
+    monkeypatch.setattr(operator, "SETTLING", 0.0)
+    monkeypatch.setattr(operator, "_stars", lambda rows, make=operator._stars: calls.append(1) or make(rows))
+    assert got(near_duplicates(make_docs(copies), 85)) == brute(copies, 85) and len(calls) == 2
+
+
 def test_long_words_that_sum_alike_stay_apart(make_docs):
     """A Thue-Morse word and its complement have equal polynomial hashes modulo powers of two."""
     one = "a"
