@@ -51,7 +51,8 @@ def centroids(tf: DataFrame, categories: DataFrame, terms: int = VECTOR_TERMS) -
 
 
 def nearest_centroid(vectors: DataFrame, centres: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """(doc_id, category, sim): the most similar centroid; below ``least`` the miscellaneous category.
+    """(doc_id, category, sim): the most similar centroid; below ``least`` (of twelve
+    decimals, so that one that reaches it exactly counts) the miscellaneous category.
 
     Documents meet centroids on shared terms alone.
     """
@@ -60,7 +61,7 @@ def nearest_centroid(vectors: DataFrame, centres: DataFrame, least: float = LEAS
     sims = a.join(b, "term").groupBy("doc_id", "category").agg(F.sum(F.col("weight") * F.col("w")).alias("sim"))
     best = sims.groupBy("doc_id").agg(F.max(F.round("sim", 12)).alias("top"), F.min(F.struct((-F.round("sim", 12)).alias("s"), "category", "sim")).alias("b"))
     found = vectors.select("doc_id").distinct().join(best, "doc_id", "left")
-    near = F.coalesce(F.col("b.sim") >= least, F.lit(False))
+    near = F.coalesce(F.round("b.sim", 12) >= least, F.lit(False))
     return found.select("doc_id", F.when(near, F.col("b.category").cast("string")).otherwise(F.lit(MISCELLANEOUS)).alias("category"), F.coalesce("b.sim", F.lit(0.0)).alias("sim"))
 
 

@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 
+from glossmill.operators import mail
 from glossmill.plans import message_queries, registry
 
 
@@ -24,3 +25,20 @@ def test_a_document_without_words_gets_the_added_one(spark):
     docs = pd.DataFrame([(1, "red foxes"), (5, "!! 12"), (10, ""), (20, "red red owls"), (6, "red"), (25, None)], columns=["doc_id", "text"])
     found = same(spark, "maintained_index", docs, "documents", doc_id="long", text="string")
     assert {(5, 1, 1), (10, 1, 1), (20, 3, 4)} <= set(found)
+
+
+def test_messages_come_once_and_a_similarity_of_the_limit_counts(spark):
+    # The fields of a message of user give 'subject' 5, 'user' 10 and 'mail', 'example' 6 each, 'team0' 1; a word of weight n makes the similarity 11 / sqrt(198 + n * n).
+    rows = [(60, 0, "user", "same words"), (120, 0, "user", "same words"), (60, 1, "user", None), (120, 1, "user", None), (1, 0, "system", "other")]
+    rows += [(4 * i, 2, "user", " ".join(["filling"] * n)) for i, n in enumerate(range(48, 60), 1)]
+    found = dict(same(spark, "filed_messages", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]), "conversations", conv_id="long", turn="long", role="string", text="string"))
+    assert 60000 in found and 120000 not in found and 60001 in found and 120001 not in found
+
+
+def test_the_similarity_of_the_limit_is_reached(spark):
+    """A weight of a fifth of the length, which floating point makes a little less."""
+    part = 0.005
+    vectors = spark.createDataFrame([(1, "user", part), (1, "x", 2 * part), (1, "y", 2 * part), (1, "z", 4 * part)], "doc_id long, term string, weight double")
+    centres = spark.createDataFrame([("a", "user", 1.0)], "category string, term string, weight double")
+    found = mail.nearest_centroid(vectors, centres, 0.2).first()
+    assert found.sim < 0.2 and found.category == "a"
