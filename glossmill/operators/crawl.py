@@ -107,12 +107,13 @@ def judged_pages(pages: DataFrame, keywords: list[str], id_col: str = "page_id",
     return rows.withColumn("status", status).drop("_first")
 
 
-def recomputed(links: DataFrame, pages: DataFrame, keywords: list[str], search: str = "breadth", priority_domain: str | None = None) -> DataFrame:
+def recomputed(links: DataFrame, pages: DataFrame, keywords: list[str], search: str = "breadth", priority_domain: str | None = None, key: str = "url") -> DataFrame:
     """Crawl links (url, anchor, level, status, priority, relevance) with the priority of those New, if
-    above 0, and the relevance of those Done that have a page (url, text) worked out anew."""
+    above 0, and the relevance of those Done that have a page (url, text) worked out anew. ``key`` is by what
+    links know their own page, where one address may have several."""
     scored = priority(links, keywords, search, priority_domain).select("url", F.col("priority").alias("_priority")).dropDuplicates(["url"])
-    judged = pages.groupBy("url").agg(F.min("text").alias("_text")).select("url", relevancy(F.col("_text"), keywords).alias("_relevance"))
-    rows = links.join(scored, "url", "left").join(judged, "url", "left")
+    judged = pages.groupBy(key).agg(F.min("text").alias("_text")).select(key, relevancy(F.col("_text"), keywords).alias("_relevance"))
+    rows = links.join(scored, "url", "left").join(judged, key, "left")
     rows = rows.withColumn("priority", F.when((F.col("status") == "New") & (F.col("priority") > 0), F.col("_priority")).otherwise(F.col("priority")))
     done = (F.col("status") == "Done") & F.col("_relevance").isNotNull()
     return rows.withColumn("relevance", F.when(done, F.col("_relevance")).otherwise(F.col("relevance"))).select(links.columns)

@@ -42,3 +42,10 @@ def test_the_similarity_of_the_limit_is_reached(spark):
     centres = spark.createDataFrame([("a", "user", 1.0)], "category string, term string, weight double")
     found = mail.nearest_centroid(vectors, centres, 0.2).first()
     assert found.sim < 0.2 and found.category == "a"
+
+
+def test_a_done_link_is_judged_by_its_own_page(spark):
+    page = lambda words: f"<p>{words} {'text ' * 20}</p>"
+    rows = [(1, "http://a.example/x", page("und und")), (4, "http://a.example/x", page("que")), (3, "http://a.example/y", page("und")), (7, None, page("und")), (6, None, page("und")), (10, "http://b.example", None)]
+    found = {r[0]: r for r in same(spark, "recomputed_links", pd.DataFrame(rows, columns=["page_id", "url", "html"]), "pages", page_id="long", url="string", html="string")}
+    assert found[1][2] == 2000 and found[4][2] == 500 and found[7][2] == 1000 and len(found) == 6
