@@ -7,9 +7,12 @@ n number, u mark. The lexicon is a parameter; its tables go to the tasks with th
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +93,57 @@ def assemble(text: Column, lexicon: TokenLexicon = TokenLexicon()) -> Column:
     return run(text)
 
 
+def _counting_pattern(lexicon: TokenLexicon) -> re.Pattern[str] | None:
+    """The pattern with plain words before blanks and like marks first, which no other kind can begin; None for lexicons
+    of which that is not so."""
+    if lexicon.collocations or any(re.match("[A-Za-z.]", e) for e in lexicon.emoticons):
+        return None
+    return re.compile(r"(?P<w>[A-Za-z]++(?=[ ,;!?()]|\Z))|" + _pattern(lexicon).pattern, re.ASCII)
+
+
+def counted(text: str | None, lexicon: TokenLexicon = TokenLexicon(), pattern: re.Pattern[str] | None = None) -> Counter[str]:
+    """How many tokens of each type ``typed`` finds, without the tokens. A word that ends in a mark that is not its own is
+    a word and that mark, since nothing else of the pattern begins with a mark after a letter."""
+    pattern = pattern or _counting_pattern(lexicon)
+    if pattern is None:
+        return Counter(t[2] for t in typed(text, lexicon))
+    kinds: Counter[str] = Counter()
+    for m in pattern.finditer(re.sub(r"[^\x20-\x7a]", " ", text or "")):
+        kind = m.lastgroup
+        if kind in "wx":
+            token = m[0]
+            kind = "a" if token[0].isupper() and token.lower() in lexicon.abbreviations else "x"
+        elif kind == "d":
+            token = m[0]
+            if token.rstrip(".").lower() in lexicon.abbreviations or token.count(".") > 1 or len(token) == 2 and token[0].isupper():
+                kind = "a"
+            else:
+                kind = "x"
+                kinds["u"] += 1
+        kinds[kind] += 1
+    return kinds
+
+
+def type_counts(docs: DataFrame, lexicon: TokenLexicon = TokenLexicon(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, type, n): how many tokens of each type are in each document. Tokens are counted text by text, and only
+    counts leave the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = _counting_pattern(lexicon)
+        for batch in batches:
+            at, types, numbers = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                for kind, n in counted(text.as_py(), lexicon, pattern).items():
+                    at.append(i)
+                    types.append(kind)
+                    numbers.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(types, pa.string()), pa.array(numbers, pa.int64())], ["doc_id", "type", "n"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, type string, n long")
+    return found.groupBy("doc_id", "type").agg(F.sum("n").alias("n"))
+
+
 def token_lexicon(abbreviations: DataFrame, collocations: DataFrame | None = None, most: int = 200_000) -> TokenLexicon:
     """The lexicon of tables: abbreviations (name, kind) of kind ``a`` abbreviation, ``ic`` country code, ``e``
     emoticon, and collocations (phrase). Both go to all tasks: over ``most`` rows are an error."""
