@@ -108,18 +108,22 @@ def related_words(queries: DataFrame, relation: str, words: DataFrame, synsets:
 
 def prefix_matches(queries: DataFrame, words: DataFrame, least: int = 10, most: int = 12, tries: int = 10) -> DataFrame:
     """(query, word): for a word that is not known, words that share its longest prefix with at
-    least ``least`` matches (the shortest tried, where none has so many); ``most`` of them by name."""
+    least ``least`` matches (the shortest tried, where none has so many); ``most`` of them by name.
+
+    Matches are counted once for each prefix of the vocabulary, and only the prefix that is chosen meets words, the
+    first ``most`` of them: a query never meets all words of a short prefix.
+    """
     asked = queries.select(lexical_form(F.col("word")).alias("query")).distinct().join(words.select(F.col("word").alias("query")).distinct(), "query", "left_anti")
     lengths = F.sequence(F.length("query"), F.greatest(F.length("query") - (tries - 1), F.lit(1)), F.lit(-1))
     prefixes = asked.select("query", F.explode(F.transform(lengths, lambda n: F.substring("query", F.lit(1), n))).alias("prefix"))
     vocabulary = words.select("word").distinct()
     cut = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
-    hits = prefixes.join(cut, "prefix")
-    counted = hits.groupBy("query", "prefix").agg(F.count("*").alias("n"))
+    counted = prefixes.join(cut.groupBy("prefix").agg(F.count("*").alias("n")), "prefix")
     best = counted.groupBy("query").agg(F.max(F.struct(F.least("n", F.lit(least)).alias("enough"), F.when(F.col("n") >= least, F.length("prefix")).otherwise(-F.length("prefix")).alias("l"), "prefix")).alias("b"))
-    order = Window.partitionBy("query").orderBy("word")
-    chosen = hits.join(best.select("query", F.col("b.prefix").alias("prefix")), ["query", "prefix"])
-    return chosen.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).select("query", "word")
+    best = best.select("query", F.col("b.prefix").alias("prefix"))
+    order = Window.partitionBy("prefix").orderBy("word")
+    first = cut.join(best.select("prefix").distinct(), "prefix", "left_semi").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
+    return best.join(first, "prefix").select("query", "word")
 
 
 def sense_scores(targets: DataFrame, contexts: DataFrame, words: DataFrame, signatures: DataFrame, unseen: float = -100.0) -> DataFrame:
