@@ -129,14 +129,18 @@ def prefix_matches(queries: DataFrame, words: DataFrame, least: int = 10, most:
 def sense_scores(targets: DataFrame, contexts: DataFrame, words: DataFrame, signatures: DataFrame, unseen: float = -100.0) -> DataFrame:
     """(target, synset, score): log2 p(sense) plus log2 p(context word given sense) over the context.
 
-    ``targets`` is (target, word), ``contexts`` (target, term), ``signatures`` (synset, term, p).
+    ``targets`` is (target, word), ``contexts`` (target, term), ``signatures`` (synset, term, p). Every context word
+    counts as not seen first, and only those that some signature has meet the senses.
     """
     found = targets.join(words.select("word", "synset", "tag_count"), "word")
     total = F.sum("tag_count").over(Window.partitionBy("target"))
-    prior = found.withColumn("prior", F.when((F.col("tag_count") > 0) & (total > 0), F.log2(F.col("tag_count") / total)).otherwise(F.lit(unseen)))
-    rows = prior.join(contexts, "target", "left").join(signatures, ["synset", "term"], "left")
-    each = F.when(F.col("term").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.log2("p"), F.lit(unseen)))
-    return rows.groupBy("target", "synset").agg((F.first("prior") + F.sum(each)).alias("score"))
+    prior = found.select("target", "synset", F.when((F.col("tag_count") > 0) & (total > 0), F.log2(F.col("tag_count") / total)).otherwise(F.lit(unseen)).alias("prior"))
+    n = contexts.filter("term is not null").groupBy("target").agg(F.count("*").alias("n"))
+    telling = contexts.join(signatures.select("term").distinct(), "term", "left_semi").join(found.select("target", "synset"), "target")
+    more = (F.coalesce(F.log2("p"), F.lit(unseen)) - unseen).alias("more")
+    told = telling.join(signatures, ["synset", "term"]).select("target", "synset", more).groupBy("target", "synset").agg(F.sum("more").alias("more"))
+    rows = prior.join(n, "target", "left").join(told, ["target", "synset"], "left")
+    return rows.select("target", "synset", (F.col("prior") + unseen * F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def best_senses(scores: DataFrame) -> DataFrame:

@@ -8,6 +8,11 @@ small letter is a name. Words that ``conversations`` use are asked for.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +50,30 @@ def tagged_words(documents: DataFrame) -> DataFrame:
     return rows.select(F.lower("token").alias("word"), (F.col("token") == F.lower("token")).alias("small"), "previous", _part_of_speech(F.col("previous")).alias("pos"))
 
 
+def counted_words(documents: DataFrame) -> DataFrame:
+    """(word, small, previous, pos, n): how often ``tagged_words`` has each row, where a ``previous`` that asks for no part
+    of speech is null. Words are counted batch by batch, and the counts are stored: texts are read once."""
+    asking = {w for words in BEFORE.values() for w in words}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(WORD).findall
+        for batch in batches:
+            counts: Counter[tuple[str, bool, str | None]] = Counter()
+            for text in batch.column(0):
+                if text.is_valid and (words := find(text.as_py())):
+                    low = [w.lower() for w in words]
+                    counts.update(zip(low, map(str.__eq__, words, low), [None, *(w if w in asking else None for w in low[:-1])], strict=True))
+            word, small, previous = zip(*counts, strict=True) if counts else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(small, pa.bool_()), pa.array(previous, pa.string()), pa.array(counts.values(), pa.int64())], ["word", "small", "previous", "n"])
+
+    found = documents.select("text").mapInArrow(run, "word string, small boolean, previous string, n long").groupBy("word", "small", "previous").agg(F.sum("n").alias("n"))
+    return written(found.select("word", "small", "previous", _part_of_speech(F.col("previous")).alias("pos"), "n"), "counts")
+
+
 def dictionary(documents: DataFrame) -> dict[str, DataFrame]:
     """words, synsets, relations, exceptions and signatures, as the lexicon operators take them."""
-    rows = tagged_words(documents)
-    counts = [F.struct(F.lit(pos).alias("pos"), F.count_if(F.col("pos") == pos).alias("tag_count")) for pos in BEFORE]
+    rows = counted_words(documents)
+    counts = [F.struct(F.lit(pos).alias("pos"), F.coalesce(F.sum(F.when(F.col("pos") == pos, F.col("n"))), F.lit(0)).alias("tag_count")) for pos in BEFORE]
     words = rows.groupBy("word").agg(F.array(*counts).alias("c"), (~F.bool_or("small")).alias("is_entity"))
     words = words.select("word", F.inline("c"), "is_entity").filter(F.col("tag_count") >= LEAST)
     words = written(words.select("word", "pos", _stem(6).alias("synset"), "tag_count", "is_entity"), "words")
@@ -60,7 +85,7 @@ def dictionary(documents: DataFrame) -> dict[str, DataFrame]:
     antonyms = opposite.select(F.lit("antonym").alias("relation"), F.col("word").alias("source"), F.col("other").alias("target"))
     verbs = words.filter("pos = 'v'").select(F.col("word").alias("base"))
     ends = once.filter(F.col("word").endswith("en")).withColumn("base", F.expr("substring(word, 1, length(word) - 2)"))
-    before = rows.filter("pos is not null").join(words.select("word", "pos", "synset"), ["word", "pos"]).groupBy("synset", F.col("previous").alias("term")).agg(F.count("*").alias("n"))
+    before = rows.filter("pos is not null").join(words.select("word", "pos", "synset"), ["word", "pos"]).groupBy("synset", F.col("previous").alias("term")).agg(F.sum("n").alias("n"))
     total = before.groupBy("synset").agg(F.sum("n").alias("total"))
     return {
         "words": words,
