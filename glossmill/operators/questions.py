@@ -6,9 +6,12 @@ n-grams by join. Ties go to the least ids.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +24,8 @@ ENTITY_WEIGHT, NOUN_WEIGHT = 8.0, 16.0
 INPUTS, HIDDEN, OUTPUTS = 5, 4, 2
 
 
-def query_grams(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, size, gram): the distinct runs of one to three lower-case words."""
+def query_grams(queries: DataFrame, id_col: str = "query_id", text_col: str = "text", distinct: bool = True) -> DataFrame:
+    """(query_id, size, gram): the distinct runs of one to three lower-case words; with repeats if they need not be."""
     words = F.regexp_extract_all(F.lower(text_col), F.lit("([a-z]+)"), 1)
     rows = queries.select(F.col(id_col).alias("query_id"), words.alias("w")).filter(F.size("w") > 0)
 
@@ -30,7 +33,20 @@ def query_grams(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
         made = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("size"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
         return F.when(F.size("w") >= n, made).otherwise(F.array().cast("array<struct<size:int,gram:string>>"))
 
-    return rows.select("query_id", F.explode(F.concat(*(runs(n) for n in GRAM_WEIGHTS))).alias("g")).select("query_id", "g.size", "g.gram").distinct()
+    found = rows.select("query_id", F.explode(F.concat(*(runs(n) for n in GRAM_WEIGHTS))).alias("g")).select("query_id", "g.size", "g.gram")
+    return found.distinct() if distinct else found
+
+
+def _held(parts: DataFrame, key: str, text_col: str, asked: DataFrame) -> DataFrame:
+    """(key, gram): runs of words of the parts that some query asks for. Queries are bounded, so what they ask goes to all
+    tasks, and no other run leaves its own."""
+    grams = query_grams(parts, key, text_col, distinct=False).select(F.col("query_id").alias(key), "gram")
+    return grams.join(F.broadcast(asked.select("gram").distinct()), "gram", "left_semi").select(key, "gram")
+
+
+def _once(held: DataFrame, key: str) -> DataFrame:
+    """Distinct rows with those of a part in one task, so that its scores are summed where they are."""
+    return held.repartition(key).dropDuplicates([key, "gram"])
 
 
 def answer_scores(parts: DataFrame, queries: DataFrame, key: str = "doc_id", text_col: str = "text", id_col: str = "query_id", query_col: str = "text", bonus: Column | None = None) -> DataFrame:
@@ -40,8 +56,8 @@ def answer_scores(parts: DataFrame, queries: DataFrame, key: str = "doc_id", tex
     sizes = asked.groupBy("query_id", "size").agg(F.count("*").alias("n"))
     weight = F.create_map(*(x for n, w in GRAM_WEIGHTS.items() for x in (F.lit(n), F.lit(w))))
     asked = asked.join(sizes, ["query_id", "size"]).select("query_id", "gram", (weight[F.col("size")] / F.col("n")).alias("w"))
-    held = query_grams(parts, key, text_col).select(F.col("query_id").alias(key), "gram")
-    found = held.join(asked, "gram").groupBy("query_id", key).agg(F.sum("w").alias("score"))
+    held = _once(_held(parts, key, text_col, asked), key)
+    found = held.join(F.broadcast(asked), "gram").groupBy("query_id", key).agg(F.sum("w").alias("score"))
     if bonus is None:
         return found
     return found.join(parts.select(key, bonus.alias("_bonus")), key).withColumn("score", F.col("score") + F.coalesce("_bonus", F.lit(0.0))).drop("_bonus")
@@ -71,10 +87,11 @@ def sentence_scores(
     longer = longer.select("query_id", "gram", (F.when(F.col("size") == 2, GRAM_WEIGHTS[2]).otherwise(GRAM_WEIGHTS[3]) / F.col("n")).alias("w"))
     all_nouns = nouns.groupBy("query_id").agg(F.sum("weight").alias("all"))
     noun = nouns.join(all_nouns, "query_id").filter("all > 0").select("query_id", F.lower("word").alias("gram"), (NOUN_WEIGHT * F.col("weight") / F.col("all")).alias("w"))
-    held = query_grams(parts, key, text_col).select(F.col("query_id").alias(key), "gram")
-    grams = held.join(single.union(longer).union(noun), "gram").select("query_id", key, "w")
-    types = entities.select(key, "type").distinct().join(wanted.distinct(), "type").select("query_id", key).distinct().withColumn("w", F.lit(ENTITY_WEIGHT))
-    return grams.union(types).groupBy("query_id", key).agg(F.sum("w").alias("score"))
+    weights = single.union(longer).union(noun).select("query_id", "gram", "w", F.lit(0.0).alias("typed"))
+    named = lambda kind: F.concat(F.lit("\0"), kind)  # noqa: E731  a type as a run that no text has
+    types = wanted.distinct().select("query_id", named(F.col("type")).alias("gram"), F.lit(0.0).alias("w"), F.lit(ENTITY_WEIGHT).alias("typed"))
+    held = _once(_held(parts, key, text_col, weights).union(entities.select(key, named(F.col("type")))), key)
+    return held.join(F.broadcast(weights.union(types)), "gram").groupBy("query_id", key).agg((F.sum("w") + F.max("typed")).alias("score"))
 
 
 def training_patterns(questions_: DataFrame, profile: DataFrame, actual: DataFrame, positive: int = 2, negative_share: float = 0.25) -> DataFrame:
@@ -108,9 +125,29 @@ def faq_entries(faqs: DataFrame, terms: int = 250, k: int = 10) -> tuple[DataFra
 
 
 def best_answers(scores: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
-    """The k best parts of each query, with ``rank``."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """The k best parts of each query, with ``rank``. Of each task only its own k best are sent on; no other is sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def best() -> pa.Table:
+            rows = pa.Table.from_batches(held)
+            rows = rows.take(pc.sort_indices(rows, [("query_id", "ascending"), ("_order", "descending"), (key, "ascending")])).combine_chunks()
+            query = rows.column("query_id")
+            begins = np.flatnonzero(np.concatenate([[True], pc.fill_null(pc.not_equal(query[1:], query[:-1]), True).to_numpy()]))
+            return rows.take(pa.array(np.flatnonzero(np.arange(len(rows)) - np.repeat(begins, np.diff([*begins, len(rows)])) < k)))
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) > 200_000:
+                held = best().combine_chunks().to_batches()
+        if held:
+            yield from best().to_batches()
+
+    rounded = scores.withColumn("_order", F.round("score", 9))
+    order = Window.partitionBy("query_id").orderBy(F.desc("_order"), key)
+    return rounded.mapInArrow(run, rounded.schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("_order")
 
 
 def faq_score(query: dict[str, Column], entry: dict[str, Column], contained: Column | None = None) -> Column:
